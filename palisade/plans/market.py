@@ -26,7 +26,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import ids, meta, scalars
+from palisade.functions import ids
 from palisade.model import DEFAULT_ORG, EDGE_KEYS, NODE_KEYS, Graph, union_all
 from palisade.plans.tables import Tables
 
@@ -364,8 +364,3 @@ class MarketGraph(Graph):
 def market_graph(spark: SparkSession, folder: str) -> MarketGraph:
     return MarketGraph(Tables(spark, folder))
 
-
-def tagged(nodes: DataFrame) -> DataFrame:
-    """Column nodes with their own tags set; table roll-up is ``operators.enrich``."""
-    tags = F.array_join(scalars.column_tags(meta.get(nodes, "column_name")), ",")
-    return nodes.withColumn("metadata", F.col("metadata").withField("data_sensitivity", F.nullif(tags, F.lit(""))))
