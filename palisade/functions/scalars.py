@@ -95,17 +95,16 @@ def sql_type_text(base: Column, length: Column, precision: Column, scale: Column
 
 
 def index_method(indexdef: Column) -> Column:
-    """access method named after USING, ``btree`` when not stated."""
-    found = F.regexp_extract(indexdef, r"(?i)USING\s+(\w+)", 1)
-    return F.when(found != "", F.lower(found)).otherwise("btree")
+    """access method named after USING; BTREE unless it is a special one."""
+    found = F.upper(F.regexp_extract(indexdef, r"(?i)using (gin|gist|hash|brin)", 1))
+    return F.when(found != "", found).otherwise("BTREE")
 
 
-def index_columns(indexdef: Column) -> Column:
-    """column list in the index definition's parentheses."""
-    inner = F.regexp_extract(indexdef, r"\(([^)]+)\)", 1)
-    return F.when(
-        inner != "", F.transform(F.split(inner, ","), lambda c: F.trim(c))
-    ).otherwise(F.array().cast("array<string>"))
+def index_columns(indexdef: Column, table: Column) -> Column:
+    """columns in the parentheses right after the table name, unquoted; empty when there are none."""
+    inner = F.regexp_extract(indexdef, F.concat(F.lit(r"(?is)\Q"), table, F.lit(r"\E\s*\((.*?)\)")), 1)
+    bare = lambda c: F.regexp_replace(F.trim(c), r"^[\"']+|[\"']+$", "")
+    return F.when(inner != "", F.transform(F.split(inner, ","), bare)).otherwise(F.array().cast("array<string>"))
 
 
 def confidence_score(level: Column) -> Column:

@@ -78,8 +78,8 @@ TYPED_NODE_KEYS = {
     "sg_rules_ingress": _RULE,
     "sg_rules_egress": _RULE,
     "nacl_rules": "array<struct<rule_number:int,protocol:string,rule_action:string,egress:boolean,cidr:string>>",
-    "lb_listeners": "array<struct<port:int,protocol:string,arn:string>>",
-    "iam_access_keys": "array<struct<access_key_id:string,status:string,create_date:string>>",
+    "lb_listeners": "array<struct<port:int,protocol:string,default_actions:array<string>>>",
+    "iam_access_keys": "array<struct<id:string,status:string,created:string>>",
     "iam_trust_policy": "variant",
     "iam_policy_document": "variant",
 }

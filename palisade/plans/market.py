@@ -26,8 +26,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import ids
-from palisade.model import DEFAULT_ORG, EDGE_KEYS, NODE_KEYS, Graph, union_all
+from palisade import build
+from palisade.model import Graph, union_all
 from palisade.plans.tables import Tables
 
 # --- fixed values: column names the projection deals out to tables -----------
@@ -89,36 +89,12 @@ def source_path(nation: str) -> str:
     return f"concat('src/nation_', {nation}, '.py')"
 
 
-def _struct(fields: dict[str, str], vocabulary: dict[str, str]) -> str:
-    packed = ", ".join(f"cast({sql} as {vocabulary.get(k, 'string')}) as {k}" for k, sql in fields.items())
-    return f"struct({packed}) as metadata"
-
-
 def node_frame(df: DataFrame, kind: str, rank: int, urn: str, parent: str | None, key: str, **fields: str) -> DataFrame:
-    return df.selectExpr(
-        f"{urn} as urn",
-        f"'{DEFAULT_ORG}' as organization_id",
-        f"{parent or 'cast(null as string)'} as parent_urn",
-        f"'{kind}' as node_type",
-        _struct(fields, NODE_KEYS),
-        f"{rank * RANK}L + {key} as ord",
-    )
+    return build.node_frame(df, kind, urn, parent, f"{rank * RANK}L + {key}", **fields)
 
 
 def edge_frame(df: DataFrame, kind: str, rank: int, src: str, dst: str, key: str, **fields: str) -> DataFrame:
-    fields = fields or {"detection_method": "null"}
-    ends = df.selectExpr(
-        f"{src} as from_urn", f"{dst} as to_urn", f"{rank * RANK}L + {key} as ord", _struct(fields, EDGE_KEYS)
-    )
-    return ends.selectExpr(
-        f"{ids.edge_id_sql('from_urn', 'to_urn', kind)} as uuid",
-        f"'{DEFAULT_ORG}' as organization_id",
-        "from_urn",
-        "to_urn",
-        f"'{kind}' as edge_type",
-        "metadata",
-        "ord",
-    )
+    return build.edge_frame(df, kind, src, dst, f"{rank * RANK}L + {key}", **fields)
 
 
 class MarketNodes:
