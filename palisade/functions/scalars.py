@@ -134,8 +134,8 @@ def glob_pattern(pattern: str) -> str:
 
 
 def excluded(name: Column, patterns: list[str], system: tuple[str, ...] = ()) -> Column:
-    """Q13: name is a system one (lower-cased) or matches an exclusion glob."""
-    hit = F.lower(name).isin([s.lower() for s in system]) if system else F.lit(False)
+    """Q13: name is a system one (exactly) or matches an exclusion glob (in any case)."""
+    hit = name.isin(list(system)) if system else F.lit(False)
     for p in patterns:
         hit = hit | name.rlike(glob_pattern(p))
     return hit
