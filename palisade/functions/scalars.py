@@ -102,7 +102,8 @@ def index_method(indexdef: Column) -> Column:
 
 def index_columns(indexdef: Column, table: Column) -> Column:
     """columns in the parentheses right after the table name, unquoted; empty when there are none."""
-    inner = F.regexp_extract(indexdef, F.concat(F.lit(r"(?is)\Q"), table, F.lit(r"\E\s*\((.*?)\)")), 1)
+    pattern = F.concat(F.lit(r"(?is)\Q"), table, F.lit(r"\E\s*\((.*?)\)"))
+    inner = F.call_function("regexp_extract", indexdef, pattern, F.lit(1))
     bare = lambda c: F.regexp_replace(F.trim(c), r"^[\"']+|[\"']+$", "")
     return F.when(inner != "", F.transform(F.split(inner, ","), bare)).otherwise(F.array().cast("array<string>"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palisade.plans import estate_queries, market_queries
+from palisade.plans import estate_queries, market_queries, tree_queries
 
-MODULES = [market_queries, estate_queries]
+MODULES = [market_queries, estate_queries, tree_queries]
 
 
 def queries() -> dict:

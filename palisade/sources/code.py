@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ SKIPPED_FOLDERS = (
     "node_modules vendor .venv venv __pycache__ .git dist build target .tox .mypy_cache .pytest_cache .ruff_cache egg-info"
 ).split()
 
+FACTS_PER_BATCH = 4096
+
 # --- fixed values: web framework patterns --------------------------------------
 FASTAPI_ROUTE = r"""@(\w+)\.(get|post|put|patch|delete|head|options)\(\s*["']([^"']*)["']"""
 FASTAPI_ROUTER = r"""(\w+)\s*=\s*APIRouter\((?:[^)]*prefix\s*=\s*["']([^"']*)["'])?"""
@@ -34,6 +37,7 @@ FASTAPI_CREDENTIALS = r"\b(HTTPAuthorizationCredentials|HTTPBasicCredentials)\b"
 FASTAPI_SCHEME = (
     r"(\w+)\s*=\s*(HTTPBearer|HTTPBasic|OAuth2PasswordBearer|OAuth2AuthorizationCodeBearer|APIKeyHeader|APIKeyQuery|APIKeyCookie)\s*\("
 )
+FRAMEWORKS = "sqlalchemy boto3 flask requests fastapi".split()
 FASTAPI_DEPENDS = r"Depends\s*\(\s*(\w+)"
 FASTAPI_ROUTER_DEPENDS = r"(\w+)\s*=\s*APIRouter\s*\([^)]*dependencies\s*=\s*\[([^\]]*)\]"
 
@@ -77,8 +81,13 @@ def extract_facts(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.strip().split(" ")[0] for c in FACT_SCHEMA.split(", ")]
         for batch in batches:
-            for row in batch.itertuples(index=False):  # one file at a time keeps the output small
-                yield pd.DataFrame(facts_of(row.file_path, row.language, row.source), columns=columns)
+            found: list[dict] = []
+            for row in batch.itertuples(index=False):
+                found += facts_of(row.file_path, row.language, row.source)
+                if len(found) >= FACTS_PER_BATCH:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            yield pd.DataFrame(found, columns=columns)
 
     parsed = files.filter("language is not null").select("file_path", "language", "source")
     return stash(parsed.mapInPandas(parse, FACT_SCHEMA), "facts")
@@ -95,7 +104,10 @@ class CodeScan:
         self.base, self.root = base, root
         self.urn = f"{base}:{root}"
         self.files = files
-        self.facts = extract_facts(files)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return extract_facts(self.files)
 
     def _fact(self, kind: str) -> DataFrame:
         return self.facts.filter(F.col("fact") == kind)
@@ -114,22 +126,21 @@ class CodeScan:
         path = "array_join(filter(flatten(array(array('{0}', file_path), chain, {1})), x -> x <> ''), '/')"
         return named.selectExpr(
             "*", f"{path.format(self.urn, 'array(display)')} as urn", f"{path.format(self.urn, 'array()')} as parent_urn",
-            f"(xxhash64(file_path) & 1099511627775L) * 4096 + seq as ord",
+            "(xxhash64(file_path) & 1099511627775L) * 4096 + seq as ord",
         )
 
-    def texts(self) -> DataFrame:
-        """Each definition with its own text and its whole file."""
-        return self.definitions().join(self.files.select("file_path", "source"), "file_path").withColumn(
-            "text", source_text.lines_between(F.col("source"), F.col("start"), F.col("end"))
-        )
+    @cached_property
+    def gates(self) -> DataFrame:
+        """which frameworks each file imports; flags instead of texts travel to the definitions."""
+        flags = [source_text.imports(F.col("source"), lib).alias(f"uses_{lib}") for lib in FRAMEWORKS]
+        return self.files.filter("language = 'python'").select("file_path", *flags)
 
     def nodes(self) -> DataFrame:
         count = self.files.filter("language is not null").agg(F.count("*").alias("n"))
-        known = self.files.filter("language is not null")
-        classes, functions = self.class_tags(), self.function_tags()
+        classes, functions = self.class_tags, self.function_tags
         return union_all([
             node_frame(count, "codebase", f"'{self.urn}'", None, "0", repo_name=f"'{self.root}'", file_count="n"),
-            self._file_nodes(known),
+            self.file_nodes(),
             node_frame(
                 classes, "class", "urn", "parent_urn", "ord", class_name="name", start_line="start", end_line="end", file_path="file_path", base_classes="bases",
                 orm_table="orm_table", orm_framework="if(orm_table is not null, 'sqlalchemy', null)", aws_s3_client="s3_client",
@@ -140,62 +151,69 @@ class CodeScan:
             ),
         ])
 
-    def _file_nodes(self, known: DataFrame) -> DataFrame:
+    @cached_property
+    def file_tags(self) -> DataFrame:
+        """files with what their Dockerfile states; written once, as several steps read it."""
         content = F.col("source")
         images = docker.base_images(content)
         is_docker = docker.is_dockerfile(F.col("file_path")) & (F.size(images) > 0)
         tag = lambda c: F.when(is_docker, c)
-        tagged = self.files.withColumns({
-            "images": tag(F.array_join(images, ",")), "entry": tag(docker.entrypoint(content)), "cmd": tag(docker.cmd(content)),
-            "workdir": tag(docker.workdir(content)), "copies": tag(F.nullif(F.array_join(docker.copy_targets(content), ","), F.lit(""))),
-        }).filter("language is not null or images is not null")
+        tagged = self.files.select(
+            "file_path", "language", "size_bytes", tag(F.array_join(images, ",")).alias("images"), tag(docker.entrypoint(content)).alias("entry"),
+            tag(docker.cmd(content)).alias("cmd"), tag(docker.workdir(content)).alias("workdir"),
+            tag(F.nullif(F.array_join(docker.copy_targets(content), ","), F.lit(""))).alias("copies"),
+        )
+        return stash(tagged, "files").filter("language is not null or images is not null")
+
+    def file_nodes(self) -> DataFrame:
         return node_frame(
-            tagged, "file", self.file_urn(), f"'{self.urn}'", "xxhash64(file_path) & 1099511627775L", file_path="file_path",
+            self.file_tags, "file", self.file_urn(), f"'{self.urn}'", "xxhash64(file_path) & 1099511627775L", file_path="file_path",
             language="coalesce(language, 'dockerfile')", size_bytes="size_bytes", dockerfile_base_images="images", dockerfile_entrypoint="entry",
             dockerfile_cmd="cmd", dockerfile_workdir="workdir", dockerfile_copy_targets="copies",
         )
 
     # --- framework tags ------------------------------------------------------------
 
+    @cached_property
     def class_tags(self) -> DataFrame:
         """F13/F14 on classes: mapped table and object-store client, gated by the file's imports."""
-        whole, text = F.col("source"), F.col("text")
-        return self.texts().filter("fact = 'class'").withColumns({
-            "orm_table": F.when(source_text.imports(whole, "sqlalchemy"), source_text.orm_table(text)),
-            "s3_client": F.when(source_text.imports(whole, "boto3") & source_text.uses_s3_client(text), F.lit(True)),
-        }).drop("source", "text")
+        text = F.col("text")
+        classes = self.definitions().filter("fact = 'class'").join(self.gates, "file_path", "left")
+        tagged = classes.withColumns({
+            "orm_table": F.when(F.col("uses_sqlalchemy"), source_text.orm_table(text)),
+            "s3_client": F.when(F.col("uses_boto3") & source_text.uses_s3_client(text), F.lit(True)),
+        })
+        return stash(tagged.drop("text", "above"), "classes")
 
+    @cached_property
     def function_tags(self) -> DataFrame:
         """F13-F18 on functions; web frameworks override the standard-library tag."""
-        whole, text = F.col("source"), F.col("text")
-        full = F.concat(decorators(whole, F.col("start")), text)
-        functions = self.texts().filter("fact = 'function'")
-        io = source_text.stdlib_io(text)
-        flask = F.when(source_text.imports(whole, "flask"), source_text.flask_route(full))
-        calls_out = source_text.imports(whole, "requests") & source_text.calls_requests(text)
-        tagged = functions.withColumns({"io": io, "flask": flask, "calls_out": calls_out, "full": full})
-        fast = source_text.imports(whole, "fastapi")
-        routed = fast & F.col("full").rlike(FASTAPI_ROUTE)
-        group = lambda i: F.when(routed, F.regexp_extract("full", FASTAPI_ROUTE, i))
-        credentials = F.when(fast, F.nullif(F.regexp_extract("full", FASTAPI_CREDENTIALS, 1), F.lit("")))
-        s3 = source_text.imports(whole, "boto3")
-        ops = F.when(s3, source_text.s3_operations(text))
-        orm = F.when(source_text.imports(whole, "sqlalchemy"), source_text.orm_operations(text))
-        tagged = tagged.withColumns({
-            "router_variable": group(1), "fast_method": F.upper(group(2)), "fast_path": group(3),
-            "typed_auth": F.when(credentials == "HTTPAuthorizationCredentials", "HTTPBearer").when(credentials == "HTTPBasicCredentials", "HTTPBasic"),
-            "aws_s3_client": F.when(s3 & source_text.uses_s3_client(text), F.lit(True)), "aws_s3_operations": ops, "orm_operations": orm,
-        })
-        tagged = tagged.withColumns({
+        text, full = F.col("text"), F.col("full")
+        functions = self.definitions().filter("fact = 'function'").join(self.gates, "file_path", "left")
+        functions = functions.withColumn("full", F.concat(decorators(F.col("above")), text))
+        routed = F.col("uses_fastapi") & full.rlike(FASTAPI_ROUTE)
+        group = lambda i: F.when(routed, F.regexp_extract(full, FASTAPI_ROUTE, i))
+        credentials = F.when(F.col("uses_fastapi"), F.nullif(F.regexp_extract(full, FASTAPI_CREDENTIALS, 1), F.lit("")))
+        seen = stash(functions.select(
+            "urn", "parent_urn", "ord", "file_path", "name", "chain", "start", "end", "text",
+            source_text.stdlib_io(text).alias("io"), F.when(F.col("uses_flask"), source_text.flask_route(full)).alias("flask"),
+            (F.coalesce("uses_requests", F.lit(False)) & source_text.calls_requests(text)).alias("calls_out"),
+            group(1).alias("router_variable"), F.upper(group(2)).alias("fast_method"), group(3).alias("fast_path"),
+            F.when(credentials == "HTTPAuthorizationCredentials", "HTTPBearer").when(credentials == "HTTPBasicCredentials", "HTTPBasic").alias("typed_auth"),
+            F.when(F.col("uses_boto3") & source_text.uses_s3_client(text), F.lit(True)).alias("aws_s3_client"),
+            F.when(F.col("uses_boto3"), source_text.s3_operations(text)).alias("aws_s3_operations"),
+            F.when(F.col("uses_sqlalchemy"), source_text.orm_operations(text)).alias("orm_operations"),
+        ), "functions")
+        tagged = seen.withColumns({
             "aws_s3_operation_type": source_text.s3_operation_types(F.col("aws_s3_operations")),
             "orm_operation_type": source_text.orm_operation_types(F.col("orm_operations")),
             "orm_framework": F.when(F.col("orm_operations").isNotNull(), "sqlalchemy"),
             "route_path": F.coalesce("flask.route_path", "fast_path"), "http_method": F.coalesce("flask.http_method", "fast_method"),
-            "api_framework": F.when(F.col("flask").isNotNull(), "flask").when(routed, "fastapi"),
+            "api_framework": F.when(F.col("flask").isNotNull(), "flask").when(F.col("fast_path").isNotNull(), "fastapi"),
             "io_direction": F.when(F.col("calls_out"), "egress").when(F.col("flask").isNotNull(), "ingress").otherwise(F.col("io.io_direction")),
             "io_type": F.when(F.col("calls_out") | F.col("flask").isNotNull(), "network").otherwise(F.col("io.io_type")),
         })
-        return self._orm_models(self._fastapi_paths(tagged))
+        return stash(self._orm_models(self._fastapi_paths(tagged)), "tags")
 
     def _matches(self, pattern: str) -> DataFrame:
         """``(file_path, pos, a, b)``: both groups of every match in every file."""
@@ -235,7 +253,7 @@ class CodeScan:
         Words of the text are matched by equality, so no function meets a class
         whose name it does not contain.
         """
-        classes = self.class_tags().filter("orm_table is not null").groupBy("name").agg(F.max_by("urn", "ord").alias("class_urn"))
+        classes = self.class_tags.filter("orm_table is not null").groupBy("name").agg(F.max_by("urn", "ord").alias("class_urn"))
         words = functions.filter("orm_operations is not null").select(
             "urn", "ord", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("name")
         )
@@ -289,7 +307,7 @@ class CodeScan:
         functions = definitions.filter("fact = 'function'")
         key = ["file_path", "chain", "display"]
         python = self._fact("call").select("file_path", "chain", "display", F.col("name").alias("callee")).join(functions.select(*key, "urn", F.col("name").alias("caller"), "ord"), key)
-        rust_texts = self.texts().join(self.files.filter("language = 'rust'").select("file_path"), "file_path", "left_semi").filter("fact = 'function'")
+        rust_texts = functions.join(self.files.filter("language = 'rust'").select("file_path"), "file_path", "left_semi")
         rust = rust_texts.select("file_path", "urn", F.col("name").alias("caller"), "ord", F.explode(rust_calls(F.col("text"))).alias("full"))
         rust = rust.select("*", F.substring_index("full", "::", -1).alias("callee"))
         qualified = self._qualified(rust.filter("full like '%::%'"), definitions)
@@ -335,7 +353,7 @@ class CodeScan:
     def graph(self) -> Graph:
         nodes = self.nodes()
         children = nodes.filter("parent_urn is not null").select("parent_urn", "urn", "ord")
-        orm = self.model_references(self.function_tags())
+        orm = self.model_references(self.function_tags)
         return Graph(nodes, union_all([
             edge_frame(children, "contains", "parent_urn", "urn", "ord"),
             self.call_edges(),
@@ -351,15 +369,12 @@ FUNCTION_TAGS = (
 ).split()
 
 
-def decorators(source: Column, start: Column) -> Column:
-    """Decorator lines right above a definition (at most ten lines up), each ended by a newline.
+def decorators(above: Column) -> Column:
+    """Decorator lines of a definition, each ended by a newline; ``above`` are the lines over it, nearest first.
 
     Walking upwards: ``@`` lines and, below the first of them, lines ending in
     ``)`` belong; blank lines are passed over; anything else ends the walk.
     """
-    lines = source_text.lines(source)
-    first = F.greatest(F.lit(0), start - 10)
-    above = F.when(start > 0, F.reverse(F.slice(lines, (first + 1).cast("int"), (start - first).cast("int")))).otherwise(F.array().cast("array<string>"))
     begin = F.struct(F.lit(False).alias("ended"), F.array().cast("array<string>").alias("kept"))
 
     def step(state: Column, line: Column) -> Column:

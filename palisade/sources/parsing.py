@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 FACT_SCHEMA = (
     "file_path string, fact string, name string, display string, chain array<string>, start bigint, end bigint, "
-    "bases array<string>, module string, source_name string, seq bigint"
+    "bases array<string>, module string, source_name string, text string, above array<string>, seq bigint"
 )
+DECORATOR_REACH = 10  # lines above a definition that may hold its decorators
 
 
 def _fact(fact: str, name: str, seq: int, **more) -> dict:
-    row = {"fact": fact, "name": name, "display": None, "chain": None, "start": None, "end": None, "bases": None, "module": None, "source_name": None, "seq": seq}
+    row = {"fact": fact, "name": name, "display": None, "chain": None, "start": None, "end": None, "bases": None, "module": None, "source_name": None, "text": None, "above": None, "seq": seq}
     row.update(more)
     return row
 
@@ -154,4 +155,14 @@ def facts_of(path: str, language: str, source: str) -> list[dict]:
         found = brace_facts(language, source)
     else:
         return []
-    return [{"file_path": path, **row} for row in found]
+    lines = source.splitlines()
+    return [{"file_path": path, **_with_text(row, lines)} for row in found]
+
+
+def _with_text(row: dict, lines: list[str]) -> dict:
+    """Add a definition's own lines and the few above it, nearest first."""
+    if row["fact"] in ("class", "function"):
+        start = row["start"]
+        row["text"] = "\n".join(lines[start : row["end"] + 1])
+        row["above"] = lines[max(0, start - DECORATOR_REACH) : start][::-1]
+    return row
