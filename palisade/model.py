@@ -10,7 +10,7 @@ optional ``extra`` map (JSON text per key).
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,6 +265,49 @@ class Graph:
         return self.nodes.select("urn").union(ends).distinct()
 
 
+class PartGraph(Graph):
+    """A graph held as one frame per node and edge type.
+
+    Asking for a type touches only its frames, so plans stay as small as the
+    question; asking for all nodes or edges unites the frames.
+    """
+
+    def __init__(self, node_parts: list[tuple[str, DataFrame]], edge_parts: list[tuple[str, DataFrame]], soft_links: DataFrame | None = None):
+        for name, value in (("node_parts", node_parts), ("edge_parts", edge_parts), ("soft_links", soft_links)):
+            object.__setattr__(self, name, value)
+
+    @cached_property
+    def nodes(self) -> DataFrame:  # type: ignore[override]
+        return union_all([frame for _, frame in self.node_parts])
+
+    @cached_property
+    def edges(self) -> DataFrame:  # type: ignore[override]
+        return union_all([frame for _, frame in self.edge_parts])
+
+    def of_type(self, *types: str) -> DataFrame:
+        parts = [frame for kind, frame in self.node_parts if kind in types]
+        return union_all(parts) if parts else self.node_parts[0][1].limit(0)
+
+    def edges_of(self, *types: str) -> DataFrame:
+        parts = [frame for kind, frame in self.edge_parts if kind in types]
+        return union_all(parts) if parts else self.edge_parts[0][1].limit(0)
+
+    def with_nodes(self, nodes: DataFrame) -> Graph:
+        return Graph(nodes, self.edges, self.soft_links)
+
+    def with_edges(self, edges: DataFrame) -> Graph:
+        return Graph(self.nodes, edges, self.soft_links)
+
+    def with_edge_parts(self, *parts: tuple[str, DataFrame]) -> PartGraph:
+        return PartGraph(self.node_parts, [*self.edge_parts, *parts], self.soft_links)
+
+    def merge(self, *others: Graph) -> Graph:
+        if all(isinstance(o, PartGraph) for o in others):
+            graphs = (self, *others)
+            return PartGraph([p for g in graphs for p in g.node_parts], [p for g in graphs for p in g.edge_parts], self.soft_links)
+        return Graph(self.nodes, self.edges, self.soft_links).merge(*others)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name, widening ``metadata`` structs to the keys any side has.
 

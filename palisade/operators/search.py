@@ -48,9 +48,10 @@ def matching_nodes(
             hits = hits.filter(_has(meta.text(nodes, metadata_key), metadata_value))
     if node_type or name_pattern or metadata_key:
         return hits
-    loose = graph.vertices().join(nodes.select("urn"), "urn", "left_anti")
+    ends = graph.edges.select(F.explode(F.array("from_urn", "to_urn")).alias("urn"))
     if urn_pattern:
-        loose = loose.filter(_has(F.col("urn"), urn_pattern))
+        ends = ends.filter(_has(F.col("urn"), urn_pattern))
+    loose = ends.distinct().join(nodes.select("urn"), "urn", "left_anti")
     return hits.unionByName(loose.withColumn("node_type", F.lit("unknown")), allowMissingColumns=True)
 
 

@@ -37,9 +37,29 @@ def orm_class_to_table(graph: Graph) -> DataFrame:
     )
 
 
-def names_within(texts: DataFrame, names: DataFrame) -> DataFrame:
+SMALL_DICTIONARY = 512  # names up to which every text is tried against all of them
+
+
+def names_within(texts: DataFrame, names: DataFrame, small: int = SMALL_DICTIONARY) -> DataFrame:
     """``(id, name)`` for every ``name`` that is a substring of a text, without a cross join.
 
+    The dictionary is counted first.  A small one travels as one array and each
+    text is searched for all its names in a map-only pass; a larger one goes
+    through :func:`names_by_windows`.
+
+    ``texts``: ``id, text``; ``names``: ``name`` (distinct, not empty).
+    """
+    size = names.agg(F.count("*"), F.coalesce(F.max(F.length("name")), F.lit(0))).first()
+    if size[0] > small or size[1] > 1024:
+        return names_by_windows(texts, names)
+    listed = names.agg(F.collect_list("name")).scalar()  # at most `small` names, as just counted
+    found = F.filter("_names", lambda n: F.col("text").contains(n))
+    return texts.withColumn("_names", listed).select("id", F.explode(found).alias("name"))
+
+
+def names_by_windows(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Substring search for large dictionaries, as hash joins.
+
     An occurrence of a name without blanks lies inside one run of non-blank
     characters.  Texts are cut into their distinct runs, the runs of the whole
     corpus are deduplicated, and each run's windows of the lengths that occur
@@ -47,8 +67,6 @@ def names_within(texts: DataFrame, names: DataFrame) -> DataFrame:
     joined back to the texts.  Names are unique, so the only hot side of either
     join is one AQE can split.  Names holding a blank use windows of the text
     itself; usually there are none and the branch is empty.
-
-    ``texts``: ``id, text``; ``names``: ``name`` (distinct, not empty).
     """
     solid = names.filter("name not rlike '[\\\\s]'")
     spaced = names.filter("name rlike '[\\\\s]'")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.build import node_frame
-from palisade.model import Graph, union_all
+from palisade.model import PartGraph
 from palisade.plans.tables import Tables
 from palisade.sources import okta
 from palisade.sources.aws import Account, Dump, load_account
@@ -313,13 +313,13 @@ def databases(t: Tables) -> DataFrame:
     )
 
 
-def aws_graph(spark: SparkSession, folder: str, services: list[str] | None = None) -> Graph:
+def aws_graph(spark: SparkSession, folder: str, services: list[str] | None = None) -> PartGraph:
     return load_account(EstateDump(Tables(spark, folder)), ACCOUNT, services)
 
 
-def okta_graph(spark: SparkSession, folder: str) -> Graph:
+def okta_graph(spark: SparkSession, folder: str) -> PartGraph:
     return okta.load_directory(directory(Tables(spark, folder)), DOMAIN)
 
 
-def with_databases(graph: Graph, t: Tables) -> Graph:
-    return graph.with_nodes(union_all([graph.nodes, databases(t)]))
+def with_databases(graph: PartGraph, t: Tables) -> PartGraph:
+    return PartGraph([*graph.node_parts, ("database", databases(t))], graph.edge_parts)

@@ -305,8 +305,7 @@ def _(g):
 
 def _surface(spark, folder):
     g = estate.aws_graph(spark, folder, ["route53", "elbv2", "apigateway", "ecs", "vpc", "iam"])
-    linked = [g.edges, network.dns_to_front_door(g), network.pool_to_service(g)]
-    return g.with_edges(union_all(linked))
+    return g.with_edge_parts(("resolves_to", network.dns_to_front_door(g)), ("routes_to", network.pool_to_service(g)))
 
 
 @query("g7_public_attack_surface", f"""

@@ -51,7 +51,7 @@ def source_files(t: Tables) -> DataFrame:
 
 
 def code_scan(spark: SparkSession, folder: str) -> CodeScan:
-    return CodeScan(source_files(Tables(spark, folder)), BASE, ROOT)
+    return CodeScan(source_files(Tables(spark, folder)), BASE, ROOT, spread=spark.sparkContext.defaultParallelism)
 
 
 def tables_of_parts(t: Tables) -> DataFrame:

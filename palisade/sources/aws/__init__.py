@@ -4,24 +4,22 @@ from __future__ import annotations
 
 import logging
 
-from palisade.build import edge_frame, node_frame
-from palisade.model import Graph, union_all
+from palisade.model import PartGraph
 from palisade.sources.aws.dump import Dump
-from palisade.sources.aws.services import SERVICES, Account
+from palisade.sources.aws.services import SERVICES, Account, edge, node
 
 log = logging.getLogger(__name__)
 
 
-def load_account(dump: Dump, account: Account, services: list[str] | None = None) -> Graph:
+def load_account(dump: Dump, account: Account, services: list[str] | None = None) -> PartGraph:
     """Nodes and edges of an account.
 
     A service whose response shape cannot be resolved is logged and left out, as
     one broken extract must not stop the scan.  The account ``contains`` every
     node whose parent it is.
     """
-    spark = dump.spark
-    root = node_frame(
-        spark.range(1), "aws_account", account.root, None, "0", account_id=f"'{account.id}'", region=f"'{account.region}'"
+    root = node(
+        dump.spark.range(1), "aws_account", account.root, None, "0", account_id=f"'{account.id}'", region=f"'{account.region}'"
     )
     nodes, edges = [root], []
     for name, service in SERVICES.items():
@@ -34,10 +32,12 @@ def load_account(dump: Dump, account: Account, services: list[str] | None = None
             continue
         nodes += found_nodes
         edges += found_edges
-    everything = union_all(nodes)
-    top = everything.filter(f"parent_urn = {account.root}").select("parent_urn", "urn", "ord")
-    contains = edge_frame(top, "contains", "parent_urn", "urn", "ord")
-    return Graph(everything, union_all([contains, *edges]))
+    below = [
+        edge(frame.filter(f"parent_urn = {account.root}").select("parent_urn", "urn", "ord"), "contains", "parent_urn", "urn", "ord")
+        for kind, frame in nodes
+        if kind != "aws_account"
+    ]
+    return PartGraph(nodes, [*below, *edges])
 
 
 __all__ = ["SERVICES", "Account", "Dump", "load_account"]

@@ -15,7 +15,16 @@ from pyspark.sql import functions as F
 from palisade.build import edge_frame, node_frame, stable_ordinal
 from palisade.sources.aws.dump import Dump
 
-Frames = tuple[list[DataFrame], list[DataFrame]]
+Part = tuple[str, DataFrame]
+Frames = tuple[list[Part], list[Part]]
+
+
+def node(df: DataFrame, kind: str, *args: str | None, **fields: str) -> Part:
+    return kind, node_frame(df, kind, *args, **fields)
+
+
+def edge(df: DataFrame, kind: str, *args: str, **fields: str) -> Part:
+    return kind, edge_frame(df, kind, *args, **fields)
 
 
 @dataclass(frozen=True)
@@ -62,12 +71,12 @@ def apigateway(d: Dump, a: Account) -> Frames:
     protocol = "coalesce(ProtocolType, 'HTTP')"
     private = "coalesce(array_contains(endpointConfiguration.types, 'PRIVATE'), false)"
     return [
-        node_frame(
+        node(
             http, "api_gateway", urn("ApiId"), a.root, stable_ordinal("ApiId"),
             lb_type=f"if({protocol} = 'HTTP', 'http', 'websocket')", lb_scheme="'internet-facing'", lb_dns_name="coalesce(ApiEndpoint, '')",
             arn="ApiId", api_gw_endpoint_type=protocol, api_gw_integration_uris="uris", api_gw_custom_domains="domains",
         ),
-        node_frame(
+        node(
             d.rest_apis, "api_gateway", urn("id"), a.root, stable_ordinal("id"),
             lb_type="'rest'", lb_scheme=f"if({private}, 'internal', 'internet-facing')",
             lb_dns_name=f"concat(id, '.execute-api.{a.region}.amazonaws.com')", arn="id",
@@ -91,16 +100,16 @@ def ecr(d: Dump, a: Account) -> Frames:
     ).drop("config")
     tagged = d.images.filter("size(imageTags) > 0").join(labels, ["repositoryName", "imageDigest"], "left")
     return [
-        node_frame(
+        node(
             d.repositories, "image_repository", repo, a.root, stable_ordinal("repositoryName"),
             repository_name="repositoryName", repository_uri="repositoryUri", arn="repositoryArn", account_id=f"'{a.id}'", region=f"'{a.region}'",
         ),
-        node_frame(
+        node(
             tagged, "image", image, repo, stable_ordinal("repositoryName", "imageDigest"),
             image_digest="imageDigest", image_tags="array_join(array_sort(imageTags), ',')", image_pushed_at="nullif(imagePushedAt, '')",
             image_size_bytes="imageSizeInBytes", oci_source="oci_source", oci_revision="oci_revision",
         ),
-    ], [edge_frame(tagged, "contains", repo, image, stable_ordinal("repositoryName", "imageDigest"))]
+    ], [edge(tagged, "contains", repo, image, stable_ordinal("repositoryName", "imageDigest"))]
 
 
 def ecs(d: Dump, a: Account) -> Frames:
@@ -117,27 +126,27 @@ def ecs(d: Dump, a: Account) -> Frames:
     runs = used.join(d.task_definitions, "taskDefinitionArn")
     last = "element_at(split({0}, '/'), -1)"
     assumes = [
-        edge_frame(
+        edge(
             named.filter(f"{field} <> ''"), "assumes", task, a.role(last.format(field)), stable_ordinal("taskDefinitionArn"), assumed_via=f"'{field}'"
         )
         for field in ("taskRoleArn", "executionRoleArn")
     ]
     order = stable_ordinal("clusterArn", "serviceName")
     return [
-        node_frame(d.clusters, "ecs_cluster", cluster, a.root, stable_ordinal("clusterArn"), ecs_cluster_name=name, arn="clusterArn"),
-        node_frame(
+        node(d.clusters, "ecs_cluster", cluster, a.root, stable_ordinal("clusterArn"), ecs_cluster_name=name, arn="clusterArn"),
+        node(
             services, "ecs_service", service, cluster, order, ecs_service_name="serviceName", ecs_task_definition="taskDefinition", arn="serviceArn",
             ecs_target_group_arns="nullif(filter(loadBalancers.targetGroupArn, x -> x is not null), array())",
         ),
-        node_frame(
+        node(
             named, "ecs_task_definition", task, None, stable_ordinal("taskDefinitionArn"), ecs_task_family="coalesce(family, 'unknown')",
             ecs_task_revision="coalesce(revision, 0)", ecs_container_images="nullif(filter(containerDefinitions.image, x -> x <> ''), array())",
             ecs_task_role_arn="taskRoleArn", ecs_execution_role_arn="executionRoleArn", arn="taskDefinitionArn",
         ),
     ], [
-        edge_frame(services, "contains", cluster, service, order),
-        edge_frame(groups, "protected_by", service, a.security_group("sg"), stable_ordinal("clusterArn", "serviceName", "sg")),
-        edge_frame(runs, "references", service, task, order),
+        edge(services, "contains", cluster, service, order),
+        edge(groups, "protected_by", service, a.security_group("sg"), stable_ordinal("clusterArn", "serviceName", "sg")),
+        edge(runs, "references", service, task, order),
         *assumes,
     ]
 
@@ -162,18 +171,18 @@ def elbv2(d: Dump, a: Account) -> Frames:
     health = "if(HealthCheckEnabled, to_json(struct(HealthCheckProtocol as protocol, HealthCheckPath as path, HealthCheckIntervalSeconds as interval)), null)"
     guards = d.load_balancers.selectExpr("LoadBalancerName", "explode(SecurityGroups) as sg")
     return [
-        node_frame(
+        node(
             lbs, "load_balancer", balancer, a.root, stable_ordinal("LoadBalancerArn"),
             lb_type="if(lower(coalesce(Type, 'application')) = 'application', 'alb', 'nlb')", lb_scheme="coalesce(Scheme, 'internal')",
             lb_dns_name="coalesce(DNSName, '')", lb_listeners="listeners", lb_state="coalesce(State.Code, 'unknown')", arn="LoadBalancerArn",
         ),
-        node_frame(
+        node(
             groups, "backend_group", pool, a.root, stable_ordinal("LoadBalancerArn", "TargetGroupArn"), bg_name="TargetGroupName", bg_port="Port",
             bg_protocol="Protocol", bg_target_type="TargetType", bg_health_check=health, bg_backend_type="'aws_target_group'", arn="TargetGroupArn",
         ),
     ], [
-        edge_frame(guards, "protected_by", balancer, a.security_group("sg"), stable_ordinal("LoadBalancerName", "sg")),
-        edge_frame(
+        edge(guards, "protected_by", balancer, a.security_group("sg"), stable_ordinal("LoadBalancerName", "sg")),
+        edge(
             groups, "routes_to", balancer, pool, stable_ordinal("LoadBalancerArn", "TargetGroupArn"),
             listener_port="nullif(listener.Port, 0)", listener_protocol="nullif(listener.Protocol, '')",
         ),
@@ -192,21 +201,21 @@ def iam(d: Dump, a: Account) -> Frames:
     users = d.users.join(keys, "UserName", "left").join(mfa, "UserName", "left")
     local = a.unregional("iam", "'policy/'", "PolicyName")
     return [
-        node_frame(
+        node(
             d.roles, "iam_role", a.role("RoleName"), a.root, stable_ordinal("RoleName"), role_name="RoleName",
             iam_trust_policy="try_parse_json(AssumeRolePolicyDocument)", arn="Arn",
         ),
-        node_frame(
+        node(
             users, "iam_user", user, a.root, stable_ordinal("UserName"), iam_user_name="UserName", iam_access_keys="keys",
             iam_mfa_enabled="coalesce(mfa, false)", iam_last_activity="nullif(PasswordLastUsed, '')", arn="Arn",
         ),
-        node_frame(
+        node(
             d.policies, "iam_policy", local, a.root, stable_ordinal("PolicyName"), iam_policy_name="PolicyName", iam_policy_arn="Arn",
             iam_policy_document="try_parse_json(Document)",
         ),
     ], [
-        edge_frame(d.role_policies, "attaches", attached, a.role("RoleName"), stable_ordinal("RoleName", "PolicyName"), privilege="'attached'"),
-        edge_frame(d.user_policies, "attaches", attached, user, stable_ordinal("UserName", "PolicyName"), privilege="'attached'"),
+        edge(d.role_policies, "attaches", attached, a.role("RoleName"), stable_ordinal("RoleName", "PolicyName"), privilege="'attached'"),
+        edge(d.user_policies, "attaches", attached, user, stable_ordinal("UserName", "PolicyName"), privilege="'attached'"),
     ]
 
 
@@ -215,12 +224,12 @@ def rds(d: Dump, a: Account) -> Frames:
     urn = a.regional("rds", "'db:'", "DBInstanceIdentifier")
     guards = d.db_instances.selectExpr("DBInstanceIdentifier", "explode(VpcSecurityGroups.VpcSecurityGroupId) as sg").filter("sg <> ''")
     return [
-        node_frame(
+        node(
             d.db_instances, "rds_instance", urn, a.root, stable_ordinal("DBInstanceIdentifier"), rds_instance_id="DBInstanceIdentifier",
             rds_engine="Engine", rds_endpoint="Endpoint.Address", rds_port="Endpoint.Port", rds_publicly_accessible="PubliclyAccessible",
             rds_encryption_enabled="StorageEncrypted", rds_multi_az="MultiAZ", arn="DBInstanceArn",
         )
-    ], [edge_frame(guards, "protected_by", urn, a.security_group("sg"), stable_ordinal("DBInstanceIdentifier", "sg"))]
+    ], [edge(guards, "protected_by", urn, a.security_group("sg"), stable_ordinal("DBInstanceIdentifier", "sg"))]
 
 
 def route53(d: Dump, a: Account) -> Frames:
@@ -233,7 +242,7 @@ def route53(d: Dump, a: Account) -> Frames:
     name = "rtrim('.', coalesce(Name, ''))"
     values = "case when ResourceRecords is not null then ResourceRecords.Value when AliasTarget is not null then array(rtrim('.', AliasTarget.DNSName)) else array() end"
     return [
-        node_frame(
+        node(
             records, "dns_record", f"concat('urn:arn:aws:route53:::hostedzone/', zone_id, '/recordset/', {name}, '/', Type)", a.root,
             stable_ordinal("zone_id", "Name", "Type"), dns_record_name=name, dns_record_type="Type", dns_zone_name="zone_name",
             dns_zone_private="private", dns_zone_id="zone_id", dns_ttl="TTL", dns_values=values,
@@ -245,7 +254,7 @@ def s3(d: Dump, a: Account) -> Frames:
     """S7h: buckets of this region; an empty location means us-east-1."""
     here = d.buckets.filter(F.coalesce(F.nullif("LocationConstraint", F.lit("")), F.lit("us-east-1")) == a.region)
     return [
-        node_frame(
+        node(
             here, "s3_bucket", "concat('urn:arn:aws:s3:::', Name)", a.root, stable_ordinal("Name"), bucket_name="Name",
             arn="concat('arn:aws:s3:::', Name)", account_id=f"'{a.id}'", region=f"'{a.region}'",
         )
@@ -265,22 +274,22 @@ def sso(d: Dump, a: Account) -> Frames:
     granted = d.account_assignments.join(d.permission_sets.select("PermissionSetArn"), "PermissionSetArn", "left_semi")
     people = granted.filter("PrincipalType = 'USER'").withColumnRenamed("PrincipalId", "UserId").join(users, "UserId", "left_semi")
     teams = granted.filter("PrincipalType = 'GROUP'").withColumnRenamed("PrincipalId", "GroupId").join(groups, "GroupId", "left_semi")
-    assigned = lambda df, who, key: edge_frame(
+    assigned = lambda df, who, key: edge(
         df, "sso:assigned_to", who, pset, stable_ordinal("PermissionSetArn", "AccountId", key), account="AccountId", account_id="AccountId"
     )
     return [
-        node_frame(d.sso_groups, "sso_group", group, a.root, stable_ordinal("GroupId"), sso_group_id="GroupId", sso_group_name="coalesce(DisplayName, GroupId)"),
-        node_frame(
+        node(d.sso_groups, "sso_group", group, a.root, stable_ordinal("GroupId"), sso_group_id="GroupId", sso_group_name="coalesce(DisplayName, GroupId)"),
+        node(
             d.sso_users, "sso_user", user, a.root, stable_ordinal("UserId"), sso_user_id="UserId", sso_user_name="coalesce(UserName, UserId)",
             sso_user_email=email, sso_user_external_id="get(ExternalIds, 0).Id",
         ),
-        node_frame(
+        node(
             d.permission_sets, "aws:permission_set", pset, a.root, stable_ordinal("PermissionSetArn"),
             permission_set_name="coalesce(Name, element_at(split(PermissionSetArn, '/'), -1))", permission_set_arn="PermissionSetArn",
             permission_set_instance_arn="InstanceArn", permission_set_description="Description", permission_set_session_duration="SessionDuration",
         ),
     ], [
-        edge_frame(members, "member_of", user, group, stable_ordinal("GroupId", "UserId")),
+        edge(members, "member_of", user, group, stable_ordinal("GroupId", "UserId")),
         assigned(people, user, "UserId"),
         assigned(teams, group, "GroupId"),
     ]
@@ -308,19 +317,19 @@ def vpc(d: Dump, a: Account) -> Frames:
     span = "case when low is null and high is null then 'all' when low <=> high then cast(low as string) else concat(coalesce(cast(low as string), 'None'), '-', coalesce(cast(high as string), 'None')) end"
     entries = "transform(Entries, e -> struct(e.RuleNumber as rule_number, e.Protocol as protocol, e.RuleAction as rule_action, e.Egress as egress, e.CidrBlock as cidr))"
     return [
-        node_frame(d.vpcs, "vpc", net("VpcId"), a.root, stable_ordinal("VpcId"), vpc_id="VpcId", vpc_cidr="CidrBlock"),
-        node_frame(
+        node(d.vpcs, "vpc", net("VpcId"), a.root, stable_ordinal("VpcId"), vpc_id="VpcId", vpc_cidr="CidrBlock"),
+        node(
             d.security_groups, "security_group", sg, net(home), stable_ordinal("GroupId"), sg_id="GroupId", sg_name="GroupName",
             sg_rules_ingress=_rules("IpPermissions"), sg_rules_egress=_rules("IpPermissionsEgress"), vpc_id=home,
         ),
-        node_frame(d.network_acls, "nacl", acl, net(home), stable_ordinal("NetworkAclId"), nacl_id="NetworkAclId", nacl_rules=entries, vpc_id=home),
+        node(d.network_acls, "nacl", acl, net(home), stable_ordinal("NetworkAclId"), nacl_id="NetworkAclId", nacl_rules=entries, vpc_id=home),
     ], [
-        edge_frame(d.security_groups, "contains", net(home), sg, stable_ordinal("GroupId")),
-        edge_frame(
+        edge(d.security_groups, "contains", net(home), sg, stable_ordinal("GroupId")),
+        edge(
             refs, "allows_traffic_to", a.security_group("source"), sg, stable_ordinal("GroupId", "source", "proto", "low", "high"),
             sg_rule_protocol="coalesce(proto, '-1')", sg_rule_port_range=span, sg_rule_direction="'ingress'",
         ),
-        edge_frame(d.network_acls, "contains", net(home), acl, stable_ordinal("NetworkAclId")),
+        edge(d.network_acls, "contains", net(home), acl, stable_ordinal("NetworkAclId")),
     ]
 
 

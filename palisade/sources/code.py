@@ -40,6 +40,7 @@ FASTAPI_SCHEME = (
 FRAMEWORKS = "sqlalchemy boto3 flask requests fastapi".split()
 FASTAPI_DEPENDS = r"Depends\s*\(\s*(\w+)"
 FASTAPI_ROUTER_DEPENDS = r"(\w+)\s*=\s*APIRouter\s*\([^)]*dependencies\s*=\s*\[([^\]]*)\]"
+ROUTER_PATTERNS = {"routers": FASTAPI_ROUTER, "includes": FASTAPI_INCLUDE, "schemes": FASTAPI_SCHEME, "router_depends": FASTAPI_ROUTER_DEPENDS}
 
 
 def language_of(path: Column) -> Column:
@@ -75,8 +76,12 @@ def repo_parts(url: Column) -> list[Column]:
     return [F.lower(F.coalesce(F.nullif(host, F.lit("")), F.lit("unknown"))).alias("host"), clean.alias("path")]
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """Parse every file once, in Arrow batches; the facts are kept as a table for the joins."""
+def extract_facts(files: DataFrame, spread: int | None = None) -> DataFrame:
+    """Parse every file once, in Arrow batches; the facts are kept as a table for the joins.
+
+    ``spread`` redistributes the files over that many tasks first; use it when
+    they come in few splits, as parsing costs far more than reading.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.strip().split(" ")[0] for c in FACT_SCHEMA.split(", ")]
@@ -90,6 +95,8 @@ def extract_facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=columns)
 
     parsed = files.filter("language is not null").select("file_path", "language", "source")
+    if spread:
+        parsed = parsed.repartition(spread, "file_path")
     return stash(parsed.mapInPandas(parse, FACT_SCHEMA), "facts")
 
 
@@ -100,14 +107,14 @@ class CodeScan:
     ``root`` its name, the first path segment and the package prefix of imports.
     """
 
-    def __init__(self, files: DataFrame, base: str, root: str):
-        self.base, self.root = base, root
+    def __init__(self, files: DataFrame, base: str, root: str, spread: int | None = None):
+        self.base, self.root, self.spread = base, root, spread
         self.urn = f"{base}:{root}"
         self.files = files
 
     @cached_property
     def facts(self) -> DataFrame:
-        return extract_facts(self.files)
+        return extract_facts(self.files, self.spread)
 
     def _fact(self, kind: str) -> DataFrame:
         return self.facts.filter(F.col("fact") == kind)
@@ -131,9 +138,17 @@ class CodeScan:
 
     @cached_property
     def gates(self) -> DataFrame:
-        """which frameworks each file imports; flags instead of texts travel to the definitions."""
+        """F15/F19 per Python file, in one pass over the texts: frameworks imported and router patterns.
+
+        Flags and short match lists travel on, never the texts.
+        """
         flags = [source_text.imports(F.col("source"), lib).alias(f"uses_{lib}") for lib in FRAMEWORKS]
-        return self.files.filter("language = 'python'").select("file_path", *flags)
+        pairs = [
+            F.arrays_zip(*[F.regexp_extract_all("source", F.lit(p), F.lit(i)).alias(k) for i, k in ((1, "a"), (2, "b"))]).alias(name)
+            for name, p in ROUTER_PATTERNS.items()
+        ]
+        modules = top_level_imports(F.col("source")).alias("modules")
+        return stash(self.files.filter("language = 'python'").select("file_path", *flags, *pairs, modules), "gates")
 
     def nodes(self) -> DataFrame:
         count = self.files.filter("language is not null").agg(F.count("*").alias("n"))
@@ -178,7 +193,7 @@ class CodeScan:
     def class_tags(self) -> DataFrame:
         """F13/F14 on classes: mapped table and object-store client, gated by the file's imports."""
         text = F.col("text")
-        classes = self.definitions().filter("fact = 'class'").join(self.gates, "file_path", "left")
+        classes = self.definitions().filter("fact = 'class'").join(self.gates.select("file_path", *[f"uses_{lib}" for lib in FRAMEWORKS]), "file_path", "left")
         tagged = classes.withColumns({
             "orm_table": F.when(F.col("uses_sqlalchemy"), source_text.orm_table(text)),
             "s3_client": F.when(F.col("uses_boto3") & source_text.uses_s3_client(text), F.lit(True)),
@@ -189,7 +204,7 @@ class CodeScan:
     def function_tags(self) -> DataFrame:
         """F13-F18 on functions; web frameworks override the standard-library tag."""
         text, full = F.col("text"), F.col("full")
-        functions = self.definitions().filter("fact = 'function'").join(self.gates, "file_path", "left")
+        functions = self.definitions().filter("fact = 'function'").join(self.gates.select("file_path", *[f"uses_{lib}" for lib in FRAMEWORKS]), "file_path", "left")
         functions = functions.withColumn("full", F.concat(decorators(F.col("above")), text))
         routed = F.col("uses_fastapi") & full.rlike(FASTAPI_ROUTE)
         group = lambda i: F.when(routed, F.regexp_extract(full, FASTAPI_ROUTE, i))
@@ -215,22 +230,20 @@ class CodeScan:
         })
         return stash(self._orm_models(self._fastapi_paths(tagged)), "tags")
 
-    def _matches(self, pattern: str) -> DataFrame:
-        """``(file_path, pos, a, b)``: both groups of every match in every file."""
-        first, second = (F.regexp_extract_all("source", F.lit(pattern), F.lit(i)) for i in (1, 2))
-        python = self.files.filter("language = 'python'")
-        return python.select("file_path", F.posexplode(F.arrays_zip(first.alias("a"), second.alias("b"))).alias("pos", "m")).select("file_path", "pos", "m.a", "m.b")
+    def _matches(self, name: str) -> DataFrame:
+        """``(file_path, pos, a, b)``: both groups of every match of a router pattern."""
+        return self.gates.select("file_path", F.posexplode(name).alias("pos", "m")).select("file_path", "pos", "m.a", "m.b")
 
     def _fastapi_paths(self, functions: DataFrame) -> DataFrame:
         """full route paths from router and include prefixes, and the auth scheme in force."""
         order = F.struct("file_path", "pos")
-        prefixes = self._matches(FASTAPI_ROUTER).groupBy("file_path", F.col("a").alias("router_variable")).agg(F.max_by("b", "pos").alias("router_prefix"))
+        prefixes = self._matches("routers").groupBy("file_path", F.col("a").alias("router_variable")).agg(F.max_by("b", "pos").alias("router_prefix"))
         included = (
-            self._matches(FASTAPI_INCLUDE).withColumnRenamed("a", "name").join(self.imports().select("file_path", "name", "source_file"), ["file_path", "name"])
+            self._matches("includes").withColumnRenamed("a", "name").join(self.imports().select("file_path", "name", "source_file"), ["file_path", "name"])
             .filter("source_file is not null").groupBy(F.col("source_file").alias("file_path")).agg(F.max_by("b", order).alias("include_prefix"))
         )
-        schemes = self._matches(FASTAPI_SCHEME).groupBy(F.col("a").alias("var")).agg(F.max_by("b", order).alias("scheme"))
-        router_deps = self._matches(FASTAPI_ROUTER_DEPENDS).select(
+        schemes = self._matches("schemes").groupBy(F.col("a").alias("var")).agg(F.max_by("b", order).alias("scheme"))
+        router_deps = self._matches("router_depends").select(
             "file_path", F.col("a").alias("router_variable"), "pos", F.posexplode(F.regexp_extract_all("b", F.lit(FASTAPI_DEPENDS), F.lit(1))).alias("dep", "var")
         )
         router_auth = router_deps.join(schemes, "var").groupBy("file_path", "router_variable").agg(F.max_by("scheme", F.struct("pos", "dep")).alias("router_auth"))

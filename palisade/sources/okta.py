@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.build import edge_frame, node_frame, stable_ordinal
-from palisade.model import Graph, union_all
+from palisade.build import stable_ordinal
+from palisade.model import PartGraph
+from palisade.sources.aws.services import edge, node
 
 # --- fixed values: the response fields the loader reads, per resource ---------
 SCHEMAS = {
@@ -23,7 +24,7 @@ def read_extract(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).json(f"{folder}/{name}.json") for name, schema in SCHEMAS.items()}
 
 
-def load_directory(frames: dict[str, DataFrame], domain: str) -> Graph:
+def load_directory(frames: dict[str, DataFrame], domain: str) -> PartGraph:
     """People, groups and applications with their links; unknown ends drop out."""
     urn = lambda kind, key: f"concat('urn:okta:idp:{domain}::{kind}/', {key})"
     full = "nullif(trim(concat(coalesce(profile.firstName, ''), ' ', coalesce(profile.lastName, ''))), '')"
@@ -33,21 +34,21 @@ def load_directory(frames: dict[str, DataFrame], domain: str) -> Graph:
         "user_id": users.selectExpr("id as user_id"), "group_id": groups.selectExpr("id as group_id"), "app_id": apps.selectExpr("id as app_id"),
     }
 
-    def links(name: str, kind: str, src: tuple[str, str], dst: tuple[str, str]) -> DataFrame:
+    def links(name: str, kind: str, src: tuple[str, str], dst: tuple[str, str]) -> tuple[str, DataFrame]:
         rows = frames[name]
         if "source_group_id" in rows.columns:
             rows = rows.withColumnRenamed("source_group_id", "group_id")
         for _, key in (src, dst):
             rows = rows.join(known[key], key, "left_semi")
-        return edge_frame(rows, kind, urn(*src), urn(*dst), stable_ordinal(src[1], dst[1]))
+        return edge(rows, kind, urn(*src), urn(*dst), stable_ordinal(src[1], dst[1]))
 
     nodes = [
-        node_frame(
+        node(
             users, "person", urn("user", "id"), None, stable_ordinal("id"), person_okta_id="id", person_email="profile.email",
             person_login="profile.login", person_status="status", person_display_name=full,
         ),
-        node_frame(groups, "group", urn("group", "id"), None, stable_ordinal("id"), group_okta_id="id", group_name="profile.name", group_description="profile.description"),
-        node_frame(
+        node(groups, "group", urn("group", "id"), None, stable_ordinal("id"), group_okta_id="id", group_name="profile.name", group_description="profile.description"),
+        node(
             apps, "application", urn("app", "id"), None, stable_ordinal("id"), app_okta_id="id", app_name="name", app_label="label",
             app_sign_on_mode="signOnMode", app_status="status",
         ),
@@ -59,4 +60,4 @@ def load_directory(frames: dict[str, DataFrame], domain: str) -> Graph:
         links("app_groups", "okta:assigned_to", group, app),
         links("app_group_push", "okta:pushes_to", group, app),
     ]
-    return Graph(union_all(nodes), union_all(edges))
+    return PartGraph(nodes, edges)
