@@ -36,9 +36,13 @@ def orient(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
 
 
 def adjacency(graph: Graph, types: list[str] | None, direction: str) -> DataFrame:
-    """Distinct oriented pairs of the followed types; self-loops lead nowhere new."""
+    """Oriented pairs of the followed types; self-loops lead nowhere new.
+
+    Repeated pairs are left in: every round deduplicates what it finds, which is
+    cheaper than a shuffle of all edges up front.
+    """
     edges = graph.edges if types is None else graph.edges_of(*types)
-    return orient(edges, direction).filter("src <> dst").distinct()
+    return orient(edges, direction).filter("src <> dst")
 
 
 def _seed(spark: SparkSession, start: str | DataFrame) -> DataFrame:

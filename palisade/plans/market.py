@@ -195,9 +195,10 @@ class MarketEdges:
         return getattr(self, kind)()
 
     def contains(self) -> list[DataFrame]:
-        children = [
-            self.nodes.of(k).select("urn", "parent_urn", "ord") for k in "file function class table column".split()
-        ]
+        # a class's parent needs no look at the parts its other fields come from
+        classes = node_frame(self.t.supplier, "class", 4, supplier_urn("s_suppkey"), nation_urn("s_nationkey"), "s_suppkey", class_name="s_name")
+        frames = [self.nodes.of(k) for k in "file function table column".split()]
+        children = [f.select("urn", "parent_urn", "ord") for f in [*frames, classes]]
         return [edge_frame(c, "contains", 0, "parent_urn", "urn", "ord") for c in children]
 
     def calls(self) -> list[DataFrame]:

@@ -335,10 +335,14 @@ def _(t):
 
 
 @query("a8_index_columns", """
-SELECT o_orderstatus AS table_schema, o_orderpriority AS table_name, o_custkey AS index_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS columns FROM orders GROUP BY ALL""")
+SELECT o_orderstatus AS table_name, o_orderkey AS index_name, o_orderpriority || ',' || o_custkey || ',' || o_orderstatus AS columns FROM orders""")
 def _(t):
-    rows = t.orders.selectExpr("o_orderstatus as table_schema", "o_orderpriority as table_name", "o_custkey as index_name", "cast(o_orderkey as string) as column_name", "o_orderkey as seq_in_index")
-    return catalog.index_columns(rows, ["table_schema", "table_name", "index_name"]).withColumn("columns", F.array_join("columns", ","))
+    """One three-column index per order, its rows listed in reverse."""
+    rows = t.orders.selectExpr(
+        "o_orderstatus as table_name", "o_orderkey as index_name",
+        "inline(array(struct(o_orderstatus as column_name, 3 as seq_in_index), struct(cast(o_custkey as string) as column_name, 2 as seq_in_index), struct(o_orderpriority as column_name, 1 as seq_in_index)))",
+    )
+    return catalog.index_columns(rows, ["table_name", "index_name"]).withColumn("columns", F.array_join("columns", ","))
 
 
 @query("f26_postgres_indexes", """
