@@ -20,13 +20,8 @@ def command_words(instruction: Column) -> Column:
     return F.when(F.size(exec_form) > 0, exec_form).otherwise(shell_form)
 
 
-def target_file(instruction: Column) -> Column:
-    """file a container command runs; NULL when it names none or uses a variable."""
-    words = F.filter(
-        command_words(instruction),
-        lambda w: ~w.startswith("-") & ~F.substring_index(w, "/", -1).isin(RUNNERS),
-    )
-    arg = F.get(words, F.lit(0))
+def _program_path(arg: Column) -> Column:
+    """Path of a program argument; ``app.main:app`` names a module, variables name nothing."""
     module = F.substring_index(arg, ":", 1)
     is_module = arg.contains(":") & ~arg.startswith("/") & ~module.contains("/")
     path = F.when(is_module, F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py"))).otherwise(arg)
@@ -34,27 +29,42 @@ def target_file(instruction: Column) -> Column:
     return F.when(~unusable, path)
 
 
+def target_file(instruction: Column) -> Column:
+    """file a container command runs; NULL when it names none or uses a variable.
+
+    The first remaining word is mapped inside the array, so its expression is
+    stated once however often the path rule mentions it.
+    """
+    words = F.filter(
+        command_words(instruction),
+        lambda w: ~w.startswith("-") & ~F.substring_index(w, "/", -1).isin(RUNNERS),
+    )
+    return F.get(F.transform(F.slice(words, 1, 1), _program_path), F.lit(0))
+
+
 def _strip_slashes(c: Column) -> Column:
     return F.regexp_replace(c, r"^/+|/+$", "")
 
 
 def repo_path(file_arg: Column, workdir: Column, copy_targets: Column) -> Column:
     """F8: container path to repository path.  ``copy_targets`` is an array of destinations."""
-    path = F.regexp_replace(file_arg, r"^/+", "")
-    wd = _strip_slashes(workdir)
-    dests = F.filter(
-        F.transform(F.coalesce(copy_targets, F.array().cast("array<string>")), _strip_slashes),
-        lambda d: (d != "") & path.startswith(F.concat(d, F.lit("/"))),
-    )
-    below = lambda base: path.substr(F.length(base) + 2, F.length(path))
-    has_wd = F.coalesce(workdir != "", F.lit(False))
-    return (
-        F.when(~file_arg.startswith("/"), path)
-        .when(has_wd & path.startswith(F.concat(wd, F.lit("/"))), below(wd))
-        .when(has_wd & (path == wd), F.lit(""))
-        .when(F.size(dests) > 0, below(F.get(dests, F.lit(0))))
-        .otherwise(path)
-    )
+    dests = F.transform(F.coalesce(copy_targets, F.array().cast("array<string>")), _strip_slashes)
+
+    def rule(arg: Column) -> Column:
+        path = F.regexp_replace(arg, r"^/+", "")
+        wd = _strip_slashes(workdir)
+        holding = F.filter(dests, lambda d: (d != "") & path.startswith(F.concat(d, F.lit("/"))))
+        below = lambda base: path.substr(F.length(base) + 2, F.length(path))
+        has_wd = F.coalesce(workdir != "", F.lit(False))
+        return (
+            F.when(~arg.startswith("/"), path)
+            .when(has_wd & path.startswith(F.concat(wd, F.lit("/"))), below(wd))
+            .when(has_wd & (path == wd), F.lit(""))
+            .when(F.size(holding) > 0, below(F.get(holding, F.lit(0))))
+            .otherwise(path)
+        )
+
+    return F.get(F.transform(F.array(file_arg), rule), F.lit(0))
 
 
 def base_images(content: Column) -> Column:

@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from palisade.model import Graph, legal_edges
 
 
-def _rule_frame(graph: Graph, side: int) -> DataFrame:
-    rows = [(kind, sorted(ways[side])) for kind, ways in legal_edges().items()]
-    return graph.spark.createDataFrame(rows, "node_type string, allowed array<string>")
+def _rule_frame(graph: Graph) -> DataFrame:
+    rows = [
+        (side, kind, sorted(ways[i])) for kind, ways in legal_edges().items() for i, side in enumerate(("outgoing", "incoming"))
+    ]
+    return graph.spark.createDataFrame(rows, "side string, node_type string, allowed array<string>")
 
 
 def violations(graph: Graph) -> DataFrame:
     """0-2 rows per edge; ends without a rule set (bare or dangling nodes) are skipped."""
     kinds = graph.nodes.select("urn", "node_type")
-    edges = graph.edges.select("uuid", "from_urn", "to_urn", "edge_type")
-    reports = []
-    for side, end in ((0, "from_urn"), (1, "to_urn")):
-        checked = (
-            edges.join(kinds.withColumnRenamed("urn", end), end)
-            .join(F.broadcast(_rule_frame(graph, side)), "node_type")  # a fixed rule table of 35 rows
-            .filter(~F.array_contains("allowed", F.col("edge_type")))
-        )
-        word = ("outgoing", "incoming")[side]
-        reports.append(checked.select("uuid", "edge_type", "from_urn", "to_urn", F.lit(word).alias("side"), "node_type"))
-    return reports[0].unionByName(reports[1])
+    sides = F.array(
+        F.struct(F.lit("outgoing").alias("side"), F.col("from_urn").alias("urn")),
+        F.struct(F.lit("incoming").alias("side"), F.col("to_urn").alias("urn")),
+    )
+    ends = graph.edges.select("uuid", "edge_type", "from_urn", "to_urn", F.inline(sides))
+    rules = _rule_frame(graph)
+    return (
+        ends.join(kinds, "urn")
+        .join(F.broadcast(rules), ["side", "node_type"])  # a fixed rule table of two rows per node type
+        .filter(~F.array_contains("allowed", F.col("edge_type")))
+        .select("uuid", "edge_type", "from_urn", "to_urn", "side", "node_type")
+    )

@@ -81,15 +81,20 @@ def get_neighbors(graph: Graph, urn: str, direction: str = "both", edge_type: st
     A self-loop shows up once per direction.  The other end may be dangling:
     then its type is ``unknown`` and its label the URN's tail.
     """
-    edges = graph.edges_of(edge_type) if edge_type else graph.edges
-    sides = []
-    if direction in ("outgoing", "both"):
-        sides.append(edges.filter(F.col("from_urn") == urn).select(F.lit("out").alias("way"), "edge_type", F.col("to_urn").alias("urn"), "ord"))
-    if direction in ("incoming", "both"):
-        sides.append(edges.filter(F.col("to_urn") == urn).select(F.lit("in").alias("way"), "edge_type", F.col("from_urn").alias("urn"), "ord"))
-    if not sides:
+    if direction not in ("outgoing", "incoming", "both"):
         raise ValueError(f"direction must be outgoing, incoming or both, not {direction!r}")
-    found = reduce(DataFrame.unionByName, sides)
+    edges = graph.edges_of(edge_type) if edge_type else graph.edges
+    leaves = (F.col("from_urn") == urn) & F.lit(direction != "incoming")
+    enters = (F.col("to_urn") == urn) & F.lit(direction != "outgoing")
+    views = F.filter(
+        F.array(
+            F.struct(leaves.alias("hit"), F.lit("out").alias("way"), F.col("to_urn").alias("urn")),
+            F.struct(enters.alias("hit"), F.lit("in").alias("way"), F.col("from_urn").alias("urn")),
+        ),
+        lambda v: v["hit"],
+    )
+    # one pass over the edges serves both directions
+    found = edges.filter(leaves | enters).select("edge_type", "ord", F.inline(views)).drop("hit")
     return _name_ends(found, graph).select("way", "edge_type", "urn", "node_type", "label")
 
 

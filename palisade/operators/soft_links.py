@@ -9,6 +9,7 @@ from palisade.functions import ids, meta
 from palisade.functions.scalars import CONFIDENCE_LEVELS, confidence_score
 from palisade.model import DEFAULT_ORG, SOFT_LINK_SCHEMA, Graph, union_all
 from palisade.operators.search import labelled
+from palisade.session import stash
 
 # --- fixed values: edge types a user may create -------------------------------
 LINK_TYPES = "builds reads writes references models calls depends_on contains soft_reference".split()
@@ -22,7 +23,7 @@ def check_links(graph: Graph, requests: DataFrame) -> DataFrame:
     ``requests`` has ``from_urn, to_urn, edge_type, confidence_level, note, created_at``.
     Checks in order: endpoints exist, type and confidence known, not a duplicate.
     """
-    known = graph.vertices()
+    known = known_urns(graph, requests)
     old = (graph.soft_links if graph.soft_links is not None else graph.spark.createDataFrame([], SOFT_LINK_SCHEMA)).select(
         "from_urn", "to_urn", "edge_type", F.col("id").alias("_dup")
     )
@@ -47,6 +48,17 @@ def check_links(graph: Graph, requests: DataFrame) -> DataFrame:
     return req.withColumn("error", error).drop("_from", "_to", "_dup")
 
 
+def known_urns(graph: Graph, links: DataFrame) -> DataFrame:
+    """Endpoints of ``links`` that are vertices of the graph.
+
+    Only the asked-for URNs are looked up: the graph's own URNs are the right
+    side of a semi-join and need no deduplication.
+    """
+    asked = links.select(F.explode(F.array("from_urn", "to_urn")).alias("urn")).distinct()
+    present = graph.nodes.select("urn").unionAll(graph.edges.select(F.explode(F.array("from_urn", "to_urn")).alias("urn")))
+    return stash(asked.join(present, "urn", "left_semi"), "known")
+
+
 def accept_links(checked: DataFrame) -> DataFrame:
     """M3: acceptable requests as soft links; equal requests in one batch collapse.
 
@@ -66,8 +78,8 @@ def accept_links(checked: DataFrame) -> DataFrame:
 
 
 def add_soft_links(graph: Graph, requests: DataFrame) -> Graph:
-    """M3: the graph with all acceptable requests added."""
-    links = accept_links(check_links(graph, requests))
+    """M3: the graph with all acceptable requests added; the accepted links are written once."""
+    links = stash(accept_links(check_links(graph, requests)), "links")
     old = graph.soft_links
     return Graph(graph.nodes, graph.edges, links if old is None else old.unionByName(links))
 
@@ -95,7 +107,7 @@ def remove_soft_links(graph: Graph, ids_frame: DataFrame) -> Graph:
 
 def link_edges(graph: Graph, compat: bool = False) -> DataFrame:
     """Edges the soft links stand for; links with an unknown endpoint are skipped."""
-    known = graph.vertices()
+    known = known_urns(graph, graph.soft_links)
     valid = graph.soft_links.join(known.select(F.col("urn").alias("from_urn")), "from_urn", "left_semi").join(
         known.select(F.col("urn").alias("to_urn")), "to_urn", "left_semi"
     )

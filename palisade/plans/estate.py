@@ -300,8 +300,8 @@ def directory(t: Tables) -> dict[str, DataFrame]:
         "apps": langs.selectExpr("concat('app-', lang) as id", "lang as name", "upper(lang) as label", "'SAML_2_0' as signOnMode", "'ACTIVE' as status"),
         "group_users": pairs.selectExpr("concat('grp-', event_type) as group_id", f"{ident} as user_id"),
         "app_users": t.documents.selectExpr("concat('app-', lang) as app_id", "concat('okta', doc_id) as user_id"),
-        "app_groups": t.events.select("event_type").distinct().selectExpr("'app-en' as app_id", "concat('grp-', event_type) as group_id"),
-        "app_group_push": t.events.select("event_type").distinct().selectExpr("'app-de' as app_id", "concat('grp-', event_type) as source_group_id"),
+        "app_groups": t.events.select("event_type").distinct().selectExpr("if(event_type in ('view', 'click'), 'app-en', 'app-fr') as app_id", "concat('grp-', event_type) as group_id"),
+        "app_group_push": t.events.select("event_type").distinct().selectExpr("if(event_type = 'view', 'app-none', 'app-de') as app_id", "concat('grp-', event_type) as source_group_id"),
     }
 
 

@@ -188,8 +188,8 @@ _OURN = "'urn:okta:idp:example.okta.com::"
 @query("s8_okta_edges", _OKTA + f"""
 SELECT DISTINCT {_OURN}user/' || id AS from_urn, {_OURN}group/grp-' || event_type AS to_urn, 'okta:part_of' AS edge_type FROM events JOIN people USING (user_id)
 UNION ALL SELECT {_OURN}user/okta' || doc_id, {_OURN}app/app-' || lang, 'okta:assigned_to' FROM documents WHERE 'okta' || doc_id IN (SELECT id FROM people)
-UNION ALL SELECT DISTINCT {_OURN}group/grp-' || event_type, {_OURN}app/app-en', 'okta:assigned_to' FROM events
-UNION ALL SELECT DISTINCT {_OURN}group/grp-' || event_type, {_OURN}app/app-de', 'okta:pushes_to' FROM events""", build=estate.okta_graph)
+UNION ALL SELECT DISTINCT {_OURN}group/grp-' || event_type, {_OURN}app/app-' || CASE WHEN event_type IN ('view', 'click') THEN 'en' ELSE 'fr' END, 'okta:assigned_to' FROM events
+UNION ALL SELECT DISTINCT {_OURN}group/grp-' || event_type, {_OURN}app/app-de', 'okta:pushes_to' FROM events WHERE event_type <> 'view'""", build=estate.okta_graph)
 def _(g):
     return _edges(g.edges)
 

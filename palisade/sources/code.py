@@ -344,7 +344,7 @@ class CodeScan:
         external = F.col("imported") & F.col("source_file").isNull()
         target = F.when(~F.coalesce(external, F.lit(False)), F.coalesce("far_fn", "far_cls", F.when(others > 0, F.col("near_fn")), "near_cls"))
         local = resolved.withColumn("target", target).filter("target is not null").select("urn", "ord", "callee", "target")
-        links = local.unionByName(qualified.select("urn", "ord", "callee", "target")).distinct()
+        links = stash(local.unionByName(qualified.select("urn", "ord", "callee", "target")).distinct(), "calls")
         makes = "(substr(callee, 1, 1) = upper(substr(callee, 1, 1)) and substr(callee, 1, 1) rlike '[A-Za-z]')"
         kind = lambda cond, edge, text: edge_frame(links.filter(cond), edge, "urn", "target", "ord", call_type=f"'{text}'")
         return union_all([kind(f"not {makes}", "calls", "function_call"), kind(makes, "instantiates", "class_instantiation")])
