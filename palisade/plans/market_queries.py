@@ -222,8 +222,9 @@ def _(g):
 _COMPONENTS = """
 , links AS (SELECT from_urn AS a, to_urn AS b FROM edges WHERE edge_type IN ('calls', 'instantiates')
             UNION SELECT to_urn, from_urn FROM edges WHERE edge_type IN ('calls', 'instantiates'))
-, walk AS (SELECT DISTINCT a AS urn, a AS seen FROM links UNION SELECT walk.urn, links.b FROM walk JOIN links ON links.a = walk.seen)
-, component AS (SELECT urn, min(seen) AS component FROM walk GROUP BY urn)
+, component(urn, component) USING KEY (urn) AS (SELECT DISTINCT a, a FROM links UNION (
+    SELECT DISTINCT ON (u.urn) u.urn, v.component FROM recurring.component u JOIN links e ON e.a = u.urn JOIN component v ON v.urn = e.b
+    WHERE v.component < u.component ORDER BY u.urn, v.component))
 """
 
 
@@ -374,8 +375,8 @@ _PATHS = """
 
 
 @query("g4_shortest_path", _PATHS + """
-, bfs AS (SELECT 'urn:tpch:geo:::region/3' AS urn, 0 AS depth UNION SELECT link.b, depth + 1 FROM bfs JOIN link ON link.a = bfs.urn WHERE depth < 6)
-, dist AS (SELECT urn, min(depth) AS depth FROM bfs GROUP BY urn)
+, dist(urn, depth) USING KEY (urn) AS (SELECT 'urn:tpch:geo:::region/3', 0 UNION (SELECT DISTINCT link.b, d.depth + 1 FROM dist d JOIN link ON link.a = d.urn
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.dist r WHERE r.urn = link.b)))
 , walk AS (SELECT urn, depth, 0 AS step FROM dist WHERE urn = 'urn:tpch:party:::customer/7'
   UNION ALL SELECT urn, depth, step FROM (SELECT n.urn, n.depth, w.step + 1 AS step, row_number() OVER (ORDER BY n.urn) AS rn
     FROM walk w JOIN link ON link.a = w.urn JOIN dist n ON n.urn = link.b AND n.depth = w.depth - 1) WHERE rn = 1)
@@ -412,8 +413,8 @@ LINKED = rules.Rule("brand_near_region", "schema", {"schema_name": True}, dest_n
 
 
 @query("g9_h6_linked_rule", _PATHS + """
-, bfs AS (SELECT urn AS dest, urn, 0 AS depth FROM nodes WHERE node_type = 'codebase' UNION SELECT dest, link.b, depth + 1 FROM bfs JOIN link ON link.a = bfs.urn WHERE depth < 5)
-, dist AS (SELECT dest, urn, min(depth) AS depth FROM bfs GROUP BY ALL)
+, dist(dest, urn, depth) USING KEY (dest, urn) AS (SELECT urn, urn, 0 FROM nodes WHERE node_type = 'codebase' UNION (SELECT DISTINCT d.dest, link.b, d.depth + 1 FROM dist d JOIN link ON link.a = d.urn
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.dist r WHERE r.dest = d.dest AND r.urn = link.b)))
 SELECT d.urn AS source_urn, dest AS dest_urn, depth AS hops FROM dist d JOIN nodes n ON n.urn = d.urn WHERE n.node_type = 'schema'""")
 def _(g):
     return rules.find(g, LINKED).select("source_urn", "dest_urn", (F.size("path") - 1).alias("hops"))
