@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import labels, meta, scalars, urn
+from palisade.functions import ids, labels, meta, scalars, urn
 from palisade.model import Graph
 from palisade.operators import code_data, compliance, enrich, legality, mutate, rules, search, security, soft_links, traverse
 from palisade.plans.market import MarketGraph, customer_urn, market_graph
 from palisade.plans.oracle import GRAPH
 from palisade.plans.tables import Tables
+from palisade.session import shared_folder
+from palisade.sources.store import ParquetStore, report, with_status
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -488,6 +492,28 @@ def _(g):
     return rules.candidate_histogram(left)
 
 
+@query("k6_k7_candidate_report", """
+, last AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1)
+SELECT coalesce(status, 'pending') AS outcome, count(*) AS n FROM nodes LEFT JOIN last ON urn = 'urn:tpch:party:::customer/' || o_custkey
+WHERE http_method IS NOT NULL AND auth_scheme IS NULL GROUP BY 1""")
+def _(g):
+    """Orders act as status updates of their customer's candidate; the last one counts."""
+    found = rules.gather(g, ["insecure_endpoint"])
+    orders = g.tables.orders.selectExpr(f"{customer_urn('o_custkey')} as urn", "o_orderkey as seq", "o_orderstatus as status")
+    updates = orders.select(ids.candidate_id(F.col("urn"), "insecure_endpoint").alias("id"), "seq", "status")
+    return report(with_status(found, updates).withColumnRenamed("status", "outcome"))
+
+
+@query("k1_k3_store_round_trip", """
+SELECT 'node' AS part, node_type AS kind, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM edges GROUP BY 2""")
+def _(g):
+    """Write the graph as a version of a store and count it from there."""
+    store = ParquetStore(g.spark, f"{shared_folder(g.spark)}/store-{uuid.uuid4().hex}")
+    kept = store.read(store.write(g))
+    count = lambda df, part, kind: df.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "kind", "n")
+    return count(kept.nodes, "node", "node_type").unionByName(count(kept.edges, "edge", "edge_type"))
+
+
 # --- mutations and links ---------------------------------------------------------
 
 

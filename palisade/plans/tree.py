@@ -54,6 +54,16 @@ def code_scan(spark: SparkSession, folder: str) -> CodeScan:
     return CodeScan(source_files(Tables(spark, folder)), BASE, ROOT, spread=spark.sparkContext.defaultParallelism)
 
 
+def rust_scan(spark: SparkSession, folder: str) -> CodeScan:
+    """One Rust file per supplier, using the file of its nation's number."""
+    text = (
+        "concat('use crate::m', s_nationkey, '::{f', s_nationkey, ' as g, other};\\n\\npub fn f', s_suppkey, '(x: i32) -> i32 {\\n    g(); // f9999()\\n    crate::m', s_nationkey, "
+        "'::f', s_nationkey, '();\\n    assert!(helper(2));\\n    x.method();\\n    std::fs::read(\"a\");\\n    helper(1)\\n}\\n\\nfn helper(x: i32) -> i32 { x }\\n')"
+    )
+    files = Tables(spark, folder).supplier.selectExpr("concat('src/m', s_suppkey, '.rs') as file_path", "'rust' as language", f"{text} as source")
+    return CodeScan(files.withColumn("size_bytes", F.octet_length("source").cast("bigint")), BASE, ROOT, spread=spark.sparkContext.defaultParallelism)
+
+
 def tables_of_parts(t: Tables) -> DataFrame:
     return node_frame(t.part, "table", "concat('urn:tpch:catalog:::', p_brand, '/', p_partkey)", "concat('urn:tpch:catalog:::', p_brand)", "6000000000000L + p_partkey", table_name="p_name")
 

@@ -79,6 +79,13 @@ def _(scan):
     return _edges(scan.call_edges())
 
 
+@query("f25_rust_calls", f"""
+SELECT {APP}/src/m' || s.s_suppkey || '.rs/f' || s.s_suppkey AS from_urn, {APP}/src/m' || n.s_suppkey || '.rs/f' || n.s_suppkey AS to_urn, 'calls' AS edge_type FROM supplier s JOIN supplier n ON n.s_suppkey = s.s_nationkey
+UNION ALL SELECT {APP}/src/m' || s_suppkey || '.rs/f' || s_suppkey, {APP}/src/m' || s_suppkey || '.rs/helper', 'calls' FROM supplier""", tree.rust_scan)
+def _(scan):
+    return _edges(scan.call_edges()).distinct()
+
+
 @query("f14_orm_model_references", f"""
 SELECT {APP}/views/v' || c_custkey || '.py/read_' || c_custkey AS urn, 'Model' || s_suppkey AS name, {APP}/models/m' || s_suppkey || '.py/Model' || s_suppkey AS class_urn
 FROM customer JOIN supplier ON s_suppkey = c_nationkey""", tree.code_scan)
