@@ -46,13 +46,18 @@ class ParquetStore:
         if links is None:
             links = self._links_or_empty()
         nodes = labels.settle_types(graph.nodes)
-        nodes.repartition("node_type", F.pmod(F.xxhash64("urn"), F.lit(64))).sortWithinPartitions("node_type", "urn").write.partitionBy("node_type").parquet(f"{base}/nodes")
-        graph.edges.repartition("edge_type", F.pmod(F.xxhash64("from_urn"), F.lit(64))).sortWithinPartitions("edge_type", "from_urn").write.partitionBy("edge_type").parquet(f"{base}/edges")
+        self._write_sorted(nodes, "node_type", "urn", f"{base}/nodes")
+        self._write_sorted(graph.edges, "edge_type", "from_urn", f"{base}/edges")
         links.write.parquet(f"{base}/soft_links")
         marker = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("generated_at"))
         marker.write.mode("append").parquet(f"{self.folder}/versions")
         return version
 
+    @staticmethod
+    def _write_sorted(df: DataFrame, kind: str, key: str, path: str) -> None:
+        """Range partitions follow the sizes of the types, so a type holding most rows spreads over most tasks."""
+        df.repartitionByRange(kind, key).sortWithinPartitions(kind, key).write.partitionBy(kind).parquet(path)
+
     def latest(self) -> str | None:
         try:
             row = self.spark.read.schema("version string, generated_at timestamp").parquet(f"{self.folder}/versions").agg(F.max("version")).first()

@@ -13,8 +13,7 @@ def column(spark, fn, values, ddl="x string"):
 
 
 def test_edge_ids_match_uuid5(spark):
-    ns = uuid.uuid5(uuid.NAMESPACE_URL, "dsec:graph:edge")
-    assert ns.hex == ids.EDGE_NAMESPACE
+    ns = uuid.UUID(ids.EDGE_NAMESPACE)
     got = column(spark, lambda a, b: ids.edge_id(a, b, "calls"), [("urn:a", "urn:ü"), ("urn:ü", "urn:a")], "a string, b string")
     assert got == [str(uuid.uuid5(ns, "urn:a:urn:ü:CODE_TO_CODE")), str(uuid.uuid5(ns, "urn:ü:urn:a:CODE_TO_CODE"))]
     assert got[0] != got[1]
