@@ -19,7 +19,7 @@ from palisade.sources.store import ParquetStore, report, with_status
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-CUSTOMER = "urn:tpch:party:::customer/7"
+CUSTOMER = "urn:tpch:party:::customer/81"
 NATION = "urn:tpch:geo:::nation/3"
 
 
@@ -276,9 +276,9 @@ def _(g):
 @query("x7_tables_for_code", """
 SELECT n.urn, n.node_type, n.function_name AS label, e.edge_type, t.table_name, e.detection_method AS method
 FROM nodes n LEFT JOIN edges e ON e.from_urn = n.urn AND e.edge_type IN ('reads', 'writes', 'models') LEFT JOIN nodes t ON t.urn = e.to_urn
-WHERE n.function_name = 'Customer#000000007'""")
+WHERE n.function_name = 'Customer#000000081'""")
 def _(g):
-    return code_data.find_tables_for_code(g, "Customer#000000007")
+    return code_data.find_tables_for_code(g, "Customer#000000081")
 
 
 @enriched_query("x1_sensitive_data", """
@@ -341,7 +341,7 @@ _BLAST = "'calls', 'reads', 'writes', 'models', 'references', 'soft_reference',
 _REVERSE = "'reads', 'writes', 'models', 'calls'"
 _DATA = "'references', 'soft_reference', 'reads', 'writes', 'models'"
 TABLE = "urn:tpch:catalog:::Brand#17/1"
-COLUMN_START = "urn:tpch:party:::customer/7"
+COLUMN_START = TABLE
 
 
 @query("g1_reach", _reach_sql(CUSTOMER, _BLAST, 5, _pairs(_BLAST, "outgoing")) + "SELECT urn, depth FROM reached")
@@ -381,7 +381,7 @@ _PATHS = """
 @query("g4_shortest_path", _PATHS + """
 , dist(urn, depth) USING KEY (urn) AS (SELECT 'urn:tpch:geo:::region/3', 0 UNION (SELECT DISTINCT link.b, d.depth + 1 FROM dist d JOIN link ON link.a = d.urn
     WHERE NOT EXISTS (SELECT 1 FROM recurring.dist r WHERE r.urn = link.b)))
-, walk AS (SELECT urn, depth, 0 AS step FROM dist WHERE urn = 'urn:tpch:party:::customer/7'
+, walk AS (SELECT urn, depth, 0 AS step FROM dist WHERE urn = 'urn:tpch:party:::customer/81'
   UNION ALL SELECT urn, depth, step FROM (SELECT n.urn, n.depth, w.step + 1 AS step, row_number() OVER (ORDER BY n.urn) AS rn
     FROM walk w JOIN link ON link.a = w.urn JOIN dist n ON n.urn = link.b AND n.depth = w.depth - 1) WHERE rn = 1)
 SELECT step, urn FROM walk""")
@@ -531,7 +531,7 @@ def _(g):
     return out.select("urn", *[meta.get(out, k).alias(k) for k in ("role_name", "io_type", "size_bytes")])
 
 
-@query("m2_metadata_deletes", "SELECT urn, function_name, CASE WHEN urn <> 'urn:tpch:party:::customer/7' THEN file_path END AS file_path FROM nodes WHERE node_type = 'function'")
+@query("m2_metadata_deletes", "SELECT urn, function_name, CASE WHEN urn <> 'urn:tpch:party:::customer/81' THEN file_path END AS file_path FROM nodes WHERE node_type = 'function'")
 def _(g):
     out = mutate.delete_node_metadata(g.of_type("function"), CUSTOMER, "file_path", "no_such_key")
     return out.select("urn", *[meta.get(out, k).alias(k) for k in ("function_name", "file_path")])
