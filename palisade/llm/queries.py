@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, mixing, quality_rules
+from palisade.llm import bpe, mixing, quality_cnn, quality_rules
 from palisade.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_cnn.classify(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_quality_cnn": op5_quality_cnn,
     "op7_source_mixing": op7_source_mixing,
     "op10_byte_bpe": op10_byte_bpe,
 }

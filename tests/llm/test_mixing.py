@@ -40,7 +40,7 @@ def test_small_sources(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, size int, copies string")
     got = mixing.taken(docs).collect()
     assert len(got) == len(rows)
-    check(got, docs.collect(), lambda s, want: 0.02 * want + 10)
+    check(got, docs.collect(), lambda s, want: 0.05 * want + 10)
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.taken(docs.repartition(7)).collect()))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
