@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, mixing, quality_cnn, quality_rules
+from palisade.llm import bpe, main_text, mixing, quality_cnn, quality_rules
 from palisade.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_quality_cnn": op5_quality_cnn,
+    "op6_main_text": op6_main_text,
     "op7_source_mixing": op7_source_mixing,
     "op10_byte_bpe": op10_byte_bpe,
 }
