@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, main_text, mixing, quality_cnn, quality_rules
-from palisade.llm.common import table
+from palisade.llm import bpe, main_text, mixing, quality_cnn, quality_rules, token_files
+from palisade.llm.common import shared_folder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +16,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    token_files.write(docs, folder)
+    return token_files.read_back(docs, folder)
+
+
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_cnn.classify(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
@@ -33,6 +42,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_token_files": op4_token_files,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_main_text": op6_main_text,
     "op7_source_mixing": op7_source_mixing,
