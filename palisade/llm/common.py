@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.session import shared_folder, stash, stash_at
 
-__all__ = ["WORD_BREAK", "in_arrow", "public_vocabulary", "shared_folder", "stash", "stash_at", "table", "words"]
+__all__ = ["WORD_BREAK", "in_arrow", "public_vocabulary", "release", "shared_folder", "stash", "stash_at", "table", "words"]
 
 #: White space between words: blank and U+0009 to U+000D, nothing else.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -49,3 +50,9 @@ def in_arrow(
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return df.mapInArrow(batches, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished shuffles: Spark deletes their files once the driver has collected the frames that own them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

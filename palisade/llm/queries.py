@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, main_text, mixing, ngram_join, quality_cnn, quality_rules, token_files
+from palisade.llm import bpe, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files
 from palisade.llm.common import shared_folder, table
 
 
@@ -20,6 +20,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
@@ -47,6 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_main_text": op6_main_text,
