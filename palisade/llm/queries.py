@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files
+from palisade.llm import bpe, line_dedup, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files, topk_search
 from palisade.llm.common import shared_folder, table
 
 
@@ -44,6 +44,14 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,25 @@ QUERIES = {
     "op5_quality_cnn": op5_quality_cnn,
     "op6_main_text": op6_main_text,
     "op7_source_mixing": op7_source_mixing,
+    "op8_topk_search": op8_topk_search,
+    "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: Whole numbers make the scores of the search exact in SQL too; the other operators have no SQL form or are too slow in it.
+ORACLES: dict[str, str] = {
+    "op8_topk_search": """
+        WITH sound AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS whole
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), scored AS (
+            SELECT q.vec_id AS query_id, q.whole AS own, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.whole) + 1), lambda i: q.whole[i] * c.whole[i])) AS BIGINT) AS score
+            FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.whole) = len(c.whole)
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
