@@ -32,6 +32,8 @@ LONGEST = 100_000
 #: Chunks in memory at a time.
 BLOCK = 1024
 EPOCHS, RATE = 12, 0.02
+#: Texts that are visited in all at least, however few there are to learn from.
+VISITS = 12_000
 
 
 def byte_vectors() -> np.ndarray:
@@ -111,7 +113,7 @@ def learn(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed)
     params = [net.filters, net.bias, net.out, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-VISITS // len(texts)))):
         order = rng.permutation(len(texts))
         for start in range(0, len(order), 32):
             batch = order[start : start + 32]
