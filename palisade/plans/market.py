@@ -215,13 +215,15 @@ class MarketEdges:
         )
         return [edge_frame(pairs, "calls", 10, customer_urn("c_custkey"), customer_urn("callee"), "k")]
 
-    def _purchases(self, condition: str) -> DataFrame:
-        lines = self.t.lineitem.filter(condition).selectExpr("l_orderkey as o_orderkey", "l_partkey as p_partkey")
-        return self.t.orders.select("o_orderkey", "o_custkey").join(lines, "o_orderkey")
+    def _purchases(self, lines: DataFrame) -> DataFrame:
+        bought = lines.selectExpr("l_orderkey as o_orderkey", "l_partkey as p_partkey")
+        return self.t.orders.select("o_orderkey", "o_custkey").join(bought, "o_orderkey")
 
-    def _code_to_table(self, kind: str, rank: int, flag: str) -> DataFrame:
+    def _code_to_table(self, kind: str, rank: int) -> DataFrame:
+        """Every line is an access: returned goods are writes, all others reads."""
+        way = F.when(F.col("l_returnflag") == "R", "writes").otherwise("reads")
         bought = (
-            self._purchases(f"l_linenumber = 1 AND l_returnflag = '{flag}' AND l_quantity >= 40")
+            self._purchases(self.t.lineitem.filter(way == kind))
             .groupBy("o_custkey", "p_partkey")
             .agg(F.min("o_orderkey").alias("k"))
             .join(self.t.part.select("p_partkey", "p_brand"), "p_partkey")
@@ -233,7 +235,7 @@ class MarketEdges:
 
     def _grants(self, way: str, rank: int) -> DataFrame:
         """One row per (user, table, direction) with the least privilege text."""
-        privileges = {"reads": "'view', 'click', 'signup'", "writes": "'purchase', 'signup'"}[way]
+        privileges = {"reads": "'view', 'click', 'signup', 'error'", "writes": "'purchase', 'signup'"}[way]
         granted = (
             self.t.events.filter(f"event_type in ({privileges})")
             .selectExpr(
@@ -251,15 +253,14 @@ class MarketEdges:
         )
 
     def reads(self) -> list[DataFrame]:
-        return [self._code_to_table("reads", 11, "N"), self._grants("reads", 16)]
+        return [self._code_to_table("reads", 11), self._grants("reads", 16)]
 
     def writes(self) -> list[DataFrame]:
-        return [self._code_to_table("writes", 12, "R"), self._grants("writes", 17)]
+        return [self._code_to_table("writes", 12), self._grants("writes", 17)]
 
     def models(self) -> list[DataFrame]:
         lines = (
-            self.t.lineitem.filter("l_linenumber = 2 AND l_quantity >= 48")
-            .groupBy("l_suppkey", "l_partkey")
+            self.t.lineitem.groupBy("l_suppkey", "l_partkey")
             .agg(F.min("l_orderkey").alias("k"))
             .join(self.t.part.selectExpr("p_partkey as l_partkey", "p_brand", "p_name"), "l_partkey")
         )
@@ -284,7 +285,7 @@ class MarketEdges:
 
     def depends_on(self) -> list[DataFrame]:
         uses = (
-            self._purchases("l_linenumber = 3 AND l_quantity >= 49")
+            self._purchases(self.t.lineitem)
             .join(self.t.customer.selectExpr("c_custkey as o_custkey", "c_nationkey"), "o_custkey")
             .join(self.t.part.select("p_partkey", "p_type", "p_size"), "p_partkey")
             .groupBy("c_nationkey", "p_type", "p_size")

@@ -1,7 +1,7 @@
 """The market projection in SQL, written independently of the Spark code.
 
 ``GRAPH`` is a WITH prelude of flat ``nodes`` and ``edges`` relations; the oracle
-queries in ``plans/oracle_queries.py`` are plain SELECTs over it.
+queries in ``plans/market_queries.py`` are plain SELECTs over it.
 """
 
 from __future__ import annotations
@@ -71,9 +71,8 @@ nodes AS (
   FROM events GROUP BY user_id
 ),
 code_lines AS (
-  SELECT o_custkey, p_partkey, p_brand, l_returnflag, min(o_orderkey) AS k
+  SELECT o_custkey, p_partkey, p_brand, CASE WHEN l_returnflag = 'R' THEN 'writes' ELSE 'reads' END AS way, min(o_orderkey) AS k
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
-  WHERE l_linenumber = 1 AND l_quantity >= 40 AND l_returnflag IN ('N', 'R')
   GROUP BY ALL
 ),
 grants AS (
@@ -82,7 +81,7 @@ grants AS (
     SELECT user_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, event_type,
            CASE event_type WHEN 'purchase' THEN 'INSERT' WHEN 'signup' THEN 'ALL' ELSE 'SELECT' END AS privilege,
            unnest(CASE WHEN event_type = 'signup' THEN ['reads', 'writes'] WHEN event_type = 'purchase' THEN ['writes'] ELSE ['reads'] END) AS way
-    FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')
+    FROM events
   ) e JOIN part ON p_partkey = k
   GROUP BY ALL
 ),
@@ -97,12 +96,12 @@ edges AS (
   WHERE ca.c_nationkey = cb.c_nationkey AND a.o_custkey <> b.o_custkey
   UNION ALL BY NAME
   SELECT 'urn:tpch:party:::customer/' || o_custkey AS from_urn, 'urn:tpch:catalog:::' || p_brand || '/' || p_partkey AS to_urn,
-         CASE l_returnflag WHEN 'N' THEN 'reads' ELSE 'writes' END AS edge_type, 'orm_reference' AS detection_method, 0.9::DOUBLE AS confidence
+         way AS edge_type, 'orm_reference' AS detection_method, 0.9::DOUBLE AS confidence
   FROM code_lines
   UNION ALL BY NAME
   SELECT DISTINCT 'urn:tpch:party:::supplier/' || l_suppkey AS from_urn, 'urn:tpch:catalog:::' || p_brand || '/' || p_partkey AS to_urn,
          'models' AS edge_type, 'orm_tablename' AS detection_method, 1.0::DOUBLE AS confidence
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 2 AND l_quantity >= 48
+  FROM lineitem JOIN part ON p_partkey = l_partkey
   UNION ALL BY NAME
   SELECT 'urn:tpch:catalog:::' || a.p_brand || '/' || a.p_partkey || '/' || a.first_name AS from_urn,
          'urn:tpch:catalog:::' || b.p_brand || '/' || b.p_partkey || '/' || b.first_name AS to_urn, 'references' AS edge_type
@@ -111,7 +110,6 @@ edges AS (
   SELECT DISTINCT 'urn:tpch:geo:::nation/' || c_nationkey AS from_urn, 'urn:tpch:deps:::' || lower(p_type) || '-' || p_size AS to_urn,
          'depends_on' AS edge_type, lower(p_type) AS import_name
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey
-  WHERE l_linenumber = 3 AND l_quantity >= 49
   UNION ALL BY NAME
   SELECT 'urn:tpch:catalog:::roles/' || user_id AS from_urn, 'urn:tpch:catalog:::' || p_brand || '/' || p_partkey AS to_urn, way AS edge_type, privilege
   FROM grants
