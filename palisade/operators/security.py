@@ -9,6 +9,7 @@ from palisade.functions import labels, meta
 from palisade.model import CODE_TO_DATA, Graph
 from palisade.operators.code_data import _table_named
 from palisade.operators.traverse import adjacency, reach
+from palisade.session import stash
 
 # --- fixed values: what each traversal follows and how nodes are grouped ------
 BLAST_EDGES = "calls reads writes models references soft_reference depends_on".split()
@@ -193,13 +194,8 @@ def service_roles(graph: Graph) -> DataFrame:
     return uses.join(tasks, "task").join(takes, "task").join(roles, "role_urn").select("service", "role")
 
 
-def exposed_chains(graph: Graph, include_internal: bool = False) -> DataFrame:
-    """G7 chains: DNS record -> internet-facing balancer, and each service behind it.
-
-    A chain without any service keeps one row with a NULL service.  Groups and
-    roles of a resource are separate frames (:func:`guarding_groups`,
-    :func:`service_roles`), to be joined where wanted.
-    """
+def exposed_doors(graph: Graph, include_internal: bool = False) -> DataFrame:
+    """G7 fronts: DNS record -> internet-facing balancer, one row per record and balancer."""
     records = graph.of_type("dns_record")
     if not include_internal:
         records = records.filter(~meta.truthy(records, "dns_zone_private"))
@@ -210,7 +206,34 @@ def exposed_chains(graph: Graph, include_internal: bool = False) -> DataFrame:
         F.coalesce(meta.get(doors, "lb_dns_name"), F.lit("?")).alias("lb_dns"),
     )
     resolves = graph.edges_of("resolves_to").select(F.col("from_urn").alias("dns_urn"), F.col("to_urn").alias("lb_urn"))
-    return resolves.join(names, "dns_urn").join(fronts, "lb_urn").join(services_behind(graph), "lb_urn", "left")
+    return resolves.join(names, "dns_urn").join(fronts, "lb_urn")
+
+
+def exposed_chains(graph: Graph, include_internal: bool = False) -> DataFrame:
+    """G7 chains: each exposed record with each service behind its balancer.
+
+    A chain without any service keeps one row with a NULL service.  The rows are
+    records times services of a balancer: ask for it after choosing some, and use
+    :func:`attack_surface_parts` for all.
+    """
+    return exposed_doors(graph, include_internal).join(services_behind(graph), "lb_urn", "left")
+
+
+def attack_surface_parts(graph: Graph, include_internal: bool = False) -> DataFrame:
+    """G7 in linear size: records to balancers (``front``), balancers to services (``behind``), services with a public IP (``direct``)."""
+    groups = stash(_csv_by(guarding_groups(graph), "urn", "group", "security_groups"), "groups")
+    roles = _csv_by(service_roles(graph), "service", "role", "iam_roles").withColumnRenamed("service", "service_urn")
+    doors = stash(exposed_doors(graph, include_internal), "doors")
+    columns = "part dns_urn dns_name lb_urn lb_type lb_dns security_groups service_urn service iam_roles".split()
+
+    def part(name: str, df: DataFrame) -> DataFrame:
+        named = df.withColumn("part", F.lit(name))
+        return named.select(*[c if c in named.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+    front = doors.join(groups.withColumnRenamed("urn", "lb_urn"), "lb_urn", "left")
+    behind = services_behind(graph).distinct().join(doors.select("lb_urn", "lb_type", "lb_dns").distinct(), "lb_urn").join(roles, "service_urn", "left")
+    direct = directly_exposed(graph).join(groups.withColumnRenamed("urn", "service_urn"), "service_urn", "left").join(roles, "service_urn", "left")
+    return part("front", front).unionByName(part("behind", behind)).unionByName(part("direct", direct))
 
 
 def services_behind(graph: Graph) -> DataFrame:

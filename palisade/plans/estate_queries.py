@@ -314,11 +314,11 @@ WITH svc AS (SELECT {SVC} AS svc_urn, unnest([c_nationkey, c_custkey]) AS k, 'sv
 , fronts AS (SELECT {LB} || s_suppkey AS door, CASE WHEN s_acctbal > 5000 THEN 'nlb' ELSE 'alb' END AS lb_type, s_suppkey,
     n_name || CASE WHEN n_regionkey = 0 THEN ' [PUBLIC]' ELSE '' END AS groups FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey < 15
   UNION ALL SELECT '{A}:apigateway:us-east-1::/apis/rest' || n_nationkey, 'rest', NULL, NULL FROM nation WHERE n_regionkey <> 4)
-SELECT DISTINCT resolved.urn AS dns_urn, door AS lb_urn, lb_type, groups AS security_groups, svc_urn AS service_urn, svc_name AS service,
-  CASE WHEN svc_urn IS NOT NULL THEN 'cust-' || svc_nation END AS iam_roles
-FROM resolved JOIN fronts USING (door) LEFT JOIN svc ON svc.k = s_suppkey WHERE NOT private""", build=_surface)
+, open_doors AS (SELECT DISTINCT urn, door, lb_type, groups, s_suppkey FROM resolved JOIN fronts USING (door) WHERE NOT private)
+SELECT DISTINCT 'front' AS part, urn AS dns_urn, door AS lb_urn, lb_type, groups AS security_groups, NULL AS service_urn, NULL AS service, NULL AS iam_roles FROM open_doors
+UNION ALL SELECT DISTINCT 'behind', NULL, door, lb_type, NULL, svc_urn, svc_name, 'cust-' || svc_nation FROM open_doors JOIN svc ON svc.k = s_suppkey""", build=_surface)
 def _(g):
-    return security.find_public_attack_surface(g).select("dns_urn", "lb_urn", "lb_type", "security_groups", "service_urn", "service", "iam_roles").distinct()
+    return security.attack_surface_parts(g).select("part", "dns_urn", "lb_urn", "lb_type", "security_groups", "service_urn", "service", "iam_roles").distinct()
 
 
 @query("s1_settled_edges", """

@@ -39,7 +39,7 @@ def source_files(t: Tables) -> DataFrame:
         'def fetch(u):\\n    return requests.get(u)\\n\\n\\n@router.get("/items/{{id}}")\\n@trace\\ndef read_', c_custkey, '(session', {auth}, '):\\n    rows = session.query(Model', c_nationkey,
         ').all()\\n', {save}, {bucket}, '    helper(1)\\n    return M()\\n')""",
     )
-    wiring = _file(t.region.limit(1), "'main.py'", "'from fastapi import FastAPI\\nfrom app.views.v1 import router as r1\\napp = FastAPI()\\napp.include_router(r1, prefix=\"/v1\")\\n'")
+    wiring = _file(t.spark.range(1), "'main.py'", "'from fastapi import FastAPI\\nfrom app.views.v1 import router as r1\\napp = FastAPI()\\napp.include_router(r1, prefix=\"/v1\")\\n'")
     start = "case n_regionkey when 0 then 'ENTRYPOINT [\"python3\", \"/srv/views/v' when 1 then 'CMD python views/v' when 2 then 'CMD [\"uvicorn\", \"--reload\", \"views.v' when 3 then 'ENTRYPOINT [\"$HOME/v' else 'RUN echo views/v' end"
     ending = "case n_regionkey when 0 then '.py\"]' when 1 then '.py' when 2 then ':router\"]' when 3 then '\"]' else '.py' end"
     docker = _file(
@@ -86,26 +86,28 @@ def osv_extract(t: Tables) -> DataFrame:
 
 
 def container_graph(spark: SparkSession, folder: str) -> Graph:
-    """Codebases per nation, Dockerfiles per customer, repositories and images per supplier."""
+    """Codebases per ten customers, Dockerfiles per customer, repositories and images per supplier."""
     t = Tables(spark, folder)
     base = "concat('urn:git:repo:git.example.com:_:n', {0})"
     repo = "concat('urn:arn:aws:ecr:r:1:repository/s', s_suppkey)"
     suffix = "case when s_acctbal < 2000 then '' when s_acctbal < 4000 then '-api' when s_acctbal < 6000 then '_web' else '-worker' end"
+    own = "c_custkey div 10"
+    codebases = t.customer.selectExpr(f"{own} as k").distinct()
     none = union_all([
-        node_frame(t.nation, "codebase", base.format("n_nationkey"), None, "n_nationkey", repo_name="concat('n', n_nationkey)", repo_url="concat('https://git.example.com/N', n_nationkey, '.git/')", clone_url="null"),
+        node_frame(codebases, "codebase", base.format("k"), None, "k", repo_name="concat('n', k)", repo_url="concat('https://git.example.com/N', k, '.git/')", clone_url="null"),
         node_frame(
-            t.customer, "file", f"concat({base.format('c_nationkey')}, '/svc', c_custkey, '/Dockerfile')", base.format("c_nationkey"), "100000 + c_custkey",
+            t.customer, "file", f"concat({base.format(own)}, '/svc', c_custkey, '/Dockerfile')", base.format(own), "100000 + c_custkey",
             file_path="concat('svc', c_custkey, '/Dockerfile')", dockerfile_base_images="case when c_mktsegment <> 'HOUSEHOLD' then 'python:3.12' end",
             dockerfile_cmd="case when c_mktsegment = 'BUILDING' then 'python main.py' end",
         ),
-        node_frame(t.supplier, "image_repository", repo, None, "s_suppkey", repository_name=f"concat('s', s_suppkey, '/n', s_nationkey, {suffix})"),
+        node_frame(t.supplier, "image_repository", repo, None, "s_suppkey", repository_name=f"concat('s', s_suppkey, '/n', s_suppkey, {suffix})"),
         node_frame(
             t.supplier, "image", f"concat({repo}, '/image/1')", repo, "s_suppkey",
             oci_source="case when s_nationkey < 5 then concat('git@git.example.com:n', s_suppkey, '.git') end",
         ),
     ])
     files = t.customer.filter("c_acctbal < 0")
-    builds = edge_frame(files, "builds", f"concat({base.format('c_nationkey')}, '/svc', c_custkey, '/Dockerfile')", "'urn:arn:aws:ecr:r:1:repository/s0'", "c_custkey")
+    builds = edge_frame(files, "builds", f"concat({base.format(own)}, '/svc', c_custkey, '/Dockerfile')", "'urn:arn:aws:ecr:r:1:repository/s0'", "c_custkey")
     return Graph(none, builds)
 
 
@@ -123,7 +125,7 @@ def catalog_frames(t: Tables) -> dict[str, DataFrame]:
     )
     linked = t.part.selectExpr("p_partkey", "p_brand", "p_partkey - 1 as prev").alias("a").join(t.part.selectExpr("p_partkey as prev", "p_brand as ref_brand"), "prev")
     return {
-        "schemata": t.part.selectExpr("p_brand as schema_name").distinct().unionAll(t.region.limit(1).selectExpr("'pg_catalog' as schema_name")),
+        "schemata": t.part.selectExpr("p_brand as schema_name").distinct().unionAll(t.spark.range(1).selectExpr("'pg_catalog' as schema_name")),
         "tables": t.part.selectExpr("p_brand as table_schema", "concat('t', p_partkey) as table_name", "case when p_type = 'PROMO' then 'VIEW' when p_type = 'SMALL' then 'FOREIGN' else 'BASE TABLE' end as table_type"),
         "columns": t.part.selectExpr("p_brand as table_schema", "concat('t', p_partkey) as table_name", column).selectExpr(
             "table_schema", "table_name", "c.n as column_name", "c.pos as ordinal_position", "c.ty as data_type", "c.n <> 'id' as is_nullable",

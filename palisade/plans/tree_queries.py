@@ -168,17 +168,17 @@ def _(built):
 # --- containers ---------------------------------------------------------------------------
 
 _BUILDS = """
-WITH repo AS (SELECT 's' || s_suppkey || '/n' || s_nationkey || CASE WHEN s_acctbal < 2000 THEN '' WHEN s_acctbal < 4000 THEN '-api' WHEN s_acctbal < 6000 THEN '_web' ELSE '-worker' END AS name,
+WITH repo AS (SELECT 's' || s_suppkey || '/n' || s_suppkey || CASE WHEN s_acctbal < 2000 THEN '' WHEN s_acctbal < 4000 THEN '-api' WHEN s_acctbal < 6000 THEN '_web' ELSE '-worker' END AS name,
   s_suppkey, s_nationkey, 'urn:arn:aws:ecr:r:1:repository/s' || s_suppkey AS urn FROM supplier)
-, oci AS (SELECT repo.*, n_nationkey AS base FROM repo JOIN nation ON n_nationkey = s_suppkey WHERE s_nationkey < 5)
-, guess AS (SELECT repo.*, s_nationkey AS base FROM repo WHERE name NOT LIKE '%-worker' AND urn NOT IN (SELECT urn FROM oci))
-, files AS (SELECT 'urn:git:repo:git.example.com:_:n' || c_nationkey || '/svc' || c_custkey || '/Dockerfile' AS file, c_nationkey, c_mktsegment, c_acctbal FROM customer)
+, oci AS (SELECT repo.*, k AS base FROM repo JOIN (SELECT DISTINCT c_custkey // 10 AS k FROM customer) ON k = s_suppkey WHERE s_nationkey < 5)
+, guess AS (SELECT repo.*, s_suppkey AS base FROM repo WHERE name NOT LIKE '%-worker' AND urn NOT IN (SELECT urn FROM oci))
+, files AS (SELECT 'urn:git:repo:git.example.com:_:n' || (c_custkey // 10) || '/svc' || c_custkey || '/Dockerfile' AS file, c_custkey // 10 AS file_base, c_mktsegment, c_acctbal FROM customer)
 """
 
 
 @query("j3_dockerfile_to_image_repo", _BUILDS + """
-SELECT file AS from_urn, urn AS to_urn, 'builds' AS edge_type, 'oci_label' AS detection_method FROM oci JOIN files ON c_nationkey = base WHERE c_mktsegment <> 'HOUSEHOLD'
-UNION ALL SELECT file, urn, 'builds', 'name_heuristic' FROM guess JOIN files ON c_nationkey = base WHERE c_mktsegment <> 'HOUSEHOLD'""", tree.container_graph)
+SELECT file AS from_urn, urn AS to_urn, 'builds' AS edge_type, 'oci_label' AS detection_method FROM oci JOIN files ON file_base = base WHERE c_mktsegment <> 'HOUSEHOLD'
+UNION ALL SELECT file, urn, 'builds', 'name_heuristic' FROM guess JOIN files ON file_base = base WHERE c_mktsegment <> 'HOUSEHOLD'""", tree.container_graph)
 def _(g):
     return _edges(containers.dockerfile_to_image_repo(g), "detection_method")
 
@@ -231,7 +231,7 @@ SELECT {APP}/views/v' || c_custkey || '.py' AS from_urn, 'urn:d:' || name AS to_
 UNION ALL SELECT {APP}/models/m' || s_suppkey || '.py', 'urn:d:sqlalchemy', 'depends_on' FROM supplier JOIN part ON p_partkey = s_suppkey
 UNION ALL SELECT {APP}/main.py', 'urn:d:FastAPI', 'depends_on'""")
 def _(t):
-    deps = t.region.limit(1).selectExpr("inline(array(struct('boto3' as n, 1L as ord), struct('FastAPI' as n, 2L as ord), struct('sqlalchemy' as n, 3L as ord), struct('unused-lib' as n, 4L as ord)))").selectExpr(
+    deps = t.spark.range(1).selectExpr("inline(array(struct('boto3' as n, 1L as ord), struct('FastAPI' as n, 2L as ord), struct('sqlalchemy' as n, 3L as ord), struct('unused-lib' as n, 4L as ord)))").selectExpr(
         "concat('urn:d:', n) as urn", "ord", "struct(n as package_name) as metadata"
     )
     files = tree.source_files(t).filter("language = 'python'").select(F.concat(F.lit("urn:local:codebase:derived:_:app/"), "file_path").alias("urn"), "source")
