@@ -16,10 +16,6 @@ SECURITY_LABEL_KEYS = (
 ).split()
 
 
-def _first(df: DataFrame, cols: list[Column]) -> Column:
-    return F.coalesce(*cols)
-
-
 def query_label(df: DataFrame) -> Column:
     """Q5: first *present* name, else the file's base name, else the URN's tail."""
     names = [meta.get(df, k) for k in QUERY_LABEL_KEYS]

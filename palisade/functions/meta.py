@@ -71,11 +71,6 @@ def text(df: DataFrame, name: str) -> Column:
     return value.cast("string")
 
 
-def props(df: DataFrame, *names: str, keep: tuple[str, ...] = ("urn", "node_type", "parent_urn", "ord")) -> DataFrame:
-    """Narrow a node frame to fixed columns plus the named keys, so joins carry no bag."""
-    return df.select(*keep, *[get(df, n).alias(n) for n in names])
-
-
 def pack(**fields: Column | str | int | float | bool | None) -> Column:
     """Build a metadata struct; plain values become literals."""
     cols = []

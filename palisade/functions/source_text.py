@@ -61,8 +61,7 @@ def imports(source: Column, library: str) -> Column:
 
 
 def _calls(names: list[str]) -> str:
-    # longest first, so no name hides a longer one sharing its start
-    return r"\.(" + "|".join(sorted(names, reverse=True)) + r")\s*\("
+    return r"\.(" + "|".join(names) + r")\s*\("
 
 
 def _kinds(ops: Column, write: list[str], delete: list[str]) -> Column:

@@ -34,10 +34,6 @@ def new_edges(df: DataFrame, kind: str, rank: int, src: str, dst: str, ordinal:
     )
 
 
-def no_edges(graph: Graph) -> DataFrame:
-    return graph.edges.limit(0)
-
-
 def first_by(df: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
     """``(key, value)``: the first row of each key wins."""
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))
@@ -54,4 +50,4 @@ def index_by(nodes: DataFrame, key: str, name: str = "urn") -> DataFrame:
     return first_by(found, key, name)
 
 
-__all__ = ["STEP", "Stitcher", "first_by", "index_by", "last_by", "new_edges", "no_edges"]
+__all__ = ["STEP", "Stitcher", "first_by", "index_by", "last_by", "new_edges"]

@@ -16,13 +16,25 @@ from palisade.session import stash
 from palisade.sources.parsing import FACT_SCHEMA, facts_of
 
 # --- fixed values: languages by file extension, and folders never scanned -----
-LANGUAGES = dict(
-    pair.split(":")
-    for pair in (
-        "py:python js:javascript ts:typescript tsx:tsx jsx:javascript java:java rb:ruby rs:rust kt:kotlin "
-        "scala:scala cs:c_sharp c:c cpp:cpp h:c hpp:cpp swift:swift sql:sql"
-    ).split()
-)
+LANGUAGES = {
+    "py": "python",
+    "js": "javascript",
+    "ts": "typescript",
+    "tsx": "tsx",
+    "jsx": "javascript",
+    "java": "java",
+    "rb": "ruby",
+    "rs": "rust",
+    "kt": "kotlin",
+    "scala": "scala",
+    "cs": "c_sharp",
+    "c": "c",
+    "cpp": "cpp",
+    "h": "c",
+    "hpp": "cpp",
+    "swift": "swift",
+    "sql": "sql",
+}
 SKIPPED_FOLDERS = (
     "node_modules vendor .venv venv __pycache__ .git dist build target .tox .mypy_cache .pytest_cache .ruff_cache egg-info"
 ).split()
@@ -198,14 +210,14 @@ class CodeScan:
             "orm_table": F.when(F.col("uses_sqlalchemy"), source_text.orm_table(text)),
             "s3_client": F.when(F.col("uses_boto3") & source_text.uses_s3_client(text), F.lit(True)),
         })
-        return stash(tagged.drop("text", "above"), "classes")
+        return stash(tagged.drop("text", "head"), "classes")
 
     @cached_property
     def function_tags(self) -> DataFrame:
         """F13-F18 on functions; web frameworks override the standard-library tag."""
         text, full = F.col("text"), F.col("full")
         functions = self.definitions().filter("fact = 'function'").join(self.gates.select("file_path", *[f"uses_{lib}" for lib in FRAMEWORKS]), "file_path", "left")
-        functions = functions.withColumn("full", F.concat(decorators(F.col("above")), text))
+        functions = functions.withColumn("full", F.concat(F.coalesce("head", F.lit("")), text))
         routed = F.col("uses_fastapi") & full.rlike(FASTAPI_ROUTE)
         group = lambda i: F.when(routed, F.regexp_extract(full, FASTAPI_ROUTE, i))
         credentials = F.when(F.col("uses_fastapi"), F.nullif(F.regexp_extract(full, FASTAPI_CREDENTIALS, 1), F.lit("")))
@@ -382,26 +394,6 @@ FUNCTION_TAGS = (
 ).split()
 
 
-def decorators(above: Column) -> Column:
-    """Decorator lines of a definition, each ended by a newline; ``above`` are the lines over it, nearest first.
-
-    Walking upwards: ``@`` lines and, below the first of them, lines ending in
-    ``)`` belong; blank lines are passed over; anything else ends the walk.
-    """
-    begin = F.struct(F.lit(False).alias("ended"), F.array().cast("array<string>").alias("kept"))
-
-    def step(state: Column, line: Column) -> Column:
-        bare = F.trim(line)
-        keep = ~state["ended"] & (bare.startswith("@") | ((F.size(state["kept"]) > 0) & bare.endswith(")")))
-        return F.struct(
-            (state["ended"] | (~keep & (bare != ""))).alias("ended"),
-            F.when(keep, F.concat(F.array(line), state["kept"])).otherwise(state["kept"]).alias("kept"),
-        )
-
-    kept = F.aggregate(above, begin, step, lambda s: s["kept"])
-    return F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "\n"), F.lit("\n"))).otherwise("")
-
-
 def rust_candidates(module: Column, path: Column) -> Column:
     """Files a Rust module path may live in, in the order they are tried."""
     folder = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise("")

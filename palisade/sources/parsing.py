@@ -12,24 +12,24 @@ from collections.abc import Iterator
 
 FACT_SCHEMA = (
     "file_path string, fact string, name string, display string, chain array<string>, start bigint, end bigint, "
-    "bases array<string>, module string, source_name string, text string, above array<string>, seq bigint"
+    "bases array<string>, module string, source_name string, text string, head string, seq bigint"
 )
-DECORATOR_REACH = 10  # lines above a definition that may hold its decorators
 
 
 def _fact(fact: str, name: str, seq: int, **more) -> dict:
-    row = {"fact": fact, "name": name, "display": None, "chain": None, "start": None, "end": None, "bases": None, "module": None, "source_name": None, "text": None, "above": None, "seq": seq}
+    row = {"fact": fact, "name": name, "display": None, "chain": None, "start": None, "end": None, "bases": None, "module": None, "source_name": None, "text": None, "head": None, "seq": seq}
     row.update(more)
     return row
 
 
 def python_facts(path: str, source: str) -> Iterator[dict]:
-    """Classes, functions, name calls and from-imports of a Python file; nothing if it does not parse."""
+    """Classes, functions, name calls and from-imports of a Python file; if it does not parse, what its lines tell."""
+    counter = iter(range(1 << 60))
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
+        yield from _torn_python(source, counter)
         return
-    counter = iter(range(1 << 60))
     yield from _python_scope(tree, [], source, counter)
     for stmt in tree.body:
         if isinstance(stmt, ast.ImportFrom):
@@ -39,6 +39,34 @@ def python_facts(path: str, source: str) -> Iterator[dict]:
                 yield _fact("import", alias.asname or alias.name, next(counter), module=absolute, source_name=alias.name, start=stmt.lineno - 1)
 
 
+_HEAD = re.compile(r"([ \t]*)(class|def|async\s+def)\s+(\w+)")
+
+
+def _torn_python(source: str, counter) -> Iterator[dict]:
+    """Definitions of a file that does not parse: heads by pattern, extents by indentation."""
+    lines = source.splitlines()
+    width = [len(x.expandtabs()) - len(x.expandtabs().lstrip()) if x.strip() else None for x in lines]
+    open_: list[tuple[int, str, bool]] = []  # indentation, name, class
+    seen: dict[tuple, int] = {}
+    for at, line in enumerate(lines):
+        head = _HEAD.match(line)
+        if width[at] is None or not head:
+            continue
+        while open_ and open_[-1][0] >= width[at]:
+            open_.pop()
+        below = next((k for k in range(at + 1, len(lines)) if width[k] is not None and width[k] <= width[at]), len(lines))
+        end = max(k for k in range(at, below) if width[k] is not None)
+        name, is_class = head[3], head[2] == "class"
+        chain = [n for _, n, _ in open_]
+        if all(c for *_, c in open_):
+            if is_class:
+                yield _fact("class", name, next(counter), display=name, chain=chain, start=at, end=end)
+            else:
+                seen[(*chain, name)] = again = seen.get((*chain, name), 0) + 1
+                yield _fact("function", name, next(counter), display=name if again == 1 else f"{name}__{again}", chain=chain, start=at, end=end)
+        open_.append((width[at], name, is_class))
+
+
 def _absolute(module: str, path: str) -> str:
     dots = len(module) - len(module.lstrip("."))
     folders = path.split("/")[:-1]
@@ -57,7 +85,8 @@ def _python_scope(scope: ast.AST, chain: list[str], source: str, counter) -> Ite
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             seen[node.name] = seen.get(node.name, 0) + 1
             shown = node.name if seen[node.name] == 1 else f"{node.name}__{seen[node.name]}"
-            yield _fact("function", node.name, next(counter), display=shown, chain=list(chain), start=node.lineno - 1, end=node.end_lineno - 1)
+            top = min([d.lineno for d in node.decorator_list], default=node.lineno)
+            yield _fact("function", node.name, next(counter), display=shown, chain=list(chain), start=node.lineno - 1, end=node.end_lineno - 1, head=top - 1)
             for call in _python_calls(node):
                 yield _fact("call", call, next(counter), display=shown, chain=list(chain))
 
@@ -160,9 +189,9 @@ def facts_of(path: str, language: str, source: str) -> list[dict]:
 
 
 def _with_text(row: dict, lines: list[str]) -> dict:
-    """Add a definition's own lines and the few above it, nearest first."""
+    """Add a definition's own lines, and those of its decorators, each ended by a newline."""
     if row["fact"] in ("class", "function"):
-        start = row["start"]
+        start, top = row["start"], row["head"]
         row["text"] = "\n".join(lines[start : row["end"] + 1])
-        row["above"] = lines[max(0, start - DECORATOR_REACH) : start][::-1]
+        row["head"] = None if top is None else "".join(x + "\n" for x in lines[top:start])
     return row
