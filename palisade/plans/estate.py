@@ -201,8 +201,8 @@ class EstateDump(Dump):
 
     @cached_property
     def buckets(self) -> DataFrame:
-        return self.t.documents.groupBy("source").agg(F.min("lang").alias("l")).selectExpr(
-            "concat('bucket-', source) as Name", "if(l = 'de', 'eu-west-1', '') as LocationConstraint"
+        return self.t.documents.select("source", "lang").distinct().selectExpr(
+            "concat('bucket-', source, '-', lang) as Name", "if(lang = 'de', 'eu-west-1', '') as LocationConstraint"
         )
 
     @cached_property

@@ -133,7 +133,7 @@ def _(g):
 
 
 @query("s7h_s3", f"""
-SELECT '{A}:s3:::bucket-' || source AS urn, {ROOT} AS parent_urn, 'bucket-' || source AS bucket_name FROM documents GROUP BY source HAVING min(lang) <> 'de'""", ["s3"])
+SELECT DISTINCT '{A}:s3:::bucket-' || source || '-' || lang AS urn, {ROOT} AS parent_urn, 'bucket-' || source || '-' || lang AS bucket_name FROM documents WHERE lang <> 'de'""", ["s3"])
 def _(g):
     return _nodes(g, "bucket_name")
 

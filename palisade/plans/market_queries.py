@@ -453,14 +453,18 @@ def _(t):
 
 
 @query("d12_illegal_edges", """
-SELECT e.from_urn, e.to_urn, e.edge_type, 'outgoing' AS side, n.node_type FROM edges e JOIN nodes n ON n.urn = e.from_urn
+, turned AS (SELECT from_urn, to_urn, edge_type FROM edges UNION ALL SELECT to_urn, from_urn, edge_type FROM edges WHERE edge_type = 'models')
+SELECT e.from_urn, e.to_urn, e.edge_type, 'outgoing' AS side, n.node_type FROM turned e JOIN nodes n ON n.urn = e.from_urn
 WHERE (n.node_type, e.edge_type) NOT IN (('codebase', 'contains'), ('file', 'contains'), ('file', 'depends_on'), ('function', 'calls'), ('function', 'reads'), ('function', 'writes'),
   ('class', 'models'), ('schema', 'contains'), ('table', 'contains'), ('column', 'references'), ('identity', 'reads'), ('identity', 'writes'))
-UNION ALL SELECT e.from_urn, e.to_urn, e.edge_type, 'incoming', n.node_type FROM edges e JOIN nodes n ON n.urn = e.to_urn
+UNION ALL SELECT e.from_urn, e.to_urn, e.edge_type, 'incoming', n.node_type FROM turned e JOIN nodes n ON n.urn = e.to_urn
 WHERE (n.node_type, e.edge_type) NOT IN (('file', 'contains'), ('function', 'contains'), ('function', 'calls'), ('class', 'contains'), ('table', 'contains'), ('table', 'reads'),
   ('table', 'writes'), ('table', 'models'), ('column', 'contains'), ('column', 'references'), ('dependency', 'depends_on'))""")
 def _(g):
-    return legality.violations(g).drop("uuid")
+    """Edges of one type are added once more the wrong way round."""
+    kept = g.edges.select("uuid", "edge_type", "from_urn", "to_urn")
+    wrong = g.edges_of("models").select("uuid", "edge_type", F.col("to_urn").alias("from_urn"), F.col("from_urn").alias("to_urn"))
+    return legality.violations(Graph(g.nodes, kept.unionAll(wrong))).drop("uuid")
 
 
 # --- rules -----------------------------------------------------------------------
