@@ -158,9 +158,9 @@ def taken(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, all columns, as often as it is taken."""
+    """The mixed corpus: each row of ``docs``, all columns, as often as it is taken; without words it isn't."""
     sizes = stash(sized(docs).select("doc_id", "source", "size"), "sizes")
-    plan = copies(sizes, seed).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n"))
+    plan = copies(sizes, seed).filter("copies > 0 and size > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n"))
     plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("n").alias("m_n"))
     own = docs.columns
     size = F.size(words(F.col("text"))).cast("long")
