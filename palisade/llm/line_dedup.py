@@ -28,6 +28,8 @@ from palisade.llm.common import release, stash
 
 SHORT = 20
 PARTS = 16
+#: Characters that are hashed together.
+TOGETHER = 200_000
 LAST = (1 << 63) - 1
 #: Documents up to which their ids are broadcast: 16 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -162,6 +164,25 @@ def _numbered(rows):
     return columns
 
 
+def _half_keys(lines: list[str]) -> np.ndarray:
+    """``coarse(m, 2)`` of many lines at once, four keys a line: without either half, for partners as long or longer, and for shorter ones."""
+    with np.errstate(over="ignore"):
+        points = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        n = np.array([len(x) for x in lines])
+        begin = np.cumsum(n) - n
+        sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum(_mix(points + np.uint64(1)) * _powers(_BASE, len(points))[: len(points)], out=sums[1:])
+        down = _powers(_INVERSE, len(points) + 1)
+        since = lambda at: (sums[begin + at] - sums[begin]) * down[begin]
+        whole, out = since(n), []
+        for m in (n, n - 1):
+            cut = m // 2
+            tag = (m * 64 + 2).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            for part, (start, end) in enumerate(((np.zeros_like(n), n - m + cut), (cut, n))):
+                out.append(_mix(since(start) + (whole - since(end)) * down[end - start] + tag + np.uint64(part)))
+    return np.stack(out, axis=1).view(np.int64).ravel()
+
+
 def _halves(rows):
     """``(key, line)`` of long lines, each line of a batch once."""
     seen: dict[int, str] = {}
@@ -169,8 +190,16 @@ def _halves(rows):
         for _, line in _lines(row["body"]):
             if len(line) >= SHORT:
                 seen[_hash(line)] = line
-    keys = [_keys(line, 2)[0] for line in seen.values()]
-    return [np.concatenate(keys) if keys else [], np.repeat(np.array(list(seen), dtype=np.int64), 4)]
+    keys, part, held = [np.zeros(0, dtype=np.int64)], [], 0
+    for line in seen.values():
+        part.append(line)
+        held += len(line)
+        if held > TOGETHER:
+            keys.append(_half_keys(part))
+            part, held = [], 0
+    if part:
+        keys.append(_half_keys(part))
+    return [np.concatenate(keys), np.repeat(np.array(list(seen), dtype=np.int64), 4)]
 
 
 def _shared(pairs: DataFrame, label: str) -> DataFrame:

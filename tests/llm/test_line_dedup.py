@@ -84,3 +84,9 @@ def test_within_one():
     for _ in range(3000):
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 5))) for _ in range(2))
         assert ld.within_one(a, b) == (distance(a, b) <= 1)
+
+
+def test_halves_of_many_lines_equal_those_of_one():
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab é🙂") for _ in range(rng.randint(20, 70))) for _ in range(200)]
+    assert ld._half_keys(lines).reshape(-1, 4).tolist() == [ld._keys(x, 2)[0].tolist() for x in lines]
