@@ -26,6 +26,8 @@ from palisade.llm.common import stash
 K, EVERY = 5, 50
 #: Candidates and queries of a block, on average.
 CANDIDATES, QUERIES = 4096, 512
+#: A search reads one part in so many of each list first, and as many times deeper each round.
+FIRST = 4
 
 
 def whole(vectors: DataFrame) -> DataFrame:
@@ -52,30 +54,31 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        # Four bytes do while no score of any two vectors like these can pass them.
+        widest = int(np.abs(vectors).max(initial=0))
+        small = widest * widest * max(1, vectors.shape[1]) < 1 << 31
+        self.ids, self.vectors = ids[order], vectors[order].astype(np.int32 if small else np.int64)
+        self.widest = widest
         self.sorted = np.sort(self.vectors, axis=0)  # rising
 
     def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The ``k`` best ``(vec_id, score)``, read from the lists only as deep as need be."""
         n = len(self.ids)
+        fits = int(np.abs(query).max(initial=0)) <= self.widest
+        query = query.astype(self.vectors.dtype if fits else np.int64)
         alive = np.flatnonzero(self.ids != own)
         shown = self.vectors[alive] * query
-        ends = np.minimum(self.sorted[0] * query, self.sorted[-1] * query)  # what each list ends in
-        up = query > 0
-        depth = max(k, n // 16)
-        while len(alive) > k:
-            at = min(depth, n) - 1
-            edge = np.where(up, self.sorted[n - 1 - at], self.sorted[at]) * query
-            seen = shown >= edge
-            lower = np.where(seen, shown, ends).sum(axis=1)
+        up, depth = query > 0, max(k, n // FIRST)
+        while len(alive) > k and depth < n:
+            edge = np.where(up, self.sorted[n - depth], self.sorted[depth - 1]) * query
+            ends = np.minimum(self.sorted[0] * query, self.sorted[-1] * query)  # what each list ends in
+            # Unseen values are replaced by what their list ends in, and by its value at this depth.
+            lower = np.where(shown >= edge, shown, ends).sum(axis=1)
             upper = np.maximum(shown, edge).sum(axis=1)
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            stay = upper >= bar
+            stay = upper >= np.partition(lower, len(lower) - k)[len(lower) - k]
             alive, shown = alive[stay], shown[stay]
-            if at == n - 1:
-                break
-            depth *= 2
-        scores = shown.sum(axis=1)
+            depth *= FIRST
+        scores = shown.sum(axis=1, dtype=np.int64)
         best = np.lexsort((self.ids[alive], -scores))[:k]
         return list(zip(self.ids[alive][best].tolist(), scores[best].tolist(), strict=True))
 
