@@ -20,7 +20,9 @@ last and is not in the index; an empty table gives no shard.  Other columns are
 
 from __future__ import annotations
 
+import json
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark import TaskContext
@@ -34,10 +36,11 @@ MAGIC, INDEX_MAGIC = b"IDSHARD1", b"IDINDEX1"
 SHARD_BYTES = 8 << 20
 #: Documents of an index bucket, on average.
 BUCKET_KEYS = 50_000
-#: Words a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+#: Words a worker remembers, and words without case and punctuation; either memory is emptied when full.
+REMEMBERED, REMEMBERED_STEMS = 150_000, 450_000
 END = 1
 _TAIL = ".,!?;:*#$%&)"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 class Encoder:
@@ -48,6 +51,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The same model without the passes that leave a lower-case word of composed letters as it is.
+        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTE_LEVEL]}
+        self.letters = Tokenizer.from_str(json.dumps(plain))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
@@ -64,21 +71,22 @@ class Encoder:
 
     def _letters(self, parts: list[str]) -> list[bytes]:
         """Words of letters only, which have one closing token each, as one text."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, dtype=self.dtype)
+        ids = np.array(self.letters.encode(" ".join(parts), add_special_tokens=False).ids, dtype=self.dtype)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(parts) or stops[-1] != len(ids):
             return self._one_by_one(parts)
-        return [x.tobytes() for x in np.split(ids, stops[:-1])]
+        raw, ends = ids.tobytes(), (stops * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        if len(self.stems) > REMEMBERED:
+        if len(self.stems) > REMEMBERED_STEMS:
             self.stems = {}
         cut, odd = {}, []
         for word in words:
             stem = word.rstrip(_TAIL)
-            if stem.isalpha() and "Σ" not in stem and "İ" not in stem:
+            if stem.isalpha() and "Σ" not in stem and "İ" not in stem and is_normalized("NFC", stem):
                 cut[word] = (stem.lower(), word[len(stem) :])
             else:
                 odd.append(word)
@@ -96,7 +104,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, in ``width`` bytes each."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        words = {w for row in split for w in row}
+        words = set().union(*split)
         if new := words - self.known.keys():
             if len(self.known) > REMEMBERED:
                 new = words
