@@ -26,6 +26,8 @@ time.  Names are 64-bit hashes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +73,10 @@ class Names:
         np.cumsum(_BYTE[data] * _powers(_BASE, n)[:n], out=self.sums[1:])
         self.down = _powers(_INVERSE, n + 1)
 
+    def every(self, length: int) -> np.ndarray:
+        """Names of all substrings of one length."""
+        return _mix((self.sums[length:] - self.sums[:-length]) * self.down[: len(self.sums) - length])
+
     def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         salt = np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return _mix((self.sums[end] - self.sums[start]) * self.down[start] + salt)
@@ -96,9 +102,8 @@ def blocks(text: bytes, length: int = LENGTH) -> np.ndarray:
         for base in range(0, len(data) - length + 1, SEGMENT):
             part = data[base : base + SEGMENT + length - 1]
             names = Names(part)
-            at = np.arange(len(part) - ANCHOR + 1)
-            short = names.of(at, at + ANCHOR)
-            picked = _least((short >> bits << bits) | at.astype(np.uint64), length - ANCHOR + 1) & ((np.uint64(1) << bits) - np.uint64(1))
+            short = names.every(ANCHOR)
+            picked = _least((short >> bits << bits) | np.arange(len(short), dtype=np.uint64), length - ANCHOR + 1) & ((np.uint64(1) << bits) - np.uint64(1))
             picked = picked.astype(np.int64)
             turns = np.flatnonzero(picked[1:] != picked[:-1]) + 1
             first = np.concatenate([[0], turns])
@@ -131,24 +136,26 @@ def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 def own_repeats(text: bytes, length: int = LENGTH) -> np.ndarray:
     """Windows of a text that start earlier in it too."""
     first, last, _, anchor, _ = blocks(text, length)
-    names, back, counts = np.unique(anchor, return_inverse=True, return_counts=True)
-    again = counts[back] > 1
-    if not again.any():
+    rising = np.sort(anchor)
+    if (rising[1:] != rising[:-1]).all():
         return np.zeros(0, dtype=np.int64)
+    _, back, counts = np.unique(anchor, return_inverse=True, return_counts=True)
+    again = counts[back] > 1
     starts = _spread(first[again].astype(np.int64), last[again].astype(np.int64))
     _, once = np.unique(_windows(text, starts, length), return_index=True)
     return np.delete(starts, once)
 
 
-def removed(text: bytes, ranges: list[tuple[int, int]], length: int = LENGTH) -> np.ndarray:
+def removed(text: bytes, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which bytes go, given the ranges of windows that start in earlier documents."""
     edge = np.zeros(len(text) + 1, dtype=np.int32)
     own = own_repeats(text, length)
+    if not len(own) and not len(first):
+        return np.zeros(len(text), dtype=bool)
     np.add.at(edge, own, 1)
     np.add.at(edge, own + length, -1)
-    for first, last in ranges:
-        edge[first] += 1
-        edge[last + length] -= 1
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -175,9 +182,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, ord, tag, body)``: the place in the order, a hash that tells rows of one id apart, the bytes."""
+    """``(doc_id, ord, tag, body)``: the place in the order, 31 bits of hash to tell rows of one id apart, the bytes."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64(body).alias("tag"), body.cast("binary").alias("body"))
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64(body).bitwiseAND((1 << 31) - 1).alias("tag"), body.cast("binary").alias("body"))
 
 
 def _fresh(text: bytes, length: int) -> np.ndarray:
@@ -199,13 +206,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def placed(row):
         own = _fresh(row["body"], length)
         n = own.shape[1]
-        return [_signed(own[3]), _signed(own[4]), np.full(n, row["ord"], dtype=np.int64), np.full(n, row["tag"], dtype=np.int64), *map(_signed, own[:3])]
+        # First window, and how far the last one and the anchor lie from it, in one number.
+        place = own[0] << np.uint64(24) | (own[1] - own[0]) << np.uint64(12) | own[2] - own[0]
+        return [_signed(own[3]), _signed(own[4]), np.full(n, row["ord"], dtype=np.int64), np.full(n, row["tag"], dtype=np.int64), _signed(place)]
 
     anchors = _emit(rows.select("ord", "body"), named, ["anchor", "ord"])
     shared = stash(anchors.groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).filter("a < b").select("anchor"), "anchors")
     release(spark)
-    found = _emit(rows, placed, ["anchor", "block", "ord", "tag", "first", "last", "place"]).join(shared, "anchor", "left_semi")
-    found = stash(found, "blocks")
+    found = _emit(rows, placed, ["anchor", "block", "ord", "tag", "packed"]).join(shared, "anchor", "left_semi")
+    first, off = F.shiftright("packed", 24), lambda shift: F.shiftright("packed", shift).bitwiseAND(4095)
+    found = stash(found.select("anchor", "block", "ord", "tag", first.alias("first"), (first + off(12)).alias("last"), (first + off(0)).alias("place")), "blocks")
     release(spark)
     least = stash(found.groupBy("block").agg(F.min("ord").alias("least"), F.min("anchor").alias("anchor")), "firsts")
     equal = found.join(least.select("block", "least"), "block").filter("ord > least").select("ord", "tag", "first", "last")
@@ -219,16 +229,14 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def longer(row):
         text, parts = row["body"], [(b["block"], b["first"], b["last"], b["place"]) for b in row["open"]]
         block, first, last, place = (np.array(x, dtype=np.int64) for x in zip(*parts, strict=True))
-        groups = [[], [], [], []]
+        groups = [[], [], [], [], []]
         for j in range(-(-(length - ANCHOR + 1) // GROUP)):
             # Windows that start GROUP * j to GROUP * (j + 1) - 1 bytes before the anchor.
             lo, hi = np.maximum(first, place - GROUP * (j + 1) + 1), np.minimum(last, place - GROUP * j)
             some = lo <= hi
-            for held, x in zip(groups, (block[some], lo[some], hi[some], np.full(int(some.sum()), j)), strict=True):
+            for held, x in zip(groups, (block[some], lo[some], hi[some], np.full(int(some.sum()), j), place[some]), strict=True):
                 held.append(x)
-        block, lo, hi, j = map(np.concatenate, groups)
-        where = {p[0]: p[3] for p in parts}
-        at = np.array([where[b] for b in block.tolist()], dtype=np.int64)
+        block, lo, hi, j, at = map(np.concatenate, groups)
         # The bytes that all windows of the group share, were the group whole.
         begin, end = at - GROUP * j, np.minimum(at - GROUP * (j + 1) + 1 + length, len(text))
         name = _substrings(text, begin, end, j)
@@ -271,33 +279,44 @@ def _substrings(text: bytes, begin: np.ndarray, end: np.ndarray, salt: np.ndarra
     return out
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(doc_id, kept, n_bytes, n_removed, n_spans)`` of every row; ``kept``: the bytes that stay."""
+def _cut(docs: DataFrame, length: int, kept: str, keep) -> DataFrame:
+    """Counts of every row and ``kept``: what ``keep`` makes of the bytes that stay."""
     gone = stash(repeats(docs, length).groupBy("ord", "tag").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "gone")
     release(docs.sparkSession)
     gone = gone.select(F.col("ord").alias("g_ord"), F.col("tag").alias("g_tag"), "ranges")
     rows = _rows(docs)
     joined = rows.join(gone, (F.col("ord") == F.col("g_ord")) & (F.col("tag") == F.col("g_tag")), "left").select("doc_id", "body", "ranges")
+    name, kind = kept.split(" ")
 
     def run(stream):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.binary() if kind == "binary" else pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in stream:
             for start in range(0, batch.num_rows, 128):
-                out = []
-                for row in batch.slice(start, 128).to_pylist():
-                    text = row["body"]
-                    mask = removed(text, [(r["first"], r["last"]) for r in row["ranges"] or []], length)
-                    kept = np.frombuffer(text, dtype=np.uint8)[~mask].tobytes()
-                    spans = int((mask[1:] & ~mask[:-1]).sum() + mask[:1].sum())
-                    out.append((row["doc_id"], kept, len(text), int(mask.sum()), spans))
+                part = batch.slice(start, 128)
+                ranges = part.column(2)
+                ends = np.cumsum(ranges.value_lengths().fill_null(0).to_numpy())
+                first, last = (f.to_numpy(zero_copy_only=False) for f in ranges.flatten().flatten())
+                out, at = [], 0
+                for doc_id, text, end in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ends.tolist(), strict=True):
+                    mask = removed(text, first[at:end], last[at:end], length)
+                    at, n = end, int(mask.sum())
+                    left = np.frombuffer(text, dtype=np.uint8)[~mask].tobytes() if n else text
+                    spans = int((mask[1:] > mask[:-1]).sum() + mask[:1].sum()) if n else 0
+                    out.append((doc_id, keep(left), len(text), n, spans))
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", name, "n_bytes", "n_removed", "n_spans"])
+
+    return joined.mapInArrow(run, f"doc_id bigint, {kept}, n_bytes bigint, n_removed bigint, n_spans bigint")
+
 
-    return joined.mapInArrow(run, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(doc_id, kept, n_bytes, n_removed, n_spans)`` of every row; ``kept``: the bytes that stay."""
+    return _cut(docs, length, "kept binary", bytes)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``deduplicate`` with the kept bytes' SHA-256 instead of the bytes."""
-    return deduplicate(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = _cut(docs, length, "kept_sha256 string", lambda left: hashlib.sha256(left).hexdigest())
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
