@@ -5,16 +5,21 @@ boilerplate, with capacities from its tags, class names, length and links; neigh
 page order and blocks below one parent are tied to each other.  The cheapest cut that parts
 the terminals labels all blocks at once: what stays with the content terminal is the text.
 
+Names speak for boilerplate only where they do not hold the page's content: the marks of
+elements around the ``article`` or ``main`` with most text, and of those holding half of
+the text in it (in the page, if there is none), do not count, except for comment lists.
+
 Defined cases: null or empty html gives an empty text; a page cut off anywhere is read as
 far as it goes, a torn tag at its end is dropped; stray end tags and unclosed elements are
-tolerated; a ``<`` that opens no tag is text; repeated pages are read alike; a null
+tolerated; an unclosed button, ``svg`` or the like ends at the next block; formulas are text,
+without their annotations; a ``<`` that opens no tag is text; repeated pages are read alike; a null
 ``page_id`` or ``url`` stays null.  White space is Unicode's, so a no-break space counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -28,7 +33,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page, up to their end tag.
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button xmp noembed noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object select button xmp noembed noframes annotation annotation-xml".split())
+#: Those of them that run to the page's end if their end tag is missing, and those that hold elements of their own name.
+ENDLESS, NESTED = frozenset(("script", "style")), frozenset(("svg", "object", "template"))
 #: A start tag of the key closes an open element of these, if one is open within the nearest block container.
 CLOSES_P = BLOCKS - {"body", "html", "head", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 #: Elements that speak for boilerplate, and those that speak for content.
@@ -41,26 +48,87 @@ ASIDE_WORDS = frozenset(
     "replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
+#: Words that make a name a state of its element, as in ``has-sidebar`` and ``comments-open``.
+STATE_WORDS = frozenset("has no with without open opened closed enabled disabled".split())
+#: Whole names of comment lists, which may well hold most of a page.
+COMMENTS = frozenset(("comment", "comments", "respond"))
+#: Evidence for boilerplate of an element, of its name, and of the name of an element that speaks for content.
+TAG_COST, NAME_COST, CONTENT_NAME_COST = 60, 50, 10
+#: Marks around a block that are weighed one by one; those further in always count.
+MAX_MARKS = 64
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - {'option'}, key=len, reverse=True))})(?=[\s/>])", re.I)
 
 
 class _Open:
-    __slots__ = ("content", "name", "number", "side")
+    """An open element; ``marks`` and ``holders`` are the marked and the content elements around its text, itself included."""
+
+    __slots__ = ("holders", "marks", "name", "number", "side")
+
+    def __init__(self, name: str, number: int, side: int, marks: tuple[int, ...], holders: tuple[int, ...]):
+        self.name, self.number, self.side, self.marks, self.holders = name, number, side, marks, holders
+
+
+def _ends(html: str, name: str) -> dict[int, int]:
+    """Where each element of a name of RAW ends, by its start; unclosed ones are left out."""
+    ends: dict[int, int] = {}
+    starts: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>]|\Z)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", html, re.I):
+        if not m[1]:
+            if name not in NESTED:
+                starts.clear()
+            if name != "svg" or not m[2].endswith("/"):
+                starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
+def _mark(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's names speak for boilerplate, and whether one is that of a comment list."""
+    found = firm = False
+    for m in _NAMES.finditer(attributes):
+        for name in _CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower().split():
+            words = _SPLIT.split(name)
+            if not ASIDE_WORDS.isdisjoint(words) and STATE_WORDS.isdisjoint(words):
+                found, firm = True, firm or name in COMMENTS
+    return found, firm
 
-    def __init__(self, name: str, number: int, side: int, content: bool):
-        self.name, self.number, self.side, self.content = name, number, side, content
+
+def _bearing(out: list[tuple], firm: set[int], around: dict[int, _Open], marks: dict[int, tuple[int, ...]]) -> set[int]:
+    """Marked elements that hold the page's content.  ``around`` has what each content element lies in, ``marks`` the holders of each mark."""
+    size: Counter = Counter()
+    for text, linked, _, side, _, _, own, holders in out:
+        if side < TAG_COST:
+            for x in (0, *own, *holders):
+                size[x] += len(text) - linked
+    scope, bearing = 0, set()
+    for _ in range(8):
+        inner = [(size[h] >> len(set(x.marks) - bearing), -h) for h, x in around.items() if size[h] > 0 and (not scope or scope in x.holders)]
+        if not inner or not max(inner)[0]:
+            break
+        scope = -max(inner)[1]
+        bearing.update(around[scope].marks)
+    within = (x for x, holders in marks.items() if x not in firm and (not scope or scope in holders))
+    return bearing.union(x for x in within if 0 < size[scope] <= 2 * size[x])
 
 
 def blocks(html: str) -> list[tuple]:
     """``(text, linked characters, parent, side, in content, tag)`` of each block; ``side`` is evidence for boilerplate."""
     out: list[tuple] = []
-    stack = [_Open("", 0, 0, False)]
+    stack = [_Open("", 0, 0, (), ())]
     text: list[str] = []
+    costs: dict[int, int] = {}
+    firm: set[int] = set()
+    around: dict[int, _Open] = {}
+    within: dict[int, tuple[int, ...]] = {}
+    ends: dict[str, dict[int, int]] = {}
     state = {"linked": 0, "links": 0, "seen": 0}
 
     def flush() -> None:
@@ -69,7 +137,8 @@ def blocks(html: str) -> list[tuple]:
             if joined:
                 top = next(x for x in reversed(stack) if x.name in BLOCKS or not x.name)
                 parent = stack[max(0, stack.index(top) - 1)].number
-                out.append((joined, state["linked"], parent, stack[-1].side, stack[-1].content, top.name))
+                last = stack[-1]
+                out.append((joined, state["linked"], parent, last.side, bool(last.holders), top.name, last.marks, last.holders))
             text.clear()
         state["linked"] = 0
 
@@ -106,10 +175,21 @@ def blocks(html: str) -> list[tuple]:
                 if name not in BLOCKS and stack[k].name in BLOCKS:
                     break
             continue
-        if name in RAW:
+        if attributes.endswith("/") and name not in VOID and (name in ("svg", "math") or any(x.name == "math" for x in stack)):
+            continue
+        if name in ENDLESS:
             over = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, place)
             place = over.end() if over else size
             continue
+        if name in RAW:
+            if name not in ends:
+                ends[name] = _ends(html, name)
+            over = ends[name].get(m.start())
+            if over is None:
+                after = _BLOCK.search(html, place)
+                over = after.start() if after else size
+            place = over
+            continue
         if name in VOID:
             continue
         closed = ("p",) if name in CLOSES_P else ()
@@ -122,22 +202,31 @@ def blocks(html: str) -> list[tuple]:
                 if stack[k].name in BLOCKS:
                     break
         above = stack[-1]
-        side, content = above.side, above.content or name in CONTENT
-        if name in ASIDE:
-            side += 60
+        state["seen"] += 1
+        number, side, marks, holders = state["seen"], above.side, above.marks, above.holders
+        cost = TAG_COST if name in ASIDE else 0
         if attributes and name not in ("body", "html"):
-            for found in _NAMES.finditer(attributes):
-                value = _CAMEL.sub("-", found[1] or found[2] or found[3] or "").lower()
-                if not ASIDE_WORDS.isdisjoint(_SPLIT.split(value)):
-                    side += 50
-                    break
+            found, comments = _mark(attributes)
+            if found and name in CONTENT:
+                side += CONTENT_NAME_COST
+            elif found:
+                cost += NAME_COST
+                if comments:
+                    firm.add(number)
+        if cost and (name == "form" or name not in ASIDE) and len(marks) < MAX_MARKS:
+            costs[number], within[number], marks = cost, holders, (*marks, number)
+        else:
+            side += cost
+        if name in CONTENT:
+            around[number] = above
+            holders = (*holders, number)[-MAX_MARKS:]
         if name == "a":
             state["links"] += 1
-        state["seen"] += 1
-        stack.append(_Open(name, state["seen"], side, content))
+        stack.append(_Open(name, number, side, marks, holders))
     add(html[place:])
     flush()
-    return out
+    spared = _bearing(out, firm, around, within) if costs else set()
+    return [(*b[:3], b[3] + sum(costs[x] for x in b[6] if x not in spared), *b[4:6]) for b in out]
 
 
 def capacities(block: tuple) -> tuple[int, int]:

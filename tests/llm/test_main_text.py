@@ -49,3 +49,30 @@ def test_given_pages_equal_their_article(spark):
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)
         cut = re.sub(r"<[a-z/!][^>]*(>|\Z)", "", re.sub(r"</?(p|h1)(?=[\s>])[^>]*>", "\x00", inner[1].replace("<br>", " ")))
         assert got[r.page_id].split("\n") == [x for x in (" ".join(unescape(y).split()) for y in cut.split("\x00")) if x]
+
+
+def test_elements_without_text_end_where_they_end():
+    for odd in ("<svg class=i viewBox='0 0 1 1' />", "<svg/>", "<math/>", "<button>Share", "<button>Share<svg><path d=x>", "<select><option>A<option>B", "<iframe src=x>", "<object data=x>",
+                "<svg><svg><text>t</text></svg><text>t</text></svg>", "<button><div>Share</div></button>"):
+        for rest in (f"<p>{LONG}</p>", f"<p>{LONG}</p><div><svg><text>t</text></svg><button>b</button></div>"):
+            assert mt.main_text(f"<article><p>{LONG}</p>{odd}{rest}<p>{LONG}</p></article>") == "\n".join([LONG] * 3), (odd, rest)
+    assert mt.main_text(f"<article><p>{LONG} <button>Share<p>{LONG}</article><script>only") == LONG + "\n" + LONG
+    formula = "<math display=block><semantics><mi>x</mi><mspace width=1 /><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x \\eq 2</annotation></semantics></math>"
+    assert mt.main_text(f"<article><p>{LONG} So {formula} holds.</p></article>") == f"{LONG} So x=2 holds."
+
+
+def test_names_of_wrappers_do_not_lose_the_article():
+    body = f"<h1>Headline</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p>"
+    text = ["Headline", LONG, "Short one.", LONG]
+    comments = f"<div id=comments class='comments-area'><h2>Two replies</h2><article class=comment><p>{LONG}</p></article></div>"
+    side = f"<div class=sidebar><p>{LONG}</p></div><div class='cookie-notice'>We use cookies, please accept them all.</div>"
+    for page in (f"<div class='site has-sidebar'><article>{body}</article>{comments}{side}</div>",
+                 f"<div class='content-sidebar-wrap'><main><div class=widget><article>{body}</article></div>{comments}</main>{side}</div>",
+                 f"<article class='post comments-open'>{body}</article>{comments}{side}",
+                 f"<article class='post social-post'>{body}</article>{comments}{side}",
+                 f"<form id=form1><div id=menuPage role=form><div>{body}</div></div>{side}</form>",
+                 f"<div class='widget Blog'><div class=post>{body * 2}</div></div>{side}"):
+        assert mt.main_text(page).split("\n") == text * page.count("Headline"), page
+    long = f"<div id=comments>{f'<p>{LONG}</p>' * 9}</div>"
+    assert mt.main_text(f"<div class=post>{body}</div>{long}").split("\n") == text
+    assert mt.main_text("<div class=ad>" * 3000 + "x" + "</div>" * 3000 + f"<article>{body}</article>").split("\n") == text
