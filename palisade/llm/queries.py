@@ -27,7 +27,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    token_files.write(docs, folder)
+    token_files.write(docs, folder, added_tokens=True)
     return token_files.read_back(docs, folder)
 
 

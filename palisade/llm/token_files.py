@@ -46,11 +46,11 @@ _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": T
 class Encoder:
     """The tokenizers library word by word: a word's ids don't depend on what blanks set off, so known words are looked up."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         # The same model without the passes that leave a lower-case word of composed letters as it is.
         plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTE_LEVEL]}
@@ -113,13 +113,13 @@ class Encoder:
         return [b"".join(map(known.__getitem__, row)) + self.end for row in split]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    if (path, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, added_tokens] = Encoder(path, added_tokens)
+    return _ENCODERS[path, added_tokens]
 
 
 # --- shards ----------------------------------------------------------------------
@@ -158,8 +158,11 @@ def _files(spark: SparkSession, path: str, by: str) -> DataFrame:
     return found.select(F.regexp_extract("path", rf"/{by}=(\d+)/", 1).cast("long").alias(by), "content")
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encode ``docs`` and write ``folder/shards`` and ``folder/index``."""
+def write(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: int = SHARD_BYTES, added_tokens: bool = False) -> None:
+    """Encode ``docs`` and write ``folder/shards`` and ``folder/index``.
+
+    With ``added_tokens``, the library's default, a text's ``<|endoftext|>`` is that token; else it is plain text.
+    """
     spark = docs.sparkSession
     path = path or public_vocabulary("word_bpe_49k.json")
     ordered = docs.select("doc_id", "text")
@@ -170,7 +173,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: in
     def cut(stream):
         import pyarrow as pa
 
-        own, number = encoder(path), TaskContext.get().partitionId() << 24
+        own, number = encoder(path, added_tokens), TaskContext.get().partitionId() << 24
         keys: list = []
         ids: list[bytes] = []
         held = 0

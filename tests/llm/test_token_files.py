@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from palisade.llm import queries
 from palisade.llm import token_files as tf
 from palisade.llm.common import shared_folder, table
 
@@ -71,3 +72,13 @@ def test_minimal_perfect_hash():
     assert known.all() and (shards == place).all() and (offsets == 3 * place).all() and (sizes == place % 1000).all()
     assert index.n == len(keys) and len(index.fingerprints) == len(keys)
     assert index.find(keys + 1)[0].sum() <= 2
+
+
+def test_query_takes_added_tokens_as_the_library_does(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(library.encode("a <|endoftext|> ok", add_special_tokens=False).ids) == 3
+    texts = [*TEXTS, "a <|endoftext|> ok", "in<|startoftext|>,b<|endoftext|><|endoftext|>\n<|ENDOFTEXT|> <|endoftext|", "é<|endoftext|>́a", "end<|endoftext|>"]
+    rows = list(enumerate(texts))
+    at = folder(spark)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    assert [tuple(r)[:4] for r in queries.op4_token_files(spark, at).orderBy("start").collect()] == brute(rows, library)
