@@ -100,7 +100,8 @@ def _windows_join(bodies: DataFrame, names: DataFrame) -> DataFrame:
 def function_to_table(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """``reads`` edges from functions whose text contains an ORM class name.
 
-    ``sources`` is ``(file_path, source)``; a function's text is its line range.
+    ``sources`` is ``(file_path, source)`` of one tree or ``(file_urn, source)`` of
+    several; a function's text is its line range.
     """
     if sources is None:
         return orm_class_to_table(graph).limit(0)
@@ -109,7 +110,12 @@ def function_to_table(graph: Graph, sources: DataFrame | None = None) -> DataFra
         "urn", "ord", meta.get(nodes, "function_name").alias("f"), meta.get(nodes, "file_path").alias("file_path"),
         meta.get(nodes, "start_line").alias("start"), meta.get(nodes, "end_line").alias("end"),
     ).filter("f is not null and file_path <> '' and start is not null and end is not null")
-    texts = functions.join(sources, "file_path").select(
+    if "file_urn" in sources.columns:
+        functions = functions.withColumn("file_urn", F.expr("left(urn, locate(concat('/', file_path, '/'), urn) + length(file_path))"))
+        sources, key = sources.select("file_urn", "source"), "file_urn"
+    else:
+        key = "file_path"
+    texts = functions.join(sources, key).select(
         F.col("urn").alias("id"), "ord", source_text.lines_between(F.col("source"), F.col("start"), F.col("end")).alias("text")
     ).filter("text <> ''")
     return function_texts_to_tables(graph, texts)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.model import Graph
+from palisade.model import Graph, union_all
 from palisade.operators.enrich import enrich_sensitivity
 from palisade.operators.stitch import resolve, stitch
 from palisade.session import stash
-from palisade.sources.dispatch import Target, load_target
+from palisade.sources.dispatch import Target, load_sources, load_target
 from palisade.sources.store import Sink
 
 
@@ -29,6 +29,14 @@ def assemble(graph: Graph, sources: DataFrame | None = None) -> Graph:
     return linked.with_nodes(enrich_sensitivity(linked.nodes))
 
 
+def source_texts(spark: SparkSession, targets: list[Target]) -> DataFrame | None:
+    """``(file_urn, source)`` of all source trees among the targets, None without one."""
+    found = [s for t in targets if (s := load_sources(spark, t)) is not None]
+    return union_all(found) if found else None
+
+
 def scan(spark: SparkSession, targets: list[Target], sink: Sink, sources: DataFrame | None = None) -> str:
-    """Run a whole scan and return the version written."""
+    """Run a whole scan and return the version written; ``sources`` stands in for the targets' own texts."""
+    if sources is None:
+        sources = source_texts(spark, targets)
     return sink.write(assemble(ingest(spark, targets), sources).validate())

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from palisade.model import Graph
 from palisade.sources import okta
 from palisade.sources.aws import SERVICES, Account, Dump, load_account
 from palisade.sources.catalog import load_catalog
-from palisade.sources.code import CodeScan, read_tree
+from palisade.sources.code import CodeScan, read_lock, read_tree
+from palisade.sources.lockfile import packages
 
 Loader = Callable[[SparkSession, "Target"], Graph]
 
@@ -40,10 +41,15 @@ def _okta(spark: SparkSession, target: Target) -> Graph:
     return okta.load_directory(okta.read_extract(spark, target.location), target.part(3))
 
 
+def _code_scan(spark: SparkSession, target: Target, base: str) -> CodeScan:
+    root = target.part(5).rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
+    return CodeScan(read_tree(spark, target.location), base, root)
+
+
 def _tree(base: str) -> Loader:
     def load(spark: SparkSession, target: Target) -> Graph:
-        root = target.part(5).rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
-        return CodeScan(read_tree(spark, target.location), base, root).graph()
+        own = _code_scan(spark, target, base)
+        return own.graph_with_lock(packages(read_lock(spark, target.location, own.urn)))
 
     return load
 
@@ -54,12 +60,14 @@ def _postgres(spark: SparkSession, target: Target) -> Graph:
     return load_catalog(frames, target.part(5), target.part(3), int(target.part(4)))
 
 
+#: URN prefixes of source trees by scheme.
+TREES = {("git", "repo"): "urn:git:repo:_:_", ("_", "repo"): "urn:local:codebase:_:_"}
+
 LOADERS: dict[tuple[str, str], Loader] = {
     ("aws", "account"): _aws,
     ("okta", "idp"): _okta,
     ("onprem", "postgres"): _postgres,
-    ("git", "repo"): _tree("urn:git:repo:_:_"),
-    ("_", "repo"): _tree("urn:local:codebase:_:_"),
+    **{scheme: _tree(base) for scheme, base in TREES.items()},
 }
 
 
@@ -76,6 +84,12 @@ def load_target(spark: SparkSession, target: Target) -> Graph:
     return LOADERS[scheme](spark, target)
 
 
+def load_sources(spark: SparkSession, target: Target) -> DataFrame | None:
+    """``(file_urn, source)`` of a source tree's files; None for other targets."""
+    base = TREES.get((target.part(1), target.part(2)))
+    return _code_scan(spark, target, base).sources() if base else None
+
+
 def chosen_plugins(mode: str, relevant: list[str], listed: list[str] | None = None) -> list[str]:
     """Plugins to run: an explicit list overrides the mode (all, relevant or manual)."""
     if listed is not None:

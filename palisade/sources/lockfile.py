@@ -39,6 +39,13 @@ def packages(locks: DataFrame) -> DataFrame:
     return locks.select("codebase_urn", "source").mapInPandas(parse, LOCK_SCHEMA)
 
 
+def one_per_name(rows: DataFrame) -> DataFrame:
+    """``packages``' rows, one per name: a URN has no version, so versions locked side by side are listed on one node."""
+    listed = F.array_join(F.array_sort(F.collect_set(F.nullif("version", F.lit("")))), ",")
+    needs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("dependencies"))))
+    return rows.groupBy("codebase_urn", "name").agg(listed.alias("version"), needs.alias("dependencies"))
+
+
 def vulnerability_ids(vulns: Column, prefix: str = "CVE-") -> Column:
     """Sorted distinct ids of one family among ids and aliases of OSV records."""
     names = F.flatten(F.transform(vulns, lambda v: F.concat(F.array(v["id"]), F.coalesce(v["aliases"], F.array().cast("array<string>")))))

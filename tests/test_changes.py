@@ -205,3 +205,45 @@ def test_scan_end_to_end(spark, tmp_path):
     }
     tags = values(g.nodes, "http_method", "route_path", "orm_table")
     assert tags[base + "/main.py/view"] == ("POST", "/x", None) and tags[base + "/models.py/User"] == (None, None, "users")
+
+
+def test_scan_reads_locks_imports_and_source_texts(spark, tmp_path):
+    lock = '''[[package]]
+name = "flask"
+version = "3.0"
+dependencies = [{ name = "click", marker = "a" }, { name = "click", marker = "b" }]
+[[package]]
+name = "click"
+version = "8.1"
+[[package]]
+name = "click"
+version = "8.0"
+'''
+    for name, body in (("shop", "    return session.query(User)\n"), ("other", "    return 1\n\n\n")):
+        repo = tmp_path / name
+        (repo / "node_modules").mkdir(parents=True)
+        (repo / "main.py").write_text("from flask import Flask\nimport os\n\ndef view(session):\n" + body)
+    (tmp_path / "shop" / "models.py").write_text("from sqlalchemy import Column\n\nclass User(Base):\n    __tablename__ = 'users'\n")
+    (tmp_path / "shop" / "uv.lock").write_text(lock)
+    (tmp_path / "shop" / "node_modules" / "uv.lock").write_text(lock.replace("flask", "hidden"))
+    db = tmp_path / "db"
+    frames = {
+        "schemata": [("public",)], "tables": [("public", "users", "BASE TABLE")], "columns": [], "foreign_keys": [], "roles": [], "grants": [],
+    }
+    ddl = {
+        "schemata": "schema_name string", "tables": "table_schema string, table_name string, table_type string",
+        "columns": "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean, character_maximum_length int, numeric_precision int, numeric_scale int",
+        "foreign_keys": "constraint_name string, fk_schema string, fk_table string, fk_column string, ref_schema string, ref_table string, ref_column string, ordinal_position int",
+        "roles": "role_name string, can_login boolean, is_superuser boolean",
+        "grants": "grantee string, table_schema string, table_name string, privilege_type string, is_grantable boolean",
+    }
+    for name, rows in frames.items():
+        spark.createDataFrame(rows, ddl[name]).write.parquet(str(db / name))
+    store = ParquetStore(spark, str(tmp_path / "graph"))
+    targets = [Target(f"urn:_:repo:_:_:{tmp_path / n}", str(tmp_path / n)) for n in ("shop", "other")] + [Target("urn:onprem:postgres:h:5432:shop", str(db))]
+    g = store.read(scan.scan(spark, targets, store))
+    base = "urn:local:codebase:_:_:shop"
+    assert values(g.nodes.filter("node_type = 'dependency'"), "package_version") == {base + "/dep/flask": ("3.0",), base + "/dep/click": ("8.0,8.1",)}
+    links = sorted((r.from_urn.replace(base, ""), r.to_urn.replace(base, "")) for r in g.edges_of("depends_on").collect())
+    assert links == [("/dep/flask", "/dep/click"), ("/main.py", "/dep/flask"), ("/uv.lock", "/dep/click"), ("/uv.lock", "/dep/flask")]
+    assert [(r.from_urn, r.to_urn.rsplit("/", 1)[-1]) for r in g.edges_of("reads").collect()] == [(base + "/main.py/view", "users")]
