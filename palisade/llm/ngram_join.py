@@ -27,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from palisade.llm.common import in_arrow, stash
 from palisade.operators.traverse import components
@@ -248,6 +249,11 @@ def join_blocks(rows: list[tuple], threshold: int) -> list[dict]:
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row."""
+    return _grouped(docs, n, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """``near_duplicates`` with ``key``, the row's set, and ``group``, a key that its component shares."""
     described, left = classes(docs, n, threshold)
     members = stash(_members(docs, left, n, threshold), "members")
     joined = components(stash(links(members, threshold), "links")).select(F.col("urn").alias("c_key"), F.col("component").alias("label"))
@@ -255,13 +261,44 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) ->
     reps = described.filter("size > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     named = stash(reps.join(joined, F.col("key") == F.col("c_key"), "left").select("key", "rep", "label"), "named")
     least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    named = named.join(least, "label", "left").select(F.col("key").alias("r_key"), F.coalesce("least", "rep").alias("component"))
+    named = named.join(least, "label", "left").select(F.col("key").alias("r_key"), F.coalesce("least", "rep").alias("component"), "label")
     return described.join(named, F.col("key") == F.col("r_key"), "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        "key", F.coalesce("label", "key").alias("group"),
     )
 
 
+def _keyed(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the key of each row's set; null without words."""
+    schema = StructType([*docs.schema.fields, StructField("set_key", BinaryType())])
+
+    def run(stream):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in stream:
+            sets = (grams(t, n) for t in batch.column("text").to_pylist())
+            keys = pa.array([xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None for own in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "set_key"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """Rows of ``docs``, all columns, but of each component only those of its least ``doc_id``; without words or id they stay."""
-    gone = near_duplicates(docs, n, threshold).filter("component_id <> doc_id and n_shingles > 0").select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    """Rows of ``docs``, all columns, but of each component only one, of its least ``doc_id``; without words they stay.
+
+    A row is told by its id, where that is repeated or null by its set too.  Sets that
+    only rows without an id have are alike when equal, and one row of each stays.
+    """
+    found = stash(_grouped(docs, n, threshold), "grouped")
+    repeated = stash(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("r_id")).count().filter("count > 1").select("r_id"), "repeated")
+    gone = found.filter("component_id <> doc_id and n_shingles > 0").select(F.col("doc_id").alias("r_id")).unionByName(repeated).distinct()
+    plain = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("r_id"), "left_anti")
+    if repeated.isEmpty() and found.filter("doc_id is null").isEmpty():
+        return plain
+    odd = docs.filter("doc_id is null").unionByName(docs.join(repeated, F.col("doc_id") == F.col("r_id"), "left_semi"))
+    odd = stash(_keyed(odd, n), "odd")
+    sets = found.filter("n_shingles > 0").groupBy(F.col("key").alias("g_key")).agg(F.min("group").alias("g_group"), F.min("component_id").alias("g_least"))
+    own = odd.join(sets, F.col("set_key") == F.col("g_key")).filter("g_least is null or doc_id = g_least")
+    first = own.groupBy("g_group").agg(F.min_by(F.struct(*docs.columns), F.struct("set_key", "text")).alias("row")).select("row.*")
+    return plain.unionByName(odd.filter("set_key is null").select(docs.columns)).unionByName(first)

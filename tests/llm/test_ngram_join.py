@@ -94,3 +94,14 @@ def test_given_documents_and_keep_one(spark):
     assert sorted(map(tuple, nj.near_duplicates(docs).collect())) == want
     kept = nj.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in want})
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (9, "a b c d e f"), (9, "other words are here now"), (9, "unlike all of the rest"), (9, "unlike all of the rest"), (9, ""), (9, ""), (12, "other words are here now"),
+            (3, "same set"), (3, "same  set"), (None, "a b c d e f"), (None, "lonely words"), (None, "Lonely words"), (None, None), (None, "further words"), (15, "alone"), (16, None)]
+    docs = spark.createDataFrame([(*r, b"x", {"k": 1}) for r in rows], "doc_id long, text string, key binary, more map<string,int>")
+    got = nj.keep_one(docs.withColumnRenamed("key", "raw"))
+    assert got.columns == ["doc_id", "text", "raw", "more"]
+    want = [(1, "a b c d e f"), (9, "other words are here now"), (9, "unlike all of the rest"), (9, ""), (9, ""), (3, "same  set"), (None, "Lonely words"), (None, None), (None, "further words"), (15, "alone"), (16, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.text) for r in nj.keep_one(docs).collect()), key=str) == sorted(want, key=str)
