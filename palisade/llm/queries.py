@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, line_dedup, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files, topk_search
+from palisade.llm import bpe, filter_audit, line_dedup, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files, topk_search
 from palisade.llm.common import shared_folder, table
 
 
@@ -56,6 +56,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -67,9 +71,10 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-#: Whole numbers make the scores of the search exact in SQL too; the other operators have no SQL form or are too slow in it.
+#: Whole numbers make scores and counts exact in SQL too; the other operators have no SQL form or are too slow in it.
 ORACLES: dict[str, str] = {
     "op8_topk_search": """
         WITH sound AS (
@@ -85,4 +90,49 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op11_filter_audit": r"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+        firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+        counted AS (
+            SELECT doc_id, part, text, first, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words
+            FROM texts JOIN firsts USING (text)
+        ), failed AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+            FROM counted
+        ), said AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+            FROM labels GROUP BY doc_id
+        ), cells AS (
+            SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+            FROM failed LEFT JOIN said USING (doc_id) GROUP BY part, fails
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), steps AS (
+            SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+            FROM orders, range(1, 6) t(step)
+        ), placed AS (
+            SELECT part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) AS hit,
+                   len(translate(fails, before, '')) = len(fails) AS reached
+            FROM cells, steps
+        ), summed AS (
+            SELECT part, filter_order, step, own,
+                   CAST(coalesce(sum(n) FILTER (WHERE reached AND NOT hit), 0) AS BIGINT) AS kept,
+                   CAST(coalesce(sum(n) FILTER (WHERE reached AND hit), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (WHERE hit AND NOT reached), 0) AS BIGINT) AS redundant,
+                   CAST(coalesce(sum(n) FILTER (WHERE fails = own), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (WHERE reached AND hit), 0) AS BIGINT) AS good_lost,
+                   CAST(coalesce(sum(toxic) FILTER (WHERE reached AND hit), 0) AS BIGINT) AS toxic_lost
+            FROM placed GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM summed
+    """,
 }
