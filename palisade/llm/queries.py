@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, filter_audit, line_dedup, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files, topk_search
+from palisade.llm import bpe, filter_audit, line_dedup, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files, topk_search, warc
 from palisade.llm.common import shared_folder, table
 
 
@@ -60,6 +60,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), folder)
+    return warc.archived_pages(spark, folder)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -72,6 +78,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
 }
 
 #: Whole numbers make scores and counts exact in SQL too; the other operators have no SQL form or are too slow in it.
@@ -135,4 +142,17 @@ ORACLES: dict[str, str] = {
                CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
         FROM summed
     """,
+    "op12_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        placed AS MATERIALIZED (
+            SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last FROM payloads
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr(
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST(('0x' || substr(hex, 1 + 5 * (i // 4), 5)) AS INTEGER) // [32768, 1024, 32, 1][1 + i % 4] % 32, 1)), '') AS payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+        FROM placed
+    """,
 }
