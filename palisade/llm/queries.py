@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, filter_audit, line_dedup, main_text, mixing, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_files, topk_search, warc
+from palisade.llm import bpe, filter_audit, line_dedup, main_text, mixing, ngram_join, quality_cnn, quality_rules, source_divergence, suffix_dedup, token_files, topk_search, warc
 from palisade.llm.common import shared_folder, table
 
 
@@ -66,6 +66,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(spark, folder)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
     "op12_warc": op12_warc,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: Whole numbers make scores and counts exact in SQL too; the other operators have no SQL form or are too slow in it.
@@ -155,4 +160,37 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
         FROM placed
     """,
+    "op13_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), tokens AS MATERIALIZED (
+            SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+        ), kept AS MATERIALIZED (
+            SELECT lang, term, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS size, count(*) OVER (PARTITION BY lang) AS v
+            FROM tokens GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+        ), counts AS (SELECT lang, source, term, count(*) AS n FROM tokens GROUP BY ALL),
+        groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+        spelled AS (
+            SELECT lang, source, term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY lang, source) AS size, v
+            FROM groups JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)
+        ), shares AS MATERIALIZED (
+            SELECT lang, source, term, n, CAST(1 + 1000000000 * (n + 1) // (size + v) AS BIGINT) AS p FROM spelled
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), every_pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+        ), priced AS (
+            SELECT s.lang, s.source, s.term, s.p, CAST(1 + 1000000000 * (k.n + 1) // (k.size + k.v) AS BIGINT) AS q
+            FROM shares s JOIN kept k ON s.lang = k.lang AND s.term = k.term WHERE s.n > 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (FROM every_pair UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM priced WHERE p > q)
+        )
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
