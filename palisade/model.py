@@ -233,6 +233,14 @@ class Graph:
     def edges_of(self, *types: str) -> DataFrame:
         return self.edges.filter(F.col("edge_type").isin(*types))
 
+    def edge_types(self) -> list[str] | None:
+        """Types of edges there may be, if that is known without reading any."""
+        return None
+
+    def version(self) -> str | None:
+        """What the graph was computed from, where equal text means equal inputs; None if that is not known."""
+        return None
+
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return replace(self, nodes=nodes)
 
@@ -292,6 +300,9 @@ class PartGraph(Graph):
         parts = [frame for kind, frame in self.edge_parts if kind in types]
         return union_all(parts) if parts else self.edge_parts[0][1].limit(0)
 
+    def edge_types(self) -> list[str]:
+        return sorted({kind for kind, _ in self.edge_parts})
+
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return Graph(nodes, self.edges, self.soft_links)
 

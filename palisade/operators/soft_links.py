@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import ids, meta
 from palisade.functions.scalars import CONFIDENCE_LEVELS, confidence_score
 from palisade.model import DEFAULT_ORG, SOFT_LINK_SCHEMA, Graph, union_all
+from palisade.operators.adjacency import adjacency_of
 from palisade.operators.search import labelled
 from palisade.session import stash
 
@@ -128,4 +129,8 @@ def with_link_edges(graph: Graph, compat: bool = False) -> Graph:
     """The graph as questions see it: scanned edges plus the soft links' edges."""
     if graph.soft_links is None:
         return graph
-    return Graph(graph.nodes, union_all([graph.edges, link_edges(graph, compat)]), graph.soft_links)
+    edges = link_edges(graph, compat)
+    linked = Graph(graph.nodes, union_all([graph.edges, edges]), graph.soft_links)
+    # what is stored of the scanned edges serves the whole; links are made by hand, so few
+    object.__setattr__(linked, "_adjacency", adjacency_of(graph).plus(edges))
+    return linked

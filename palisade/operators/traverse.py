@@ -1,11 +1,11 @@
 """Graph traversal: reachability, ego graphs, shortest paths, components.
 
-Every loop here moves one *level* per round.  A round is one join of the
-frontier against a compact ``(src, dst)`` adjacency table and an anti-join
-against what was seen; both inputs are tables written by the previous round, so
-lineage never grows and Spark sees their true sizes.  A small frontier is
-therefore broadcast (the adjacency is not shuffled at all); a big one falls back
-to a shuffled join that AQE splits when one vertex holds much of the edges.
+Every loop here moves one *level* per round over the stored links of the graph
+(:mod:`palisade.operators.adjacency`).  A round is one join of the frontier with the links and
+an anti-join against what was seen; it reads tables written by earlier rounds, so
+lineage never grows and Spark sees their true sizes.  No round writes or shuffles
+all links: a few vertices are looked up, a small frontier is broadcast, and only a
+big one falls back to a shuffled join that AQE splits when one vertex holds much of the edges.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.model import Graph
-from palisade.session import stash, stash_at
+from palisade.operators.adjacency import adjacency_of, next_to
+from palisade.session import stash, stash_counted
 
 UNBOUNDED = 1 << 30
 
@@ -36,13 +37,12 @@ def orient(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
 
 
 def adjacency(graph: Graph, types: list[str] | None, direction: str) -> DataFrame:
-    """Oriented pairs of the followed types; self-loops lead nowhere new.
+    """Stored ``(src, dst)`` pairs of the followed types; self-loops lead nowhere new.
 
     Repeated pairs are left in: every round deduplicates what it finds, which is
     cheaper than a shuffle of all edges up front.
     """
-    edges = graph.edges if types is None else graph.edges_of(*types)
-    return orient(edges, direction).filter("src <> dst")
+    return adjacency_of(graph).links(types, direction).select("src", "dst").filter("src <> dst")
 
 
 def _seed(spark: SparkSession, start: str | DataFrame) -> DataFrame:
@@ -52,24 +52,23 @@ def _seed(spark: SparkSession, start: str | DataFrame) -> DataFrame:
 
 
 def reach(adj: DataFrame, start: str | DataFrame, max_depth: int = UNBOUNDED) -> DataFrame:
-    """G1: ``(urn, depth)`` of all vertices within ``max_depth`` hops of the start set."""
+    """G1: ``(urn, depth)`` of all vertices within ``max_depth`` hops of the start set; ``adj`` is read once per hop."""
     spark = adj.sparkSession
-    adj = stash(adj, "adj")
-    frontier, path = stash_at(_seed(spark, start).withColumn("depth", F.lit(0)), "level")
+    frontier, path, size = stash_counted(_seed(spark, start).withColumn("depth", F.lit(0)), "level")
     schema, levels = frontier.schema, [path]
     depth = 0
     while depth < max_depth:
         depth += 1
         seen = spark.read.schema(schema).parquet(*levels).select("urn")
         found = (
-            adj.join(frontier.select(F.col("urn").alias("src")), "src")
+            next_to(adj, frontier.select(F.col("urn").alias("src")), size)
             .select(F.col("dst").alias("urn"))
             .distinct()
             .join(seen, "urn", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier, path = stash_at(found, "level")
-        if frontier.isEmpty():
+        frontier, path, size = stash_counted(found, "level")
+        if not size:
             break
         levels.append(path)
     return spark.read.schema(schema).parquet(*levels)
@@ -98,8 +97,8 @@ def with_node_type(vertices: DataFrame, graph: Graph) -> DataFrame:
 
 def ego_nodes(graph: Graph, center: str, hops: int = 2) -> DataFrame:
     """G3/G8 vertex set: within ``hops`` of the center, ``contains`` not followed."""
-    semantic = graph.edges.filter("edge_type <> 'contains'")
-    return reach(adjacency(graph.with_edges(semantic), None, "both"), center, hops)
+    semantic = adjacency_of(graph).links(None, "both").filter("edge_type <> 'contains' and src <> dst")
+    return reach(semantic.select("src", "dst"), center, hops)
 
 
 def subgraph(graph: Graph, center: str, hops: int = 2) -> Graph:
@@ -110,6 +109,13 @@ def subgraph(graph: Graph, center: str, hops: int = 2) -> Graph:
     return Graph(nodes, edges, graph.soft_links)
 
 
+def subgraph_links(graph: Graph, center: str, hops: int = 2) -> DataFrame:
+    """G3's edges without their metadata, from the stored links: ``(uuid, from_urn, to_urn, edge_type)``."""
+    inside = ego_nodes(graph, center, hops).select("urn")
+    links = adjacency_of(graph).links(None, "outgoing").select("uuid", F.col("src").alias("from_urn"), F.col("dst").alias("to_urn"), "edge_type")
+    return induced(links, inside)
+
+
 def induced(edges: DataFrame, inside: DataFrame) -> DataFrame:
     """Edges with both ends in the vertex set."""
     return edges.join(inside.select(F.col("urn").alias("from_urn")), "from_urn", "left_semi").join(
@@ -126,80 +132,92 @@ def subgraph_type_counts(graph: Graph, center: str, hops: int = 2) -> DataFrame:
 # --- shortest paths -----------------------------------------------------------
 
 
-def _distances(adj: DataFrame, sources: DataFrame, dests: DataFrame) -> DataFrame:
-    """``(dest, urn, depth)``: hops to each destination, grown until its sources are met.
+class _Balls:
+    """Vertices around each of several ends, a layer at a time, with their least shortest path.
 
-    The search runs once per *destination*; a destination stops growing as soon
-    as it has met every source.  No (source, dest) pair is spelled out before a
-    path between the two is known to exist.
+    A layer is ``(key, urn, path)``.  Links go both ways, so what a layer leads to lies in the
+    layer before, the layer itself or the next one: only these two are looked at again.
+    ``path`` leads away from the end, or towards it.
     """
-    spark = adj.sparkSession
-    wanted = sources.count()
-    start = dests.select(F.col("urn").alias("dest"), "urn", F.lit(0).alias("depth"))
-    frontier, path = stash_at(start, "dist")
-    schema, levels = frontier.schema, [path]
-    depth = 0
-    while True:
-        depth += 1
-        seen = spark.read.schema(schema).parquet(*levels)
-        finished = (
-            seen.join(sources, "urn", "left_semi").groupBy("dest").agg(F.count("*").alias("met")).filter(F.col("met") == wanted)
-        )
-        active = frontier.join(finished, "dest", "left_anti")
-        found = (
-            adj.join(active.select("dest", F.col("urn").alias("src")), "src")
-            .select("dest", F.col("dst").alias("urn"))
-            .distinct()
-            .join(seen.select("dest", "urn"), ["dest", "urn"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier, path = stash_at(found, "dist")
-        if frontier.isEmpty():
-            break
-        levels.append(path)
-    return spark.read.schema(schema).parquet(*levels)
+
+    def __init__(self, ends: DataFrame, away: bool):
+        self.away, self.before = away, None
+        self.layer, _, self.size = stash_counted(ends.select(F.col("urn").alias("key"), "urn", F.array("urn").alias("path")), "ball")
+
+    def grow(self, adj: DataFrame, done: DataFrame | None) -> None:
+        """One layer more, around the ends that are not ``done``."""
+        frontier = self.layer if done is None else self.layer.join(done, "key", "left_anti")
+        step = next_to(adj, frontier.select("key", F.col("urn").alias("src"), "path"), self.size)
+        step = step.groupBy("key", F.col("dst").alias("urn")).agg(F.min("path").alias("path"))
+        for old in [self.layer] if self.before is None else [self.layer, self.before]:
+            step = step.join(old.select("key", "urn"), ["key", "urn"], "left_anti")
+        own = F.array("urn")
+        path = F.concat("path", own) if self.away else F.concat(own, F.col("path"))
+        self.before = self.layer
+        self.layer, _, self.size = stash_counted(step.select("key", "urn", path.alias("path")), "ball")
+
+
+def _partners(adj: DataFrame, sources: DataFrame, dests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(urn, wanted)`` for the sources and for the destinations that have partners in their component, other than themselves."""
+    parts = components(adj)
+    ends = sources.withColumn("s", F.lit(1)).join(dests.withColumn("d", F.lit(1)), "urn", "full")
+    ends = stash(ends.join(parts, "urn").select("urn", "component", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("d", F.lit(0)).alias("d")), "ends")
+    per = ends.groupBy("component").agg(F.sum("s").alias("ss"), F.sum("d").alias("ds"))
+    counted = stash(ends.join(per, "component"), "ends")
+    both = F.col("s") * F.col("d")
+    return (
+        counted.filter("s = 1").select("urn", (F.col("ds") - both).alias("wanted")).filter("wanted > 0"),
+        counted.filter("d = 1").select("urn", (F.col("ss") - both).alias("wanted")).filter("wanted > 0"),
+    )
 
 
 def shortest_paths(graph: Graph, sources: DataFrame, dests: DataFrame, edge_types: str = "") -> DataFrame:
     """Undirected shortest path of every source/destination pair that has one.
 
-    ``sources`` and ``dests`` are frames of ``urn``.  Ties go to the
-    lexicographically least vertex sequence: walking from the source, every hop
-    takes the least neighbour that is one step closer.
+    ``sources`` and ``dests`` are frames of ``urn``.  Balls grow around both, the smaller side
+    by a layer each round; where the outermost layers of a source and a destination first
+    meet, their distance is the sum of the layers' numbers.  So balls reach half the distance,
+    and an end stops growing when it has met all its partners.  With several ends, components tell how many
+    partners each has; ends without any never grow.
+
+    Ties go to the lexicographically least vertex sequence from the source: a ball keeps the
+    least path of each vertex, and of the vertices where a pair meets the least path leads on.
     """
     types = edge_types.split(",") if edge_types else None
-    adj = stash(adjacency(graph, types, "both"), "adj")
+    adj = adjacency(graph, types, "both")
     sources = stash(sources.select("urn").distinct(), "ends")
-    dist = _distances(adj, sources, stash(dests.select("urn").distinct(), "ends"))
-    walk = stash(
-        dist.join(sources, "urn", "left_semi")
-        .filter("urn <> dest")
-        .select(
-            "dest", F.col("urn").alias("source"), F.col("depth").alias("hops"), F.col("urn").alias("at"),
-            F.array("urn").alias("path"),
-        ),
-        "walk",
-    )
-    done = walk.limit(0)
-    longest = walk.agg(F.max("hops")).first()[0] or 0
-    for step in range(1, longest + 1):
-        moving = walk.filter(F.col("hops") >= step)
-        done = done.unionByName(walk.filter(F.col("hops") < step))
-        closer = dist.select("dest", F.col("urn").alias("dst"), "depth")
-        nxt = (
-            moving.join(adj.withColumnRenamed("src", "at"), "at")
-            .join(closer, ["dest", "dst"])
-            .filter(F.col("depth") == F.col("hops") - step)
-            .groupBy("source", "dest")
-            .agg(F.min("dst").alias("at"))
-        )
-        walk = stash(
-            moving.select("source", "dest", "hops", "path")
-            .join(nxt, ["source", "dest"])
-            .select("dest", "source", "hops", "at", F.concat("path", F.array("at")).alias("path")),
-            "walk",
-        )
-    return done.unionByName(walk).select("source", "dest", "hops", "path")
+    dests = stash(dests.select("urn").distinct(), "ends")
+    single = sources.count() * dests.count() == 1
+    wants = None
+    if single:
+        total = 1 - sources.join(dests, "urn").count()
+    else:
+        wants = _partners(adj, sources, dests)
+        sources, dests = wants[0], wants[1]
+        total = int(sources.agg(F.sum("wanted")).first()[0] or 0)
+    near, far = _Balls(sources, away=True), _Balls(dests, away=False)
+    spark, schema, found, met = graph.spark, "source string, dest string, hops int, path array<string>", [], 0
+    hops = 0
+    while met < total and near.size and far.size:
+        hops += 1
+        before = spark.read.schema(schema).parquet(*found) if found else None
+        side, key = (near, "source") if near.size <= far.size else (far, "dest")
+        done = None
+        if before is not None and wants is not None:
+            wanted = wants[key == "dest"].select(F.col("urn").alias("key"), "wanted")
+            done = before.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).join(wanted, "key").filter("n = wanted").select("key")
+        side.grow(adj, done)
+        ahead = near.layer.select(F.col("key").alias("source"), "urn", F.col("path").alias("ahead"))
+        back = far.layer.select(F.col("key").alias("dest"), "urn", F.col("path").alias("back"))
+        pairs = ahead.join(back, "urn").filter("source <> dest").groupBy("source", "dest").agg(F.min(F.struct("ahead", "back")).alias("p"))
+        if before is not None:
+            pairs = pairs.join(before.select("source", "dest"), ["source", "dest"], "left_anti")
+        path = F.concat("p.ahead", F.slice("p.back", 2, F.greatest(F.size("p.back") - 1, F.lit(0))))
+        _, place, n = stash_counted(pairs.select("source", "dest", F.lit(hops).alias("hops"), path.alias("path")), "met")
+        if n:
+            found.append(place)
+            met += n
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
 def find_shortest_path(graph: Graph, source: str, dest: str, edge_types: str = "") -> DataFrame:
@@ -213,17 +231,14 @@ def find_shortest_path(graph: Graph, source: str, dest: str, edge_types: str = "
         lone = spark.createDataFrame([(0, source)], "step int, urn string")
         return lone.select("step", "urn", F.lit(None).cast("string").alias("arrow"))
     ends = [spark.createDataFrame([(urn,)], "urn string") for urn in (source, dest)]
-    hops = shortest_paths(graph, *ends, edge_types).select(F.posexplode("path").alias("step", "urn"))
-    hops = stash(hops, "hops")
-    links = hops.join(hops.select((F.col("step") - 1).alias("step"), F.col("urn").alias("next")), "step")
-    known = graph.edges.select("from_urn", "to_urn", "edge_type", "uuid")
-    ahead = links.join(known, (F.col("urn") == F.col("from_urn")) & (F.col("next") == F.col("to_urn")))
-    back = links.join(known, (F.col("urn") == F.col("to_urn")) & (F.col("next") == F.col("from_urn")))
+    hops, _, size = stash_counted(shortest_paths(graph, *ends, edge_types).select(F.posexplode("path").alias("step", "urn")), "hops")
+    links = hops.join(hops.select((F.col("step") - 1).alias("step"), F.col("urn").alias("next")), "step").withColumnRenamed("urn", "src")
+    arrow = F.concat(F.when(F.col("way") == "out", "-->").otherwise("<--"), F.col("edge_type"))
     arrows = (
-        ahead.select("step", F.struct(F.lit(0).alias("rank"), "uuid", F.concat(F.lit("-->"), "edge_type").alias("arrow")).alias("a"))
-        .unionAll(back.select("step", F.struct(F.lit(1).alias("rank"), "uuid", F.concat(F.lit("<--"), "edge_type").alias("arrow")).alias("a")))
+        next_to(adjacency_of(graph).links(None, "both"), links, size)
+        .filter(F.col("dst") == F.col("next"))
         .groupBy("step")
-        .agg(F.min("a")["arrow"].alias("arrow"))
+        .agg(F.min(F.struct((F.col("way") == "in").alias("rank"), "uuid", arrow.alias("arrow")))["arrow"].alias("arrow"))
     )
     return hops.join(arrows, "step", "left").select("step", "urn", "arrow").orderBy("step")
 
@@ -300,6 +315,6 @@ def weak_components(graph: Graph, types: tuple[str, ...] = ("calls", "instantiat
 
 __all__ = [
     "adjacency", "components", "ego_nodes", "find_shortest_path", "induced", "orient", "reach",
-    "shortest_paths", "subgraph", "subgraph_type_counts", "trace_data_path",
+    "shortest_paths", "subgraph", "subgraph_links", "subgraph_type_counts", "trace_data_path",
     "weak_components", "with_node_type",
 ]

@@ -332,6 +332,13 @@ class MarketGraph(Graph):
             return super().edges_of(*types)
         return union_all([f for k in known for f in self.edges_by.of(k)])
 
+    def edge_types(self) -> list[str]:
+        return list(MarketEdges.TYPES)
+
+    def version(self) -> str:
+        """Folder, and number, sizes and times of the files of its tables."""
+        return f"market {self.tables.folder} {self.tables.state('customer', 'events', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier')}"
+
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return Graph(nodes, self.edges, self.soft_links)
 

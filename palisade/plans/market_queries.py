@@ -360,7 +360,7 @@ _EGO = _reach_sql(CUSTOMER, "", 2, _pairs("", "both"))
 
 @query("g3_subgraph_edges", _EGO + "SELECT from_urn, to_urn, edge_type FROM edges WHERE from_urn IN (SELECT urn FROM reached) AND to_urn IN (SELECT urn FROM reached)")
 def _(g):
-    return traverse.subgraph(g, CUSTOMER, 2).edges.select("from_urn", "to_urn", "edge_type")
+    return traverse.subgraph_links(g, CUSTOMER, 2).select("from_urn", "to_urn", "edge_type")
 
 
 @query("g8_focus_nodes", _EGO + "SELECT urn, depth FROM reached")

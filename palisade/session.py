@@ -56,3 +56,9 @@ def stash_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def stash_counted(df: DataFrame, label: str) -> tuple[DataFrame, str, int]:
+    """As ``stash_at``, with the number of rows, which comes from the footers of the files."""
+    frame, path = stash_at(df, label)
+    return frame, path, frame.count()

@@ -1,8 +1,9 @@
 """Following changes with Structured Streaming.
 
 The graph itself is immutable; users append requests (metadata patches, link
-requests) to a log folder.  A stream over the log folds each micro-batch into a
-new store version, which replaces polling a file and reloading it.  There are
+requests) to a log folder.  A stream over the log writes each micro-batch as a change
+of the store, which replaces polling a file and reloading it, and reads no more of
+the graph than the batch needs; every ``COMPACT_AFTER`` changes become a new base.  There are
 no windows, watermarks or late data to handle: a batch is applied in ``seq``
 order and replays are harmless because ids are derived from content.
 """
@@ -12,29 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from palisade.model import Graph
-from palisade.operators import mutate, soft_links
 from palisade.sources.store import ParquetStore
 
 PATCH_LOG = "urn string, seq bigint, patch string"
 LINK_LOG = "from_urn string, to_urn string, edge_type string, confidence_level string, note string, created_at string"
 
 
+#: Changes of a base that are folded on every read before they are written into a new one.
+COMPACT_AFTER = 64
+
+
 def apply_patch_batch(store: ParquetStore, batch: DataFrame) -> str | None:
     """One batch of ``(urn, seq, patch)``: shallow merges into node metadata, as a new version."""
     if batch.isEmpty():
         return None
-    graph = store.read()
-    keys = [r["k"] for r in batch.selectExpr("explode(json_object_keys(patch)) as k").distinct().collect()]  # bounded by the vocabulary in use
-    nodes = mutate.apply_patches(graph.nodes, mutate.merged_patches(batch), keys)
-    return store.write(Graph(nodes, graph.edges, graph.soft_links))
+    store.update_node_metadata(batch)
+    return store.compact(COMPACT_AFTER)
 
 
 def apply_link_batch(store: ParquetStore, batch: DataFrame) -> str | None:
     """One batch of link requests; unacceptable ones are dropped, known ones not repeated."""
     if batch.isEmpty():
         return None
-    return store.write(soft_links.add_soft_links(store.read(), batch))
+    store.add_soft_links(batch)
+    return store.compact(COMPACT_AFTER)
 
 
 def follow(spark: SparkSession, store: ParquetStore, log: str, checkpoint: str, kind: str = "patch", **trigger) -> StreamingQuery:

@@ -113,6 +113,36 @@ def test_store_keeps_versions_and_links(small, tmp_path, spark):
     assert "PartitionFilters: [isnotnull(node_type" in plan
 
 
+ASK = "from_urn string, to_urn string, edge_type string, confidence_level string, note string, created_at string"
+
+
+def test_store_merges_changes_on_read(small, tmp_path, spark):
+    store = ParquetStore(spark, str(tmp_path / "store"))
+    first = store.write(small)
+    log = [("urn:f", 2, '{"io_type": "b", "odd": 1}'), ("urn:f", 1, '{"io_type": "a", "size_bytes": 7, "function_name": null}'), ("urn:none", 1, '{"io_type": "x"}')]
+    patched = store.update_node_metadata(spark.createDataFrame(log, "urn string, seq int, patch string"))
+    assert values(store.read().nodes, "io_type", "size_bytes", "odd", "mystery", "function_name")["urn:f"] == ("b", "7", "1", '{"a":1}', None)
+    dropped = store.delete_node_metadata(spark.createDataFrame([("urn:f", "odd"), ("urn:f", "io_type"), ("urn:t", "never")], "urn string, key string"))
+    assert values(store.read().nodes, "io_type", "size_bytes", "odd", "mystery")["urn:f"] == (None, "7", None, '{"a":1}')
+    again = store.update_node_metadata(spark.createDataFrame([("urn:f", 0, '{"io_type": "c"}')], "urn string, seq int, patch string"))
+    linked = store.add_soft_links(spark.createDataFrame([("urn:f", "urn:t", "calls", "LOW", "", ""), ("urn:f", "urn:no", "calls", "LOW", "", ""), ("urn:f", "urn:c", "reads", None, "", "")], ASK))
+    links = {r.edge_type: r.id for r in store.read().soft_links.collect()}
+    assert set(links) == {"calls", "reads"}
+    removed = store.remove_soft_links(spark.createDataFrame([(links["calls"],), ("unknown",)], "id string"))
+    assert [r.edge_type for r in store.read().soft_links.collect()] == ["reads"]
+    store.add_soft_links(spark.createDataFrame([("urn:f", "urn:t", "calls", "HIGH", "", "")], ASK))
+    # every version stays as it was
+    states = [(v, values(store.read(v).nodes, "io_type", "odd")["urn:f"], store.read(v).soft_links.count()) for v in (first, patched, dropped, again, linked, removed)]
+    assert [s[1:] for s in states] == [((None, None), 0), (("b", "1"), 0), ((None, None), 0), (("c", None), 0), (("c", None), 2), (("c", None), 1)]
+    assert store.compact(9) == store.latest()
+    before = sorted(map(str, store.read().soft_links.collect())), values(store.read().nodes, "io_type", "size_bytes", "mystery")
+    base = store.compact(2)
+    assert base == store.latest() and (sorted(map(str, store.read().soft_links.collect())), values(store.read().nodes, "io_type", "size_bytes", "mystery")) == before
+    assert store.read(removed).soft_links.count() == 1 and store._state(None)[2] == []
+    with pytest.raises(FileNotFoundError):
+        store.read("no such version")
+
+
 def test_streamed_patches_become_a_version(small, tmp_path, spark):
     store = ParquetStore(spark, str(tmp_path / "store"))
     before = store.write(small)

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.model import Graph
-from palisade.operators import code_data, search, security, traverse
+from palisade.operators import code_data, search, security, soft_links, traverse
+from palisade.operators.adjacency import adjacency_of
+from palisade.sources.store import ParquetStore
 
 RNG = random.Random(11)
 N = 40
@@ -155,3 +157,63 @@ def test_permissions_modes(make_graph):
     g = make_graph([("urn:r", "identity", {"role_name": "app", "role_superuser": True}), ("urn:t", "table", {"table_name": "t"})], [("urn:r", "urn:t", "reads", {"privilege": "SELECT"})])
     assert [(r.role_name, r.privilege, r.superuser) for r in security.find_database_permissions(g).collect()] == [("app", "SELECT", True)]
     assert security.find_database_permissions(g, compat=True).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paths_from_both_ends_equal_brute_force(spark, seed):
+    """Several components, hubs, ends that are both source and destination, ends nobody reaches."""
+    chance = random.Random(seed)
+    n = 26
+    pairs = {(f"v{chance.randrange(n):02}", f"v{chance.randrange(n):02}") for _ in range(chance.choice([14, 22, 40]))}
+    pairs |= {("v00", f"v{i:02}") for i in range(1, 26, 5)} if seed % 2 else set()
+    edges = spark.createDataFrame([(f"e{i}", a, b, chance.choice(["calls", "reads"])) for i, (a, b) in enumerate(sorted(pairs))], "uuid string, from_urn string, to_urn string, edge_type string")
+    g = Graph(edges.select(F.col("from_urn").alias("urn"), F.lit("x").alias("node_type")), edges)
+    links = [*pairs, *((b, a) for a, b in pairs)]
+    sources, dests = (sorted({f"v{chance.randrange(n):02}" for _ in range(5)} | {"gone"}) for _ in range(2))
+    want = {}
+    for d in dests:
+        dist = brute_reach([d], links, 999)
+        for s in sources:
+            if s != d and s in dist:
+                path = [s]
+                while path[-1] != d:
+                    path.append(min(b for a, b in links if a == path[-1] and dist.get(b) == dist[path[-1]] - 1))
+                want[s, d] = path
+    frame = lambda ends: spark.createDataFrame([(e,) for e in ends], "urn string")
+    got = traverse.shortest_paths(g, frame(sources), frame(dests)).collect()
+    assert {(r.source, r.dest): r.path for r in got} == want and len(got) == len(want)
+    assert all(r.hops == len(r.path) - 1 for r in got)
+    lone = [(sources[0], dests[-1])]
+    for s, d in lone:
+        assert [r.path for r in traverse.shortest_paths(g, frame([s]), frame([d])).collect()] == ([want[s, d]] if (s, d) in want else [])
+
+
+def test_links_are_written_once_and_read_by_type(make_graph, spark):
+    g = make_graph([(f"urn:{c}", "x", {}) for c in "abc"], [("urn:a", "urn:b", "reads"), ("urn:b", "urn:c", "calls"), ("urn:a", "urn:a", "reads")])
+    first = traverse.adjacency(g, ["reads"], "outgoing")
+    assert [tuple(r) for r in first.collect()] == [("urn:a", "urn:b")]
+    own = adjacency_of(g)
+    assert len(own.parts) == 1 and own.parts[0][0] == {"reads"}
+    traverse.reach(first, "urn:a").count()
+    assert len(adjacency_of(g).parts) == 1
+    assert sorted((r.src, r.dst, r.way) for r in own.links(["reads", "calls"], "both").collect()) == sorted(
+        [("urn:a", "urn:b", "out"), ("urn:b", "urn:a", "in"), ("urn:b", "urn:c", "out"), ("urn:c", "urn:b", "in"), ("urn:a", "urn:a", "out"), ("urn:a", "urn:a", "in")]
+    )
+    assert [held for held, _ in own.parts] == [{"reads"}, {"calls"}]
+    plan = own.links(["calls"], "incoming")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "DataFilters: []" in plan
+    with pytest.raises(ValueError):
+        own.links(None, "sideways")
+
+
+def test_search_over_store_and_soft_links(make_graph, spark, tmp_path):
+    g = make_graph([(f"urn:{c}", "function", {"function_name": c}) for c in "abcd"], [("urn:a", "urn:b", "calls"), ("urn:b", "urn:c", "reads")])
+    store = ParquetStore(spark, str(tmp_path / "store"))
+    store.write(g)
+    ask = "from_urn string, to_urn string, edge_type string, confidence_level string, note string, created_at string"
+    store.add_soft_links(spark.createDataFrame([("urn:c", "urn:d", "calls", "HIGH", "", "2024-01-01")], ask))
+    kept = soft_links.with_link_edges(store.read())
+    assert {r.urn: r.depth for r in traverse.reach(traverse.adjacency(kept, None, "outgoing"), "urn:a").collect()} == {"urn:a": 0, "urn:b": 1, "urn:c": 2, "urn:d": 3}
+    assert adjacency_of(kept).parts[0][1].startswith(str(tmp_path))
+    assert [r.urn for r in traverse.find_shortest_path(kept, "urn:d", "urn:a").collect()] == ["urn:d", "urn:c", "urn:b", "urn:a"]
+    assert sorted(r.edge_type for r in traverse.subgraph_links(kept, "urn:c", 1).collect()) == ["calls", "reads"]
