@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.session import shared_folder, stash, stash_at
 
-__all__ = ["WORD_BREAK", "in_arrow", "public_vocabulary", "release", "shared_folder", "stash", "stash_at", "table", "words"]
+__all__ = ["WORD_BREAK", "in_arrow", "public_vocabulary", "release", "shared_folder", "stash", "stash_at", "table", "unused", "words"]
 
 #: White space between words: blank and U+0009 to U+000D, nothing else.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -26,6 +26,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    mark = ""
+    while any(f"{mark}{name}".lower() in taken for name in names):
+        mark += "_"
+    return [f"{mark}{name}" for name in names]
+
+
 def public_vocabulary(name: str) -> str:
     """Place of a public tokenizer's file; it is installed on every executor, never copied."""
     import public_tokenizers

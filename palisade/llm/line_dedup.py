@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import release, stash
+from palisade.llm.common import release, stash, unused
 
 SHORT = 20
 PARTS = 16
@@ -282,29 +282,31 @@ def removed(docs: DataFrame) -> DataFrame:
     return gone.groupBy("ord", "tag").agg(F.collect_set("no").alias("gone"))
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``x_text``, what is left of each text, and ``x_gone``, the numbers of the lines that went."""
-    gone = stash(removed(docs), "gone").select(F.col("ord").alias("x_ord"), F.col("tag").alias("x_tag"), F.sort_array("gone").alias("x_gone"))
+def _cut(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with what is left of each text and the numbers of the lines that went, and the names of these two columns."""
+    x_ord, x_tag, x_gone, x_text = unused(docs.columns, "x_ord", "x_tag", "x_gone", "x_text")
+    gone = stash(removed(docs), "gone").select(F.col("ord").alias(x_ord), F.col("tag").alias(x_tag), F.sort_array("gone").alias(x_gone))
     release(docs.sparkSession)
-    place = (F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col("x_ord")) & (F.xxhash64(docs["text"]) == F.col("x_tag"))
-    lines, lost = F.split(docs["text"], "\n"), F.col("x_gone")
+    place = (F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col(x_ord)) & (F.xxhash64(docs["text"]) == F.col(x_tag))
+    lines, lost = F.split(docs["text"], "\n"), F.col(x_gone)
     # Runs of lines between those that go.
     runs = F.transform(F.concat(F.array(F.lit(-1)), lost), lambda k, i: F.slice(lines, k + 2, F.coalesce(F.get(lost, i), F.size(lines)) - k - 1))
     text = F.when(lost.isNull(), docs["text"]).otherwise(F.array_join(F.flatten(runs), "\n"))
-    return docs.join(gone, place, "left").withColumn("x_text", text)
+    return docs.join(gone, place, "left").withColumn(x_text, text), x_text, x_gone
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, each text without the lines that go."""
-    count = F.length("x_text").cast("bigint")
-    new = {"text": F.col("x_text").alias("text"), "n_chars": count.alias("n_chars")}
-    return _cut(docs).select(*[new.get(c, docs[c]) for c in docs.columns])
+    cut, text, _ = _cut(docs)
+    new = {"text": F.col(text).alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
+    return cut.select(*[new.get(c, docs[c]) for c in docs.columns])
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_lines, n_removed, kept_sha256)`` of every row; null texts: no lines, hash of nothing."""
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return _cut(docs.select("doc_id", "text")).select(
-        "doc_id", lines.cast("bigint").alias("n_lines"), F.coalesce(F.array_size("x_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.sha2(F.coalesce("x_text", F.lit("")), 256).alias("kept_sha256"),
+    cut, text, gone = _cut(docs.select("doc_id", "text"))
+    return cut.select(
+        "doc_id", lines.cast("bigint").alias("n_lines"), F.coalesce(F.array_size(gone), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("kept_sha256"),
     )

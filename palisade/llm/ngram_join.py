@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from palisade.llm.common import in_arrow, stash
+from palisade.llm.common import in_arrow, stash, unused
 from palisade.operators.traverse import components
 
 N, THRESHOLD = 4, 85
@@ -260,17 +260,20 @@ def _grouped(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     joined = stash(joined, "joined")
     reps = described.filter("size > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     named = stash(reps.join(joined, F.col("key") == F.col("c_key"), "left").select("key", "rep", "label"), "named")
-    least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    named = named.join(least, "label", "left").select(F.col("key").alias("r_key"), F.coalesce("least", "rep").alias("component"), "label")
+    # sets without links have no label to meet under; the least ids are written, so a large component can be split
+    linked = named.filter("label is not null")
+    least = stash(linked.groupBy(F.col("label").alias("l_label")).agg(F.min("rep").alias("least")), "least")
+    least_of = linked.join(least, F.col("label") == F.col("l_label")).select(F.col("key").alias("r_key"), F.col("least").alias("component"), "label")
+    named = least_of.unionAll(named.filter("label is null").select("key", "rep", "label"))
     return described.join(named, F.col("key") == F.col("r_key"), "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         "key", F.coalesce("label", "key").alias("group"),
     )
 
 
-def _keyed(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with the key of each row's set; null without words."""
-    schema = StructType([*docs.schema.fields, StructField("set_key", BinaryType())])
+def _keyed(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """``docs`` with the key of each row's set as column ``name``; null without words."""
+    schema = StructType([*docs.schema.fields, StructField(name, BinaryType())])
 
     def run(stream):
         import pyarrow as pa
@@ -279,7 +282,7 @@ def _keyed(docs: DataFrame, n: int) -> DataFrame:
         for batch in stream:
             sets = (grams(t, n) for t in batch.column("text").to_pylist())
             keys = pa.array([xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None for own in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "set_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -290,15 +293,16 @@ def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFra
     A row is told by its id, where that is repeated or null by its set too.  Sets that
     only rows without an id have are alike when equal, and one row of each stays.
     """
+    r_id, set_key, g_key, g_group, g_least, kept = unused(docs.columns, "r_id", "set_key", "g_key", "g_group", "g_least", "row")
     found = stash(_grouped(docs, n, threshold), "grouped")
-    repeated = stash(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("r_id")).count().filter("count > 1").select("r_id"), "repeated")
-    gone = found.filter("component_id <> doc_id and n_shingles > 0").select(F.col("doc_id").alias("r_id")).unionByName(repeated).distinct()
-    plain = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("r_id"), "left_anti")
+    repeated = stash(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(r_id)).count().filter("count > 1").select(r_id), "repeated")
+    gone = found.filter("component_id <> doc_id and n_shingles > 0").select(F.col("doc_id").alias(r_id)).unionByName(repeated).distinct()
+    plain = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col(r_id), "left_anti")
     if repeated.isEmpty() and found.filter("doc_id is null").isEmpty():
         return plain
-    odd = docs.filter("doc_id is null").unionByName(docs.join(repeated, F.col("doc_id") == F.col("r_id"), "left_semi"))
-    odd = stash(_keyed(odd, n), "odd")
-    sets = found.filter("n_shingles > 0").groupBy(F.col("key").alias("g_key")).agg(F.min("group").alias("g_group"), F.min("component_id").alias("g_least"))
-    own = odd.join(sets, F.col("set_key") == F.col("g_key")).filter("g_least is null or doc_id = g_least")
-    first = own.groupBy("g_group").agg(F.min_by(F.struct(*docs.columns), F.struct("set_key", "text")).alias("row")).select("row.*")
-    return plain.unionByName(odd.filter("set_key is null").select(docs.columns)).unionByName(first)
+    odd = docs.filter("doc_id is null").unionByName(docs.join(repeated, F.col("doc_id") == F.col(r_id), "left_semi"))
+    odd = stash(_keyed(odd, n, set_key), "odd")
+    sets = found.filter("n_shingles > 0").groupBy(F.col("key").alias(g_key)).agg(F.min("group").alias(g_group), F.min("component_id").alias(g_least))
+    own = odd.join(sets, F.col(set_key) == F.col(g_key)).filter(F.col(g_least).isNull() | (F.col("doc_id") == F.col(g_least)))
+    first = own.groupBy(g_group).agg(F.min_by(F.struct(*docs.columns), F.struct(set_key, "text")).alias(kept)).select(f"{kept}.*")
+    return plain.unionByName(odd.filter(F.col(set_key).isNull()).select(docs.columns)).unionByName(first)

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from palisade.llm import mixing
 from palisade.llm.common import table
 
@@ -48,9 +49,48 @@ def test_small_sources(spark):
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == copies
 
 
-def test_given_documents(spark):
-    docs = table(spark, "/root/testdata/sf0.01", "documents")
-    check(mixing.taken(docs).collect(), docs.collect(), lambda s, want: 0.05 * want)
+@pytest.mark.parametrize("sf, slack", [("sf0.001", 0.03), ("sf0.01", 0.01), ("sf0.1", 0.01)])
+def test_given_documents(spark, sf, slack):
+    """Each source comes within 1 % of its target; of ten documents, within 3 % or its shortest one."""
+    docs = table(spark, f"/root/testdata/{sf}", "documents").select("doc_id", "text", "source")
+    rows = docs.collect()
+    short = defaultdict(lambda: 1 << 60)
+    for r in rows:
+        if n := len((r.text or "").split()):
+            short[r.source] = min(short[r.source], n)
+    check(mixing.taken(docs).collect(), rows, lambda s, want: max(slack * want, short[s]))
+
+
+def test_one_long_document_in_each_source(spark):
+    """A document longer than half of its source is made up for by the others."""
+    rows = [(s * 1000 + i, "w " * (1 + (i * 37 + s) % 60), f"s{s}") for s in range(6) for i in range(400)]
+    rows += [(s * 1000 + 900, "w " * n, f"s{s}") for s, n in enumerate((20_000, 9_000, 12_000, 3_000, 700, 15_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(mixing.taken(docs).collect(), docs.collect(), lambda s, want: 0.01 * want)
+    for seed in range(3):
+        check(mixing.taken(docs, seed).collect(), docs.collect(), lambda s, want: 0.01 * want)
+
+
+def test_repeats_count_with_their_number(spark):
+    rows = [(i, "w " * (5 + i % 40), f"s{i % 3}") for i in range(200)] + [(7, "w " * 12, "s1")] * 300 + [(8, "w " * 13, "s2")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(mixing.taken(docs).collect(), docs.collect(), lambda s, want: 0.01 * want + 5)
+
+
+def test_copies_are_as_often_as_the_share(spark):
+    """Over many seeds a document is taken about as often as its source's share says."""
+    docs = spark.createDataFrame([(i, "w " * (3 + i % 20), "ab"[i % 4 == 0]) for i in range(160)], "doc_id long, text string, source string")
+    got = [r for seed in range(12) for r in mixing.taken(docs, seed).collect()]
+    for source_size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == source_size]
+        mean = sum(r.taken / r["size"] for r in own) / len(own)
+        assert abs(mean - own[0].target / source_size) < 0.05
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "w " * 9, "s", 1, 2, 3, 4) for i in range(9)], "doc_id long, text string, source string, m_id int, id int, n int, _copy int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == 9
 
 
 def test_repeated_rows_and_null_ids(spark):
