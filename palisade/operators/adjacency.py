@@ -32,21 +32,21 @@ _KEPT: dict[tuple[str, str], Adjacency] = {}
 class Adjacency:
     def __init__(self, spark: SparkSession, folder: str, graph: Graph | None = None):
         self.spark, self.folder, self.graph = spark, folder, graph
-        self.parts: list[tuple[frozenset[str] | None, str]] = []
+        #: Types (None: all there are), ways and place of what is written.
+        self.parts: list[tuple[frozenset[str] | None, tuple[str, ...], str]] = []
         self.more: list[DataFrame] = []
-        self.added: list[str] = []
 
     @classmethod
     def stored(cls, spark: SparkSession, path: str) -> Adjacency:
         """The tables of all types that a store has written."""
         self = cls(spark, path)
-        self.parts.append((None, path))
+        self.parts.append((None, WAYS["both"], path))
         return self
 
     def plus(self, edges: DataFrame) -> Adjacency:
         """These links and those of further edges, of which there are few; they are written at the first search."""
         both = Adjacency(self.spark, f"{shared_folder(self.spark)}/links-{uuid.uuid4().hex}", self.graph)
-        both.parts, both.more, both.added = [*self.parts], [*self.more, edges], [*self.added]
+        both.parts, both.more = [*self.parts], [*self.more, edges]
         return both
 
     def links(self, types: list[str] | None, direction: str) -> DataFrame:
@@ -57,42 +57,49 @@ class Adjacency:
         wanted = None if types is None else frozenset(types)
         if known is not None:
             wanted = frozenset(known) if wanted is None else wanted.intersection(known)
-        if self.graph is not None:
-            self._write_missing(wanted)
-        for edges in self.more:
-            path = f"{self.folder}/{uuid.uuid4().hex}"
-            write_links(edges, path)
-            self.added.append(path)
-        self.more = []
-        frames = []
-        for held, path in [*self.parts, *((None, path) for path in self.added)]:
-            if held is None or held & wanted:
-                rows = self.spark.read.schema(_SCHEMA).parquet(path).filter(F.col("way").isin(*WAYS[direction]))
-                frames.append(rows if wanted is None else rows.filter(F.col("edge_type").isin(*sorted(wanted))))
+        ways = WAYS[direction]
+        frames = [self._rows(path, wanted, ways) for held, path in self._missing_written(wanted, ways) if held is None or held & wanted]
         return union_all(frames) if frames else self.spark.createDataFrame([], _SCHEMA)
 
-    def _write_missing(self, wanted: frozenset[str] | None) -> None:
-        """``wanted`` is None for all types of a graph that doesn't know them."""
-        if any(held is None for held, _ in self.parts):
-            return
+    def _rows(self, path: str, wanted: frozenset[str] | None, ways: tuple[str, ...]) -> DataFrame:
+        rows = self.spark.read.schema(_SCHEMA).parquet(path).filter(F.col("way").isin(*ways))
+        return rows if wanted is None else rows.filter(F.col("edge_type").isin(*sorted(wanted)))
+
+    def _missing_written(self, wanted: frozenset[str] | None, ways: tuple[str, ...]) -> list[tuple[frozenset[str] | None, str]]:
+        """All parts that hold ``wanted`` types (None: all) and ``ways``, after writing what none holds."""
+        for edges in self.more:
+            self.parts.append((None, WAYS["both"], self._written(edges, WAYS["both"])))
+        self.more = []
+        if self.graph is not None:
+            lacking: dict[frozenset[str] | None, list[str]] = {}
+            for way in ways:
+                own = [held for held, of, _ in self.parts if way in of]
+                if None not in own:
+                    missing = None if wanted is None else wanted.difference(*own)
+                    if missing is None or missing:
+                        lacking.setdefault(missing, []).append(way)
+            for missing, of in lacking.items():
+                if missing is None:  # types are not known, so those that were written alone are written again with all
+                    self.parts = [(held, tuple(w for w in had if w not in of), path) for held, had, path in self.parts]
+                edges = self.graph.edges if missing is None else self.graph.edges_of(*sorted(missing))
+                self.parts.append((missing, tuple(of), self._written(edges, tuple(of))))
+        return [(held, path) for held, of, path in self.parts if set(of) & set(ways)]
+
+    def _written(self, edges: DataFrame, ways: tuple[str, ...]) -> str:
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        if wanted is None:
-            write_links(self.graph.edges, path)
-            self.parts = [(None, path)]
-        elif missing := wanted.difference(*(held for held, _ in self.parts)):
-            write_links(self.graph.edges_of(*sorted(missing)), path)
-            self.parts.append((missing, path))
+        write_links(edges, path, ways)
+        return path
 
 
-def write_links(edges: DataFrame, path: str) -> None:
-    """Both ends of each edge, sorted by the end within way and type; edges without ids get null ones."""
+def write_links(edges: DataFrame, path: str, ways: tuple[str, ...] = ("out", "in")) -> None:
+    """The ends of each edge, sorted by the end within way and type; edges without ids get null ones."""
     if "uuid" not in edges.columns:
         edges = edges.withColumn("uuid", F.lit(None).cast("string"))
-    ends = F.array(
-        F.struct(F.col("from_urn").alias("src"), F.col("to_urn").alias("dst"), F.lit("out").alias("way")),
-        F.struct(F.col("to_urn").alias("src"), F.col("from_urn").alias("dst"), F.lit("in").alias("way")),
-    )
-    rows = edges.select("uuid", "edge_type", F.inline(ends)).select("src", "dst", "uuid", "way", "edge_type")
+    ends = {
+        "out": F.struct(F.col("from_urn").alias("src"), F.col("to_urn").alias("dst"), F.lit("out").alias("way")),
+        "in": F.struct(F.col("to_urn").alias("src"), F.col("from_urn").alias("dst"), F.lit("in").alias("way")),
+    }
+    rows = edges.select("uuid", "edge_type", F.inline(F.array(*[ends[w] for w in ways]))).select("src", "dst", "uuid", "way", "edge_type")
     dealt = rows.hint("rebalance", "src").sortWithinPartitions("way", "edge_type", "src")
     dealt.write.partitionBy("way", "edge_type").parquet(path)
 
@@ -112,11 +119,17 @@ def adjacency_of(graph: Graph) -> Adjacency:
     return own
 
 
-def next_to(links: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
-    """Links that leave a frontier ``(src, ...)`` of ``size`` rows, with the frontier's columns."""
-    if size <= FEW:
-        links = links.filter(F.col("src").isin(*[r[0] for r in frontier.select("src").distinct().collect()]))
+def next_to(links: DataFrame, frontier: DataFrame, few: list[str] | None) -> DataFrame:
+    """Links that leave a frontier ``(src, ...)``, with the frontier's columns; ``few`` are its vertices if they are few."""
+    if few is not None:
+        links = links.filter(F.col("src").isin(*few))
     return links.join(frontier, "src")
 
 
-__all__ = ["Adjacency", "adjacency_of", "next_to", "write_links"]
+def measured(frontier: DataFrame) -> tuple[int, list[str] | None]:
+    """Rows of a written frontier ``(urn, ...)``, and its vertices if they are few."""
+    some = [r[0] for r in frontier.select("urn").limit(FEW + 1).collect()]
+    return (len(some), sorted(set(some))) if len(some) <= FEW else (frontier.count(), None)
+
+
+__all__ = ["Adjacency", "adjacency_of", "measured", "next_to", "write_links"]

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.model import Graph
-from palisade.operators.adjacency import adjacency_of, next_to
-from palisade.session import stash, stash_counted
+from palisade.operators.adjacency import adjacency_of, measured, next_to
+from palisade.session import stash, stash_at, stash_counted
 
 UNBOUNDED = 1 << 30
 
@@ -47,27 +47,29 @@ def adjacency(graph: Graph, types: list[str] | None, direction: str) -> DataFram
 
 def _seed(spark: SparkSession, start: str | DataFrame) -> DataFrame:
     if isinstance(start, str):
-        return spark.createDataFrame([(start,)], "urn string")
+        return spark.range(1).select(F.lit(start).alias("urn"))
     return start.select("urn").distinct()
 
 
 def reach(adj: DataFrame, start: str | DataFrame, max_depth: int = UNBOUNDED) -> DataFrame:
     """G1: ``(urn, depth)`` of all vertices within ``max_depth`` hops of the start set; ``adj`` is read once per hop."""
     spark = adj.sparkSession
-    frontier, path, size = stash_counted(_seed(spark, start).withColumn("depth", F.lit(0)), "level")
+    frontier, path = stash_at(_seed(spark, start).withColumn("depth", F.lit(0)), "level")
+    _, few = measured(frontier)
     schema, levels = frontier.schema, [path]
     depth = 0
     while depth < max_depth:
         depth += 1
         seen = spark.read.schema(schema).parquet(*levels).select("urn")
         found = (
-            next_to(adj, frontier.select(F.col("urn").alias("src")), size)
+            next_to(adj, frontier.select(F.col("urn").alias("src")), few)
             .select(F.col("dst").alias("urn"))
             .distinct()
             .join(seen, "urn", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier, path, size = stash_counted(found, "level")
+        frontier, path = stash_at(found, "level")
+        size, few = measured(frontier)
         if not size:
             break
         levels.append(path)
@@ -142,19 +144,23 @@ class _Balls:
 
     def __init__(self, ends: DataFrame, away: bool):
         self.away, self.before = away, None
-        self.layer, _, self.size = stash_counted(ends.select(F.col("urn").alias("key"), "urn", F.array("urn").alias("path")), "ball")
+        self._keep(ends.select(F.col("urn").alias("key"), "urn", F.array("urn").alias("path")))
+
+    def _keep(self, layer: DataFrame) -> None:
+        self.layer = stash(layer, "ball")
+        self.size, self.few = measured(self.layer)
 
     def grow(self, adj: DataFrame, done: DataFrame | None) -> None:
         """One layer more, around the ends that are not ``done``."""
         frontier = self.layer if done is None else self.layer.join(done, "key", "left_anti")
-        step = next_to(adj, frontier.select("key", F.col("urn").alias("src"), "path"), self.size)
+        step = next_to(adj, frontier.select("key", F.col("urn").alias("src"), "path"), self.few)
         step = step.groupBy("key", F.col("dst").alias("urn")).agg(F.min("path").alias("path"))
         for old in [self.layer] if self.before is None else [self.layer, self.before]:
             step = step.join(old.select("key", "urn"), ["key", "urn"], "left_anti")
         own = F.array("urn")
         path = F.concat("path", own) if self.away else F.concat(own, F.col("path"))
         self.before = self.layer
-        self.layer, _, self.size = stash_counted(step.select("key", "urn", path.alias("path")), "ball")
+        self._keep(step.select("key", "urn", path.alias("path")))
 
 
 def _partners(adj: DataFrame, sources: DataFrame, dests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,10 +193,10 @@ def shortest_paths(graph: Graph, sources: DataFrame, dests: DataFrame, edge_type
     adj = adjacency(graph, types, "both")
     sources = stash(sources.select("urn").distinct(), "ends")
     dests = stash(dests.select("urn").distinct(), "ends")
-    single = sources.count() * dests.count() == 1
+    (n_sources, source), (n_dests, dest) = measured(sources), measured(dests)
     wants = None
-    if single:
-        total = 1 - sources.join(dests, "urn").count()
+    if n_sources * n_dests <= 1:
+        total = int(n_sources * n_dests == 1 and source != dest)
     else:
         wants = _partners(adj, sources, dests)
         sources, dests = wants[0], wants[1]
@@ -228,14 +234,14 @@ def find_shortest_path(graph: Graph, source: str, dest: str, edge_types: str = "
     """
     spark = graph.spark
     if source == dest:
-        lone = spark.createDataFrame([(0, source)], "step int, urn string")
-        return lone.select("step", "urn", F.lit(None).cast("string").alias("arrow"))
-    ends = [spark.createDataFrame([(urn,)], "urn string") for urn in (source, dest)]
-    hops, _, size = stash_counted(shortest_paths(graph, *ends, edge_types).select(F.posexplode("path").alias("step", "urn")), "hops")
+        return spark.range(1).select(F.lit(0).alias("step"), F.lit(source).alias("urn"), F.lit(None).cast("string").alias("arrow"))
+    ends = [spark.range(1).select(F.lit(urn).alias("urn")) for urn in (source, dest)]
+    hops = stash(shortest_paths(graph, *ends, edge_types).select(F.posexplode("path").alias("step", "urn")), "hops")
+    _, few = measured(hops)
     links = hops.join(hops.select((F.col("step") - 1).alias("step"), F.col("urn").alias("next")), "step").withColumnRenamed("urn", "src")
     arrow = F.concat(F.when(F.col("way") == "out", "-->").otherwise("<--"), F.col("edge_type"))
     arrows = (
-        next_to(adjacency_of(graph).links(None, "both"), links, size)
+        next_to(adjacency_of(graph).links(None, "both"), links, few)
         .filter(F.col("dst") == F.col("next"))
         .groupBy("step")
         .agg(F.min(F.struct((F.col("way") == "in").alias("rank"), "uuid", arrow.alias("arrow")))["arrow"].alias("arrow"))
