@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import meta, source_text
 from palisade.model import Graph
 from palisade.operators.stitch.common import index_by, new_edges
+from palisade.session import stash, stash_counted
 
 
 def orm_registry(graph: Graph) -> DataFrame:
@@ -37,64 +40,57 @@ def orm_class_to_table(graph: Graph) -> DataFrame:
     )
 
 
-SMALL_DICTIONARY = 512  # names up to which every text is tried against all of them
+#: Names of one automaton: some tens of MB in each task.
+SHARD = 100_000
 
 
-def names_within(texts: DataFrame, names: DataFrame, small: int = SMALL_DICTIONARY) -> DataFrame:
+def names_within(texts: DataFrame, names: DataFrame, shard: int = SHARD) -> DataFrame:
     """``(id, name)`` for every ``name`` that is a substring of a text, without a cross join.
 
-    The dictionary is counted first.  A small one travels as one array and each
-    text is searched for all its names in a map-only pass; a larger one goes
-    through :func:`names_by_windows`.
+    The dictionary is cut at first characters into ranges of some ``shard`` names.  Each range is one
+    automaton of all its names (Aho-Corasick), built once a task, and every text streams through it
+    once, whatever the number of names; so no task and not the driver holds more than one range, and
+    nothing is shuffled.  A text gives each name once, however often it holds it.
 
     ``texts``: ``id, text``; ``names``: ``name`` (distinct, not empty).
     """
-    size = names.agg(F.count("*"), F.coalesce(F.max(F.length("name")), F.lit(0))).first()
-    if size[0] > small or size[1] > 1024:
-        return names_by_windows(texts, names)
-    listed = names.agg(F.collect_list("name")).scalar()  # at most `small` names, as just counted
-    found = F.filter("_names", lambda n: F.col("text").contains(n))
-    return texts.withColumn("_names", listed).select("id", F.explode(found).alias("name"))
-
-
-def names_by_windows(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Substring search for large dictionaries, as hash joins.
-
-    An occurrence of a name without blanks lies inside one run of non-blank
-    characters.  Texts are cut into their distinct runs, the runs of the whole
-    corpus are deduplicated, and each run's windows of the lengths that occur
-    among the names are hash-joined with the names.  The matching runs are then
-    joined back to the texts.  Names are unique, so the only hot side of either
-    join is one AQE can split.  Names holding a blank use windows of the text
-    itself; usually there are none and the branch is empty.
-    """
-    solid = names.filter("name not rlike '[\\\\s]'")
-    spaced = names.filter("name rlike '[\\\\s]'")
-    runs = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)))).alias("run"))
-    vocabulary = runs.select("run").distinct()
-    within = _windows_join(vocabulary.withColumnRenamed("run", "body"), solid).withColumnRenamed("body", "run")
-    found = runs.join(within, "run").select("id", "name")
-    rare = _windows_join(texts.select(F.col("text").alias("body"), "id"), spaced).select("id", "name")
-    return found.unionByName(rare).distinct()
-
-
-def _windows_join(bodies: DataFrame, names: DataFrame) -> DataFrame:
-    """Join each body with the names among its windows; one window size per name length."""
-    lengths = names.select(F.length("name").alias("n")).distinct()
-    sizes = lengths.agg(F.array_sort(F.collect_set("n")).alias("sizes"))  # one number per distinct length
-    measured = bodies.withColumn("sizes", sizes.scalar())
-    windows = measured.select(
-        *bodies.columns,
-        F.explode(F.filter("sizes", lambda n: n <= F.length("body"))).alias("n"),
-    ).select(
-        *bodies.columns,
-        F.explode(
-            F.array_distinct(
-                F.transform(F.sequence(F.lit(1), F.length("body") - F.col("n") + 1), lambda at: F.substr(F.col("body"), at, F.col("n")))
-            )
-        ).alias("name"),
-    )
-    return windows.join(names, "name")
+    held, _, size = stash_counted(names.select("name"), "names")
+    ranges = max(1, -(-size // shard))
+    if ranges > 1:
+        cut = held.repartitionByRange(ranges, "name").select("name", F.spark_partition_id().alias("range"))
+        held = stash(cut, "names")
+    kind = texts.schema["id"].dataType.simpleString()
+    found = []
+    for k in range(ranges):
+        own = held if ranges == 1 else held.filter(F.col("range") == k).select("name")
+        listed = [r[0] for r in own.collect()]  # one range
+        if listed:
+            found.append(texts.select("id", "text").mapInArrow(_searcher(listed), f"id {kind}, name string"))
+    return reduce(DataFrame.unionAll, found) if found else texts.select("id", F.lit("").alias("name")).limit(0)
+
+
+def _searcher(names: list[str]):
+    """Batches of ``(id, text)`` to batches of ``(id, name)``."""
+
+    def search(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for name in names:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            places, found = [], []
+            for place, text in enumerate(batch.column("text").to_pylist()):
+                if text:
+                    own = {name for _, name in automaton.iter(text)}
+                    places += [place] * len(own)
+                    found += own
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(places, pa.int64())), pa.array(found, pa.string())], ["id", "name"])
+
+    return search
 
 
 def function_to_table(graph: Graph, sources: DataFrame | None = None) -> DataFrame:

@@ -165,6 +165,27 @@ def _(built):
     return _edges(code.function_texts_to_tables(g, texts), "referenced_model")
 
 
+def _many_models(spark, folder):
+    """A model class for each document, named after its first long word, so the dictionary grows with the texts."""
+    t = Tables(spark, folder)
+    named = t.documents.selectExpr("doc_id as k", "regexp_extract(text, '([A-Za-z]{6,})', 1) as word").filter("word <> ''")
+    named = named.join(t.part.selectExpr("p_partkey as k", "p_name"), "k")
+    classes = node_frame(named, "class", "concat('urn:c:::::d', k)", None, "k", class_name="word", orm_table="p_name")
+    nodes = union_all([classes, tree.tables_of_parts(t)])
+    return Graph(nodes, nodes.limit(0)), t
+
+
+@query("j2_models_of_all_documents", """
+WITH tab AS (SELECT p_name, arg_min('urn:tpch:catalog:::' || p_brand || '/' || p_partkey, p_partkey) AS to_urn FROM part GROUP BY 1)
+, cls AS (SELECT doc_id AS ord, regexp_extract(text, '([A-Za-z]{6,})', 1) AS name, p_name FROM documents JOIN part ON p_partkey = doc_id)
+, orm AS (SELECT name, arg_max(p_name, ord) AS p_name FROM cls WHERE name <> '' GROUP BY 1)
+SELECT 'urn:f:::::' || doc_id AS from_urn, to_urn, 'reads' AS edge_type, name AS referenced_model FROM documents JOIN orm ON contains(text, name) JOIN tab USING (p_name) WHERE text <> ''""", _many_models)
+def _(built):
+    g, t = built
+    texts = t.documents.selectExpr("concat('urn:f:::::', doc_id) as id", "doc_id as ord", "text").filter("text <> ''")
+    return _edges(code.function_texts_to_tables(g, texts), "referenced_model")
+
+
 # --- containers ---------------------------------------------------------------------------
 
 _BUILDS = """

@@ -25,15 +25,16 @@ def test_function_reads_table_by_substring(make_graph, spark):
     assert pairs(code.function_to_table(g, src), "referenced_model") == [("urn:f1", "urn:t", "User")]
 
 
-@pytest.mark.parametrize("small", [1000, 0])
-def test_names_within_equals_brute_force(spark, small):
+@pytest.mark.parametrize("shard", [1000, 7])
+def test_names_within_equals_brute_force(spark, shard):
+    """One automaton, and several; names within names, blanks, letters beyond the basic plane, empty and missing texts."""
     rng = random.Random(5)
-    word = lambda n: "".join(rng.choice("ab_ \n") for _ in range(n))
-    texts = [(i, word(rng.randint(0, 40))) for i in range(60)]
+    word = lambda n: "".join(rng.choice("ab_é🙂 \n") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 40))) for i in range(60)] + [(60, "ab" * 50_000)]
     names = sorted({w for w in (word(rng.randint(1, 5)) for _ in range(40)) if w})
-    found = code.names_within(
-        spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in names], "name string"), small
-    ).collect()
+    frame = spark.createDataFrame([*texts, (61, None)], "id int, text string")
+    found = code.names_within(frame, spark.createDataFrame([(n,) for n in names], "name string"), shard).collect()
+    assert code.names_within(frame, spark.createDataFrame([], "name string"), shard).count() == 0
     assert sorted((r.id, r.name) for r in found) == sorted((i, n) for i, t in texts for n in names if n in t)
 
 
