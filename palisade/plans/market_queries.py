@@ -584,6 +584,32 @@ def _(g):
     return soft_links.link_edges(soft_links.remove_soft_links(linked, gone)).select("from_urn", "to_urn", "edge_type")
 
 
+@query("k5_store_changes", _REQUESTS + """
+, failed AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
+, last AS (SELECT user_id, arg_max(event_type, event_id) AS io_type, arg_max(event_id, event_id) AS size_bytes FROM events GROUP BY 1)
+SELECT 'node' AS part, urn AS a, CASE WHEN f.user_id IS NULL THEN io_type END AS b, CAST(size_bytes AS VARCHAR) AS c
+FROM nodes JOIN last l ON 'urn:tpch:catalog:::roles/' || l.user_id = urn LEFT JOIN failed f ON f.user_id = l.user_id
+UNION ALL SELECT 'link', from_urn, to_urn, edge_type FROM valid WHERE edge_type <> 'reads'
+UNION ALL SELECT 'kept', node_type, CAST(count(*) AS VARCHAR), CAST(NULL AS VARCHAR) FROM nodes GROUP BY node_type""")
+def _(g):
+    """All four changes of a store, each written beside the scanned graph, and what is read back."""
+    store = ParquetStore(g.spark, f"{shared_folder(g.spark)}/store-{uuid.uuid4().hex}")
+    store.write(g)
+    events = g.tables.events.withColumn("urn", F.concat(F.lit("urn:tpch:catalog:::roles/"), F.col("user_id").cast("string")))
+    patch = F.to_json(F.struct(F.col("event_type").alias("io_type"), F.col("event_id").alias("size_bytes")))
+    store.update_node_metadata(events.select("urn", F.col("event_id").alias("seq"), patch.alias("patch")))
+    store.delete_node_metadata(events.filter("event_type = 'error'").select("urn", F.lit("io_type").alias("key")))
+    store.add_soft_links(_requests(g.tables))
+    store.remove_soft_links(store.read().soft_links.filter("edge_type = 'reads'"))
+    kept = store.read()
+    people = kept.of_type("identity")
+    none = F.lit(None).cast("string")
+    nodes = people.select(F.lit("node").alias("part"), F.col("urn").alias("a"), meta.get(people, "io_type").alias("b"), meta.get(people, "size_bytes").cast("string").alias("c"))
+    links = kept.soft_links.select(F.lit("link"), "from_urn", "to_urn", "edge_type")
+    counts = kept.nodes.groupBy("node_type").agg(F.count("*").alias("n")).select(F.lit("kept"), "node_type", F.col("n").cast("string"), none)
+    return nodes.unionAll(links).unionAll(counts)
+
+
 @query("m6_m8_compliance_export", """
 SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_quantity FROM lineitem l WHERE l_orderkey IN
   (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7))""", graph=False)
