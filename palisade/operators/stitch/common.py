@@ -12,7 +12,10 @@ from palisade.model import DEFAULT_ORG, Graph
 
 Stitcher = Callable[[Graph], DataFrame]
 
-STEP = 1 << 48  # ordinals of one stitcher's edges stay within its own band
+#: Ordinals have 48 bits.  A stitcher's edges stay within a band of their own, which has room for two
+#: runs of ordinals: edges that come after all others of their stitcher start at ``LATER``.
+LATER = 1 << 48
+STEP = 1 << 49
 
 
 def new_edges(df: DataFrame, kind: str, rank: int, src: str, dst: str, ordinal: Column, **metadata) -> DataFrame:
@@ -50,4 +53,4 @@ def index_by(nodes: DataFrame, key: str, name: str = "urn") -> DataFrame:
     return first_by(found, key, name)
 
 
-__all__ = ["STEP", "Stitcher", "first_by", "index_by", "last_by", "new_edges"]
+__all__ = ["LATER", "STEP", "Stitcher", "first_by", "index_by", "last_by", "new_edges"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import meta
 from palisade.model import Graph, union_all
-from palisade.operators.stitch.common import first_by, last_by, new_edges
+from palisade.operators.stitch.common import LATER, first_by, last_by, new_edges
 
 # --- fixed values: names AWS generates, and the actions that grant a role ------
 RESERVED_ROLE = r"^AWSReservedSSO_(.+)_[0-9a-fA-F]{8,16}$"
@@ -63,7 +63,11 @@ def provisioned_roles(graph: Graph, compat: bool = False) -> DataFrame:
 
 
 def sso_to_iam(graph: Graph, compat: bool = False) -> DataFrame:
-    """``assumes`` edges permission set -> role, principal -> role, and members of groups -> role."""
+    """``assumes`` edges permission set -> role, principal -> role, and members of groups -> role.
+
+    A role that a user has both by an own assignment and through groups is through the group
+    that was assigned last: group edges come after all others.
+    """
     matches = provisioned_roles(graph, compat)
     structural = new_edges(
         matches, "assumes", 11, "ps_urn", "role_urn", F.col("ps_ord"),
@@ -83,7 +87,7 @@ def sso_to_iam(graph: Graph, compat: bool = False) -> DataFrame:
     members = graph.edges_of("member_of").select(F.col("from_urn").alias("member"), F.col("to_urn").alias("principal"))
     fanned = granted.join(groups, "principal", "left_semi").join(members, "principal")
     via_group = new_edges(
-        fanned, "assumes", 11, "member", "role_urn", F.col("ord"),
+        fanned, "assumes", 11, "member", "role_urn", F.col("ord") + LATER,
         assumed_via="sso:permission_set", account_id=F.col("account"), via_group=F.col("principal"), permission_set_arn=F.col("ps_arn"),
     )
     return union_all([structural, direct, via_group])

@@ -89,10 +89,14 @@ class EstateDump(Dump):
 
     @cached_property
     def listeners(self) -> DataFrame:
-        ports = "explode(array(struct(80 as Port, 'HTTP' as Protocol), struct(443 as Port, 'HTTPS' as Protocol))) as l"
+        """Two of each balancer; the plain one was added last to every other balancer."""
+        ports = (
+            "explode(array(struct(80 as Port, 'HTTP' as Protocol, s_suppkey * 4 + if(s_suppkey % 2 = 0, 0, 3) as place),"
+            " struct(443 as Port, 'HTTPS' as Protocol, s_suppkey * 4 + 1 as place))) as l"
+        )
         actions = f"array(struct('forward' as Type, {tg_arn('s_suppkey')} as TargetGroupArn)) as DefaultActions"
         return self.t.supplier.selectExpr(f"{LB_ARN} as LoadBalancerArn", actions, ports).selectExpr(
-            "LoadBalancerArn", "l.Port as Port", "l.Protocol as Protocol", "DefaultActions"
+            "LoadBalancerArn", "l.Port as Port", "l.Protocol as Protocol", "DefaultActions", "l.place as _place"
         )
 
     @cached_property
@@ -237,10 +241,12 @@ class EstateDump(Dump):
     @cached_property
     def account_assignments(self) -> DataFrame:
         people = self.t.part.select("p_type", "p_size").distinct().selectExpr(
-            f"{set_arn('p_type')} as PermissionSetArn", "if(p_size > 10, '123456789012', '999999999999') as AccountId", "'USER' as PrincipalType", "concat('u-', p_size) as PrincipalId"
+            f"{set_arn('p_type')} as PermissionSetArn", "if(p_size > 10, '123456789012', '999999999999') as AccountId", "'USER' as PrincipalType", "concat('u-', p_size) as PrincipalId",
+            "cast(p_size as bigint) as _place",
         )
         teams = self.t.events.select("event_type").distinct().selectExpr("event_type", "explode(array('ECONOMY', 'PROMO')) as p_type").selectExpr(
-            f"{set_arn('p_type')} as PermissionSetArn", "'123456789012' as AccountId", "'GROUP' as PrincipalType", "concat('g-', event_type) as PrincipalId"
+            f"{set_arn('p_type')} as PermissionSetArn", "'123456789012' as AccountId", "'GROUP' as PrincipalType", "concat('g-', event_type) as PrincipalId",
+            "cast(1000 - ascii(event_type) as bigint) as _place",
         )
         return people.unionByName(teams)
 

@@ -88,7 +88,7 @@ def _(g):
 
 
 @query("s7d_elbv2", f"""
-SELECT {LB} || s_suppkey AS from_urn, {TG} || s_suppkey || '/tg-' || s_suppkey AS to_urn, 'routes_to' AS edge_type, 443 AS listener_port, 'HTTPS' AS listener_protocol FROM supplier
+SELECT {LB} || s_suppkey AS from_urn, {TG} || s_suppkey || '/tg-' || s_suppkey AS to_urn, 'routes_to' AS edge_type, CASE WHEN s_suppkey % 2 = 0 THEN 443 ELSE 80 END AS listener_port, CASE WHEN s_suppkey % 2 = 0 THEN 'HTTPS' ELSE 'HTTP' END AS listener_protocol FROM supplier
 UNION ALL SELECT {LB} || s_suppkey, {SG} || s_nationkey, 'protected_by', NULL, NULL FROM supplier
 UNION ALL SELECT {ROOT}, {LB} || s_suppkey, 'contains', NULL, NULL FROM supplier
 UNION ALL SELECT {ROOT}, {TG} || s_suppkey || '/tg-' || s_suppkey, 'contains', NULL, NULL FROM supplier""", ["elbv2"])
@@ -274,6 +274,18 @@ def _(g):
     return _edges(identity.sso_to_iam(g), "assumed_via", "via_group")
 
 
+@query("j11_settled", _SSO + f"""
+, role AS (SELECT DISTINCT lower(p_type) AS ps, {ROLE} || 'AWSReservedSSO_' || upper(p_type[1:1]) || lower(p_type[2:]) || 'Access_' || md5(p_type)[1:16] AS role FROM part)
+, direct AS (SELECT who, role FROM granted JOIN role USING (ps) WHERE account = '123456789012')
+, via AS (SELECT '{A}:identitystore::123456789012:user/u-' || user_id AS who, role, arg_max(who, 1000 - ascii(event_type)) AS via_group
+  FROM direct JOIN member ON who = '{A}:identitystore::123456789012:group/g-' || event_type GROUP BY 1, 2)
+SELECT '{A}:sso::123456789012:permission-set/ps-' || ps AS from_urn, role AS to_urn, 'assumes' AS edge_type, 'iam:permission_set_role' AS assumed_via, CAST(NULL AS VARCHAR) AS via_group FROM role
+UNION ALL SELECT who, role, 'assumes', 'sso:permission_set', via_group FROM (SELECT DISTINCT who, role FROM direct UNION SELECT who, role FROM via) LEFT JOIN via USING (who, role)""", ["sso", "iam"])
+def _(g):
+    """As a store keeps them: of several edges between two nodes the last, through the group that was assigned last."""
+    return _edges(settle_edges(identity.sso_to_iam(g)), "assumed_via", "via_group")
+
+
 @query("j12_role_trust", f"""
 WITH c AS (SELECT *, {ROLE} || 'cust-' || c_custkey AS role, c_acctbal < 0 AS conditional FROM customer WHERE c_acctbal <= 9000)
 SELECT 'urn:aws:iam:wildcard::*' AS from_urn, role AS to_urn, 'assumes' AS edge_type, 'iam:trust_policy_wildcard' AS assumed_via, 'wildcard' AS insecure_trust_policy, conditional FROM c WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')

@@ -5,7 +5,10 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palisade.build import stable_ordinal
 
 log = logging.getLogger(__name__)
 
@@ -60,12 +63,21 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+#: The place of an item in its resource, below 2^48.
+PLACE = "_place"
+
+
 class Dump:
-    """Response items by resource name; a missing resource reads as empty."""
+    """Response items by resource name; a missing resource reads as empty.
 
-    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]):
+    Some answers depend on which of several items came last.  Spark reads the parts of a file in any
+    order, so :meth:`in_order` numbers items by their place; a frame may bring its own ``_place``.
+    """
+
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], of_files: bool = False):
         self.spark = spark
         self.frames = frames
+        self.of_files = of_files
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str) -> Dump:
@@ -76,7 +88,29 @@ class Dump:
                 frames[name] = spark.read.schema(schema).json(f"{folder}/{name}.json")
             except AnalysisException:
                 log.info("no %s in %s", name, folder)
-        return cls(spark, frames)
+        return cls(spark, frames, of_files=True)
+
+    def in_order(self, name: str) -> DataFrame:
+        """The items of a resource with ``_place``: files by name, then items as they stand in them.
+
+        An item takes a byte at least, so the start of its split and its number within
+        the split add up to a number that grows along the file; files follow each other by their sizes.
+        Items of frames that state no order are placed by a hash of theirs.
+        """
+        rows = getattr(self, name)
+        if PLACE in rows.columns:
+            return rows
+        if not self.of_files or name not in self.frames:
+            return rows.selectExpr("*", f"{stable_ordinal(*rows.columns)} as {PLACE}")
+        own = rows.columns
+        within = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), within.alias("_within"))
+        if len(rows.inputFiles()) == 1:
+            return placed.select(*own, F.col("_within").alias(PLACE))
+        sizes = rows.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size")).distinct()
+        before = F.coalesce(F.sum("_size").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
+        starts = sizes.select("_path", before.alias("_before"))
+        return placed.join(starts, F.col("_file") == F.col("_path")).select(*own, (F.col("_before") + F.col("_within")).alias(PLACE))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.build import edge_frame, node_frame, stable_ordinal
-from palisade.sources.aws.dump import Dump
+from palisade.sources.aws.dump import PLACE, Dump
 
 Part = tuple[str, DataFrame]
 Frames = tuple[list[Part], list[Part]]
@@ -154,13 +154,14 @@ def ecs(d: Dump, a: Account) -> Frames:
 def elbv2(d: Dump, a: Account) -> Frames:
     """S7d: balancers, listeners, target groups; of several listeners per group the last counts."""
     balancer = a.regional("elasticloadbalancing", "'loadbalancer/'", "LoadBalancerName")
-    ports = d.listeners.groupBy("LoadBalancerArn").agg(  # a balancer has a handful of listeners
-        F.array_sort(F.collect_list(F.struct("Port", "Protocol", F.col("DefaultActions.Type").alias("actions")))).alias("listeners")
-    )
+    listeners = d.in_order("listeners")
+    ports = listeners.groupBy("LoadBalancerArn").agg(  # a balancer has a handful of listeners
+        F.array_sort(F.collect_list(F.struct(PLACE, "Port", "Protocol", F.col("DefaultActions.Type").alias("actions")))).alias("listeners")
+    ).withColumn("listeners", F.transform("listeners", lambda x: x.dropFields(PLACE)))
     lbs = d.load_balancers.join(ports, "LoadBalancerArn", "left")
     by_group = (
-        d.listeners.select("LoadBalancerArn", "Port", "Protocol", F.explode("DefaultActions.TargetGroupArn").alias("TargetGroupArn"))
-        .filter("TargetGroupArn <> ''").groupBy("LoadBalancerArn", "TargetGroupArn").agg(F.max(F.struct("Port", "Protocol")).alias("listener"))
+        listeners.select("LoadBalancerArn", "Port", "Protocol", PLACE, F.explode("DefaultActions.TargetGroupArn").alias("TargetGroupArn"))
+        .filter("TargetGroupArn <> ''").groupBy("LoadBalancerArn", "TargetGroupArn").agg(F.max_by(F.struct("Port", "Protocol"), PLACE).alias("listener"))
     )
     groups = (
         d.target_groups.selectExpr("*", "explode(LoadBalancerArns) as LoadBalancerArn")
@@ -271,11 +272,11 @@ def sso(d: Dump, a: Account) -> Frames:
     members = (
         d.sso_memberships.selectExpr("GroupId", "MemberId.UserId as UserId").join(users, "UserId", "left_semi").join(groups, "GroupId", "left_semi")
     )
-    granted = d.account_assignments.join(d.permission_sets.select("PermissionSetArn"), "PermissionSetArn", "left_semi")
+    granted = d.in_order("account_assignments").join(d.permission_sets.select("PermissionSetArn"), "PermissionSetArn", "left_semi")
     people = granted.filter("PrincipalType = 'USER'").withColumnRenamed("PrincipalId", "UserId").join(users, "UserId", "left_semi")
     teams = granted.filter("PrincipalType = 'GROUP'").withColumnRenamed("PrincipalId", "GroupId").join(groups, "GroupId", "left_semi")
-    assigned = lambda df, who, key: edge(
-        df, "sso:assigned_to", who, pset, stable_ordinal("PermissionSetArn", "AccountId", key), account="AccountId", account_id="AccountId"
+    assigned = lambda df, who: edge(
+        df, "sso:assigned_to", who, pset, PLACE, account="AccountId", account_id="AccountId"
     )
     return [
         node(d.sso_groups, "sso_group", group, a.root, stable_ordinal("GroupId"), sso_group_id="GroupId", sso_group_name="coalesce(DisplayName, GroupId)"),
@@ -290,8 +291,8 @@ def sso(d: Dump, a: Account) -> Frames:
         ),
     ], [
         edge(members, "member_of", user, group, stable_ordinal("GroupId", "UserId")),
-        assigned(people, user, "UserId"),
-        assigned(teams, group, "GroupId"),
+        assigned(people, user),
+        assigned(teams, group),
     ]
 
 

@@ -1,9 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import meta
 from palisade.model import NODE_TYPES, PartGraph
+from palisade.operators.search import settle_edges
+from palisade.operators.stitch import identity
 from palisade.sources import catalog, lockfile, okta
 from palisade.sources.aws import Account, Dump, load_account
 
@@ -93,3 +96,51 @@ def test_column_samples(spark):
     assert catalog.sample_values(table, "x").count() == 20
     assert catalog.sample_values(table, "x", 99).count() == 30
     assert catalog.sample_values(table, "missing").count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_items_keep_their_place(spark, tmp_path, files):
+    """Splits of a file and files of a folder are read in any order; places grow along them all the same."""
+    n = 4000
+    lines = [json.dumps({"LoadBalancerArn": "lb", "Port": i, "Protocol": "TCP"}) for i in range(n)]
+    place = tmp_path / "listeners.json"
+    if files == 1:
+        place.write_text("\n".join(lines))
+    else:
+        place.mkdir()
+        for k in range(files):
+            (place / f"{k}.json").write_text("\n".join(lines[k * n // files : (k + 1) * n // files]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = Dump.from_folder(spark, str(tmp_path)).in_order("listeners")
+        assert rows.rdd.getNumPartitions() > 4
+        assert [r.Port for r in rows.repartition(7).orderBy("_place").collect()] == list(range(n))
+        assert rows.select("_place").distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_last_listener_and_last_group_win(spark, tmp_path):
+    arn = "arn:aws:elasticloadbalancing:us-east-1:1:loadbalancer/app/lb/1"
+    write = lambda name, rows: (tmp_path / f"{name}.json").write_text("\n".join(json.dumps(r) for r in rows))
+    write("load_balancers", [{"LoadBalancerName": "lb", "LoadBalancerArn": arn}])
+    write("target_groups", [{"LoadBalancerArns": [arn], "TargetGroupName": "tg", "TargetGroupArn": "tg"}])
+    forward = [{"Type": "forward", "TargetGroupArn": "tg"}]
+    write("listeners", [{"LoadBalancerArn": arn, "Port": p, "Protocol": "TCP", "DefaultActions": forward} for p in (8080, 9000, 81)])
+    account = Account("1", "us-east-1")
+    g = load_account(Dump.from_folder(spark, str(tmp_path)), account, ["elbv2"])
+    assert [r.metadata.listener_port for r in g.edges_of("routes_to").collect()] == [81]
+    assert [[x[0] for x in r.metadata.lb_listeners] for r in g.of_type("load_balancer").collect()] == [[8080, 9000, 81]]
+    write("sso_instances", [{"InstanceArn": "i", "IdentityStoreId": "d"}])
+    write("sso_groups", [{"GroupId": "g1"}, {"GroupId": "g2"}])
+    write("sso_users", [{"UserId": "u"}])
+    write("sso_memberships", [{"GroupId": g, "MemberId": {"UserId": "u"}} for g in ("g1", "g2")])
+    write("permission_sets", [{"PermissionSetArn": "arn:aws:sso:::permissionSet/i/ps", "InstanceArn": "i", "Name": "Admin"}])
+    grant = lambda kind, who: {"PermissionSetArn": "arn:aws:sso:::permissionSet/i/ps", "AccountId": "1", "PrincipalType": kind, "PrincipalId": who}
+    write("roles", [{"RoleName": "AWSReservedSSO_Admin_0123456789abcdef", "Arn": "arn:aws:iam::1:role/AWSReservedSSO_Admin_0123456789abcdef"}])
+    for order in (["g2", "g1"], ["g1", "g2"]):
+        write("account_assignments", [grant("GROUP", order[0]), grant("GROUP", order[1]), grant("USER", "u")])
+        g = load_account(Dump.from_folder(spark, str(tmp_path)), account, ["sso", "iam"])
+        kept = settle_edges(identity.sso_to_iam(g)).filter("from_urn like '%user/u'").collect()
+        assert [r.metadata.via_group.rsplit("/", 1)[-1] for r in kept] == [order[1]]
