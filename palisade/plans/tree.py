@@ -78,6 +78,30 @@ def lock_rows(t: Tables) -> DataFrame:
     )
 
 
+#: What a customer's view imports besides what all views do, by market segment.
+LIBRARIES = "case c_mktsegment when 'BUILDING' then 'economy' when 'MACHINERY' then 'promo' else 'medium' end"
+
+
+def vulnerable_tree(spark: SparkSession, folder: str) -> tuple[CodeScan, DataFrame, DataFrame]:
+    """A tree whose views import packages, its lock file with one or two versions of each, and what is known of the versions.
+
+    Packages are the first words of part types; sizes of odd number make up the second version.
+    """
+    t = Tables(spark, folder)
+    files = t.customer.selectExpr(
+        "concat('lib/c', c_custkey, '.py') as file_path", "'python' as language", f"concat('import os\\nimport ', {LIBRARIES}, '\\n\\n\\ndef f():\\n    return 1\\n') as source"
+    )
+    scan = CodeScan(files.withColumn("size_bytes", F.octet_length("source").cast("bigint")), BASE, ROOT, spread=spark.sparkContext.defaultParallelism)
+    versions = t.part.selectExpr("lower(split_part(p_type, ' ', 1)) as name", "if(p_type like 'P%' and p_size % 2 = 1, '2.0', '1.0') as version").distinct()
+    entry = "concat('[[package]]\\nname = \"', name, '\"\\nversion = \"', version, '\"\\n', if(name = 'promo', '', 'dependencies = [{ name = \"promo\", version = \"2.0\" }, { name = \"gone\" }]\\n'))"
+    # a few first words of types
+    lock = versions.selectExpr(f"{entry} as entry").agg(F.array_join(F.array_sort(F.collect_list("entry")), "\n").alias("source"))
+    known = t.part.filter("p_type like 'P%'").selectExpr(
+        "lower(split_part(p_type, ' ', 1)) as name", "'2.0' as version", "array(struct(concat('CVE-2024-', p_size) as id, cast(null as array<string>) as aliases)) as vulns"
+    ).distinct()
+    return scan, lock.select(F.lit(scan.urn).alias("codebase_urn"), "source"), known
+
+
 def osv_extract(t: Tables) -> DataFrame:
     vulns = "array(struct(concat('GHSA-', p_size) as id, array(concat('CVE-2024-', p_size), concat('CVE-2023-', p_size)) as aliases), struct(concat('CVE-2024-', p_size) as id, cast(null as array<string>) as aliases))"
     return t.part.filter("p_type = 'PROMO'").select("p_type", "p_size").distinct().selectExpr(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.build import node_frame
 from palisade.functions import docker, meta, scalars
 from palisade.model import Graph, union_all
-from palisade.operators import rules
+from palisade.operators import rules, security
 from palisade.operators.stitch import code, containers
 from palisade.plans import tree
 from palisade.plans.tables import Tables
@@ -247,6 +247,44 @@ def _(t):
     return _edges(_lock(t).edges)
 
 
+_KNOWN = f"""
+WITH version AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS name, CASE WHEN p_type LIKE 'P%' AND p_size % 2 = 1 THEN '2.0' ELSE '1.0' END AS version FROM part)
+, bad AS (SELECT name, version, cve_ids FROM version JOIN (SELECT lower(split_part(p_type, ' ', 1)) AS name, '2.0' AS version, string_agg(DISTINCT 'CVE-2024-' || p_size, ',' ORDER BY 'CVE-2024-' || p_size) AS cve_ids
+    FROM part WHERE p_type LIKE 'P%' GROUP BY 1) USING (name, version))
+, dep AS (SELECT name, version, {APP}/dep/' || name || CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN '@' || version ELSE '' END AS urn FROM version)
+, importer AS (SELECT 'lib/c' || c_custkey || '.py' AS file_path, CASE c_mktsegment WHEN 'BUILDING' THEN 'economy' WHEN 'MACHINERY' THEN 'promo' ELSE 'medium' END AS name FROM customer)
+"""
+
+
+def _vulnerable(spark, folder):
+    scan, lock, known = tree.vulnerable_tree(spark, folder)
+    return scan.graph_with_lock(lockfile.packages(lock), known)
+
+
+@query("x4_vulnerable_code_of_tree", _KNOWN + """
+SELECT b.name AS package, b.version, cve_ids, file_path FROM bad b JOIN importer USING (name)
+UNION ALL SELECT b.name, b.version, cve_ids, 'urn:local:codebase:derived:_:app/uv.lock' FROM bad b
+UNION ALL SELECT b.name, b.version, cve_ids, d.urn FROM bad b, dep d WHERE b.name = 'promo' AND d.name <> 'promo'""", _vulnerable)
+def _(g):
+    """What a scanned tree has to do with vulnerable versions: files, the lock file, other packages."""
+    return security.find_vulnerable_code(g)
+
+
+@query("h4_vulnerable_dependency_of_tree", _KNOWN + """
+SELECT urn AS source_urn, 'vulnerable_dependency' AS heuristic_name, cve_ids FROM bad JOIN dep USING (name, version)""", _vulnerable)
+def _(g):
+    found = rules.gather(g, ["vulnerable_dependency"])
+    return found.select("source_urn", "heuristic_name", F.get_json_object("source_metadata", "$.cve_ids").alias("cve_ids"))
+
+
+@query("s9_versions_side_by_side", _KNOWN + f"""
+SELECT {APP}/' || file_path AS from_urn, urn AS to_urn, 'depends_on' AS edge_type FROM importer JOIN dep USING (name)
+UNION ALL SELECT {APP}/uv.lock', urn, 'depends_on' FROM dep
+UNION ALL SELECT d.urn, p.urn, 'depends_on' FROM dep d, dep p WHERE d.name <> 'promo' AND p.name = 'promo' AND p.version = '2.0'""", _vulnerable)
+def _(g):
+    return _edges(g.edges_of("depends_on"))
+
+
 @query("f22_dependency_links", f"""
 SELECT {APP}/views/v' || c_custkey || '.py' AS from_urn, 'urn:d:' || name AS to_urn, 'depends_on' AS edge_type FROM customer, (VALUES ('boto3'), ('FastAPI'), ('sqlalchemy')) d(name)
 UNION ALL SELECT {APP}/models/m' || s_suppkey || '.py', 'urn:d:sqlalchemy', 'depends_on' FROM supplier JOIN part ON p_partkey = s_suppkey

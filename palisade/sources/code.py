@@ -13,7 +13,7 @@ from palisade.build import edge_frame, node_frame
 from palisade.functions import docker, meta, source_text
 from palisade.model import Graph, union_all
 from palisade.session import stash
-from palisade.sources.lockfile import load_lock, one_per_name
+from palisade.sources.lockfile import load_lock
 from palisade.sources.parsing import FACT_SCHEMA, facts_of
 
 # --- fixed values: languages by file extension, and folders never scanned -----
@@ -154,7 +154,7 @@ class CodeScan:
         path = "array_join(filter(flatten(array(array('{0}', file_path), chain, {1})), x -> x <> ''), '/')"
         return named.selectExpr(
             "*", f"{path.format(self.urn, 'array(display)')} as urn", f"{path.format(self.urn, 'array()')} as parent_urn",
-            "(xxhash64(file_path) & 1099511627775L) * 4096 + seq as ord",
+            "(xxhash64(file_path) & 268435455L) * 1048576 + seq as ord",
         )
 
     @cached_property
@@ -388,9 +388,10 @@ class CodeScan:
         """``(file_urn, source)`` of the files that can hold definitions."""
         return self.files.filter("language is not null").selectExpr(f"{self.file_urn()} as file_urn", "source")
 
-    def graph_with_lock(self, packages: DataFrame) -> Graph:
-        """The tree with its lock file's packages (rows as ``lockfile.packages`` gives them) and the files that import them."""
-        locked = load_lock(one_per_name(packages))
+    def graph_with_lock(self, packages: DataFrame, osv: DataFrame | None = None) -> Graph:
+        """The tree with its lock file's packages (rows as ``lockfile.packages`` gives them), what is known of
+        their versions (``lockfile.read_vulnerabilities``), and the files that import them."""
+        locked = load_lock(packages, osv)
         python = self.files.filter("language = 'python'").selectExpr(f"{self.file_urn()} as urn", "source")
         return self.graph().merge(locked, Graph(locked.nodes.limit(0), dependency_links(python, locked.of_type("dependency"))))
 
@@ -442,7 +443,8 @@ def dependency_links(files: DataFrame, dependencies: DataFrame, import_names: Da
 
     ``files``: ``urn, source``; ``dependencies``: node frame; ``import_names``:
     ``(package, import_name)`` as stated by installed distributions.  A package
-    without a statement imports under its own name, hyphens as underscores.
+    without a statement imports under its own name, hyphens as underscores.  Of several packages
+    with one import name the last counts, in all versions it is locked in.
     """
     package = meta.get(dependencies, "package_name")
     deps = dependencies.filter(package != "").select(F.col("urn").alias("dep_urn"), "ord", F.replace(F.lower(package), F.lit("_"), F.lit("-")).alias("package"))
@@ -451,9 +453,10 @@ def dependency_links(files: DataFrame, dependencies: DataFrame, import_names: Da
         named = deps.withColumn("import_name", own)
     else:
         named = deps.join(import_names, "package", "left").withColumn("import_name", F.lower(F.coalesce("import_name", own)))
-    by_import = named.groupBy("import_name").agg(F.max_by("dep_urn", "ord").alias("dep_urn"))
+    last = named.groupBy(F.col("import_name").alias("l_import")).agg(F.max_by("package", "ord").alias("l_package"))
+    by_import = named.join(last, (F.col("import_name") == F.col("l_import")) & (F.col("package") == F.col("l_package"))).select("import_name", "dep_urn").distinct()
     used = files.select("urn", F.explode(top_level_imports(F.col("source"))).alias("import_name")).join(by_import, "import_name")
-    return edge_frame(used, "depends_on", "urn", "dep_urn", "xxhash64(urn, import_name) & 281474976710655L", import_name="import_name")
+    return edge_frame(used, "depends_on", "urn", "dep_urn", "xxhash64(urn, dep_urn) & 281474976710655L", import_name="import_name")
 
 
 def top_level_imports(source: Column) -> Column:

@@ -12,18 +12,19 @@ from palisade.sources import okta
 from palisade.sources.aws import SERVICES, Account, Dump, load_account
 from palisade.sources.catalog import load_catalog
 from palisade.sources.code import CodeScan, read_lock, read_tree
-from palisade.sources.lockfile import packages
+from palisade.sources.lockfile import packages, read_vulnerabilities
 
 Loader = Callable[[SparkSession, "Target"], Graph]
 
 
 @dataclass(frozen=True)
 class Target:
-    """A scan target: its URN, where its extract lies, and plugin choice."""
+    """A scan target: its URN, where its extract lies, plugin choice, and for source trees an extract of vulnerabilities."""
 
     urn: str
     location: str
     plugins: tuple[str, ...] | None = None
+    vulnerabilities: str | None = None
 
     def part(self, index: int) -> str:
         pieces = self.urn.split(":", 5)
@@ -49,7 +50,8 @@ def _code_scan(spark: SparkSession, target: Target, base: str) -> CodeScan:
 def _tree(base: str) -> Loader:
     def load(spark: SparkSession, target: Target) -> Graph:
         own = _code_scan(spark, target, base)
-        return own.graph_with_lock(packages(read_lock(spark, target.location, own.urn)))
+        known = read_vulnerabilities(spark, target.vulnerabilities) if target.vulnerabilities else None
+        return own.graph_with_lock(packages(read_lock(spark, target.location, own.urn)), known)
 
     return load
 

@@ -6,13 +6,15 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.build import edge_frame, node_frame
 from palisade.model import Graph, union_all
 
-LOCK_SCHEMA = "codebase_urn string, name string, version string, dependencies array<string>"
+LOCK_SCHEMA = "codebase_urn string, name string, version string, dependencies array<struct<name:string,version:string>>"
+#: What is known of a package version, as the vulnerability service answers: one JSON line for each.
+VULNERABILITIES = "name string, version string, vulns array<struct<id:string,aliases:array<string>>>"
 
 
 def packages(locks: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def packages(locks: DataFrame) -> DataFrame:
                     continue
                 found = [
                     {"codebase_urn": row.codebase_urn, "name": p.get("name", ""), "version": p.get("version", ""),
-                     "dependencies": [d.get("name", "") for d in p.get("dependencies", [])]}
+                     "dependencies": [{"name": d.get("name", ""), "version": d.get("version")} for d in p.get("dependencies", [])]}
                     for p in listed
                 ]
                 yield pd.DataFrame(found, columns=["codebase_urn", "name", "version", "dependencies"])
@@ -39,11 +41,9 @@ def packages(locks: DataFrame) -> DataFrame:
     return locks.select("codebase_urn", "source").mapInPandas(parse, LOCK_SCHEMA)
 
 
-def one_per_name(rows: DataFrame) -> DataFrame:
-    """``packages``' rows, one per name: a URN has no version, so versions locked side by side are listed on one node."""
-    listed = F.array_join(F.array_sort(F.collect_set(F.nullif("version", F.lit("")))), ",")
-    needs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("dependencies"))))
-    return rows.groupBy("codebase_urn", "name").agg(listed.alias("version"), needs.alias("dependencies"))
+def read_vulnerabilities(spark: SparkSession, path: str) -> DataFrame:
+    """An extract of the vulnerability service's answers, one package version a line."""
+    return spark.read.schema(VULNERABILITIES).json(path)
 
 
 def vulnerability_ids(vulns: Column, prefix: str = "CVE-") -> Column:
@@ -52,24 +52,42 @@ def vulnerability_ids(vulns: Column, prefix: str = "CVE-") -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: n.startswith(prefix))))
 
 
+def dependency_rows(rows: DataFrame) -> DataFrame:
+    """``packages``' rows, one per locked version, with ``dep``, the last part of its URN.
+
+    A package that is locked once is known by its name; one that is locked in several versions
+    is a node for each, known by name and version.
+    """
+    locked = rows.filter("name <> '' and version <> ''").groupBy("codebase_urn", "name", "version").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.coalesce("dependencies", F.array().cast("array<struct<name:string,version:string>>"))))).alias("dependencies")
+    )
+    per_name = locked.groupBy(F.col("codebase_urn").alias("n_base"), F.col("name").alias("n_name")).agg(F.count("*").alias("versions"))
+    many = locked.join(per_name, (F.col("codebase_urn") == F.col("n_base")) & (F.col("name") == F.col("n_name")))
+    dep = F.when(F.col("versions") > 1, F.concat("name", F.lit("@"), "version")).otherwise(F.col("name"))
+    return many.select("codebase_urn", "name", "version", "dependencies", dep.alias("dep"))
+
+
 def load_lock(rows: DataFrame, osv: DataFrame | None = None) -> Graph:
     """Manifest and dependency nodes with ``depends_on`` edges, direct and transitive.
 
-    ``rows`` as :func:`packages` gives them; ``osv`` is an extract
-    ``(name, version, vulns array<struct<id, aliases>>)``.
+    ``rows`` as :func:`packages` gives them; ``osv`` as :func:`read_vulnerabilities` does, joined by
+    name and exact version.  A dependency on a package leads to the version that the lock file states, to
+    all locked ones where it states none.
     """
-    valid = rows.filter("name <> '' and version <> ''")
+    valid = dependency_rows(rows)
     if osv is not None:
-        ids = osv.select("name", "version", F.nullif(F.array_join(vulnerability_ids(F.col("vulns")), ","), F.lit("")).alias("cve_ids"))
-        valid = valid.join(ids, ["name", "version"], "left")
+        known = osv.select(F.col("name").alias("v_name"), F.col("version").alias("v_version"), F.explode(vulnerability_ids(F.col("vulns"))).alias("id"))
+        ids = known.groupBy("v_name", "v_version").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("cve_ids"))
+        valid = valid.join(ids, (F.col("name") == F.col("v_name")) & (F.col("version") == F.col("v_version")), "left")
     else:
         valid = valid.withColumn("cve_ids", F.lit(None).cast("string"))
-    order = "xxhash64(codebase_urn, name) & 281474976710655L"
-    manifest, dep = "concat(codebase_urn, '/uv.lock')", "concat(codebase_urn, '/dep/', name)"
+    order = "xxhash64(codebase_urn, dep) & 281474976710655L"
+    manifest, dep = "concat(codebase_urn, '/uv.lock')", "concat(codebase_urn, '/dep/', dep)"
     roots = rows.select("codebase_urn").distinct()
-    links = valid.select("codebase_urn", "name", F.explode("dependencies").alias("target")).join(
-        valid.select("codebase_urn", F.col("name").alias("target")).distinct(), ["codebase_urn", "target"], "left_semi"
-    )
+    needs = valid.select("codebase_urn", "dep", F.explode("dependencies").alias("d")).select("codebase_urn", "dep", "d.name", F.col("d.version").alias("wanted"))
+    targets = valid.select(F.col("codebase_urn").alias("t_base"), F.col("name").alias("t_name"), "version", F.col("dep").alias("target"))
+    links = needs.join(targets, (F.col("codebase_urn") == F.col("t_base")) & (F.col("name") == F.col("t_name"))).filter("wanted is null or wanted = version")
+    links = links.select("codebase_urn", "dep", "target").distinct()
     return Graph(
         union_all([
             node_frame(
@@ -83,6 +101,6 @@ def load_lock(rows: DataFrame, osv: DataFrame | None = None) -> Graph:
         union_all([
             edge_frame(roots, "contains", "codebase_urn", manifest, "xxhash64(codebase_urn) & 281474976710655L"),
             edge_frame(valid, "depends_on", manifest, dep, order),
-            edge_frame(links, "depends_on", dep, "concat(codebase_urn, '/dep/', target)", "xxhash64(codebase_urn, name, target) & 281474976710655L"),
+            edge_frame(links, "depends_on", dep, "concat(codebase_urn, '/dep/', target)", "xxhash64(codebase_urn, dep, target) & 281474976710655L"),
         ]),
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.model import DuplicateNodeError, Graph
-from palisade.operators import compliance, enrich, legality, mutate, rules, search, soft_links
+from palisade.operators import compliance, enrich, legality, mutate, rules, search, security, soft_links
 from palisade.plans import scan
 from palisade.sources import graph_json
 from palisade.sources.dispatch import Target, chosen_plugins, load_target
@@ -241,7 +241,7 @@ def test_scan_reads_locks_imports_and_source_texts(spark, tmp_path):
     lock = '''[[package]]
 name = "flask"
 version = "3.0"
-dependencies = [{ name = "click", marker = "a" }, { name = "click", marker = "b" }]
+dependencies = [{ name = "click", version = "8.1", marker = "a" }, { name = "click", version = "8.1", marker = "b" }]
 [[package]]
 name = "click"
 version = "8.1"
@@ -252,7 +252,7 @@ version = "8.0"
     for name, body in (("shop", "    return session.query(User)\n"), ("other", "    return 1\n\n\n")):
         repo = tmp_path / name
         (repo / "node_modules").mkdir(parents=True)
-        (repo / "main.py").write_text("from flask import Flask\nimport os\n\ndef view(session):\n" + body)
+        (repo / "main.py").write_text("from flask import Flask\nimport click\nimport os\n\ndef view(session):\n" + body)
     (tmp_path / "shop" / "models.py").write_text("from sqlalchemy import Column\n\nclass User(Base):\n    __tablename__ = 'users'\n")
     (tmp_path / "shop" / "uv.lock").write_text(lock)
     (tmp_path / "shop" / "node_modules" / "uv.lock").write_text(lock.replace("flask", "hidden"))
@@ -270,10 +270,19 @@ version = "8.0"
     for name, rows in frames.items():
         spark.createDataFrame(rows, ddl[name]).write.parquet(str(db / name))
     store = ParquetStore(spark, str(tmp_path / "graph"))
-    targets = [Target(f"urn:_:repo:_:_:{tmp_path / n}", str(tmp_path / n)) for n in ("shop", "other")] + [Target("urn:onprem:postgres:h:5432:shop", str(db))]
+    known = tmp_path / "osv.json"
+    known.write_text('{"name": "click", "version": "8.0", "vulns": [{"id": "GHSA-1", "aliases": ["CVE-2"]}]}\n{"name": "click", "version": "7", "vulns": [{"id": "CVE-7"}]}\n')
+    targets = [Target(f"urn:_:repo:_:_:{tmp_path / n}", str(tmp_path / n), vulnerabilities=str(known)) for n in ("shop", "other")] + [Target("urn:onprem:postgres:h:5432:shop", str(db))]
     g = store.read(scan.scan(spark, targets, store))
     base = "urn:local:codebase:_:_:shop"
-    assert values(g.nodes.filter("node_type = 'dependency'"), "package_version") == {base + "/dep/flask": ("3.0",), base + "/dep/click": ("8.0,8.1",)}
+    assert values(g.nodes.filter("node_type = 'dependency'"), "package_version", "cve_ids") == {
+        base + "/dep/flask": ("3.0", None), base + "/dep/click@8.0": ("8.0", "CVE-2"), base + "/dep/click@8.1": ("8.1", None),
+    }
     links = sorted((r.from_urn.replace(base, ""), r.to_urn.replace(base, "")) for r in g.edges_of("depends_on").collect())
-    assert links == [("/dep/flask", "/dep/click"), ("/main.py", "/dep/flask"), ("/uv.lock", "/dep/click"), ("/uv.lock", "/dep/flask")]
+    assert links == [
+        ("/dep/flask", "/dep/click@8.1"), ("/main.py", "/dep/click@8.0"), ("/main.py", "/dep/click@8.1"), ("/main.py", "/dep/flask"),
+        ("/uv.lock", "/dep/click@8.0"), ("/uv.lock", "/dep/click@8.1"), ("/uv.lock", "/dep/flask"),
+    ]
+    assert [r.source_urn for r in rules.gather(g, ["vulnerable_dependency"]).collect()] == [base + "/dep/click@8.0"]
+    assert sorted((r.version, r.cve_ids, r.file_path.replace(base, "")) for r in security.find_vulnerable_code(g).collect()) == [("8.0", "CVE-2", "/uv.lock"), ("8.0", "CVE-2", "main.py")]
     assert [(r.from_urn, r.to_urn.rsplit("/", 1)[-1]) for r in g.edges_of("reads").collect()] == [(base + "/main.py/view", "users")]
