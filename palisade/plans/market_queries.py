@@ -14,6 +14,7 @@ from palisade.plans.market import MarketGraph, customer_urn, market_graph
 from palisade.plans.oracle import GRAPH
 from palisade.plans.tables import Tables
 from palisade.session import shared_folder
+from palisade.sources import graph_json
 from palisade.sources.store import ParquetStore, report, with_status
 
 QUERIES: dict = {}
@@ -518,6 +519,49 @@ def _(g):
     return count(kept.nodes, "node", "node_type").unionByName(count(kept.edges, "edge", "edge_type"))
 
 
+def _requests(t: Tables) -> DataFrame:
+    """Link requests from orders: customer -> part; levels and types vary, some are invalid."""
+    return t.orders.selectExpr(
+        f"{customer_urn('o_custkey')} as from_urn", "concat('urn:tpch:geo:::nation/', o_orderkey % 30) as to_urn",
+        "case o_orderstatus when 'O' then 'reads' when 'F' then 'soft_reference' else 'hosts' end as edge_type",
+        "case when o_orderpriority = '1-URGENT' then 'HIGH' when o_orderpriority = '2-HIGH' then 'bogus' else 'medium' end as confidence_level",
+        "o_orderpriority as note", "cast(o_orderdate as string) as created_at",
+    )
+
+
+_REQUESTS = """
+, requests AS (SELECT 'urn:tpch:party:::customer/' || o_custkey AS from_urn, 'urn:tpch:geo:::nation/' || (o_orderkey % 30) AS to_urn,
+  CASE o_orderstatus WHEN 'O' THEN 'reads' WHEN 'F' THEN 'soft_reference' ELSE 'hosts' END AS edge_type,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'HIGH' WHEN o_orderpriority = '2-HIGH' THEN 'BOGUS' ELSE 'MEDIUM' END AS level FROM orders)
+, valid AS (SELECT DISTINCT from_urn, to_urn, edge_type FROM requests WHERE to_urn IN (SELECT urn FROM vertices) AND from_urn IN (SELECT urn FROM vertices)
+  AND edge_type IN ('reads', 'soft_reference') AND level IN ('HIGH', 'MEDIUM'))
+"""
+
+
+def _document(g) -> Graph:
+    """The graph written as one JSON document, with links, and loaded from it by byte ranges."""
+    folder = f"{shared_folder(g.spark)}/document-{uuid.uuid4().hex}"
+    graph_json.write_document(soft_links.add_soft_links(g, _requests(g.tables)), folder, "2024-01-01")
+    return graph_json.load_document(g.spark, folder)
+
+
+@query("k1_s1_document_nodes", """
+SELECT urn, parent_urn, node_type, function_name, file_path, table_name, column_name, package_version, cve_ids, role_superuser FROM nodes""")
+def _(g):
+    back = _document(g).nodes
+    keys = "function_name file_path table_name column_name package_version cve_ids role_superuser".split()
+    return back.select("urn", "parent_urn", "node_type", *[meta.get(back, k).alias(k) for k in keys])
+
+
+@query("k1_s1_document_edges", _REQUESTS + """
+SELECT from_urn, to_urn, edge_type, confidence FROM edges
+UNION ALL SELECT from_urn, to_urn, 'soft ' || edge_type, CAST(NULL AS DOUBLE) FROM valid""")
+def _(g):
+    back = _document(g)
+    edges = back.edges.select("from_urn", "to_urn", "edge_type", meta.get(back.edges, "confidence").alias("confidence"))
+    return edges.unionAll(back.soft_links.select("from_urn", "to_urn", F.concat(F.lit("soft "), F.col("edge_type")), F.lit(None).cast("double")))
+
+
 # --- mutations and links ---------------------------------------------------------
 
 
@@ -541,25 +585,6 @@ def _(g):
     return out.select("urn", *[meta.get(out, k).alias(k) for k in ("function_name", "file_path")])
 
 
-def _requests(t: Tables) -> DataFrame:
-    """Link requests from orders: customer -> part; levels and types vary, some are invalid."""
-    return t.orders.selectExpr(
-        f"{customer_urn('o_custkey')} as from_urn", "concat('urn:tpch:geo:::nation/', o_orderkey % 30) as to_urn",
-        "case o_orderstatus when 'O' then 'reads' when 'F' then 'soft_reference' else 'hosts' end as edge_type",
-        "case when o_orderpriority = '1-URGENT' then 'HIGH' when o_orderpriority = '2-HIGH' then 'bogus' else 'medium' end as confidence_level",
-        "o_orderpriority as note", "cast(o_orderdate as string) as created_at",
-    )
-
-
-_REQUESTS = """
-, requests AS (SELECT 'urn:tpch:party:::customer/' || o_custkey AS from_urn, 'urn:tpch:geo:::nation/' || (o_orderkey % 30) AS to_urn,
-  CASE o_orderstatus WHEN 'O' THEN 'reads' WHEN 'F' THEN 'soft_reference' ELSE 'hosts' END AS edge_type,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 'HIGH' WHEN o_orderpriority = '2-HIGH' THEN 'BOGUS' ELSE 'MEDIUM' END AS level FROM orders)
-, valid AS (SELECT DISTINCT from_urn, to_urn, edge_type FROM requests WHERE to_urn IN (SELECT urn FROM vertices) AND from_urn IN (SELECT urn FROM vertices)
-  AND edge_type IN ('reads', 'soft_reference') AND level IN ('HIGH', 'MEDIUM'))
-"""
-
-
 @query("m3_soft_link_checks", _REQUESTS + """
 SELECT CASE WHEN from_urn NOT IN (SELECT urn FROM vertices) THEN 'from' WHEN to_urn NOT IN (SELECT urn FROM vertices) THEN 'to_urn not found' WHEN edge_type = 'hosts' THEN 'invalid edge_type'
   WHEN level = 'BOGUS' THEN 'invalid confidence' ELSE 'ok' END AS verdict, count(*) AS n FROM requests GROUP BY 1""")

@@ -12,19 +12,14 @@ from pyspark.sql import functions as F
 
 from palisade.functions import labels
 from palisade.model import EDGE_KEYS, NODE_KEYS, SOFT_LINK_SCHEMA, Graph
+from palisade.session import stash
+from palisade.sources.json_ranges import RANGE, elements
 
 _ITEM = "urn string, organization_id string, parent_urn string, node_type string, metadata variant"
 _EDGE = "uuid string, organization_id string, from_urn string, to_urn string, edge_type string, metadata variant"
 _LINK = "id string, from_urn string, to_urn string, edge_type string, detection_method string, confidence double, confidence_level string, note string, created_at string"
 
 
-def _struct(ddl: str) -> str:
-    return "array<struct<" + ", ".join(part.strip().replace(" ", ":", 1) for part in ddl.split(",")) + ">>"
-
-
-DOCUMENT = f"generated_at string, nodes {_struct(_ITEM)}, edges {_struct(_EDGE)}, soft_links {_struct(_LINK)}"
-
-
 def typed_metadata(df: DataFrame, vocabulary: dict[str, str], keys: list[str]) -> DataFrame:
     """Turn a VARIANT bag into the metadata struct of ``keys`` and an ``extra`` map for the rest."""
     bag = F.col("metadata")
@@ -54,12 +49,23 @@ def from_rows(nodes: DataFrame, edges: DataFrame, links: DataFrame | None = None
     return Graph(typed, typed_metadata(edges, EDGE_KEYS, edge_keys).withColumn("edge_type", F.coalesce("edge_type", F.lit("unknown"))), links)
 
 
-def load_document(spark: SparkSession, path: str) -> Graph:
-    """A whole graph document.  One JSON object is one record, so one task reads a file."""
-    doc = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
-    part = lambda name: doc.select(F.posexplode(name).alias("ord", "x")).select("x.*", F.col("ord").cast("bigint"))
-    links = doc.select(F.inline("soft_links"))
-    return from_rows(part("nodes"), part("edges"), links)
+def load_document(spark: SparkSession, path: str, range_bytes: int = RANGE) -> Graph:
+    """A whole graph document, in one file or in the parts that :func:`write_document` leaves, read by byte ranges.
+
+    Any layout will do.  Elements that are no objects of their kind are left out.  The ordinal of an item is its place in bytes.
+    """
+    found = stash(elements(spark, path, range_bytes), "elements")
+    lists = {r["text"]: r["place"] for r in found.filter("kind = 'list'").orderBy("place").collect()}  # keys of the top object
+    ends = sorted(lists.values())
+
+    def part(name: str, ddl: str, *more: Column) -> DataFrame:
+        start = lists.get(name)
+        end = next((e for e in ends if start is not None and e > start), None)
+        own = found.filter("kind = 'element'").filter(F.lit(False) if start is None else F.col("place") > start)
+        own = own if end is None else own.filter(F.col("place") < end)
+        return own.select(F.from_json("text", ddl).alias("x"), F.col("place").alias("ord")).filter("x is not null").select("x.*", *more)
+
+    return from_rows(part("nodes", _ITEM, F.col("ord")), part("edges", _EDGE, F.col("ord")), part("soft_links", _LINK))
 
 
 def load_indented(spark: SparkSession, path: str) -> Graph:
