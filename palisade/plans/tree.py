@@ -68,6 +68,63 @@ def tables_of_parts(t: Tables) -> DataFrame:
     return node_frame(t.part, "table", "concat('urn:tpch:catalog:::', p_brand, '/', p_partkey)", "concat('urn:tpch:catalog:::', p_brand)", "6000000000000L + p_partkey", table_name="p_name")
 
 
+#: A text per customer ``#``, by extension; those of customers in debt are torn at the mark ``~``.
+SCRIPTS = {
+    "js": """import x from "y"
+const t = `class Fake# { }`
+export class Store# extends Base {
+  load(a = {b: 1}) { return fetch(`/u/${a}`) }
+  get total() { return /[/{]class No {/.test(1) }
+}
+async function run#(x) {
+  if (x) { return () => 1 }
+}
+class Cut# {
+  open() {
+~  }
+}
+""",
+    "ts": """interface Shape# { area(): number }
+export class Repo#<T extends { id: number }> extends Base<T> {
+  find<K>(key: K): { a: number } { return null }
+  over(a: string): void
+  over(a: any): void {}
+}
+export function pick#(o: { a: 1 }): void {
+}
+class Cut# {
+  open(): void {
+~  }
+}
+""",
+    "java": """package a;
+public class Order# extends Model {
+    @Override
+    public String label() { return "} class No {"; }
+    public Order#(int a) { }
+    abstract int area();
+    interface Inner { void go(); }
+}
+class Cut# {
+    void open() {
+~    }
+}
+""",
+}
+
+
+def script_scan(spark: SparkSession, folder: str, extension: str) -> CodeScan:
+    """One file per customer."""
+    text = F.replace(F.lit(SCRIPTS[extension]), F.lit("#"), F.col("c_custkey").cast("string"))
+    torn = F.substring_index(text, "~", 1)
+    files = Tables(spark, folder).customer.select(
+        F.concat(F.lit("src/c"), F.col("c_custkey").cast("string"), F.lit(f".{extension}")).alias("file_path"),
+        F.when(F.col("c_acctbal") < 0, torn).otherwise(F.replace(text, F.lit("~"), F.lit(""))).alias("source"),
+    )
+    files = files.select("file_path", language_of(F.col("file_path")).alias("language"), "source", F.octet_length("source").cast("bigint").alias("size_bytes"))
+    return CodeScan(files, BASE, ROOT, spread=spark.sparkContext.defaultParallelism)
+
+
 def lock_rows(t: Tables) -> DataFrame:
     """Lock files as text: one per brand, its parts' types and sizes as packages."""
     entry = "concat('[[package]]\\nname = \"', lower(p_type), '-', p_size, '\"\\nversion = \"1.', p_size, '\"\\ndependencies = [{ name = \"', lower(p_type), '-', p_size + 1, '\" }]\\n')"

@@ -79,6 +79,34 @@ def _(scan):
     return _edges(scan.call_edges())
 
 
+def _scripts(extension: str, rows: list[tuple[str, str, int, int, int | None]]) -> None:
+    """Definitions of files in one language; ``rows``: path, type, first line, last line, last line where the file is torn (None: the same)."""
+    parts = [
+        f"SELECT {APP}/src/c' || c_custkey || '.{extension}/' || replace('{path}', '#', c_custkey::VARCHAR) AS urn, '{kind}' AS node_type, {start} AS start_line, "
+        f"CASE WHEN c_acctbal < 0 THEN {end if torn is None else torn} ELSE {end} END AS end_line FROM customer"
+        for path, kind, start, end, torn in rows
+    ]
+
+    @query(f"s6_definitions_{extension}", " UNION ALL ".join(parts), lambda spark, folder: tree.script_scan(spark, folder, extension))
+    def _(scan):
+        n = scan.nodes().filter("node_type in ('class', 'function')")
+        return n.select("urn", "node_type", meta.get(n, "start_line").alias("start_line"), meta.get(n, "end_line").alias("end_line"))
+
+
+_scripts("js", [
+    ("Store#", "class", 2, 5, None), ("Store#/load", "function", 3, 3, None), ("Store#/total", "function", 4, 4, None), ("run#", "function", 6, 8, None),
+    ("Cut#", "class", 9, 12, 10), ("Cut#/open", "function", 10, 11, 10),
+])
+_scripts("ts", [
+    ("Repo#", "class", 1, 5, None), ("Repo#/find", "function", 2, 2, None), ("Repo#/over", "function", 4, 4, None), ("pick#", "function", 6, 7, None),
+    ("Cut#", "class", 8, 11, 9), ("Cut#/open", "function", 9, 10, 9),
+])
+_scripts("java", [
+    ("Order#", "class", 1, 7, None), ("Order#/label", "function", 2, 3, None), ("Order#/area", "function", 5, 5, None), ("Order#/Inner", "class", 6, 6, None),
+    ("Order#/Inner/go", "function", 6, 6, None), ("Cut#", "class", 8, 11, 9), ("Cut#/open", "function", 9, 10, 9),
+])
+
+
 @query("f25_rust_calls", f"""
 SELECT {APP}/src/m' || s.s_suppkey || '.rs/f' || s.s_suppkey AS from_urn, {APP}/src/m' || n.s_suppkey || '.rs/f' || n.s_suppkey AS to_urn, 'calls' AS edge_type FROM supplier s JOIN supplier n ON n.s_suppkey = s.s_nationkey
 UNION ALL SELECT {APP}/src/m' || s_suppkey || '.rs/f' || s_suppkey, {APP}/src/m' || s_suppkey || '.rs/helper', 'calls' FROM supplier""", tree.rust_scan)

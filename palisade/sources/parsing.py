@@ -10,6 +10,8 @@ import ast
 import re
 from collections.abc import Iterator
 
+from palisade.sources.scanner import CLASS_WORDS, definitions
+
 FACT_SCHEMA = (
     "file_path string, fact string, name string, display string, chain array<string>, start bigint, end bigint, "
     "bases array<string>, module string, source_name string, text string, head string, seq bigint"
@@ -100,29 +102,25 @@ def _python_calls(node: ast.AST) -> Iterator[str]:
 
 
 # --- fixed values: definition heads of the brace languages --------------------
-_JS = re.compile(
-    r"\bclass\s+(?P<cls>[A-Za-z_$][\w$]*)(?:\s+extends\s+(?P<base>[\w$.]+))?"
-    r"|\bfunction\s*\*?\s+(?P<fn>[A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\("
-    r"|(?P<method>(?<![\w$.])(?!(?:if|for|while|switch|catch|function|return|new|await|typeof|super)\b)[A-Za-z_$#][\w$]*)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?::[^{};=]+)?(?=\{)"
-)
-_JAVA = re.compile(
-    r"\b(?:class|interface)\s+(?P<cls>\w+)(?:[^{};]*?\bextends\s+(?P<base>[\w.]+))?"
-    r"|(?P<method>(?<![\w.])(?!(?:if|for|while|switch|catch|new|return|synchronized|try|super|this)\b)\w+)\s*\([^(){};]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{|;)"
-)
 _RUST = re.compile(
     r"\b(?:struct|enum|trait)\s+(?P<cls>\w+)|\bfn\s+(?P<fn>\w+)|\bimpl\b(?P<open>[^{;]*)(?=\{)"
 )
-BRACE_HEADS = {"javascript": _JS, "typescript": _JS, "tsx": _JS, "java": _JAVA, "rust": _RUST}
+BRACE_HEADS = {"rust": _RUST}
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|(?<![\w])'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
 
 
+def scanned_facts(language: str, source: str) -> Iterator[dict]:
+    """Classes and functions of JavaScript, TypeScript or Java."""
+    for n, d in enumerate(definitions(language, source)):
+        yield _fact(d["kind"], d["name"], n, display=d["shown"], chain=d["chain"], start=d["start"], end=d["end"], bases=[d["base"]] if d["base"] else None)
+
+
 def _blank(match: re.Match) -> str:
     return re.sub(r"[^\n]", " ", match.group())
 
 
 def brace_facts(language: str, source: str) -> Iterator[dict]:
-    """Classes and functions of a brace language, found by head patterns and brace matching.
-
+    """Classes and functions of Rust, found by head patterns and brace matching.
     Partial by nature: it reads heads, not a grammar.  Bodies of functions are
     not entered; bodies of classes (and Rust ``impl`` blocks) are.
     """
@@ -182,6 +180,8 @@ def facts_of(path: str, language: str, source: str) -> list[dict]:
         found = python_facts(path, source)
     elif language in BRACE_HEADS:
         found = brace_facts(language, source)
+    elif language in CLASS_WORDS:
+        found = scanned_facts(language, source)
     else:
         return []
     lines = source.splitlines()
