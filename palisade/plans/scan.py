@@ -8,14 +8,16 @@ from palisade.model import Graph, union_all
 from palisade.operators.enrich import enrich_sensitivity
 from palisade.operators.stitch import resolve, stitch
 from palisade.session import stash
-from palisade.sources.dispatch import Target, load_sources, load_target
+from palisade.sources.dispatch import Target, load_with_sources
 from palisade.sources.store import Sink
 
 
-def ingest(spark: SparkSession, targets: list[Target]) -> Graph:
-    """Graphs of all targets, merged in target order."""
-    first, *rest = [load_target(spark, t) for t in targets]
-    return first.merge(*rest) if rest else first
+def ingest(spark: SparkSession, targets: list[Target]) -> tuple[Graph, DataFrame | None]:
+    """Graphs of all targets, merged in target order, and ``(file_urn, source)`` of all source trees (None without one)."""
+    loaded = [load_with_sources(spark, t) for t in targets]
+    first, *rest = [graph for graph, _ in loaded]
+    texts = [own for _, own in loaded if own is not None]
+    return first.merge(*rest) if rest else first, union_all(texts) if texts else None
 
 
 def assemble(graph: Graph, sources: DataFrame | None = None) -> Graph:
@@ -29,14 +31,7 @@ def assemble(graph: Graph, sources: DataFrame | None = None) -> Graph:
     return linked.with_nodes(enrich_sensitivity(linked.nodes))
 
 
-def source_texts(spark: SparkSession, targets: list[Target]) -> DataFrame | None:
-    """``(file_urn, source)`` of all source trees among the targets, None without one."""
-    found = [s for t in targets if (s := load_sources(spark, t)) is not None]
-    return union_all(found) if found else None
-
-
 def scan(spark: SparkSession, targets: list[Target], sink: Sink, sources: DataFrame | None = None) -> str:
     """Run a whole scan and return the version written; ``sources`` stands in for the targets' own texts."""
-    if sources is None:
-        sources = source_texts(spark, targets)
-    return sink.write(assemble(ingest(spark, targets), sources).validate())
+    graph, texts = ingest(spark, targets)
+    return sink.write(assemble(graph, texts if sources is None else sources).validate())

@@ -6,13 +6,18 @@ nation; texts are put together by Spark, then scanned like any checked-out tree.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.build import edge_frame, node_frame
 from palisade.model import Graph, union_all
 from palisade.plans.tables import Tables
+from palisade.session import shared_folder
 from palisade.sources.code import CodeScan, language_of
+from palisade.sources.dispatch import Target, load_target
+from palisade.sources.files import write_files
 
 BASE, ROOT = "urn:local:codebase:derived:_", "app"
 
@@ -135,6 +140,30 @@ def lock_rows(t: Tables) -> DataFrame:
     )
 
 
+#: A clone URL, the commit its checkout stands at, and the URN of its code.
+CLONED, COMMIT, CLONE_URN = "https://Git.Example.com/acme/app.git", "6f1ed002ab5595859014ebf0951522d9", "urn:git:repo:git.example.com:_:app"
+
+
+def checked_out(spark: SparkSession, folder: str) -> Graph:
+    """A repository on disk, a file per customer, loaded as a target."""
+    t = Tables(spark, folder)
+    own = t.customer.selectExpr(
+        "concat(if(c_acctbal < 0, 'node_modules', 'src'), '/n', c_nationkey, '/_v', c_custkey, '.py') as file_path",
+        "concat('import ', lower(substr(c_mktsegment, 1, 4)), '\\n\\n\\ndef f', c_custkey, '():\\n    return 1\\n') as source",
+    )
+    packages = t.customer.selectExpr("lower(substr(c_mktsegment, 1, 4)) as name").distinct()
+    entries = packages.selectExpr("concat('[[package]]\\nname = \"', name, '\"\\nversion = \"1.0\"\\n') as entry").agg(F.array_join(F.array_sort(F.collect_list("entry")), "\n").alias("source"))
+    rest = {
+        "src/__init__.py": "", "README.md": "text", "sub/uv.lock": "no lock of the root", "Dockerfile": "FROM python:3\n",
+        ".git/HEAD": "ref: refs/heads/main\n", ".git/packed-refs": f"# pack-refs\n{'0' * 32} refs/heads/old\n{COMMIT} refs/heads/main\n", ".git/no.py": "def no(): pass\n",
+    }
+    texts = F.map_from_arrays(F.array(*[F.lit(k) for k in rest]), F.array(*[F.lit(v) for v in rest.values()]))
+    fixed = spark.range(1).select(F.explode(texts).alias("file_path", "source"))
+    place = f"{shared_folder(spark)}/checkout-{uuid.uuid4().hex}"
+    write_files(own.unionAll(entries.selectExpr("'uv.lock' as file_path", "source")).unionAll(fixed), place)
+    return load_target(spark, Target(f"urn:git:repo:_:_:{CLONED}", place))
+
+
 #: What a customer's view imports besides what all views do, by market segment.
 LIBRARIES = "case c_mktsegment when 'BUILDING' then 'economy' when 'MACHINERY' then 'promo' else 'medium' end"
 

@@ -476,6 +476,29 @@ def _(t):
     return t.pages.select("page_id", scalars.repo_key(F.col("url")).alias("repo_key"), scalars.dns_key(F.col("url")).alias("dns_key"))
 
 
+_CHECKED_OUT = f"""
+WITH own AS (SELECT *, '{tree.CLONE_URN}/src/n' || c_nationkey || '/_v' || c_custkey || '.py' AS file FROM customer WHERE c_acctbal >= 0)
+"""
+
+
+@query("s4_s5_checked_out_nodes", _CHECKED_OUT + f"""
+SELECT '{tree.CLONE_URN}' AS urn, 'codebase' AS node_type, '{tree.CLONED}' AS repo_url, '{tree.COMMIT}' AS scanned_commit, (SELECT count(*) + 1 FROM own) AS file_count
+UNION ALL SELECT file, 'file', NULL, NULL, NULL FROM own UNION ALL SELECT file || '/f' || c_custkey, 'function', NULL, NULL, NULL FROM own
+UNION ALL SELECT '{tree.CLONE_URN}/' || f, CASE WHEN f = 'uv.lock' THEN 'package_manifest' ELSE 'file' END, NULL, NULL, NULL FROM (VALUES ('src/__init__.py'), ('Dockerfile'), ('uv.lock')) v(f)
+UNION ALL SELECT DISTINCT '{tree.CLONE_URN}/dep/' || lower(c_mktsegment[1:4]), 'dependency', NULL, NULL, NULL FROM customer""", tree.checked_out)
+def _(g):
+    """A repository from its files on disk: pruned folders, names that Spark hides, lock file, host and commit."""
+    n = g.nodes
+    return n.select("urn", "node_type", *[meta.get(n, k).alias(k) for k in ("repo_url", "scanned_commit", "file_count")])
+
+
+@query("s4_s9_checked_out_imports", _CHECKED_OUT + f"""
+SELECT file AS from_urn, '{tree.CLONE_URN}/dep/' || lower(c_mktsegment[1:4]) AS to_urn, 'depends_on' AS edge_type FROM own
+UNION ALL SELECT DISTINCT '{tree.CLONE_URN}/uv.lock', '{tree.CLONE_URN}/dep/' || lower(c_mktsegment[1:4]), 'depends_on' FROM customer""", tree.checked_out)
+def _(g):
+    return _edges(g.edges_of("depends_on"))
+
+
 @query("s5_repo_url_parts", """
 SELECT page_id, lower(regexp_extract(url, '^https?://([^/:]+)', 1)) AS host, trim(regexp_replace(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '\\.git$', ''), '/') AS path FROM pages""")
 def _(t):

@@ -13,6 +13,7 @@ from palisade.build import edge_frame, node_frame
 from palisade.functions import docker, meta, source_text
 from palisade.model import Graph, union_all
 from palisade.session import stash
+from palisade.sources.files import list_tree, read_contents, read_small
 from palisade.sources.lockfile import load_lock
 from palisade.sources.parsing import FACT_SCHEMA, facts_of
 
@@ -63,29 +64,34 @@ def language_of(path: Column) -> Column:
     return table[suffix]
 
 
-def read_tree(spark: SparkSession, folder: str, skipped: tuple[str, ...] = tuple(SKIPPED_FOLDERS)) -> DataFrame:
-    """``(file_path, language, source, size_bytes)`` of a checked-out tree.
+LOCK_FILE = "uv.lock"
 
-    One row per file; files are split over tasks by the reader.  Dockerfiles are
-    kept besides the files of a known language.
-    """
-    root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", r"^(?:file:)?/*\Q" + root.lstrip("/") + r"\E/", "")
-    listed = files.select(rel.alias("file_path"), "content", F.col("length").alias("size_bytes"))
-    kept = listed.filter(~F.arrays_overlap(F.split("file_path", "/"), F.array(*[F.lit(s) for s in skipped])))
-    kept = kept.withColumn("language", language_of(F.col("file_path")))
-    return kept.filter(F.col("language").isNotNull() | docker.is_dockerfile(F.col("file_path"))).select(
-        "file_path", "language", F.make_valid_utf8(F.col("content").cast("string")).alias("source"), "size_bytes"
-    )
 
+def read_tree(spark: SparkSession, folder: str, skipped: tuple[str, ...] = tuple(SKIPPED_FOLDERS)) -> DataFrame:
+    """``(file_path, language, source, size_bytes)`` of a checked-out tree, each kept file read once.
 
-def read_lock(spark: SparkSession, folder: str, codebase_urn: str) -> DataFrame:
-    """``(codebase_urn, source)`` of the ``uv.lock`` at a tree's root, if there is one."""
-    root = folder.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "uv.lock").load(root)
-    own = found.filter(F.regexp_replace("path", r"^(?:file:)?/*", "") == root.lstrip("/") + "/uv.lock")
-    return own.select(F.lit(codebase_urn).alias("codebase_urn"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"))
+    Kept are files of a known language, Dockerfiles, and the lock file at the root, whose
+    language is ``lock``.  Folders that are skipped are not entered.
+    """
+    listed = list_tree(spark, folder, skipped).withColumn("language", language_of(F.col("file_path")))
+    language = F.when(F.col("file_path") == LOCK_FILE, "lock").otherwise(F.col("language"))
+    kept = listed.withColumn("language", language).filter(F.col("language").isNotNull() | docker.is_dockerfile(F.col("file_path")))
+    text = read_contents(kept).withColumn("language", language_of(F.col("file_path"))).withColumn("language", language)
+    return text.select("file_path", "language", F.make_valid_utf8(F.col("content").cast("string")).alias("source"), "size_bytes")
+
+
+def head_commit(folder: str) -> str | None:
+    """The commit that a checked-out tree stands at, as its ``.git`` folder states it."""
+    git = f"{folder.rstrip('/')}/.git"
+    head = (read_small(f"{git}/HEAD") or "").strip()
+    if not head.startswith("ref:"):
+        return head or None
+    name = head[4:].strip()
+    own = read_small(f"{git}/{name}")
+    if own is not None:
+        return own.strip() or None
+    packed = (line.split(" ", 1) for line in (read_small(f"{git}/packed-refs") or "").splitlines() if not line.startswith(("#", "^")))
+    return next((parts[0] for parts in packed if parts[1:] == [name]), None)
 
 
 def repo_parts(url: Column) -> list[Column]:
@@ -128,8 +134,9 @@ class CodeScan:
     ``root`` its name, the first path segment and the package prefix of imports.
     """
 
-    def __init__(self, files: DataFrame, base: str, root: str, spread: int | None = None):
+    def __init__(self, files: DataFrame, base: str, root: str, spread: int | None = None, repo_url: str | None = None, commit: str | None = None):
         self.base, self.root, self.spread = base, root, spread
+        self.repo_url, self.commit = repo_url, commit
         self.urn = f"{base}:{root}"
         self.files = files
 
@@ -175,7 +182,10 @@ class CodeScan:
         count = self.files.filter("language is not null").agg(F.count("*").alias("n"))
         classes, functions = self.class_tags, self.function_tags
         return union_all([
-            node_frame(count, "codebase", f"'{self.urn}'", None, "0", repo_name=f"'{self.root}'", file_count="n"),
+            node_frame(
+                count, "codebase", f"'{self.urn}'", None, "0", repo_name=f"'{self.root}'", file_count="n",
+                **{k: _literal(v) for k, v in (("repo_url", self.repo_url), ("scanned_commit", self.commit)) if v},
+            ),
             self.file_nodes(),
             node_frame(
                 classes, "class", "urn", "parent_urn", "ord", class_name="name", start_line="start", end_line="end", file_path="file_path", base_classes="bases",
@@ -408,6 +418,11 @@ class CodeScan:
         ]))
 
 
+def _literal(text: str) -> str:
+    """SQL text of a string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 FUNCTION_TAGS = (
     "http_method route_path full_route_path api_framework router_variable auth_scheme auth_scheme_var io_direction io_type "
     "orm_operations orm_operation_type orm_models orm_framework aws_s3_client aws_s3_operations aws_s3_operation_type"

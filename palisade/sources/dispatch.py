@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.model import Graph
 from palisade.sources import okta
 from palisade.sources.aws import SERVICES, Account, Dump, load_account
 from palisade.sources.catalog import load_catalog
-from palisade.sources.code import CodeScan, read_lock, read_tree
+from palisade.session import stash
+from palisade.sources.code import CodeScan, head_commit, read_tree
 from palisade.sources.lockfile import packages, read_vulnerabilities
 
 Loader = Callable[[SparkSession, "Target"], Graph]
@@ -42,18 +45,34 @@ def _okta(spark: SparkSession, target: Target) -> Graph:
     return okta.load_directory(okta.read_extract(spark, target.location), target.part(3))
 
 
-def _code_scan(spark: SparkSession, target: Target, base: str) -> CodeScan:
-    root = target.part(5).rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
-    return CodeScan(read_tree(spark, target.location), base, root)
+def _host_and_path(url: str) -> tuple[str, str]:
+    """Host and path of a clone URL, by HTTPS or SSH; a plain path has the host ``unknown``."""
+    address = re.fullmatch(r"(?:\w+://)?(?:[^@/]*@)?([^/:]+)(?::\d+(?=/))?[:/](.*)", url) if not url.startswith(("/", ".")) else None
+    host, path = address.groups() if address else ("unknown", url)
+    return host.lower(), path.strip("/").removesuffix(".git")
 
 
-def _tree(base: str) -> Loader:
-    def load(spark: SparkSession, target: Target) -> Graph:
-        own = _code_scan(spark, target, base)
-        known = read_vulnerabilities(spark, target.vulnerabilities) if target.vulnerabilities else None
-        return own.graph_with_lock(packages(read_lock(spark, target.location, own.urn)), known)
+class Tree:
+    """A scanned source tree: its files are listed and read once, for the graph, the lock file and the texts."""
 
-    return load
+    def __init__(self, spark: SparkSession, target: Target):
+        files = stash(read_tree(spark, target.location), "files")
+        own = files.filter("language is null or language <> 'lock'")
+        url = target.part(5)
+        if target.part(1) == "git":
+            host, path = _host_and_path(url)
+            self.scan = CodeScan(own, f"urn:git:repo:{host}:_", path.rsplit("/", 1)[-1], repo_url=url, commit=head_commit(target.location))
+        else:
+            self.scan = CodeScan(own, "urn:local:codebase:_:_", url.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git"))
+        self.lock = files.filter("language = 'lock'").select(F.lit(self.scan.urn).alias("codebase_urn"), "source")
+        self.known = read_vulnerabilities(spark, target.vulnerabilities) if target.vulnerabilities else None
+
+    def graph(self) -> Graph:
+        return self.scan.graph_with_lock(packages(self.lock), self.known)
+
+
+def _tree(spark: SparkSession, target: Target) -> Graph:
+    return Tree(spark, target).graph()
 
 
 def _postgres(spark: SparkSession, target: Target) -> Graph:
@@ -62,14 +81,14 @@ def _postgres(spark: SparkSession, target: Target) -> Graph:
     return load_catalog(frames, target.part(5), target.part(3), int(target.part(4)))
 
 
-#: URN prefixes of source trees by scheme.
-TREES = {("git", "repo"): "urn:git:repo:_:_", ("_", "repo"): "urn:local:codebase:_:_"}
+#: Schemes of source trees.
+TREES = (("git", "repo"), ("_", "repo"))
 
 LOADERS: dict[tuple[str, str], Loader] = {
     ("aws", "account"): _aws,
     ("okta", "idp"): _okta,
     ("onprem", "postgres"): _postgres,
-    **{scheme: _tree(base) for scheme, base in TREES.items()},
+    **dict.fromkeys(TREES, _tree),
 }
 
 
@@ -86,10 +105,12 @@ def load_target(spark: SparkSession, target: Target) -> Graph:
     return LOADERS[scheme](spark, target)
 
 
-def load_sources(spark: SparkSession, target: Target) -> DataFrame | None:
-    """``(file_urn, source)`` of a source tree's files; None for other targets."""
-    base = TREES.get((target.part(1), target.part(2)))
-    return _code_scan(spark, target, base).sources() if base else None
+def load_with_sources(spark: SparkSession, target: Target) -> tuple[Graph, DataFrame | None]:
+    """A target's graph, and ``(file_urn, source)`` of its files if it is a source tree."""
+    if (target.part(1), target.part(2)) not in TREES:
+        return load_target(spark, target), None
+    tree = Tree(spark, target)
+    return tree.graph(), tree.scan.sources()
 
 
 def chosen_plugins(mode: str, relevant: list[str], listed: list[str] | None = None) -> list[str]:

@@ -19,22 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.sources.files import open_file
+
 RANGE = 8 << 20
 _QUOTE, _BACKSLASH = 34, 92
 #: Depths of brackets: the document, its lists, their elements.
 _LISTS, _ELEMENTS = 2, 3
 
 
-def _open(path: str):
-    """A file of Spark's path, by the schemes of ``pyarrow.fs``."""
-    from pyarrow import fs
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    store, place = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    return store.open_input_file(place)
-
-
 def _read(file, start: int, n: int) -> bytes:
     file.seek(start)
     return file.read(n)
@@ -72,7 +64,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pylist()
         for r in rows:
-            with _open(r["path"]) as file:
+            with open_file(r["path"]) as file:
                 data, carried = _read(file, r["start"], r["n"]), _carried(file, r["start"])
             quotes, _, signs = _marks(data, carried, False)
             r["quotes"], r["outside"], r["inside"] = len(quotes), int(signs.sum()), int(_marks(data, carried, True)[2].sum())
@@ -89,7 +81,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(place, kind, text)``: keys of the document's lists (``list``) and the elements of lists (``element``)."""
     for batch in batches:
         for r in batch.to_pylist():
-            with _open(r["path"]) as file:
+            with open_file(r["path"]) as file:
                 found = list(_found(file, r))
             if found:
                 columns = list(zip(*found))

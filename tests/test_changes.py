@@ -237,6 +237,27 @@ def test_scan_end_to_end(spark, tmp_path):
     assert tags[base + "/main.py/view"] == ("POST", "/x", None) and tags[base + "/models.py/User"] == (None, None, "users")
 
 
+def test_clone_urls_and_commits(tmp_path):
+    from palisade.sources.code import head_commit
+    from palisade.sources.dispatch import _host_and_path
+
+    assert _host_and_path("https://user:x@Git.Example.com:8443/acme/shop.git") == ("git.example.com", "acme/shop")
+    assert _host_and_path("git@git.example.com:acme/shop.git") == ("git.example.com", "acme/shop")
+    assert _host_and_path("ssh://git@git.example.com/acme/shop/") == ("git.example.com", "acme/shop")
+    assert _host_and_path("/src/shop") == ("unknown", "src/shop")
+    assert head_commit(str(tmp_path)) is None
+    git = tmp_path / ".git"
+    (git / "refs" / "heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/a\n")
+    assert head_commit(str(tmp_path)) is None
+    (git / "packed-refs").write_text("# x\n^0\nabc refs/heads/a\n")
+    assert head_commit(str(tmp_path)) == "abc"
+    (git / "refs" / "heads" / "a").write_text("def\n")
+    assert head_commit(str(tmp_path)) == "def"
+    (git / "HEAD").write_text("123\n")
+    assert head_commit(str(tmp_path)) == "123"
+
+
 def test_scan_reads_locks_imports_and_source_texts(spark, tmp_path):
     lock = '''[[package]]
 name = "flask"
