@@ -12,7 +12,7 @@ from palisade.operators import rules, security
 from palisade.operators.stitch import code, containers
 from palisade.plans import tree
 from palisade.plans.tables import Tables
-from palisade.sources import catalog, lockfile
+from palisade.sources import catalog, lockfile, plugins
 from palisade.sources.code import dependency_links, repo_parts
 
 QUERIES: dict = {}
@@ -499,6 +499,31 @@ def _(g):
     return _edges(g.edges_of("depends_on"))
 
 
+_PLUGINS = [
+    plugins.CodePlugin("lock", lambda tree, graph: graph, markers=frozenset({"uv.lock"})),
+    plugins.CodePlugin("routes", lambda tree, graph: graph, frozenset({"python", "javascript"})),
+    plugins.CodePlugin("crates", lambda tree, graph: graph, frozenset({"rust"}), frozenset({"Cargo.toml", "Cargo.lock"})),
+]
+
+
+@query("s12_l8_plugin_choice", """
+WITH file AS (SELECT c_nationkey AS k, CASE c_mktsegment WHEN 'BUILDING' THEN 'python' WHEN 'MACHINERY' THEN 'rust' WHEN 'HOUSEHOLD' THEN 'javascript' ELSE 'java' END AS language,
+    CASE WHEN c_acctbal < -500 THEN 'uv.lock' WHEN c_acctbal > 9500 THEN 'Cargo.toml' END AS marker FROM customer)
+, tree AS (SELECT k, bool_or(language IN ('python', 'javascript')) AS routes, bool_or(language = 'rust') AS rust, coalesce(bool_or(marker = 'uv.lock'), false) AS lock, coalesce(bool_or(marker = 'Cargo.toml'), false) AS cargo,
+    CASE k % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'relevant' ELSE 'manual' END AS mode, k % 5 = 4 AS listed FROM file GROUP BY k)
+SELECT 'nation' || k AS target, 'lock' AS plugin FROM tree WHERE NOT listed AND (mode = 'all' OR mode = 'relevant' AND lock)
+UNION ALL SELECT 'nation' || k, 'routes' FROM tree WHERE routes AND (listed OR mode IN ('all', 'relevant'))
+UNION ALL SELECT 'nation' || k, 'crates' FROM tree WHERE rust AND (listed OR mode = 'all' OR mode = 'relevant' AND cargo)""")
+def _(t):
+    """Nations stand in for trees, customers for their files; every third tree has a mode, every fifth a list of its own."""
+    language = "case c_mktsegment when 'BUILDING' then 'python' when 'MACHINERY' then 'rust' when 'HOUSEHOLD' then 'javascript' else 'java' end as language"
+    path = "case when c_acctbal < -500 then 'uv.lock' when c_acctbal > 9500 then 'Cargo.toml' else concat('src/', c_custkey) end as file_path"
+    trees = plugins.profiles(t.customer.selectExpr("c_nationkey as k", language, path), "k", plugins=_PLUGINS).selectExpr(
+        "*", "case k % 3 when 0 then 'all' when 1 then 'relevant' else 'manual' end as mode", "if(k % 5 = 4, array('routes', 'crates'), null) as listed"
+    )
+    return plugins.choices(trees, _PLUGINS).select(F.concat(F.lit("nation"), F.col("k").cast("string")).alias("target"), "plugin")
+
+
 @query("s5_repo_url_parts", """
 SELECT page_id, lower(regexp_extract(url, '^https?://([^/:]+)', 1)) AS host, trim(regexp_replace(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '\\.git$', ''), '/') AS path FROM pages""")
 def _(t):

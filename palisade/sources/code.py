@@ -398,12 +398,15 @@ class CodeScan:
         """``(file_urn, source)`` of the files that can hold definitions."""
         return self.files.filter("language is not null").selectExpr(f"{self.file_urn()} as file_urn", "source")
 
-    def graph_with_lock(self, packages: DataFrame, osv: DataFrame | None = None) -> Graph:
-        """The tree with its lock file's packages (rows as ``lockfile.packages`` gives them), what is known of
+    def locked(self, packages: DataFrame, osv: DataFrame | None = None) -> Graph:
+        """The lock file's packages (rows as ``lockfile.packages`` gives them), what is known of
         their versions (``lockfile.read_vulnerabilities``), and the files that import them."""
-        locked = load_lock(packages, osv)
+        own = load_lock(packages, osv)
         python = self.files.filter("language = 'python'").selectExpr(f"{self.file_urn()} as urn", "source")
-        return self.graph().merge(locked, Graph(locked.nodes.limit(0), dependency_links(python, locked.of_type("dependency"))))
+        return own.merge(Graph(own.nodes.limit(0), dependency_links(python, own.of_type("dependency"))))
+
+    def graph_with_lock(self, packages: DataFrame, osv: DataFrame | None = None) -> Graph:
+        return self.graph().merge(self.locked(packages, osv))
 
     def graph(self) -> Graph:
         nodes = self.nodes()

@@ -14,20 +14,26 @@ from palisade.sources import okta
 from palisade.sources.aws import SERVICES, Account, Dump, load_account
 from palisade.sources.catalog import load_catalog
 from palisade.session import stash
-from palisade.sources.code import CodeScan, head_commit, read_tree
+from palisade.sources.code import LOCK_FILE, CodeScan, head_commit, read_tree
 from palisade.sources.lockfile import packages, read_vulnerabilities
+from palisade.sources.plugins import CodePlugin, chosen, register_code_plugin
 
 Loader = Callable[[SparkSession, "Target"], Graph]
 
 
 @dataclass(frozen=True)
 class Target:
-    """A scan target: its URN, where its extract lies, plugin choice, and for source trees an extract of vulnerabilities."""
+    """A scan target: its URN, where its extract lies, and plugin choice.
+
+    ``plugins`` names services of an account or plugins of a source tree; without it ``mode`` decides which run on a
+    tree: all that know its languages, the relevant ones, or none (manual).  Source trees may have an extract of vulnerabilities.
+    """
 
     urn: str
     location: str
     plugins: tuple[str, ...] | None = None
     vulnerabilities: str | None = None
+    mode: str = "all"
 
     def part(self, index: int) -> str:
         pieces = self.urn.split(":", 5)
@@ -56,7 +62,8 @@ class Tree:
     """A scanned source tree: its files are listed and read once, for the graph, the lock file and the texts."""
 
     def __init__(self, spark: SparkSession, target: Target):
-        files = stash(read_tree(spark, target.location), "files")
+        self.target = target
+        self.files = files = stash(read_tree(spark, target.location), "files")
         own = files.filter("language is null or language <> 'lock'")
         url = target.part(5)
         if target.part(1) == "git":
@@ -68,7 +75,18 @@ class Tree:
         self.known = read_vulnerabilities(spark, target.vulnerabilities) if target.vulnerabilities else None
 
     def graph(self) -> Graph:
-        return self.scan.graph_with_lock(packages(self.lock), self.known)
+        graph = self.scan.graph()
+        for plugin in chosen(self.files, self.target.mode, self.target.plugins):
+            graph = plugin.extend(self, graph)
+        return graph
+
+
+def _uv(tree: Tree, graph: Graph) -> Graph:
+    """Packages of the lock file at the root, and the files that import them."""
+    return graph.merge(tree.scan.locked(packages(tree.lock), tree.known))
+
+
+register_code_plugin(CodePlugin("uv", _uv, markers=frozenset({LOCK_FILE})))
 
 
 def _tree(spark: SparkSession, target: Target) -> Graph:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from palisade.model import DuplicateNodeError, Graph
 from palisade.operators import compliance, enrich, legality, mutate, rules, search, security, soft_links
 from palisade.plans import scan
-from palisade.sources import graph_json
+from palisade.sources import graph_json, plugins
 from palisade.sources.dispatch import Target, chosen_plugins, load_target
 from palisade.sources.store import ParquetStore, report, with_status
 from palisade.streaming.refresh import follow
@@ -208,6 +208,32 @@ def test_dispatch_names_known_schemes(spark):
     assert chosen_plugins("manual", ["ecr"]) == [] and chosen_plugins("all", [], ["iam"]) == ["iam"] and chosen_plugins("relevant", ["ecr"]) == ["ecr"]
 
 
+def test_plugins_of_a_tree(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import click\n")
+    (tmp_path / "uv.lock").write_text('[[package]]\nname = "click"\nversion = "8"\n')
+    ran = []
+
+    def extend(tree, graph):
+        ran.append(tree.scan.urn)
+        return graph
+
+    types = lambda **more: {r.node_type for r in load_target(spark, Target("urn:_:repo:_:_:/x/app", str(tmp_path), **more)).nodes.select("node_type").distinct().collect()}
+    try:
+        plugins.register_code_plugin(plugins.CodePlugin("rusty", extend, frozenset({"rust"})))
+        plugins.register_code_plugin(plugins.CodePlugin("pythonic", extend, frozenset({"python"}), frozenset({"setup.cfg"})))
+        assert "dependency" in types() and ran == ["urn:local:codebase:_:_:app"]  # no Rust there
+        assert "dependency" in types(mode="relevant") and len(ran) == 1
+        assert types(mode="manual") == {"codebase", "file"} and len(ran) == 1
+        assert types(mode="manual", plugins=("pythonic", "rusty")) == {"codebase", "file"} and len(ran) == 2
+        with pytest.raises(ValueError, match="known: pythonic, rusty, uv"):
+            types(plugins=("nope",))
+        with pytest.raises(ValueError, match="mode"):
+            types(mode="some")
+    finally:
+        for name in ("rusty", "pythonic"):
+            plugins.CODE_PLUGINS.pop(name, None)
+
+
 def test_scan_end_to_end(spark, tmp_path):
     repo = tmp_path / "shop"
     (repo / "node_modules").mkdir(parents=True)
