@@ -9,6 +9,8 @@ bytes are encoded many at a time, their trees side by side in one array.
 
 Null texts count as empty and give no ids.  Lone surrogates cannot occur in Spark
 strings.  Rows that repeat, and rows with a null ``doc_id``, are encoded like any other.
+Of pairs with one rank the leftmost is merged first.  A text of any length is encoded whole; a piece of
+it that the pattern matches is one tree.  An empty table gives no row.  Other columns are not read.
 """
 
 from __future__ import annotations

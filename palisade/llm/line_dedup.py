@@ -15,7 +15,8 @@ earliest partner only, and the edit distance of the two is verified on their cha
 Defined cases: null texts have no lines and stay null; the place of a line is ``doc_id``
 (null last), then a hash of the text, then its number; rows that are alike in both are one
 document and are treated alike; ``n_chars``, if there, is counted anew by ``apply``; other
-columns are kept.  Lines are told apart by 64-bit hashes.
+columns are kept, whatever their names.  Lines are told apart by 64-bit hashes.  A line of any length is
+one row.  Of lines that are equally early, as in rows alike in ``doc_id``, the hash of the text decides.  An empty table gives no row.
 """
 
 from __future__ import annotations

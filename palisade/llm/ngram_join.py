@@ -19,7 +19,8 @@ linked documents form components.
 Defined cases: null texts and texts without words have an empty set and link with nothing;
 rows with a null ``doc_id`` get the component of documents with an equal set, else null, and
 link nothing; rows that repeat a ``doc_id`` are documents of their own with that id; other
-columns are not read.  Sets are compared by 64-bit hashes of n-grams.
+columns are not read, and ``keep_one`` keeps them, whatever their names.  Sets are compared by 64-bit hashes of n-grams.
+A text of any length is one set.  An empty table gives no row.
 """
 
 from __future__ import annotations

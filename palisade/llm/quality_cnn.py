@@ -11,7 +11,8 @@ the driver, each of at most ``LONGEST`` characters: a documented bound.  ``score
 Defined cases: null and empty texts are one chunk of padding and get its score; very long
 texts are cut into chunks of which a bounded number is in memory; repeated rows are scored
 alike; without any label the score is 0.5 plus nothing learned; null labels are not learned
-from.  Columns other than ``doc_id`` and ``text`` are never read.
+from.  Columns other than ``doc_id`` and ``text`` are never read.  A score at the threshold is a 1.  An empty
+table gives no row, and nothing is learned from one.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ Repeats within a document are found in its own task from its repeated anchors.
 Defined cases: null text counts as empty; texts shorter than ``length`` stay whole; a null
 ``doc_id`` comes after all ids; what rows of one ``doc_id`` (or without one) share with each
 other only stays; other columns are not read.  Very long texts are sampled a segment at a
-time.  Names are 64-bit hashes.
+time.  Names are 64-bit hashes.  An empty table gives no row.
 """
 
 from __future__ import annotations
