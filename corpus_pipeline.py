@@ -1,7 +1,12 @@
 """From raw documents to mixed, tokenised training text: stages of a corpus pipeline.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame; its result is written and
-reread as the next one's ``docs``.  All but the last return the columns of ``docs``.
+reread as the next one's ``docs``.  All but the last return the columns of ``docs``, whatever their names.
+
+Defined cases: a null text is scored like an empty one, has no lines, joins no group and is not taken by
+the mix, which leaves out all texts without words.  Repeated rows are scored and cut alike, the join keeps one
+of them, and the mix may repeat it.  A null ``doc_id`` is kept or dropped by its text.  Texts of any length
+pass whole.  Without labels nothing is learned; an empty table passes through as one.
 """
 
 from __future__ import annotations

@@ -151,7 +151,9 @@ def _(t):
 
 
 @query("q10_dashboard_edges", """
-SELECT e.from_urn, e.to_urn, e.edge_type FROM edges e JOIN nodes f ON f.urn = e.from_urn JOIN nodes t ON t.urn = e.to_urn
+, kind AS MATERIALIZED (SELECT urn, node_type FROM nodes)
+, link AS MATERIALIZED (SELECT from_urn, to_urn, edge_type FROM edges WHERE edge_type <> 'calls')
+SELECT e.from_urn, e.to_urn, e.edge_type FROM link e JOIN kind f ON f.urn = e.from_urn JOIN kind t ON t.urn = e.to_urn
 WHERE f.node_type NOT IN ('schema', 'identity') AND t.node_type NOT IN ('schema', 'identity') AND e.edge_type <> 'calls'
   AND NOT (e.edge_type = 'contains' AND f.node_type IN ('database', 'schema', 'codebase', 'file'))""")
 def _(g):
@@ -224,6 +226,18 @@ def _(g):
     return code_data.find_orphaned_tables(g)
 
 
+@query("a3_tables_without_grants", """
+, own AS MATERIALIZED (SELECT from_urn, to_urn, edge_type FROM edges WHERE edge_type = 'references' OR from_urn LIKE 'urn:tpch:catalog:::roles/%')
+SELECT urn, schema_name, table_name,
+       (SELECT count(*) FROM own r WHERE r.edge_type = 'references' AND (r.from_urn = n.urn OR r.to_urn = n.urn)) AS fk_edges
+FROM nodes n WHERE node_type = 'table' AND urn NOT IN (SELECT to_urn FROM own WHERE edge_type IN ('reads', 'writes', 'models'))""")
+def _(g):
+    """Of what code does nothing is left, so tables that no role may touch are orphans."""
+    edges = g.edges_of("references", "reads", "writes", "models")
+    own = edges.filter((F.col("edge_type") == "references") | F.col("from_urn").startswith("urn:tpch:catalog:::roles/"))
+    return code_data.find_orphaned_tables(Graph(g.nodes, own))
+
+
 _COMPONENTS = """
 , links AS (SELECT from_urn AS a, to_urn AS b FROM edges WHERE edge_type IN ('calls', 'instantiates')
             UNION SELECT to_urn, from_urn FROM edges WHERE edge_type IN ('calls', 'instantiates'))

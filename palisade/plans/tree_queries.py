@@ -247,6 +247,18 @@ def _(g):
     return rules.gather(g, ["orphaned_ecr_repo"]).select("source_urn")
 
 
+def _built(spark, folder):
+    g = tree.container_graph(spark, folder)
+    return Graph(g.nodes, containers.dockerfile_to_image_repo(g))
+
+
+@query("h2_orphaned_ecr_repo_strict", _BUILDS + """
+SELECT urn AS source_urn FROM repo WHERE urn NOT IN (SELECT urn FROM (SELECT urn, base FROM oci UNION ALL SELECT urn, base FROM guess) b JOIN files ON file_base = base WHERE c_mktsegment <> 'HOUSEHOLD')""", _built)
+def _(g):
+    """Repositories that no Dockerfile is known to build."""
+    return rules.gather(g, ["orphaned_ecr_repo"], strict=True).select("source_urn")
+
+
 # --- lock files -----------------------------------------------------------------------------
 
 _LOCK = """
