@@ -1,13 +1,16 @@
 """Stored adjacency: the links of one graph version as tables that every search reads.
 
-A row is an edge seen from one of its ends, ``(src, dst, uuid)``, below folders ``way`` (``out`` along
-the edge, ``in`` against it) and ``edge_type``, sorted by ``src``.  A search reads the folders of the types and
+A row is an edge seen from one of its ends, ``(src, dst)``, below folders ``way`` (``out`` along
+the edge, ``in`` against it) and ``edge_type``, sorted by ``src``.  Ids are left with the edges: texts of 36 random
+digits would be more than half of what is shuffled and written, and only the arrows of a path need some.
+A search reads the folders of the types and
 directions it follows.  A small frontier is handed to the scan as values, so row groups and pages without
-them are skipped; a larger one is joined, broadcast if its written size allows, else shuffled, where
-Spark prunes by a Bloom filter and AQE splits a vertex that holds much of the edges.  Files are dealt by
-rebalancing: a hub is spread over several, which buckets by ``src`` could not do.
+them are skipped; a larger one is joined, broadcast if its written size allows, else shuffled with the links
+that leave it, which a broadcast set of its hashes picks out, and AQE splits a vertex that holds much of the edges.
+Files are dealt by rebalancing: a hub is spread over several, which buckets by ``src`` could not do.
 
-A store writes the tables with each version.  For a graph that is computed, a type's links are written when a
+A store's edges are sorted by the end they leave, so they are the links along the edge; it writes those against the
+edge with each version.  For a graph that is computed, a type's links are written when a
 search first follows it, and kept for the graph's ``version`` while the application lives.
 """
 
@@ -24,7 +27,10 @@ from palisade.session import shared_folder
 WAYS = {"outgoing": ("out",), "incoming": ("in",), "both": ("out", "in")}
 #: Vertices that are handed to a scan as values.
 FEW = 64
-_SCHEMA = "src string, dst string, uuid string, way string, edge_type string"
+#: Vertices whose hashes are broadcast, some tens of MB, to pick out their links before a shuffle.
+SOME = 2 << 20
+_SCHEMA = "src string, dst string, way string, edge_type string"
+_EDGES = "from_urn string, to_urn string, edge_type string"
 #: Adjacencies of computed graphs by application and graph version.
 _KEPT: dict[tuple[str, str], Adjacency] = {}
 
@@ -35,22 +41,25 @@ class Adjacency:
         #: Types (None: all there are), ways and place of what is written.
         self.parts: list[tuple[frozenset[str] | None, tuple[str, ...], str]] = []
         self.more: list[DataFrame] = []
+        #: Where a store keeps its edges, if it is one's.
+        self.edges_at: str | None = None
 
     @classmethod
-    def stored(cls, spark: SparkSession, path: str) -> Adjacency:
-        """The tables of all types that a store has written."""
+    def stored(cls, spark: SparkSession, path: str, edges: str) -> Adjacency:
+        """The tables of all types that a store has written: links against the edge, and its sorted edges."""
         self = cls(spark, path)
-        self.parts.append((None, WAYS["both"], path))
+        self.parts += [(None, ("in",), path), (None, ("out",), edges)]
+        self.edges_at = edges
         return self
 
     def plus(self, edges: DataFrame) -> Adjacency:
         """These links and those of further edges, of which there are few; they are written at the first search."""
         both = Adjacency(self.spark, f"{shared_folder(self.spark)}/links-{uuid.uuid4().hex}", self.graph)
-        both.parts, both.more = [*self.parts], [*self.more, edges]
+        both.parts, both.more, both.edges_at = [*self.parts], [*self.more, edges], self.edges_at
         return both
 
     def links(self, types: list[str] | None, direction: str) -> DataFrame:
-        """``(src, dst, uuid, way, edge_type)`` of the types (all, if None), from both ends if ``both``."""
+        """``(src, dst, way, edge_type)`` of the types (all, if None), from both ends if ``both``."""
         if direction not in WAYS:
             raise ValueError(f"direction must be outgoing, incoming or both, not {direction!r}")
         known = None if self.graph is None else self.graph.edge_types()
@@ -62,7 +71,11 @@ class Adjacency:
         return union_all(frames) if frames else self.spark.createDataFrame([], _SCHEMA)
 
     def _rows(self, path: str, wanted: frozenset[str] | None, ways: tuple[str, ...]) -> DataFrame:
-        rows = self.spark.read.schema(_SCHEMA).parquet(path).filter(F.col("way").isin(*ways))
+        if path == self.edges_at:
+            edges = self.spark.read.schema(_EDGES).parquet(path)
+            rows = edges.select(F.col("from_urn").alias("src"), F.col("to_urn").alias("dst"), F.lit("out").alias("way"), "edge_type")
+        else:
+            rows = self.spark.read.schema(_SCHEMA).parquet(path).filter(F.col("way").isin(*ways))
         return rows if wanted is None else rows.filter(F.col("edge_type").isin(*sorted(wanted)))
 
     def _missing_written(self, wanted: frozenset[str] | None, ways: tuple[str, ...]) -> list[tuple[frozenset[str] | None, str]]:
@@ -92,14 +105,12 @@ class Adjacency:
 
 
 def write_links(edges: DataFrame, path: str, ways: tuple[str, ...] = ("out", "in")) -> None:
-    """The ends of each edge, sorted by the end within way and type; edges without ids get null ones."""
-    if "uuid" not in edges.columns:
-        edges = edges.withColumn("uuid", F.lit(None).cast("string"))
+    """The ends of each edge, sorted by the end within way and type."""
     ends = {
         "out": F.struct(F.col("from_urn").alias("src"), F.col("to_urn").alias("dst"), F.lit("out").alias("way")),
         "in": F.struct(F.col("to_urn").alias("src"), F.col("from_urn").alias("dst"), F.lit("in").alias("way")),
     }
-    rows = edges.select("uuid", "edge_type", F.inline(F.array(*[ends[w] for w in ways]))).select("src", "dst", "uuid", "way", "edge_type")
+    rows = edges.select("edge_type", F.inline(F.array(*[ends[w] for w in ways]))).select("src", "dst", "way", "edge_type")
     dealt = rows.hint("rebalance", "src").sortWithinPartitions("way", "edge_type", "src")
     dealt.write.partitionBy("way", "edge_type").parquet(path)
 
@@ -119,10 +130,14 @@ def adjacency_of(graph: Graph) -> Adjacency:
     return own
 
 
-def next_to(links: DataFrame, frontier: DataFrame, few: list[str] | None) -> DataFrame:
-    """Links that leave a frontier ``(src, ...)``, with the frontier's columns; ``few`` are its vertices if they are few."""
+def next_to(links: DataFrame, frontier: DataFrame, few: list[str] | None, size: int = 0) -> DataFrame:
+    """Links that leave a frontier ``(src, ...)`` of at most ``size`` rows (0: not known), with the frontier's columns; ``few`` are its vertices if they are few."""
     if few is not None:
         links = links.filter(F.col("src").isin(*few))
+    elif 0 < size <= SOME:
+        keys = frontier.select(F.xxhash64("src").alias("_key")).distinct()
+        # the join below compares the vertices themselves
+        links = links.withColumn("_key", F.xxhash64("src")).join(F.broadcast(keys), "_key", "left_semi").drop("_key")
     return links.join(frontier, "src")
 
 

@@ -55,14 +55,14 @@ def reach(adj: DataFrame, start: str | DataFrame, max_depth: int = UNBOUNDED) ->
     """G1: ``(urn, depth)`` of all vertices within ``max_depth`` hops of the start set; ``adj`` is read once per hop."""
     spark = adj.sparkSession
     frontier, path = stash_at(_seed(spark, start).withColumn("depth", F.lit(0)), "level")
-    _, few = measured(frontier)
+    size, few = measured(frontier)
     schema, levels = frontier.schema, [path]
     depth = 0
     while depth < max_depth:
         depth += 1
         seen = spark.read.schema(schema).parquet(*levels).select("urn")
         found = (
-            next_to(adj, frontier.select(F.col("urn").alias("src")), few)
+            next_to(adj, frontier.select(F.col("urn").alias("src")), few, size)
             .select(F.col("dst").alias("urn"))
             .distinct()
             .join(seen, "urn", "left_anti")
@@ -112,9 +112,9 @@ def subgraph(graph: Graph, center: str, hops: int = 2) -> Graph:
 
 
 def subgraph_links(graph: Graph, center: str, hops: int = 2) -> DataFrame:
-    """G3's edges without their metadata, from the stored links: ``(uuid, from_urn, to_urn, edge_type)``."""
+    """G3's edges without their metadata, from the stored links: ``(from_urn, to_urn, edge_type)``."""
     inside = ego_nodes(graph, center, hops).select("urn")
-    links = adjacency_of(graph).links(None, "outgoing").select("uuid", F.col("src").alias("from_urn"), F.col("dst").alias("to_urn"), "edge_type")
+    links = adjacency_of(graph).links(None, "outgoing").select(F.col("src").alias("from_urn"), F.col("dst").alias("to_urn"), "edge_type")
     return induced(links, inside)
 
 
@@ -153,7 +153,7 @@ class _Balls:
     def grow(self, adj: DataFrame, done: DataFrame | None) -> None:
         """One layer more, around the ends that are not ``done``."""
         frontier = self.layer if done is None else self.layer.join(done, "key", "left_anti")
-        step = next_to(adj, frontier.select("key", F.col("urn").alias("src"), "path"), self.few)
+        step = next_to(adj, frontier.select("key", F.col("urn").alias("src"), "path"), self.few, self.size)
         step = step.groupBy("key", F.col("dst").alias("urn")).agg(F.min("path").alias("path"))
         for old in [self.layer] if self.before is None else [self.layer, self.before]:
             step = step.join(old.select("key", "urn"), ["key", "urn"], "left_anti")
@@ -198,7 +198,8 @@ def shortest_paths(graph: Graph, sources: DataFrame, dests: DataFrame, edge_type
     if n_sources * n_dests <= 1:
         total = int(n_sources * n_dests == 1 and source != dest)
     else:
-        wants = _partners(adj, sources, dests)
+        # components are blind to direction, so one row of each link will do
+        wants = _partners(adjacency(graph, types, "outgoing"), sources, dests)
         sources, dests = wants[0], wants[1]
         total = int(sources.agg(F.sum("wanted")).first()[0] or 0)
     near, far = _Balls(sources, away=True), _Balls(dests, away=False)
@@ -237,18 +238,38 @@ def find_shortest_path(graph: Graph, source: str, dest: str, edge_types: str = "
         return spark.range(1).select(F.lit(0).alias("step"), F.lit(source).alias("urn"), F.lit(None).cast("string").alias("arrow"))
     ends = [spark.range(1).select(F.lit(urn).alias("urn")) for urn in (source, dest)]
     hops = stash(shortest_paths(graph, *ends, edge_types).select(F.posexplode("path").alias("step", "urn")), "hops")
-    _, few = measured(hops)
+    size, few = measured(hops)
     links = hops.join(hops.select((F.col("step") - 1).alias("step"), F.col("urn").alias("next")), "step").withColumnRenamed("urn", "src")
-    arrow = F.concat(F.when(F.col("way") == "out", "-->").otherwise("<--"), F.col("edge_type"))
+    leading = next_to(adjacency_of(graph).links(None, "both"), links, few, size).filter(F.col("dst") == F.col("next"))
+    leading = leading.select("step", "src", "next", (F.col("way") == "in").alias("rank"), "edge_type").distinct()
+    best = leading.groupBy("step").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+    kinds = stash(leading.join(best, ["step", "rank"]), "arrows")
+    ids = _least_ids(graph, kinds.filter("n > 1"))
+    arrow = F.concat(F.when(F.col("rank"), "<--").otherwise("-->"), F.col("edge_type"))
     arrows = (
-        next_to(adjacency_of(graph).links(None, "both"), links, few)
-        .filter(F.col("dst") == F.col("next"))
+        kinds.select("step", "edge_type", arrow.alias("arrow"))
+        .join(ids, F.expr("step = _step and edge_type <=> _type"), "left")
         .groupBy("step")
-        .agg(F.min(F.struct((F.col("way") == "in").alias("rank"), "uuid", arrow.alias("arrow")))["arrow"].alias("arrow"))
+        .agg(F.min(F.struct("id", "arrow"))["arrow"].alias("arrow"))
     )
     return hops.join(arrows, "step", "left").select("step", "urn", "arrow").orderBy("step")
 
 
+def _least_ids(graph: Graph, kinds: DataFrame) -> DataFrame:
+    """``(_step, _type, id)``: the least id of the edges of each ``(step, src, next, rank, edge_type)``, read of their types only."""
+    types = [r[0] for r in kinds.select("edge_type").distinct().collect()]
+    ends = kinds.select(
+        F.col("step").alias("_step"), F.col("edge_type").alias("_type"),
+        F.when(F.col("rank"), F.col("next")).otherwise(F.col("src")).alias("from_urn"),
+        F.when(F.col("rank"), F.col("src")).otherwise(F.col("next")).alias("to_urn"),
+    )
+    edges = graph.edges if None in types or not types else graph.edges_of(*types)
+    if not types or "uuid" not in edges.columns:
+        return ends.select("_step", "_type", F.struct(F.lit(None).cast("string").alias("uuid")).alias("id")).limit(0)
+    own = edges.select("uuid", "from_urn", "to_urn", "edge_type").join(ends, ["from_urn", "to_urn"]).filter("edge_type <=> _type")
+    return own.groupBy("_step", "_type").agg(F.min(F.struct("uuid")).alias("id"))
+
+
 # --- connected components -----------------------------------------------------
 
 

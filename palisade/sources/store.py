@@ -68,18 +68,17 @@ class ParquetStore:
         links = graph.soft_links
         if links is None:
             links = self._links_or_empty()
-        # ranges are sampled first; what is written once need not be computed twice
-        nodes, edges = stash(labels.settle_types(graph.nodes), "nodes"), stash(graph.edges, "edges")
-        self._write_sorted(nodes, "node_type", "urn", f"{base}/nodes")
-        self._write_sorted(edges, "edge_type", "from_urn", f"{base}/edges")
-        write_links(edges, f"{base}/links")
+        self._write_sorted(labels.settle_types(graph.nodes), "node_type", "urn", f"{base}/nodes")
+        self._write_sorted(graph.edges, "edge_type", "from_urn", f"{base}/edges")
+        # sorted edges are the links along the edge; those against it come from what was just written
+        write_links(self.spark.read.schema("from_urn string, to_urn string, edge_type string").parquet(f"{base}/edges"), f"{base}/links", ("in",))
         links.write.parquet(f"{base}/soft_links")
         return self._commit(version, version, [])
 
     @staticmethod
     def _write_sorted(df: DataFrame, kind: str, key: str, path: str) -> None:
-        """Range partitions follow the sizes of the types, so a type holding most rows spreads over most tasks."""
-        df.repartitionByRange(kind, key).sortWithinPartitions(kind, key).write.partitionBy(kind).parquet(path)
+        """Dealt by hash and size, so that rows are computed and shuffled once: a type holding most rows spreads over most tasks."""
+        df.hint("rebalance", kind, key).sortWithinPartitions(kind, key).write.partitionBy(kind).parquet(path)
 
     @staticmethod
     def _new_version() -> str:
@@ -116,7 +115,7 @@ class ParquetStore:
         if changes:
             links = self._folded_links(root, links, changes)
         graph = Graph(nodes, edges, links)
-        object.__setattr__(graph, "_adjacency", Adjacency.stored(self.spark, f"{root}/links"))
+        object.__setattr__(graph, "_adjacency", Adjacency.stored(self.spark, f"{root}/links", f"{root}/edges"))
         return graph
 
     def _state(self, version: str | None) -> tuple[str, str, list[str], list[str]]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade.model import Graph
 from palisade.operators import code_data, search, security, soft_links, traverse
-from palisade.operators.adjacency import adjacency_of
+from palisade.operators.adjacency import adjacency_of, next_to
 from palisade.sources.store import ParquetStore
 
 RNG = random.Random(11)
@@ -217,3 +217,25 @@ def test_search_over_store_and_soft_links(make_graph, spark, tmp_path):
     assert adjacency_of(kept).parts[0][2].startswith(str(tmp_path))
     assert [r.urn for r in traverse.find_shortest_path(kept, "urn:d", "urn:a").collect()] == ["urn:d", "urn:c", "urn:b", "urn:a"]
     assert sorted(r.edge_type for r in traverse.subgraph_links(kept, "urn:c", 1).collect()) == ["calls", "reads"]
+
+
+def test_links_carry_no_ids_and_a_store_keeps_those_along_edges_once(make_graph, spark, tmp_path):
+    g = make_graph([(f"urn:{c}", "x", {}) for c in "abc"], [("urn:a", "urn:b", "reads"), ("urn:c", "urn:b", "calls"), ("urn:a", "urn:b", "calls")])
+    store = ParquetStore(spark, str(tmp_path / "store"))
+    version = store.write(g)
+    assert [p.name for p in (tmp_path / "store" / version / "links").glob("way=*")] == ["way=in"]
+    for graph in (g, store.read()):
+        links = adjacency_of(graph).links(None, "both")
+        assert links.columns == ["src", "dst", "way", "edge_type"]
+        out = [("urn:a", "urn:b", "out", "calls"), ("urn:a", "urn:b", "out", "reads"), ("urn:c", "urn:b", "out", "calls")]
+        assert sorted(map(tuple, links.collect())) == sorted(out + [(b, a, "in", t) for a, b, _, t in out])
+        # of several edges the least id names the arrow: e0 reads, e2 calls
+        assert [r.arrow for r in traverse.find_shortest_path(graph, "urn:a", "urn:c").collect()] == ["-->reads", "<--calls", None]
+
+
+def test_links_of_a_frontier_are_picked_out_before_they_are_shuffled(spark):
+    links = spark.range(2000).selectExpr("concat('urn:', id % 500) as src", "concat('urn:x', id) as dst")
+    frontier = spark.range(100).selectExpr("concat('urn:', id) as src", "id as key").unionAll(spark.createDataFrame([("urn:3", 7), (None, 8)], "src string, key bigint"))
+    got = next_to(links, frontier, None, 102)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, links.join(frontier, "src").collect()))
