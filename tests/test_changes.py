@@ -333,3 +333,11 @@ version = "8.0"
     assert [r.source_urn for r in rules.gather(g, ["vulnerable_dependency"]).collect()] == [base + "/dep/click@8.0"]
     assert sorted((r.version, r.cve_ids, r.file_path.replace(base, "")) for r in security.find_vulnerable_code(g).collect()) == [("8.0", "CVE-2", "/uv.lock"), ("8.0", "CVE-2", "main.py")]
     assert [(r.from_urn, r.to_urn.rsplit("/", 1)[-1]) for r in g.edges_of("reads").collect()] == [(base + "/main.py/view", "users")]
+
+
+def test_legality_shuffles_an_end_and_the_other_one(make_graph):
+    g = make_graph([("urn:a", "table", {}), ("urn:b", "function", {})], [("urn:a", "urn:b", "calls"), ("urn:b", "urn:a", "reads"), ("urn:b", "urn:b", "contains")])
+    found = legality.violations(g)
+    assert "other" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r.from_urn, r.to_urn, r.edge_type, r.side) for r in found.collect())
+    assert rows == [("urn:a", "urn:b", "calls", "outgoing"), ("urn:b", "urn:b", "contains", "outgoing")]
