@@ -52,12 +52,17 @@ def check_links(graph: Graph, requests: DataFrame) -> DataFrame:
 def known_urns(graph: Graph, links: DataFrame) -> DataFrame:
     """Endpoints of ``links`` that are vertices of the graph.
 
-    Only the asked-for URNs are looked up: the graph's own URNs are the right
-    side of a semi-join and need no deduplication.
+    Only the asked-for URNs are looked up, among the nodes first: the ends of the edges, of which there are
+    far more, are read for those that are no nodes, and where these are few no end is shuffled.
     """
     asked = links.select(F.explode(F.array("from_urn", "to_urn")).alias("urn")).distinct()
-    present = graph.nodes.select("urn").unionAll(graph.edges.select(F.explode(F.array("from_urn", "to_urn")).alias("urn")))
-    return stash(asked.join(present, "urn", "left_semi"), "known")
+    asked = stash(asked.filter("urn is not null"), "asked")
+    nodes = stash(graph.nodes.select("urn").join(asked, "urn", "left_semi").distinct(), "known")
+    bare = stash(asked.join(nodes, "urn", "left_anti"), "bare")
+    if bare.isEmpty():
+        return nodes
+    ends = graph.edges.select(F.explode(F.array("from_urn", "to_urn")).alias("urn"))
+    return stash(nodes.unionAll(ends.join(bare, "urn", "left_semi").distinct()), "known")
 
 
 def accept_links(checked: DataFrame) -> DataFrame:

@@ -335,6 +335,15 @@ version = "8.0"
     assert [(r.from_urn, r.to_urn.rsplit("/", 1)[-1]) for r in g.edges_of("reads").collect()] == [(base + "/main.py/view", "users")]
 
 
+def test_ends_that_are_nodes_need_no_edges(small, spark):
+    broken = small.edges.withColumn("from_urn", F.when(F.col("to_urn").isNotNull(), F.raise_error(F.lit("edges were read")).cast("string")))
+    ask = spark.createDataFrame([("urn:f", "urn:t"), ("urn:f", None)], "from_urn string, to_urn string")
+    assert sorted(r.urn for r in soft_links.known_urns(Graph(small.nodes, broken), ask).collect()) == ["urn:f", "urn:t"]
+    ends = spark.createDataFrame([("urn:bare", "urn:f"), ("urn:f", "urn:bare")], "from_urn string, to_urn string")
+    ask = spark.createDataFrame([("urn:f", "urn:bare"), ("urn:bare", "urn:no")], "from_urn string, to_urn string")
+    assert sorted(r.urn for r in soft_links.known_urns(Graph(small.nodes, ends), ask).collect()) == ["urn:bare", "urn:f"]
+
+
 def test_legality_shuffles_an_end_and_the_other_one(make_graph):
     g = make_graph([("urn:a", "table", {}), ("urn:b", "function", {})], [("urn:a", "urn:b", "calls"), ("urn:b", "urn:a", "reads"), ("urn:b", "urn:b", "contains")])
     found = legality.violations(g)
