@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palisade.functions import labels
 from palisade.model import EDGE_KEYS, NODE_KEYS, SOFT_LINK_SCHEMA, Graph
 from palisade.session import stash
-from palisade.sources.json_ranges import RANGE, elements
+from palisade.sources.json_ranges import RANGE, elements_of, lists_of, ranges
 
 _ITEM = "urn string, organization_id string, parent_urn string, node_type string, metadata variant"
 _EDGE = "uuid string, organization_id string, from_urn string, to_urn string, edge_type string, metadata variant"
@@ -54,14 +54,16 @@ def load_document(spark: SparkSession, path: str, range_bytes: int = RANGE) -> G
 
     Any layout will do.  Elements that are no objects of their kind are left out.  The ordinal of an item is its place in bytes.
     """
-    found = stash(elements(spark, path, range_bytes), "elements")
-    lists = {r["text"]: r["place"] for r in found.filter("kind = 'list'").orderBy("place").collect()}  # keys of the top object
+    cut = stash(ranges(spark, path, range_bytes), "ranges")
+    lists = {r["text"]: r["place"] for r in lists_of(cut).orderBy("place").collect()}  # keys of the top object
     ends = sorted(lists.values())
 
     def part(name: str, ddl: str, *more: Column) -> DataFrame:
         start = lists.get(name)
         end = next((e for e in ends if start is not None and e > start), None)
-        own = found.filter("kind = 'element'").filter(F.lit(False) if start is None else F.col("place") > start)
+        inside = F.lit(False) if start is None else F.col("base") + F.col("start") + F.col("n") > start
+        inside = inside if end is None else inside & (F.col("base") + F.col("start") < end)
+        own = elements_of(cut.filter(inside)).filter("kind = 'element'").filter(F.lit(False) if start is None else F.col("place") > start)
         own = own if end is None else own.filter(F.col("place") < end)
         return own.select(F.from_json("text", ddl).alias("x"), F.col("place").alias("ord")).filter("x is not null").select("x.*", *more)
 

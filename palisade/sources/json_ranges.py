@@ -4,7 +4,8 @@ Where a range starts inside a document, a quote may open or close a string, and
 string is none.  So ranges are read twice.  First each counts its quotes, and sums its brackets both for the
 case that it starts outside of a string and for the case that it starts inside: what is outside in one
 case is inside in the other.  Sums over the ranges before then tell the state in which each starts.
-Second, each range gives the elements that start in it, reading on to the end of its last one.
+Second, each range gives the elements that start in it, reading on to the end of its last one.  Who wants one list
+reads the ranges of it, as often as needed: no copy of the elements is kept.
 
 No task holds more than a range and one element; the driver holds nothing.  Ranges may span the files of a
 folder, which count as one document in the order of their names if no element is torn between two.
@@ -79,15 +80,30 @@ _ELEMENT = "place bigint, kind string, text string"
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(place, kind, text)``: keys of the document's lists (``list``) and the elements of lists (``element``)."""
+    return _rows(batches, _found)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _rows(batches, _found_lists)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             with open_file(r["path"]) as file:
-                found = list(_found(file, r))
+                found = list(of(file, r))
             if found:
                 columns = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["place", "kind", "text"])
 
 
+def _found_lists(file, r: dict) -> Iterator[tuple[int, str, str]]:
+    start = r["start"]
+    _, places, signs = _marks(_read(file, start, r["n"]), _carried(file, start), bool(r["in_string"]))
+    for at in np.flatnonzero((signs > 0) & (r["depth"] + np.cumsum(signs) == _LISTS)):
+        yield r["base"] + start + int(places[at]), "list", _key_before(file, start + int(places[at]))
+
+
 def _found(file, r: dict) -> Iterator[tuple[int, str, str]]:
     start, n, n_more = r["start"], r["n"], 1 << 16
     carried, data = _carried(file, start), _read(file, start, n)
@@ -118,20 +134,39 @@ def _key_before(file, place: int) -> str:
     return before[:-1].rsplit('"', 1)[-1] if before.endswith('"') else ""
 
 
-def elements(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
-    """``(place, kind, text)``: of the document's top object, a row ``list`` with the key of each value that is a list
-    (or an object), and a row ``element`` with the text of each object in them, in the order of ``place``."""
+def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """The ranges of a document, a row for each, with the state in which it starts."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
     # a row for each file, then for each range
     before = F.coalesce(F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = files.withColumn("base", before).select("path", "size", "base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
-    ranges = starts.select("path", "start", F.least(F.lit(range_bytes), F.col("size") - F.col("start")).alias("n"), "base").repartition("path", "start")
-    summed = ranges.mapInArrow(_summary, _SUMMARY)
+    summed = _dealt(starts.select("path", "start", F.least(F.lit(range_bytes), F.col("size") - F.col("start")).alias("n"), "base")).mapInArrow(_summary, _SUMMARY)
     earlier = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
     in_string = F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2
     own = F.when(F.col("in_string") == 1, F.col("inside")).otherwise(F.col("outside"))
     states = summed.withColumn("in_string", in_string).withColumn("depth", F.coalesce(F.sum(own).over(earlier), F.lit(0)))
-    return states.select("path", "start", "n", "base", "in_string", "depth").repartition("path", "start").mapInArrow(_elements, _ELEMENT)
+    return states.select("path", "start", "n", "base", "in_string", "depth")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of ranges over all tasks: they are small, but stand for much, so their number is not left to their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+
+
+def elements_of(cut: DataFrame) -> DataFrame:
+    """``(place, kind, text)`` of :func:`ranges`, or of some of them: what starts in them, as :func:`elements` gives it."""
+    return _dealt(cut).mapInArrow(_elements, _ELEMENT)
+
+
+def lists_of(cut: DataFrame) -> DataFrame:
+    """The rows ``list`` of :func:`elements_of` alone; no text of an element is made."""
+    return _dealt(cut).mapInArrow(_lists, _ELEMENT)
+
+
+def elements(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """``(place, kind, text)``: of the document's top object, a row ``list`` with the key of each value that is a list
+    (or an object), and a row ``element`` with the text of each object in them, in the order of ``place``."""
+    return elements_of(ranges(spark, path, range_bytes))
 
 
-__all__ = ["RANGE", "elements"]
+__all__ = ["RANGE", "elements", "elements_of", "lists_of", "ranges"]

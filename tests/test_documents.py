@@ -6,6 +6,7 @@ import random
 import pytest
 
 from palisade.functions import meta
+from palisade.session import stash
 from palisade.sources import graph_json
 from palisade.sources.json_ranges import elements
 
@@ -58,3 +59,12 @@ def test_documents_without_lists(spark, tmp_path):
         path.write_text(text)
         g = graph_json.load_document(spark, str(path), 5)
         assert (g.nodes.count(), g.edges.count(), g.soft_links.count()) == (0, 0, 0)
+
+
+def test_a_document_is_read_without_a_copy_of_its_elements(tmp_path, spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph_json, "stash", lambda df, label: kept.append(df.columns) or stash(df, label))
+    (tmp_path / "g.json").write_text(json.dumps({"nodes": [{"urn": f"urn:{i}", "node_type": "x", "metadata": {}} for i in range(40)], "edges": [{"uuid": "e", "from_urn": "urn:1", "to_urn": "urn:2", "edge_type": "reads", "metadata": {}}]}))
+    graph = graph_json.load_document(spark, str(tmp_path / "g.json"), 64)
+    assert (graph.nodes.count(), graph.edges.count()) == (40, 1)
+    assert kept and all("text" not in columns for columns in kept)
