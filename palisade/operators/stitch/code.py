@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions import meta, source_text
 from palisade.model import Graph
@@ -41,7 +42,7 @@ def orm_class_to_table(graph: Graph) -> DataFrame:
 
 
 #: Names of one automaton: some tens of MB in each task.
-SHARD = 100_000
+SHARD = 300_000
 
 
 def names_within(texts: DataFrame, names: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -52,25 +53,28 @@ def names_within(texts: DataFrame, names: DataFrame, shard: int = SHARD) -> Data
     once, whatever the number of names; so no task and not the driver holds more than one range, and
     nothing is shuffled.  A text gives each name once, however often it holds it.
 
-    ``texts``: ``id, text``; ``names``: ``name`` (distinct, not empty).
+    ``texts``: ``id, text``; ``names``: ``name`` (distinct, not empty).  Further columns of either come along,
+    those of names by a broadcast of one range.
     """
-    held, _, size = stash_counted(names.select("name"), "names")
+    held, _, size = stash_counted(names, "names")
     ranges = max(1, -(-size // shard))
     if ranges > 1:
-        cut = held.repartitionByRange(ranges, "name").select("name", F.spark_partition_id().alias("range"))
-        held = stash(cut, "names")
-    kind = texts.schema["id"].dataType.simpleString()
+        held = stash(held.repartitionByRange(ranges, "name").select("*", F.spark_partition_id().alias("range")), "names")
+    carried = [c for c in texts.columns if c != "text"]
+    schema = T.StructType([*[texts.schema[c] for c in carried], T.StructField("names", T.ArrayType(T.StringType()))])
+    columns = [*carried, *names.columns]
     found = []
     for k in range(ranges):
-        own = held if ranges == 1 else held.filter(F.col("range") == k).select("name")
-        listed = [r[0] for r in own.collect()]  # one range
+        own = held if ranges == 1 else held.filter(F.col("range") == k).drop("range")
+        listed = [r[0] for r in own.select("name").collect()]  # one range
         if listed:
-            found.append(texts.select("id", "text").mapInArrow(_searcher(listed), f"id {kind}, name string"))
-    return reduce(DataFrame.unionAll, found) if found else texts.select("id", F.lit("").alias("name")).limit(0)
+            hits = texts.select(*carried, "text").mapInArrow(_searcher(listed), schema).select(*carried, F.explode("names").alias("name"))
+            found.append((hits.join(F.broadcast(own), "name") if len(names.columns) > 1 else hits).select(*columns))
+    return reduce(DataFrame.unionAll, found) if found else texts.limit(0).select(*carried, F.lit("").alias("name")).join(held, "name").select(*columns)
 
 
 def _searcher(names: list[str]):
-    """Batches of ``(id, text)`` to batches of ``(id, name)``."""
+    """Batches of texts and further columns to batches of those columns and the list of names found, without texts that hold none."""
 
     def search(batches):
         import ahocorasick
@@ -81,14 +85,17 @@ def _searcher(names: list[str]):
             automaton.add_word(name, name)
         automaton.make_automaton()
         for batch in batches:
-            places, found = [], []
-            for place, text in enumerate(batch.column("text").to_pylist()):
-                if text:
-                    own = {name for _, name in automaton.iter(text)}
-                    places += [place] * len(own)
-                    found += own
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(places, pa.int64())), pa.array(found, pa.string())], ["id", "name"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                places, found = [], []
+                for place, text in enumerate(part.column("text").to_pylist()):
+                    own = {name for _, name in automaton.iter(text)} if text else None
+                    if own:
+                        places.append(place)
+                        found.append(list(own))
+                if places:
+                    kept = part.select([c for c in part.schema.names if c != "text"]).take(pa.array(places, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.list_(pa.string()))], [*kept.schema.names, "names"])
 
     return search
 
@@ -119,13 +126,14 @@ def function_to_table(graph: Graph, sources: DataFrame | None = None) -> DataFra
 
 def function_texts_to_tables(graph: Graph, texts: DataFrame) -> DataFrame:
     """J2 core over ``(id, ord, text)``, one row per function."""
-    registry = orm_registry(graph).filter("class_name <> ''").drop("ord").join(_tables(graph), "table_name")
-    hits = names_within(texts.select("id", "text"), registry.select(F.col("class_name").alias("name")))
-    linked = (
-        hits.join(registry.withColumnRenamed("class_name", "name"), "name")
-        .join(texts.select("id", "ord"), "id")
-        .withColumnRenamed("id", "function_urn")
-    )
+    registry = orm_registry(graph).filter("class_name <> ''").drop("ord").join(_tables(graph), "table_name").withColumnRenamed("class_name", "name")
+    texts = texts.filter("id is not null")
+    found = names_within(texts.select("id", "ord", "text"), registry)
+    # rows that share an id give each other's ordinals too; as a rule there are none
+    shared = texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    ordinals = stash(texts.select("id", F.struct("ord").alias("each")).join(shared, "id", "left_semi"), "shared")
+    linked = found.join(ordinals, "id", "left").withColumn("ord", F.when(F.col("each").isNotNull(), F.col("each.ord")).otherwise(F.col("ord")))
+    linked = linked.withColumnRenamed("id", "function_urn")
     return new_edges(
         linked, "reads", 2, "function_urn", "table_urn", F.col("ord"),
         detection_method="orm_reference", confidence=0.9, referenced_model=F.col("name"), table_name=F.col("table_name"),

@@ -38,6 +38,17 @@ def test_names_within_equals_brute_force(spark, shard):
     assert sorted((r.id, r.name) for r in found) == sorted((i, n) for i, t in texts for n in names if n in t)
 
 
+@pytest.mark.parametrize("shard", [1000, 1])
+def test_columns_of_texts_and_names_come_along(spark, shard):
+    """What was found is not joined with its text again, so nothing of it is shuffled."""
+    texts = spark.createDataFrame([("f", 7, "ab bc"), ("g", None, "bc"), ("h", 1, None), ("f", 8, "none")], "id string, ord long, text string")
+    names = spark.createDataFrame([("ab", "t1"), ("bc", "t2"), ("zz", "t3")], "name string, to_urn string")
+    found = code.names_within(texts, names, shard)
+    assert sorted(map(tuple, found.collect()), key=str) == [("f", 7, "ab", "t1"), ("f", 7, "bc", "t2"), ("g", None, "bc", "t2")]
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert code.names_within(texts, names.limit(0)).columns == found.columns == ["id", "ord", "name", "to_urn"]
+
+
 def test_dockerfile_to_repo_label_beats_name(make_graph):
     g = make_graph([
         ("urn:cb1", "codebase", {"repo_name": "shop", "repo_url": "https://git.x/acme/shop.git"}), ("urn:cb2", "codebase", {"repo_name": "empty", "clone_url": "git@git.x:acme/empty.git"}),
