@@ -136,6 +136,12 @@ def metadata_filter(df: DataFrame, filters: dict[str, object], op: str = "OR") -
     return reduce(Column.__and__ if op == "AND" else Column.__or__, tests)
 
 
+def _marks(*names: str) -> list[Column]:
+    """128 bits that stand for the values of string columns, where these are only told apart: a fifth of an edge's bytes."""
+    parts = [x for name in names for x in (F.col(name).isNull(), F.col(name))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"mark_{seed}") for seed in (1, 2)]
+
+
 def graph_summary(graph: Graph) -> DataFrame:
     """A1: long-form counts: per node type, per edge type (every occurrence), and totals.
 
@@ -143,7 +149,7 @@ def graph_summary(graph: Graph) -> DataFrame:
     """
     nodes = graph.nodes.groupBy("node_type").agg(F.count("*").alias("n"))
     raw = graph.edges.groupBy("edge_type").agg(F.count("*").alias("n"))
-    total_edges = graph.edges.groupBy("from_urn", "to_urn", "uuid").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n"))
+    total_edges = graph.edges.select(*_marks("from_urn", "to_urn", "uuid")).distinct().agg(F.count("*").alias("n"))
     vertices = graph.vertices().agg(F.count("*").alias("n"))
     tables = graph.of_type("table")
     names = tables.select(meta.get(tables, "table_name").alias("t")).filter("t <> ''").distinct().agg(F.count("*").alias("n"))

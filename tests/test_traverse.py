@@ -239,3 +239,15 @@ def test_links_of_a_frontier_are_picked_out_before_they_are_shuffled(spark):
     got = next_to(links, frontier, None, 102)
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, links.join(frontier, "src").collect()))
+
+
+def test_edge_total_moves_no_urns(spark, make_graph):
+    """Equal edges count once, missing ends are told apart, and 128 bits an edge are shuffled."""
+    g = make_graph([("a", "table", {"table_name": "t"})], [("a", "b", "reads"), ("b", "a", "reads")])
+    once = g.edges.withColumn("uuid", F.lit("u"))
+    loose = [once.withColumn(c, F.lit(None).cast("string")) for c in ("from_urn", "to_urn")]
+    g = g.with_edges(once.unionByName(once).unionByName(loose[0].withColumn("to_urn", F.lit("x"))).unionByName(loose[1].withColumn("from_urn", F.lit("x"))))
+    summary = search.graph_summary(g)
+    rows = {(r.kind, r.name): r.n for r in summary.collect()}
+    assert rows["total", "edges"] == 4 and rows["edge_type", "reads"] == 8
+    assert "Aggregate [from_urn" not in summary._jdf.queryExecution().optimizedPlan().toString()
