@@ -251,3 +251,13 @@ def test_edge_total_moves_no_urns(spark, make_graph):
     rows = {(r.kind, r.name): r.n for r in summary.collect()}
     assert rows["total", "edges"] == 4 and rows["edge_type", "reads"] == 8
     assert "Aggregate [from_urn" not in summary._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_accesses_are_counted_before_tables_are_looked_up(make_graph):
+    """Of tables and code with one name or URN, each counts; code or tables that are not there do not."""
+    nodes = [("t1", "table", {"table_name": "t"}), ("t2", "table", {"table_name": "t"}), ("t3", "table", {}), ("c", "class", {}), ("f", "function", {}), ("f", "function", {})]
+    edges = [("c", "t1", "models", {"detection_method": "orm_tablename"}), ("f", "t1", "reads"), ("f", "t2", "writes"), ("f", "t3", "reads"), ("gone", "t1", "reads"), ("f", "gone", "reads")]
+    counts = code_data.table_access_counts(make_graph(nodes, edges))
+    assert sorted(map(tuple, counts.collect())) == [("?", 0, 2), ("t", 1, 4)]
+    assert "Aggregate [to_urn" in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in code_data.table_access_counts(make_graph(nodes, edges), "t").collect()] == [("t", 1, 4)]
