@@ -1,5 +1,9 @@
+import ast
+import time
+
 import pytest
 
+from palisade.sources import code, parsing
 from palisade.sources.parsing import facts_of
 from palisade.sources.scanner import definitions
 
@@ -109,3 +113,26 @@ def test_files_torn_anywhere_keep_what_was_closed(language, text):
         for d, end in zip(whole, ends):
             if end < cut and d["end"] < lines - 3:
                 assert (d["kind"], d["shown"], d["start"]) in found, (cut, d)
+
+
+def test_router_patterns_take_linear_time(spark):
+    """A word of 100,000 letters is no start of a variable but at its first letter; matches are as before."""
+    text = 'r = APIRouter(prefix="/a")\n9x=APIRouter()\nés = HTTPBearer()\nq\n =  APIRouter(dependencies=[Depends(s)])\n# ' + "a" * 100_000 + "\n"
+    files = lambda source: spark.createDataFrame([("a.py", "python", source, 9)], "file_path string, language string, source string, size_bytes long")
+    code.CodeScan(files("x = 1"), "urn:x", "app").gates.first()
+    start = time.time()
+    row = code.CodeScan(files(text), "urn:x", "app").gates.first()
+    assert time.time() - start < 10
+    assert [tuple(m) for m in row.routers] == [("r", "/a"), ("9x", ""), ("q", "")]
+    assert [tuple(m) for m in row.schemes] == [("s", "HTTPBearer")] and [tuple(m) for m in row.router_depends] == [("q", "Depends(s)")]
+
+
+def test_calls_are_those_a_walk_finds():
+    for path in (code.__file__, parsing.__file__, __file__):
+        with open(path) as f:
+            tree = ast.parse(f.read())
+        for node in ast.walk(tree):
+            if isinstance(node, ast.FunctionDef):
+                inside = [*node.body, node.args] + ([node.returns] if node.returns else [])
+                walked = [sub.func.id for part in inside for sub in ast.walk(part) if isinstance(sub, ast.Call) and isinstance(sub.func, ast.Name)]
+                assert list(parsing._python_calls(node)) == walked
