@@ -20,7 +20,6 @@ last and is not in the index; an empty table gives no shard.  Other columns are
 
 from __future__ import annotations
 
-import json
 import zlib
 from unicodedata import is_normalized
 
@@ -36,38 +35,56 @@ MAGIC, INDEX_MAGIC = b"IDSHARD1", b"IDINDEX1"
 SHARD_BYTES = 8 << 20
 #: Documents of an index bucket, on average.
 BUCKET_KEYS = 50_000
-#: Words a worker remembers, and words without case and punctuation; either memory is emptied when full.
-REMEMBERED, REMEMBERED_STEMS = 150_000, 450_000
+#: Bytes of texts that are encoded together.
+PART_BYTES = 4 << 20
+#: Stems of words a worker remembers, and tails or words without a plain stem; a full memory keeps what the last part holds.
+REMEMBERED, REMEMBERED_WHOLE = 450_000, 150_000
 END = 1
 _TAIL = ".,!?;:*#$%&)"
-_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _spans(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches ``flat[start : start + size]`` one after the other."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def _plain(stem: str) -> bool:
+    """Whether the normalizer does nothing but lower-case these letters, one by one."""
+    return stem.isalpha() and "Σ" not in stem and "İ" not in stem and is_normalized("NFC", stem)
 
 
 class Encoder:
-    """The tokenizers library word by word: a word's ids don't depend on what blanks set off, so known words are looked up."""
+    """The tokenizers library word by word: a word's ids don't depend on what white space sets off.
+
+    Words are counted off in Arrow; the library sees each distinct stem, tail or odd word of a part that is not remembered.
+    """
 
     def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens
         # The same model without the passes that leave a lower-case word of composed letters as it is.
-        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
-        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTE_LEVEL]}
-        self.letters = Tokenizer.from_str(json.dumps(plain))
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.ends = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
-        self.end = np.array([END], dtype=self.dtype).tobytes()
+        #: Ids of stems, None for one that is not plain, of tails, and of whole words whose stem is not plain.
+        self.known: dict[str, bytes | None] = {"": b""}
+        self.tails: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
 
     def _one_by_one(self, parts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
+        # Not as a batch, whose threads wait for each other at a processor's cost.
+        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=self.dtype).tobytes() for x in parts]
 
     def _letters(self, parts: list[str]) -> list[bytes]:
         """Words of letters only, which have one closing token each, as one text."""
@@ -78,39 +95,70 @@ class Encoder:
         raw, ends = ids.tobytes(), (stops * self.width).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        if len(self.stems) > REMEMBERED_STEMS:
-            self.stems = {}
-        cut, odd = {}, []
-        for word in words:
-            stem = word.rstrip(_TAIL)
-            if stem.isalpha() and "Σ" not in stem and "İ" not in stem and is_normalized("NFC", stem):
-                cut[word] = (stem.lower(), word[len(stem) :])
-            else:
-                odd.append(word)
-        letters = list({a for a, _ in cut.values()} - self.stems.keys())
-        tails = list({b for _, b in cut.values() if b} - self.stems.keys())
+    def _stems(self, stems: list[str]) -> list[bytes | None]:
+        known = self.known
+        lower = {stem: stem.lower() if _plain(stem) else None for stem in stems if stem not in known}
+        letters = list({low for low in lower.values() if low and known.get(low) is None})
+        learned: dict[str, bytes] = {}
         for start in range(0, len(letters), 1000):
             part = letters[start : start + 1000]
-            self.stems.update(zip(part, self._letters(part), strict=True))
-        self.stems.update(zip(tails, self._one_by_one(tails), strict=True))
-        stems = self.stems
-        for word, (a, b) in cut.items():
-            self.known[word] = stems[a] + (stems[b] if b else b"")
-        self.known.update(zip(odd, self._one_by_one(odd), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, in ``width`` bytes each."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        words = set().union(*split)
-        if new := words - self.known.keys():
-            if len(self.known) > REMEMBERED:
-                new = words
-            self._learn(new)
-        known = self.known
-        return [b"".join(map(known.__getitem__, row)) + self.end for row in split]
+            learned.update(zip(part, self._letters(part), strict=True))
+        for stem, low in lower.items():
+            known[stem] = low and (learned.get(low) or known[low])
+        got = list(map(known.__getitem__, stems))
+        if len(known) > REMEMBERED:
+            self.known = {"": b""} | dict(zip(stems, got, strict=True))
+        return got
+
+    def _once(self, memory: dict[str, bytes], parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts."""
+        new = [x for x in parts if x not in memory]
+        memory.update(zip(new, self._one_by_one(new), strict=True))
+        got = {x: memory[x] for x in parts}
+        if len(memory) > REMEMBERED_WHOLE:
+            memory.clear()
+            memory.update(got)
+        return list(got.values())
+
+    def _distinct(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and how many each has: those of its stem and its tail, or of the whole."""
+        import pyarrow.compute as pc
+
+        trimmed = pc.ascii_rtrim(words, _TAIL)
+        coded = trimmed.dictionary_encode()
+        pieces = self._stems(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        first, second = coded.indices.to_numpy().astype(np.int64), np.zeros(len(words), dtype=np.int64)
+        odd = np.array([x is None for x in pieces], dtype=bool)[first]
+        tail = np.where(odd, 0, pc.subtract(pc.binary_length(words), pc.binary_length(trimmed)).to_numpy())
+        tailed, odd = np.flatnonzero(tail), np.flatnonzero(odd)
+        tails = [word[-n:] for word, n in zip(words.take(tailed).to_numpy(zero_copy_only=False).tolist(), tail[tailed].tolist(), strict=True)]
+        place = {x: len(pieces) + i for i, x in enumerate(dict.fromkeys(tails))}
+        second[tailed] = [place[x] for x in tails]
+        pieces += self._once(self.tails, list(place))
+        first[odd] = len(pieces) + np.arange(len(odd))
+        pieces += self._once(self.whole, words.take(odd).to_numpy(zero_copy_only=False).tolist())
+        pieces = [x or b"" for x in pieces]
+        sizes = np.array([len(x) for x in pieces], dtype=np.int64) // self.width
+        starts = np.cumsum(sizes) - sizes
+        lengths = np.column_stack([sizes[first], np.where(tail > 0, sizes[second], 0)])
+        flat = np.frombuffer(b"".join(pieces), dtype=self.dtype)
+        return _spans(flat, np.column_stack([starts[first], starts[second]]).ravel(), lengths.ravel()), lengths.sum(axis=1)
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow array with the end id, in ``width`` bytes each; a null has the end id alone."""
+        import pyarrow.compute as pc
+
+        rows = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = rows.flatten().dictionary_encode()
+        flat, sizes = self._distinct(words.dictionary)
+        # The end id is one word more, which follows each text.
+        flat, sizes = np.append(flat, np.array([END], dtype=self.dtype)), np.append(sizes, 1)
+        starts, stops = np.cumsum(sizes) - sizes, rows.offsets.to_numpy()[1:]
+        at = np.insert(words.indices.to_numpy(), stops, len(sizes) - 1)
+        sizes = sizes[at]
+        raw = _spans(flat, starts[at], sizes).tobytes()
+        ends = (np.cumsum(sizes)[stops + np.arange(len(stops))] * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -122,6 +170,16 @@ def encoder(path: str, added_tokens: bool = False) -> Encoder:
     return _ENCODERS[path, added_tokens]
 
 
+def _parts(batch):
+    """A batch in slices of some ``PART_BYTES`` of texts."""
+    import pyarrow.compute as pc
+
+    number = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64) // PART_BYTES
+    stops = [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for start, stop in zip([0, *stops], stops, strict=False):
+        yield batch.slice(start, stop - start)
+
+
 # --- shards ----------------------------------------------------------------------
 
 
@@ -182,10 +240,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: in
             return pa.RecordBatch.from_pydict({"shard": [number], "content": [pack(keys, ids, own.width)]}, schema=pa.schema([("shard", pa.int64()), ("content", pa.binary())]))
 
         for batch in stream:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                encoded = own.encode([t or "" for t in part.column(1).to_pylist()])
-                for key, one in zip(part.column(0).to_pylist(), encoded, strict=True):
+            for part in _parts(batch):
+                for key, one in zip(part.column(0).to_pylist(), own.encode(part.column(1)), strict=True):
                     keys.append(key)
                     ids.append(one)
                     held += len(one)

@@ -1,8 +1,12 @@
+import collections
+import itertools
+import random
 import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -82,3 +86,39 @@ def test_query_takes_added_tokens_as_the_library_does(spark):
     at = folder(spark)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
     assert [tuple(r)[:4] for r in queries.op4_token_files(spark, at).orderBy("start").collect()] == brute(rows, library)
+
+
+def test_encoder_against_the_library_on_odd_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), tf.Encoder(path, added_tokens=True), random.Random(5)
+    bits = ["a", "Ab", "the", "İ", "Σ", "ς", "ß", "é", "é", "́", "Å", "J̌", "K", "ǅ", "日本", "가", "가", "🙂", "7", "½", "²", "ª", "_", "-", "'s", "'", "’",
+            *" \t\n\x0b\x0c\r\x1c\x85\xa0 　​﻿\x00", *".,!?;:*#$%&)", "###", "|", "<|endoftext|>", "<|startoftext|>", "�", "𝒜", "ﬁ", "ا", "ऩ", "क़"]
+    texts = [None, *("".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(6000))]
+    texts += [" ".join(x or "" for x in texts), "", " \n "]
+    got = own.encode(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, own.dtype).tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert own.encode(pa.array([], pa.string())) == []
+
+
+def test_frequent_words_go_to_the_library_once(monkeypatch):
+    """However often the memory overflows with rare ones."""
+    monkeypatch.setattr(tf, "REMEMBERED", 300)
+    monkeypatch.setattr(tf, "REMEMBERED_WHOLE", 300)
+    own, seen = tf.Encoder(public_tokenizers.path("word_bpe_49k.json")), collections.Counter()
+    for name in ("_letters", "_one_by_one"):
+        ask = getattr(own, name)
+        monkeypatch.setattr(own, name, lambda parts, ask=ask: seen.update(parts) or ask(parts))
+    rare = ["".join(x) for x in itertools.product("abcdefgh", repeat=4)]
+    for start in range(0, len(rare), 256):
+        own.encode(pa.array([f"the {x}, The end. x{x}-y a-b" for x in rare[start : start + 256]]))
+    assert len(own.known) <= 600 and len(own.whole) <= 600 and len(own.tails) == 2
+    assert all(seen[x] == 1 for x in ("the", "end", ".", ",", "a-b")), seen.most_common(5)
+
+
+def test_parts_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(tf, "PART_BYTES", 50)
+    texts = [None, "x" * 30, "", "y" * 40, "z" * 500, None, "a", "b" * 49, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(tf._parts(batch))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and len(parts) > 3
+    assert sum(p.num_rows for p in tf._parts(batch.slice(0, 0))) == 0
