@@ -553,9 +553,9 @@ _REQUESTS = """
 
 
 def _document(g) -> Graph:
-    """The graph written as one JSON document, with links, and loaded from it by byte ranges."""
+    """The graph written as one JSON document, with links, in compressed parts, and loaded from it by byte ranges."""
     folder = f"{shared_folder(g.spark)}/document-{uuid.uuid4().hex}"
-    graph_json.write_document(soft_links.add_soft_links(g, _requests(g.tables)), folder, "2024-01-01")
+    graph_json.write_document(soft_links.add_soft_links(g, _requests(g.tables)), folder, "2024-01-01", "gzip")
     return graph_json.load_document(g.spark, folder)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import labels
 from palisade.model import EDGE_KEYS, NODE_KEYS, SOFT_LINK_SCHEMA, Graph
-from palisade.session import stash
+from palisade.session import small_partitions, stash
 from palisade.sources.json_ranges import RANGE, elements_of, lists_of, ranges
 
 _ITEM = "urn string, organization_id string, parent_urn string, node_type string, metadata variant"
@@ -55,7 +55,7 @@ def load_document(spark: SparkSession, path: str, range_bytes: int = RANGE) -> G
     Any layout will do.  Elements that are no objects of their kind are left out.  The ordinal of an item is its place in bytes.
     """
     cut = stash(ranges(spark, path, range_bytes), "ranges")
-    lists = {r["text"]: r["place"] for r in lists_of(cut).orderBy("place").collect()}  # keys of the top object
+    lists = dict(sorted(((r["text"], r["place"]) for r in lists_of(cut).collect()), key=lambda x: x[1]))  # keys of the top object
     ends = sorted(lists.values())
 
     def part(name: str, ddl: str, *more: Column) -> DataFrame:
@@ -124,28 +124,58 @@ def write_lines(graph: Graph, folder: str) -> None:
     links.write.mode("overwrite").json(f"{folder}/soft_links")
 
 
-def write_document(graph: Graph, folder: str, generated_at: str) -> None:
+#: Ids that 16 bytes stand for while lines are written and shuffled: their digits are most of what does not compress.
+_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+
+
+def _uuid_text() -> Column:
+    digits = F.lower(F.hex("id"))
+    return F.concat_ws("-", *[F.substring(digits, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    """The texts before and after the id of each edge, if it is a UUID; the text of any other is all in front."""
+    names, short = ["uuid", "organization_id", "from_urn", "to_urn", "edge_type"], F.coalesce(F.col("uuid").rlike(_UUID), F.lit(False))
+    rest = F.to_json(F.struct(*names[1:]))
+    return edges.select(
+        F.lit(3).alias("section"), "ord", F.when(short, F.unhex(F.replace("uuid", F.lit("-")))).alias("id"),
+        F.when(short, F.concat_ws("|", "from_urn")).otherwise(F.concat_ws("|", "uuid", "from_urn")).alias("tie"),
+        F.when(short, F.concat(F.lit('{"metadata": '), bag_json(edges), F.lit(", "))).otherwise(_item_json(edges, names)).alias("front"),
+        F.when(short, F.concat(F.when(rest == "{}", "").otherwise(","), F.expr(f"substr(to_json(struct({', '.join(names[1:])})), 2)"))).otherwise("").alias("rest"),
+    )
+
+
+def write_document(graph: Graph, folder: str, generated_at: str, compression: str | None = None) -> None:
     """K1: the graph document as text parts which, put together in name order, are one JSON object.
 
     Lines are range-partitioned by section and place, so no task ever holds a
-    whole list; each item but the first of its section is preceded by a comma.
+    whole list; each item but the first of its section is preceded by a comma.  They are
+    written once before, as their ranges, their number and the first ones are asked for.
+    With ``compression`` (``gzip`` or ``bzip2``) each part is a compressed file, and so are the parts put together.
     """
     nodes, edges = labels.settle_types(graph.nodes), graph.edges
     links = graph.soft_links if graph.soft_links is not None else graph.spark.createDataFrame([], SOFT_LINK_SCHEMA)
+    no_id, no_rest = F.lit(None).cast("binary").alias("id"), F.lit("").alias("rest")
     rows = [
-        nodes.select(F.lit(1).alias("section"), "ord", F.col("urn").alias("tie"), _item_json(nodes, ["urn", "organization_id", "parent_urn", "node_type"]).alias("item")),
-        edges.select(F.lit(3).alias("section"), "ord", F.concat_ws("|", "uuid", "from_urn").alias("tie"), _item_json(edges, ["uuid", "organization_id", "from_urn", "to_urn", "edge_type"]).alias("item")),
-        links.select(F.lit(5).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.col("id").alias("tie"), F.to_json(F.struct(*links.columns)).alias("item")),
+        nodes.select(F.lit(1).alias("section"), "ord", no_id, F.col("urn").alias("tie"), _item_json(nodes, ["urn", "organization_id", "parent_urn", "node_type"]).alias("front"), no_rest),
+        _edge_rows(edges),
+        links.select(F.lit(5).alias("section"), F.lit(0).cast("bigint").alias("ord"), no_id, F.col("id").alias("tie"), F.to_json(F.struct(*links.columns)).alias("front"), no_rest),
     ]
-    items = rows[0].unionAll(rows[1]).unionAll(rows[2])
-    first = items.groupBy("section").agg(F.min(F.struct("ord", "tie")).alias("first"))
-    lines = items.join(F.broadcast(first), "section").select(  # three rows
-        "section", "ord", "tie", F.concat(F.when(F.struct("ord", "tie") == F.col("first"), "").otherwise(","), "item").alias("value")
+    items = stash(rows[0].unionAll(rows[1]).unionAll(rows[2]).withColumn("n", F.monotonically_increasing_id()), "items")
+    order = ["section", "ord", F.concat_ws("|", F.when(F.col("id").isNotNull(), _uuid_text()), "tie")]
+    totals = {r["section"]: r["count"] for r in items.groupBy("section").count().collect()}  # three rows
+    first = [r["n"] for section in totals for r in items.filter(F.col("section") == section).orderBy(*order, "n").select("n").limit(1).collect()]
+    heads = [
+        (0, F.concat(F.lit('{"generated_at": '), F.to_json(F.lit(generated_at).cast("variant")), F.lit(f', "node_count": {totals.get(1, 0)}, "edge_count": {totals.get(3, 0)}, "nodes": ['))),
+        (2, F.lit('], "edges": [')), (4, F.lit('], "soft_links": [')), (6, F.lit("]}")),
+    ]
+    frame = graph.spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("section"), text.alias("front")) for k, text in heads])).alias("x")).select(
+        "x.section", F.lit(0).cast("bigint").alias("ord"), no_id, F.lit("").alias("tie"), "x.front", no_rest, F.lit("").alias("comma")
     )
-    totals = nodes.agg(F.count("*").alias("n")).scalar(), edges.agg(F.count("*").alias("n")).scalar()
-    head = F.concat(F.lit('{"generated_at": '), F.to_json(F.lit(generated_at).cast("variant")), F.lit(', "node_count": '), totals[0].cast("string"), F.lit(', "edge_count": '), totals[1].cast("string"), F.lit(', "nodes": ['))
-    frame = graph.spark.range(1).select(F.explode(F.array(
-        F.struct(F.lit(0).alias("section"), head.alias("value")), F.struct(F.lit(2).alias("section"), F.lit('], "edges": [').alias("value")),
-        F.struct(F.lit(4).alias("section"), F.lit('], "soft_links": [').alias("value")), F.struct(F.lit(6).alias("section"), F.lit("]}").alias("value")),
-    )).alias("x")).select("x.section", F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("tie"), "x.value")
-    lines.unionAll(frame).repartitionByRange("section", "ord", "tie").sortWithinPartitions("section", "ord", "tie").select("value").write.mode("overwrite").text(folder)
+    comma = F.when(F.col("n").isin(*first), "").otherwise(",") if first else F.lit(",")
+    items = items.withColumn("comma", comma).drop("n").unionAll(frame)
+    sorted_ = items.repartitionByRange(*order, "comma").sortWithinPartitions(*order, "comma")
+    own = F.when(F.col("id").isNotNull(), F.concat(F.lit('"uuid":"'), _uuid_text(), F.lit('"'))).otherwise("")
+    writer = sorted_.select(F.concat("comma", "front", own, "rest").alias("value")).write.mode("overwrite")
+    with small_partitions(graph.spark):
+        (writer.option("compression", compression) if compression else writer).text(folder)

@@ -7,22 +7,28 @@ case is inside in the other.  Sums over the ranges before then tell the state in
 Second, each range gives the elements that start in it, reading on to the end of its last one.  Who wants one list
 reads the ranges of it, as often as needed: no copy of the elements is kept.
 
-No task holds more than a range and one element; the driver holds nothing.  Ranges may span the files of a
+No task holds more than a few ranges and one element; the driver holds nothing.  Ranges may span the files of a
 folder, which count as one document in the order of their names if no element is torn between two.
+
+A file may be compressed, which its name tells.  Its ranges are those of its text, which is read from the front only, so one
+task reads all of a file, range after range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.sources.files import open_file
 
 RANGE = 8 << 20
+#: Codecs of compressed files by the end of their name.
+PACKED = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
 _QUOTE, _BACKSLASH = 34, 92
 #: Depths of brackets: the document, its lists, their elements.
 _LISTS, _ELEMENTS = 2, 3
@@ -33,6 +39,56 @@ def _read(file, start: int, n: int) -> bytes:
     return file.read(n)
 
 
+class Unpacked:
+    """The text of a compressed file.  What was read last is held for steps back; one that goes further reads the file anew."""
+
+    def __init__(self, path: str, codec: str, back: int = RANGE):
+        self.path, self.codec, self.back = path, codec, back
+        self.file, self.place = None, 0
+        self._open()
+
+    def _open(self) -> None:
+        self.close()
+        self.file = open_file(self.path)
+        self.stream, self.held, self.first = pa.CompressedInputStream(self.file, self.codec), bytearray(), 0
+
+    def seek(self, place: int) -> None:
+        self.place = place
+
+    def read(self, n: int) -> bytes:
+        if self.place < self.first:
+            self._open()
+        while self.first + len(self.held) < self.place + n and (more := self.stream.read(1 << 20)):
+            self.held += more
+            gone = min(len(self.held), self.place - self.back - self.first)
+            if gone > 0:
+                del self.held[:gone]
+                self.first += gone
+        start = self.place - self.first
+        self.place += n
+        return bytes(self.held[start : start + n])
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+    def __enter__(self) -> Unpacked:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def _codec(path: str) -> str | None:
+    return next((codec for end, codec in PACKED.items() if path.endswith(end)), None)
+
+
+def _text_of(path: str):
+    """A file to seek and read in, as it is or unpacked."""
+    codec = _codec(path)
+    return Unpacked(path, codec) if codec else open_file(path)
+
+
 def _carried(file, start: int) -> int:
     """How many backslashes stand right before a place."""
     n, step = 0, 4096
@@ -62,19 +118,27 @@ def _marks(data: bytes, carried: int, inside: bool) -> tuple[np.ndarray, np.ndar
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each range; a compressed file comes as its first one."""
     for batch in batches:
-        rows = batch.to_pylist()
-        for r in rows:
-            with open_file(r["path"]) as file:
-                data, carried = _read(file, r["start"], r["n"]), _carried(file, r["start"])
-            quotes, _, signs = _marks(data, carried, False)
-            r["quotes"], r["outside"], r["inside"] = len(quotes), int(signs.sum()), int(_marks(data, carried, True)[2].sum())
-        yield pa.RecordBatch.from_pylist(rows, schema=_SUMMARY_ARROW)
-
-
-_RANGES = "path string, start bigint, n bigint, base bigint"
-_SUMMARY = f"{_RANGES}, quotes bigint, outside bigint, inside bigint"
-_SUMMARY_ARROW = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("start", "n", "base", "quotes", "outside", "inside"))])
+        for r in batch.to_pylist():
+            with _text_of(r["path"]) as file:
+                rows = list(_summed(file, r))
+            yield pa.RecordBatch.from_pylist(rows, schema=_SUMMARY_ARROW)
+
+
+def _summed(file, r: dict) -> Iterator[dict]:
+    start = r["start"]
+    while data := _read(file, start, r["n"]):
+        carried = _carried(file, start)
+        quotes, _, signs = _marks(data, carried, False)
+        yield {"path": r["path"], "start": start, "n": len(data), "quotes": len(quotes), "outside": int(signs.sum()), "inside": int(_marks(data, carried, True)[2].sum())}
+        start += len(data)
+        if _codec(r["path"]) is None:
+            break
+
+
+_SUMMARY = "path string, start bigint, n bigint, quotes bigint, outside bigint, inside bigint"
+_SUMMARY_ARROW = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("start", "n", "quotes", "outside", "inside"))])
 _ELEMENT = "place bigint, kind string, text string"
 
 
@@ -88,13 +152,21 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            with open_file(r["path"]) as file:
+    path, file = None, None
+    try:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if path != r["path"]:
+                    if file is not None:
+                        file.close()
+                    path, file = r["path"], _text_of(r["path"])
                 found = list(of(file, r))
-            if found:
-                columns = list(zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["place", "kind", "text"])
+                if found:
+                    columns = list(zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["place", "kind", "text"])
+    finally:
+        if file is not None:
+            file.close()
 
 
 def _found_lists(file, r: dict) -> Iterator[tuple[int, str, str]]:
@@ -137,20 +209,26 @@ def _key_before(file, place: int) -> str:
 def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """The ranges of a document, a row for each, with the state in which it starts."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
-    # a row for each file, then for each range
-    before = F.coalesce(F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.withColumn("base", before).select("path", "size", "base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
-    summed = _dealt(starts.select("path", "start", F.least(F.lit(range_bytes), F.col("size") - F.col("start")).alias("n"), "base")).mapInArrow(_summary, _SUMMARY)
+    # a row for each compressed file or range, then for each range
+    last = F.when(_packed(), F.lit(0).cast("bigint")).otherwise(F.col("size") - 1)
+    starts = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(range_bytes).cast("bigint"))).alias("start"))
+    n = F.when(_packed(), F.lit(range_bytes)).otherwise(F.least(F.lit(range_bytes), F.col("size") - F.col("start"))).cast("bigint")
+    summed = _dealt(starts.select("path", "start", n.alias("n"))).mapInArrow(_summary, _SUMMARY)
     earlier = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
-    in_string = F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     own = F.when(F.col("in_string") == 1, F.col("inside")).otherwise(F.col("outside"))
-    states = summed.withColumn("in_string", in_string).withColumn("depth", F.coalesce(F.sum(own).over(earlier), F.lit(0)))
+    states = summed.withColumn("in_string", before("quotes") % 2).withColumn("depth", before(own)).withColumn("base", before("n") - F.col("start"))
     return states.select("path", "start", "n", "base", "in_string", "depth")
 
 
+def _packed() -> Column:
+    return reduce(Column.__or__, [F.col("path").endswith(end) for end in PACKED])
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of ranges over all tasks: they are small, but stand for much, so their number is not left to their size."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    """Rows of ranges over all tasks, those of a compressed file in one: they are small, but stand for much, so their number is not left to their size."""
+    deal = F.when(_packed(), F.lit(0).cast("bigint")).otherwise(F.col("start"))
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("path"), deal).sortWithinPartitions("path", "start")
 
 
 def elements_of(cut: DataFrame) -> DataFrame:
