@@ -7,7 +7,7 @@ A search reads the folders of the types and
 directions it follows.  A small frontier is handed to the scan as values, so row groups and pages without
 them are skipped; a larger one is joined, broadcast if its written size allows, else shuffled with the links
 that leave it, which a broadcast set of its hashes picks out, and AQE splits a vertex that holds much of the edges.
-Files are dealt by rebalancing: a hub is spread over several, which buckets by ``src`` could not do.
+Links are sorted in the tasks that compute them, not dealt anew: a hub is spread over several files, which buckets by ``src`` could not do.
 
 A store's edges are sorted by the end they leave, so they are the links along the edge; it writes those against the
 edge with each version.  For a graph that is computed, a type's links are written when a
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.model import Graph, union_all
-from palisade.session import shared_folder
+from palisade.session import shared_folder, small_partitions
 
 WAYS = {"outgoing": ("out",), "incoming": ("in",), "both": ("out", "in")}
 #: Vertices that are handed to a scan as values.
@@ -111,8 +111,8 @@ def write_links(edges: DataFrame, path: str, ways: tuple[str, ...] = ("out", "in
         "in": F.struct(F.col("to_urn").alias("src"), F.col("from_urn").alias("dst"), F.lit("in").alias("way")),
     }
     rows = edges.select("edge_type", F.inline(F.array(*[ends[w] for w in ways]))).select("src", "dst", "way", "edge_type")
-    dealt = rows.hint("rebalance", "src").sortWithinPartitions("way", "edge_type", "src")
-    dealt.write.partitionBy("way", "edge_type").parquet(path)
+    with small_partitions(edges.sparkSession):
+        rows.sortWithinPartitions("way", "edge_type", "src").write.partitionBy("way", "edge_type").option("compression", "zstd").parquet(path)
 
 
 def adjacency_of(graph: Graph) -> Adjacency:

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-PARTITION_KEY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+SMALL = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m", "spark.sql.files.maxPartitionBytes": "32m"}
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -46,19 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 @contextmanager
 def small_partitions(spark: SparkSession) -> Iterator[None]:
-    """What is written here keeps partitions of some 8 MB of shuffled rows apart, unless the session names a size.
+    """What is written here keeps partitions of some 8 MB of shuffled rows apart, or 32 MB of files, unless the session names sizes.
 
     For rows that are sorted before they are written: in memory, and often wider than they were shuffled, those of
-    Spark's usual 64 MB would be spilled.
+    Spark's usual 64 and 128 MB would be spilled.
     """
-    named = spark.conf.get(PARTITION_KEY, None)
-    if named is None:
-        spark.conf.set(PARTITION_KEY, "8m")
+    unset = {key: size for key, size in SMALL.items() if spark.conf.get(key, None) is None}
+    for key, size in unset.items():
+        spark.conf.set(key, size)
     try:
         yield
     finally:
-        if named is None:
-            spark.conf.unset(PARTITION_KEY)
+        for key in unset:
+            spark.conf.unset(key)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:

@@ -14,7 +14,7 @@ from palisade.functions import labels
 from palisade.model import NODE_KEYS, SOFT_LINK_SCHEMA, Graph
 from palisade.operators import mutate, soft_links
 from palisade.operators.adjacency import Adjacency, write_links
-from palisade.session import stash
+from palisade.session import small_partitions, stash
 
 
 class Sink(Protocol):
@@ -72,13 +72,14 @@ class ParquetStore:
         self._write_sorted(graph.edges, "edge_type", "from_urn", f"{base}/edges")
         # sorted edges are the links along the edge; those against it come from what was just written
         write_links(self.spark.read.schema("from_urn string, to_urn string, edge_type string").parquet(f"{base}/edges"), f"{base}/links", ("in",))
-        links.write.parquet(f"{base}/soft_links")
+        links.write.option("compression", "zstd").parquet(f"{base}/soft_links")
         return self._commit(version, version, [])
 
     @staticmethod
     def _write_sorted(df: DataFrame, kind: str, key: str, path: str) -> None:
-        """Dealt by hash and size, so that rows are computed and shuffled once: a type holding most rows spreads over most tasks."""
-        df.hint("rebalance", kind, key).sortWithinPartitions(kind, key).write.partitionBy(kind).parquet(path)
+        """Sorted where the rows are computed: dealt by hash, each file would hold keys of the whole range as well, after one more shuffle of all there is."""
+        with small_partitions(df.sparkSession):
+            df.sortWithinPartitions(kind, key).write.partitionBy(kind).option("compression", "zstd").parquet(path)
 
     @staticmethod
     def _new_version() -> str:
@@ -157,7 +158,7 @@ class ParquetStore:
     def _change(self, part: str, rows: DataFrame, keys: list[str]) -> str:
         _, base, _, _ = self._state(None)
         version = self._new_version()
-        rows.write.parquet(f"{self.folder}/{base}/{part}/change={version}")
+        rows.write.option("compression", "zstd").parquet(f"{self.folder}/{base}/{part}/change={version}")
         return self._commit(version, base, keys)
 
     def update_node_metadata(self, patches: DataFrame) -> str:

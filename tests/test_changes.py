@@ -1,11 +1,14 @@
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from palisade.model import DuplicateNodeError, Graph
 from palisade.operators import compliance, enrich, legality, mutate, rules, search, security, soft_links
+from palisade.operators.adjacency import write_links
 from palisade.plans import scan
+from palisade.session import SMALL, small_partitions, stash
 from palisade.sources import graph_json, plugins
 from palisade.sources.dispatch import Target, chosen_plugins, load_target
 from palisade.sources.store import ParquetStore, report, with_status
@@ -350,3 +353,34 @@ def test_legality_shuffles_an_end_and_the_other_one(make_graph):
     assert "other" in found._jdf.queryExecution().optimizedPlan().toString()
     rows = sorted((r.from_urn, r.to_urn, r.edge_type, r.side) for r in found.collect())
     assert rows == [("urn:a", "urn:b", "calls", "outgoing"), ("urn:b", "urn:b", "contains", "outgoing")]
+
+
+def test_a_store_sorts_its_rows_where_they_are_computed(spark, make_graph, tmp_path):
+    """Nothing is dealt anew: each job that writes nodes, edges or links has one stage, and every file is sorted by its key."""
+    g = make_graph([(f"urn:{i}", "x", {}) for i in range(60)], [(f"urn:{i % 7}", f"urn:{i * 31 % 60}", "reads") for i in range(60)])
+    g = Graph(g.nodes.repartition(3), g.edges.repartition(3))
+    g = Graph(stash(g.nodes, "nodes"), stash(g.edges, "edges"))
+    sc = spark.sparkContext
+    sc.setJobGroup("written", "")
+    ParquetStore._write_sorted(g.nodes, "node_type", "urn", str(tmp_path / "nodes"))
+    ParquetStore._write_sorted(g.edges, "edge_type", "from_urn", str(tmp_path / "edges"))
+    write_links(g.edges, str(tmp_path / "links"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("written")]
+    assert [len(j.stageIds) for j in jobs] == [1, 1, 1]
+    for place, key, n in (("nodes", "urn", 60), ("edges", "from_urn", 60), ("links", "src", 120)):
+        files = [pq.read_table(str(p), partitioning=None)[key].to_pylist() for p in (tmp_path / place).rglob("*.parquet")]
+        assert sum(map(len, files)) == n and all(f == sorted(f) for f in files)
+
+
+def test_sizes_of_partitions_are_put_back(spark):
+    advisory, files = SMALL
+    before = spark.conf.get(files)
+    spark.conf.set(advisory, "3m")
+    try:
+        with pytest.raises(ZeroDivisionError), small_partitions(spark):
+            assert (spark.conf.get(advisory), spark.conf.get(files)) == ("3m", SMALL[files])
+            raise ZeroDivisionError
+        assert (spark.conf.get(advisory), spark.conf.get(files), spark.conf.get(files, None)) == ("3m", before, None)
+    finally:
+        spark.conf.unset(advisory)
