@@ -139,7 +139,8 @@ class _Balls:
 
     A layer is ``(key, urn, path)``.  Links go both ways, so what a layer leads to lies in the
     layer before, the layer itself or the next one: only these two are looked at again.
-    ``path`` leads away from the end, or towards it.
+    ``path`` leads away from the end, or towards it.  Paths are compared by their place in the order of
+    their layer: numbers are hashed and shuffled where lists of URNs would be sorted and spilled.
     """
 
     def __init__(self, ends: DataFrame, away: bool):
@@ -147,22 +148,53 @@ class _Balls:
         self._keep(ends.select(F.col("urn").alias("key"), "urn", F.array("urn").alias("path")))
 
     def _keep(self, layer: DataFrame) -> None:
-        self.layer = stash(layer, "ball")
+        self.layer, self._ranked = stash(layer, "ball"), None
         self.size, self.few = measured(self.layer)
 
-    def grow(self, adj: DataFrame, done: DataFrame | None) -> None:
-        """One layer more, around the ends that are not ``done``."""
-        frontier = self.layer if done is None else self.layer.join(done, "key", "left_anti")
-        step = next_to(adj, frontier.select("key", F.col("urn").alias("src"), "path"), self.few, self.size)
-        step = step.groupBy("key", F.col("dst").alias("urn")).agg(F.min("path").alias("path"))
+    def ranked(self) -> DataFrame:
+        """The layer with ``at``, the order of its paths, none of which comes twice."""
+        if self._ranked is None:
+            if self.few is not None:
+                self._ranked = self.layer.coalesce(1).sortWithinPartitions("path").withColumn("at", F.monotonically_increasing_id())
+            else:
+                self._ranked = stash(self.layer.orderBy("path").withColumn("at", F.monotonically_increasing_id()), "ball")
+        return self._ranked
+
+    def grow(self, adj: DataFrame, open_ends: DataFrame | None) -> None:
+        """One layer more, around all ends or those that are open."""
+        ranked = self.ranked()
+        frontier = ranked if open_ends is None else ranked.join(open_ends, "key", "left_semi")
+        step = next_to(adj, frontier.select("key", F.col("urn").alias("src"), "at"), self.few, self.size)
+        step = step.groupBy("key", F.col("dst").alias("urn")).agg(F.min("at").alias("at"))
         for old in [self.layer] if self.before is None else [self.layer, self.before]:
             step = step.join(old.select("key", "urn"), ["key", "urn"], "left_anti")
         own = F.array("urn")
         path = F.concat("path", own) if self.away else F.concat(own, F.col("path"))
+        step = step.join(ranked.select("at", "path"), "at")
         self.before = self.layer
         self._keep(step.select("key", "urn", path.alias("path")))
 
 
+def _met(near: _Balls, far: _Balls, before: DataFrame | None) -> DataFrame:
+    """``(source, dest, path)`` of the pairs whose outermost layers meet now and not ``before``.
+
+    A source's path to the meeting vertex tells the vertex, and with it the rest of the path.
+    """
+    ahead, back = near.ranked().select("at", F.col("key").alias("source"), "urn"), far.layer.select(F.col("key").alias("dest"), "urn")
+    pairs = ahead.join(back, "urn").filter("source <> dest").groupBy("source", "dest").agg(F.min("at").alias("at"))
+    if before is not None:
+        pairs = pairs.join(before.select("source", "dest"), ["source", "dest"], "left_anti")
+    pairs = pairs.join(near.ranked().select("at", "urn", F.col("path").alias("ahead")), "at")
+    pairs = pairs.join(far.layer.select(F.col("key").alias("dest"), "urn", F.col("path").alias("back")), ["dest", "urn"])
+    return pairs.select("source", "dest", F.concat("ahead", F.slice("back", 2, F.greatest(F.size("back") - 1, F.lit(0)))).alias("path"))
+
+
+def _all_partners(sources: DataFrame, dests: DataFrame, n_sources: int, n_dests: int) -> tuple[DataFrame, DataFrame]:
+    """As :func:`_partners`, as if all were in one component."""
+    own = lambda ends, others, n: ends.join(others.withColumn("_o", F.lit(1)), "urn", "left").select("urn", (F.lit(n) - F.coalesce("_o", F.lit(0))).alias("wanted"))
+    return own(sources, dests, n_dests), own(dests, sources, n_sources)
+
+
 def _partners(adj: DataFrame, sources: DataFrame, dests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(urn, wanted)`` for the sources and for the destinations that have partners in their component, other than themselves."""
     parts = components(adj)
@@ -183,8 +215,9 @@ def shortest_paths(graph: Graph, sources: DataFrame, dests: DataFrame, edge_type
     ``sources`` and ``dests`` are frames of ``urn``.  Balls grow around both, the smaller side
     by a layer each round; where the outermost layers of a source and a destination first
     meet, their distance is the sum of the layers' numbers.  So balls reach half the distance,
-    and an end stops growing when it has met all its partners.  With several ends, components tell how many
-    partners each has; ends without any never grow.
+    and an end stops growing when it has met all its partners.  With several ends, some of which have not met,
+    components tell how many partners each has, as soon as balls have grown by as many vertices as there are links, all of
+    which components take to find: from then on, no ball grows in vain.
 
     Ties go to the lexicographically least vertex sequence from the source: a ball keeps the
     least path of each vertex, and of the vertices where a pair meets the least path leads on.
@@ -194,33 +227,37 @@ def shortest_paths(graph: Graph, sources: DataFrame, dests: DataFrame, edge_type
     sources = stash(sources.select("urn").distinct(), "ends")
     dests = stash(dests.select("urn").distinct(), "ends")
     (n_sources, source), (n_dests, dest) = measured(sources), measured(dests)
-    wants = None
+    wants, bound = None, None
     if n_sources * n_dests <= 1:
         total = int(n_sources * n_dests == 1 and source != dest)
     else:
-        # components are blind to direction, so one row of each link will do
-        wants = _partners(adjacency(graph, types, "outgoing"), sources, dests)
-        sources, dests = wants[0], wants[1]
-        total = int(sources.agg(F.sum("wanted")).first()[0] or 0)
+        wants = _all_partners(sources, dests, n_sources, n_dests)
+        total = int(wants[0].agg(F.sum("wanted")).first()[0] or 0)
     near, far = _Balls(sources, away=True), _Balls(dests, away=False)
     spark, schema, found, met = graph.spark, "source string, dest string, hops int, path array<string>", [], 0
-    hops = 0
+    hops, grown, settled = 0, 0, False
     while met < total and near.size and far.size:
+        if wants is not None and not settled and hops:
+            bound = adjacency_of(graph).links(types, "outgoing").count() if bound is None else bound
+            if grown > bound:
+                # components are blind to direction, so one row of each link will do
+                wants, settled = _partners(adjacency(graph, types, "outgoing"), sources, dests), True
+                total = int(wants[0].agg(F.sum("wanted")).first()[0] or 0)
+                continue
         hops += 1
         before = spark.read.schema(schema).parquet(*found) if found else None
         side, key = (near, "source") if near.size <= far.size else (far, "dest")
-        done = None
-        if before is not None and wants is not None:
-            wanted = wants[key == "dest"].select(F.col("urn").alias("key"), "wanted")
-            done = before.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).join(wanted, "key").filter("n = wanted").select("key")
-        side.grow(adj, done)
-        ahead = near.layer.select(F.col("key").alias("source"), "urn", F.col("path").alias("ahead"))
-        back = far.layer.select(F.col("key").alias("dest"), "urn", F.col("path").alias("back"))
-        pairs = ahead.join(back, "urn").filter("source <> dest").groupBy("source", "dest").agg(F.min(F.struct("ahead", "back")).alias("p"))
-        if before is not None:
-            pairs = pairs.join(before.select("source", "dest"), ["source", "dest"], "left_anti")
-        path = F.concat("p.ahead", F.slice("p.back", 2, F.greatest(F.size("p.back") - 1, F.lit(0))))
-        _, place, n = stash_counted(pairs.select("source", "dest", F.lit(hops).alias("hops"), path.alias("path")), "met")
+        open_ends = None
+        if wants is not None and (settled or before is not None):
+            open_ends = wants[key == "dest"].select(F.col("urn").alias("key"), "wanted")
+            if before is not None:
+                had = before.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+                open_ends = open_ends.join(had, "key", "left").filter("coalesce(n, 0) < wanted")
+            open_ends = open_ends.select("key")
+        side.grow(adj, open_ends)
+        grown += side.size
+        pairs = _met(near, far, before).select("source", "dest", F.lit(hops).alias("hops"), "path")
+        _, place, n = stash_counted(pairs, "met")
         if n:
             found.append(place)
             met += n

@@ -261,3 +261,34 @@ def test_accesses_are_counted_before_tables_are_looked_up(make_graph):
     assert sorted(map(tuple, counts.collect())) == [("?", 0, 2), ("t", 1, 4)]
     assert "Aggregate [to_urn" in counts._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in code_data.table_access_counts(make_graph(nodes, edges), "t").collect()] == [("t", 1, 4)]
+
+
+def _star(spark, *more):
+    """Five hubs in a ring with ten leaves each, and further links."""
+    pairs = [(f"h{i}", f"h{(i + 1) % 5}") for i in range(5)] + [(f"l{i:02}", f"h{i % 5}") for i in range(50)] + list(more)
+    edges = spark.createDataFrame([(f"e{k}", a, b, "calls") for k, (a, b) in enumerate(pairs)], "uuid string, from_urn string, to_urn string, edge_type string")
+    return Graph(edges.select(F.col("from_urn").alias("urn"), F.lit("x").alias("node_type")), edges)
+
+
+def test_components_are_asked_for_only_where_balls_grow_in_vain(spark, monkeypatch):
+    asked, own = [], traverse._partners
+    monkeypatch.setattr(traverse, "_partners", lambda *ends: asked.append(1) or own(*ends))
+    frame = lambda *ends: spark.createDataFrame([(e,) for e in ends], "urn string")
+    met = traverse.shortest_paths(_star(spark), frame("h0", "l01", "h2"), frame("h2", "l03")).collect()
+    assert not asked
+    assert {(r.source, r.dest): r.path for r in met} == {
+        ("h0", "h2"): ["h0", "h1", "h2"], ("l01", "h2"): ["l01", "h1", "h2"], ("h0", "l03"): ["h0", "h4", "h3", "l03"],
+        ("l01", "l03"): ["l01", "h1", "h2", "h3", "l03"], ("h2", "l03"): ["h2", "h3", "l03"],
+    }
+    # a long chain that no other end is on
+    far = traverse.shortest_paths(_star(spark, *[(f"c{i:03}", f"c{i + 1:03}") for i in range(3)]), frame(*(f"l{i:02}" for i in range(20)), "c000"), frame(*(f"l{i:02}" for i in range(20, 40)), "c001", "gone")).collect()
+    assert asked and len(far) == 20 * 20 + 1
+
+
+def test_layers_compare_numbers_not_paths(spark, monkeypatch):
+    plans, own = [], traverse.stash
+    monkeypatch.setattr(traverse, "stash", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or own(df, label))
+    frame = lambda *ends: spark.createDataFrame([(e,) for e in ends], "urn string")
+    traverse.shortest_paths(_star(spark), frame("l00", "l01"), frame("l03"))
+    grown = [p for label, p in plans if label == "ball" and "Aggregate" in p]
+    assert grown and all("SortAggregate" not in p and "HashAggregate" in p for p in grown)
