@@ -138,6 +138,9 @@ def next_to(links: DataFrame, frontier: DataFrame, few: list[str] | None, size:
         keys = frontier.select(F.xxhash64("src").alias("_key")).distinct()
         # the join below compares the vertices themselves
         links = links.withColumn("_key", F.xxhash64("src")).join(F.broadcast(keys), "_key", "left_semi").drop("_key")
+    elif size > SOME:
+        # links, of which there are far more, are looked up as they come, not sorted
+        frontier = frontier.hint("shuffle_hash")
     return links.join(frontier, "src")
 
 

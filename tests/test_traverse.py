@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade.model import Graph
 from palisade.operators import code_data, search, security, soft_links, traverse
-from palisade.operators.adjacency import adjacency_of, next_to
+from palisade.operators.adjacency import SOME, adjacency_of, next_to
 from palisade.sources.store import ParquetStore
 
 RNG = random.Random(11)
@@ -292,3 +292,11 @@ def test_layers_compare_numbers_not_paths(spark, monkeypatch):
     traverse.shortest_paths(_star(spark), frame("l00", "l01"), frame("l03"))
     grown = [p for label, p in plans if label == "ball" and "Aggregate" in p]
     assert grown and all("SortAggregate" not in p and "HashAggregate" in p for p in grown)
+
+
+def test_links_of_a_big_frontier_are_not_sorted(spark):
+    links = spark.range(2000).selectExpr("concat('urn:', id % 500) as src", "concat('urn:x', id) as dst")
+    frontier = spark.range(100).selectExpr("concat('urn:', id) as src", "id as key").unionAll(spark.createDataFrame([("urn:3", 7), (None, 8)], "src string, key bigint"))
+    got = next_to(links, frontier, None, SOME + 1)
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, links.join(frontier, "src").collect()))
