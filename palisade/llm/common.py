@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.session import shared_folder, stash, stash_at
+from palisade import session
+from palisade.session import shared_folder
 
 __all__ = ["WORD_BREAK", "in_arrow", "public_vocabulary", "release", "shared_folder", "stash", "stash_at", "table", "unused", "words"]
 
@@ -17,6 +18,15 @@ __all__ = ["WORD_BREAK", "in_arrow", "public_vocabulary", "release", "shared_fol
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+def stash_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As in ``session``, packed as the session says: most of these tables are hashes, and memory is measured closely."""
+    return session.stash_at(df, label, None)
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    return stash_at(df, label)[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -71,10 +71,11 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return stash_at(df, label)[0]
 
 
-def stash_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stash_at(df: DataFrame, label: str, codec: str | None = "zstd") -> tuple[DataFrame, str]:
+    """As ``stash``, with the path; without ``codec`` the session's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
